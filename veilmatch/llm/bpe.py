@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from veilmatch.llm.common import byte_rows, int64
 
 #: Most entries that a worker keeps of each table of encoded stretches.
-CACHE_ROWS = 400_000
+CACHE_ROWS = 1_200_000
 #: Longer stretches are encoded without being kept.
 CACHE_CHARS = 48
 #: Fragments longer than this are merged with a heap, shorter ones by scanning.
@@ -78,18 +78,22 @@ def byte_letters() -> list[str]:
 
 
 class _Table(dict):
-    """Ids of stretches, made when first asked for; emptied when full."""
+    """What was made of stretches so far: two generations of at most half of ``most`` entries; the older one is dropped when the newer is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHE_ROWS):
         super().__init__()
-        self.make = make
+        self.make, self.most, self.older = make, most // 2, {}
 
     def __missing__(self, key):
-        out = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self) >= CACHE_ROWS:
-                self.clear()
-            self[key] = out
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+            if len(key) > CACHE_CHARS:
+                return out
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
         return out
 
 
@@ -132,11 +136,10 @@ class Bpe:
         self.inside = inside
         self._inside_flat = inside.tobytes()
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
-        self._inner: dict[bytes, bytes] = _Table(lambda x: self._merge([self.first[b] for b in x]))
-        self._final: dict[bytes, bytes] = _Table(lambda x: self._merge([self.first[b] for b in x[:-1]] + [self.last[x[-1]]])) if self.words else self._inner
+        self._inner: dict[bytes, bytes] = _Table(lambda x: self._merge([self.first[b] for b in x]), CACHE_ROWS // 4)
+        self._final: dict[bytes, bytes] = _Table(lambda x: self._merge([self.first[b] for b in x[:-1]] + [self.last[x[-1]]]), CACHE_ROWS // 4) if self.words else self._inner
         self.stretch: dict[str, bytes] = _Table(self._stretch)
         self.spaced: dict[str, bytes] = _Table(lambda x: self._stretch(" " + x))
-        self._piece: dict[bytes, bytes] = _Table(self.piece)
 
     # -- one piece -------------------------------------------------------
     def cuts(self, raw: bytes) -> list[bytes]:
@@ -202,7 +205,7 @@ class Bpe:
         return [bytes(letters[c] for c in p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _stretch(self, text: str) -> bytes:
-        return b"".join([self._piece[p] for p in self.pieces(text)])
+        return b"".join([self.piece(p) for p in self.pieces(text)])
 
     def normal(self, text: str) -> str:
         """The text as the vocabulary's normalizer leaves it (word vocabularies: lower case, composed, single spaces)."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmatch.llm import bpe, fingerprints, licenses, quality, sequences, simhash
+from veilmatch.llm import bpe, fingerprints, licenses, quality, sequences, simhash, suffixes
 from veilmatch.llm.common import documents, fold, fresh_path
 
 #: Vocabulary files are found by the package that ships them; the name is the parameter.
@@ -26,6 +26,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(documents(spark, sf_dir), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir), vocabulary(BYTE_VOCABULARY))
 
@@ -69,7 +74,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_bpe_encoding, op5_license_scan, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_license_scan, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
