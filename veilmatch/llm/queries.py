@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmatch.llm import bpe, fingerprints, licenses, quality, sequences, simhash, suffixes
+from veilmatch.llm import bpe, decontamination, fingerprints, licenses, quality, sequences, simhash, suffixes
 from veilmatch.llm.common import documents, fold, fresh_path
 
 #: Vocabulary files are found by the package that ships them; the name is the parameter.
@@ -50,6 +50,18 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -74,8 +86,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_license_scan, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_license_scan, op6_benchmark_decontamination, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_benchmark_decontamination": decontamination.ORACLE}
