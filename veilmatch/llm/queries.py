@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmatch.llm import bpe, decontamination, fingerprints, licenses, quality, sequences, simhash, suffixes
+from veilmatch.llm import bpe, decontamination, fingerprints, licenses, lm, quality, sequences, simhash, suffixes
 from veilmatch.llm.common import documents, fold, fresh_path
 
 #: Vocabulary files are found by the package that ships them; the name is the parameter.
@@ -21,6 +21,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lm.score(docs, fold(docs, 7) == 2)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(documents(spark, sf_dir), words=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -86,7 +91,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_license_scan, op6_benchmark_decontamination, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_license_scan, op6_benchmark_decontamination, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
