@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilmatch.llm.common import byte_rows, drop_table, flat_bytes, int64, spans, write_table
 
@@ -420,5 +421,7 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", k
                     removed[j], spans_[j], kept[j] = gone, len(merged), b"".join([*out, raw[at:]])
                 yield pa.RecordBatch.from_arrays([*b.columns[3:], int64([len(x) for x in raws]), int64(removed), int64(spans_), pa.array(kept, pa.binary())], names)
 
-    types = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return joined.mapInArrow(cut, f"{types}n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    schema = T.StructType([df.schema[c] for c in keep])
+    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())):
+        schema.add(name, kind)
+    return joined.mapInArrow(cut, schema)
