@@ -1 +1,50 @@
+"""Joins, limits, solvers and statistics over records and candidate pairs."""
 
+from veilmatch.operators.candidates import (
+    block_similarity,
+    dice_coefficient,
+    dice_coefficient_pairs,
+    encode_records,
+    enforce_k,
+    find_candidate_pairs,
+    hamming_similarity,
+    merge_pairs,
+    popcount_arrays,
+    simple_matching_coefficient,
+)
+from veilmatch.operators.chunks import chunks_table, process_chunk, split_to_chunks
+from veilmatch.operators.similarity import DICE, SMC, Similarity, custom_similarity
+from veilmatch.operators.solving import greedy_solve, match_labels, matching_rounds, nested_groups, pairs_from_groups, probabilistic_greedy_solve
+from veilmatch.operators.stats import cumul_number_matches_vs_threshold, match_ratio, matches_nonmatches_hist, nonmatch_index_score, precision_recall, similarities_hist
+
+__all__ = [
+    "DICE",
+    "SMC",
+    "Similarity",
+    "block_similarity",
+    "chunks_table",
+    "cumul_number_matches_vs_threshold",
+    "custom_similarity",
+    "dice_coefficient",
+    "dice_coefficient_pairs",
+    "encode_records",
+    "enforce_k",
+    "find_candidate_pairs",
+    "greedy_solve",
+    "hamming_similarity",
+    "match_labels",
+    "match_ratio",
+    "matches_nonmatches_hist",
+    "matching_rounds",
+    "merge_pairs",
+    "nested_groups",
+    "nonmatch_index_score",
+    "pairs_from_groups",
+    "popcount_arrays",
+    "precision_recall",
+    "probabilistic_greedy_solve",
+    "process_chunk",
+    "similarities_hist",
+    "simple_matching_coefficient",
+    "split_to_chunks",
+]

@@ -1 +1 @@
-
+"""Physical strategies that Catalyst does not choose by itself."""
