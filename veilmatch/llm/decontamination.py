@@ -17,6 +17,7 @@ Repeated rows get the same result each; ids may be null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,11 @@ def _smallest(grams: str, width: int) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.least(*[F.get(F.col(grams), i + k) for k in range(width)])))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also when the optimizer merges projections."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fingerprints(df: DataFrame, window: int, *, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``fp``: one row per kept fingerprint of rows with at least ``window`` words."""
     gram = min(GRAM, window)
@@ -87,13 +93,22 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: st
     found = pairs_all.join(_bounded(windows, windows.count()), "_item")
     wanted = found.groupBy("_key", "_th").agg(F.collect_list(F.struct("_item", "_len", "_windows")).alias("_f"))
     both = d.join(wanted.select(F.col("_key").alias("_k"), F.col("_th").alias("_t"), "_f").hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_t")))
-    rows = both.select("_key", "_th", exact_words(F.col("_text")).alias("_w"), F.explode("_f").alias("_i"))
-    rows = rows.where(F.size("_w") >= F.col("_i._len")).select("_key", "_th", "_w", F.col("_i._item").alias("_item"), F.col("_i._len").alias("_len"), F.col("_i._windows").alias("_windows"))
-    rows = rows.withColumn("_s", F.transform(at, lambda i: F.array_join(F.slice(F.col("_w"), i + 1, F.col("_len")), " ")))
-    rows = rows.withColumn("_m", F.array_intersect("_s", "_windows")).where(F.size("_m") > 0)
-    place = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: F.array_contains(F.col("_m"), F.get(F.col("_s"), i)))
-    hit = rows.select("_key", "_th", "_item", F.array_distinct(F.flatten(F.transform(place, lambda p: F.sequence(p, p + F.col("_len") - 1)))).alias("_hit"))
-    return hit.groupBy("_key", "_th").agg(F.array_distinct(F.flatten(F.collect_set("_hit"))).alias("hit"), F.sort_array(F.collect_set("_item")).alias("items")).withColumnRenamed("_key", key)
+    rows = both.select("_key", "_th", "_text", F.explode("_f").alias("_i"))
+
+    def places(words: Column) -> Column:
+        """Where windows of the item start in ``words``."""
+        size, windows = F.col("_i._len"), F.col("_i._windows")
+        spelt = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+        found = _let(spelt, lambda s: _let(F.array_intersect(s, windows), lambda m: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.array_contains(m, F.get(s, i)))))
+        return F.when(F.size(words) >= size, found).otherwise(F.array().cast("array<int>"))
+
+    inside = F.flatten(F.transform(_let(exact_words(F.col("_text")), places), lambda p: F.sequence(p, p + F.col("_i._len") - 1)))
+    hit = rows.select("_key", "_th", F.col("_i._item").alias("_item"), F.array_distinct(inside).alias("_hit"))
+    every = hit.groupBy("_key", "_th").agg(
+        F.array_distinct(F.flatten(F.collect_list("_hit"))).alias("hit"),
+        F.sort_array(F.collect_set(F.when(F.size("_hit") > 0, F.col("_item")))).alias("items"),
+    )
+    return every.where(F.size("hit") > 0).withColumnRenamed("_key", key)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
