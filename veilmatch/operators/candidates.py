@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import functools
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from veilmatch.functions.bits import clk_words, popcount
+from veilmatch.functions.bits import clk_words
 from veilmatch.functions.blocking import Blocking, Record
 from veilmatch.operators.similarity import DICE, SMC, Side, Similarity, named
 from veilmatch.plans.product import product_pairs
@@ -28,10 +31,33 @@ def _n_bytes(records: DataFrame) -> int | None:
 
 
 def encode_records(records: DataFrame, n_bytes: int, *keep: str) -> DataFrame:
-    """(dset_i, rec_i, pc, w0 .., and ``keep`` columns): words and popcount once per record, before any join."""
-    words = records.select(F.col("dset_i").cast("int").alias("dset_i"), F.col("rec_i").cast("bigint").alias("rec_i"), *keep, *[w.alias(f"w{i}") for i, w in enumerate(clk_words(F.col("clk"), n_bytes))])
+    """(dset_i, rec_i, pc, w0 .., and ``keep`` columns): words and popcount once per record, before any join.
+
+    One Arrow pass: as column expressions, the words would be copied into every
+    predicate that the optimizer derives from them.
+    """
+    share_code(records.sparkSession)
     n = -(-n_bytes // 8)
-    return words.withColumn("pc", popcount([F.col(f"w{i}") for i in range(n)]).cast("int"))
+    others = [c for c in keep if c != "clk"]
+    rows = records.select(F.col("dset_i").cast("int").alias("dset_i"), F.col("rec_i").cast("bigint").alias("rec_i"), "clk", *others)
+    out = T.StructType([rows.schema["dset_i"], rows.schema["rec_i"], *(rows.schema[c] for c in keep)])
+    names = [*out.names, *(f"w{i}" for i in range(n)), "pc"]
+    for i in range(n):
+        out.add(f"w{i}", T.LongType())
+    out.add("pc", T.IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = dict(zip(rows_names, b.columns))
+            flat = np.frombuffer(b"".join(column["clk"].to_pylist()), np.uint8).reshape(len(b), n_bytes)
+            full = np.zeros((len(b), 8 * n), np.uint8)
+            full[:, :n_bytes] = flat
+            words = full.view(">u8").astype(np.uint64)
+            pc = np.bitwise_count(words).sum(1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([column["dset_i"], column["rec_i"], *(column[c] for c in keep), *(pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(n)), pa.array(pc)], names)
+
+    rows_names = rows.columns
+    return rows.mapInArrow(run, out)
 
 
 def popcount_arrays(records: DataFrame) -> DataFrame:
@@ -217,7 +243,8 @@ def block_similarity(records: DataFrame, function: Callable, threshold: float, k
     for i in sorted(sets):
         for j in sorted(sets):
             if i < j:
-                a, b = (rows.where(F.col("dset_i") == d).groupBy("_key") for d in (i, j))
+                # aliased: both sides come from one table
+                a, b = (rows.where(F.col("dset_i") == d).select(*[F.col(c).alias(c) for c in rows.columns]).groupBy("_key") for d in (i, j))
 
                 def apply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
                     empty = pd.DataFrame({"sim": pd.Series(dtype="float64"), "rec_i0": pd.Series(dtype="int64"), "rec_i1": pd.Series(dtype="int64")})
