@@ -105,7 +105,13 @@ def product_pairs(records: DataFrame, similarity: Similarity, threshold: float,
             for i in range(0, len(bits_a), ROWS):
                 common = bits_a[i : i + ROWS] @ bits_b.T
                 need = (slope * pc_a[i : i + ROWS]).astype(np.float32)
-                hit = np.flatnonzero((common - need[:, None]) >= need_b)
+                reach = (common - need[:, None]) >= need_b
+                if k is not None and not similarity.two_sided and k < len(bits_b) and np.count_nonzero(reach) > 2 * k * len(common):
+                    # most pairs pass: leave those below a row's k-th best score, ties stay for the exact ranks
+                    n = len(common)
+                    dense = similarity.counts(common.ravel().astype(np.float64), np.repeat(pc_a[i : i + n], len(pc_b)), np.tile(pc_b, n), n_bits).reshape(n, -1)
+                    reach &= dense >= np.partition(dense, len(bits_b) - k, axis=1)[:, [len(bits_b) - k]]
+                hit = np.flatnonzero(reach)
                 x, y = hit // len(bits_b), hit % len(bits_b)
                 c, x = common.ravel()[hit], x + i
                 sim = similarity.counts(c.astype(np.float64), pc_a[x], pc_b[y], n_bits)
