@@ -84,9 +84,9 @@ def product_pairs(records: DataFrame, similarity: Similarity, threshold: float,
     a, b = (each.select(F.col("dset_i").alias(f"d{i}"), F.col("tile").alias(f"t{i}"), F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}")) for i in (0, 1))
     met = a.join(b, F.col("d0") < F.col("d1"))
     if similarity.best is not None:
-        # the best score lies at the closest counts of the two ranges
-        x = F.least(F.greatest(F.col("low0"), F.col("low1")), F.col("high0"))
-        y = F.least(F.greatest(F.col("low1"), x), F.col("high1"))
+        # the best score lies at the closest counts of the two ranges, the highest ones if they meet (no bits: score 0)
+        top = F.least("high0", "high1")
+        x, y = F.greatest(F.col("low0"), top), F.greatest(F.col("low1"), top)
         met = met.where(similarity.best(x, y, n_bits) >= F.lit(float(threshold)))
     met = met.select("t0", "t1")
     left = placed.withColumnRenamed("tile", "t0").join(met, "t0")

@@ -42,5 +42,5 @@ def random_problem(spark: SparkSession, n: int, m: int, sparsity: float, *, seed
     def uniform(salt: int):
         return F.shiftrightunsigned(F.xxhash64("rec_i0", "rec_i1", F.lit(seed), F.lit(salt)), 11).cast("double") / F.lit(top)
 
-    grid = spark.range(n).withColumnRenamed("id", "rec_i0").select("rec_i0", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("bigint").alias("rec_i1")) if m > 0 else spark.range(0).select(F.col("id").alias("rec_i0"), F.col("id").alias("rec_i1"))
+    grid = spark.range(n).withColumnRenamed("id", "rec_i0").select("rec_i0", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))).alias("rec_i1")) if m > 0 else spark.range(0).select(F.col("id").alias("rec_i0"), F.col("id").alias("rec_i1"))
     return grid.where(uniform(1) < sparsity).select(uniform(2).alias("sim"), F.lit(0).alias("dset_i0"), F.lit(1).alias("dset_i1"), "rec_i0", "rec_i1").select(*PAIR_COLUMNS)
