@@ -2,8 +2,8 @@
 
 A paragraph (a line) is hashed to a vector: ``STRONG`` numbers modulo 2**64 from
 a 256-bit hash of the paragraph, and ``LANES`` numbers modulo 2**16, the sum of
-signed unit vectors picked by hashes of its word triples (all words, if it has
-fewer).  A text's fingerprint is the sum of its paragraphs' vectors, lane by lane,
+signed unit vectors picked by hashes of its word triples (of neighbouring bytes,
+if it has fewer than ``SHORT`` words).  A text's fingerprint is the sum of its paragraphs' vectors, lane by lane,
 so paragraphs may come in any order, and inserting or deleting one adds or
 subtracts its vector.  Equal multisets have equal fingerprints; the strong part
 makes others differ.  The signed lanes keep inner products in expectation, so
@@ -28,6 +28,8 @@ from veilmatch.llm.common import byte_rows, int64
 
 STRONG = 4
 LANES = 256
+#: Lines of fewer words are known by their bytes, not by word triples.
+SHORT = 8
 _ODD_NUMBER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -57,6 +59,15 @@ def word_hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _mix((sums[ends] - sums[starts]) * back[starts]), starts
 
 
+def _byte_grams(x: np.ndarray) -> np.ndarray:
+    """Hashes of every few neighbouring bytes of a short line (the line itself, if it is shorter)."""
+    k = min(len(x), 6 if len(x) >= 16 else 3)
+    out = np.zeros(len(x) - k + 1, np.uint64)
+    for j in range(k):
+        out = out * _ODD_NUMBER + x[j : len(x) - k + 1 + j]
+    return _mix(out + np.uint64(k))
+
+
 class Fingerprint:
     """Lanes of a multiset of paragraphs; ``+`` and ``-`` insert and delete."""
 
@@ -93,18 +104,16 @@ def fingerprint(raw: bytes) -> Fingerprint:
     strong = np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=8 * STRONG).digest() for p in lines]), "<u8").reshape(-1, STRONG).sum(0, dtype=np.uint64)
     joined = np.frombuffer(b"\n".join(lines), np.uint8)
     h, starts = word_hashes(joined)
-    of = np.searchsorted(np.flatnonzero(joined == 10), starts)  # the paragraph of each word
+    stops = np.append(np.flatnonzero(joined == 10), len(joined))
+    of = np.searchsorted(stops, starts)  # the paragraph of each word
+    size = np.bincount(of, minlength=len(lines))
     if len(h) > 2:
-        same = of[2:] == of[:-2]
-        triples = _mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7))[same]
+        same = (of[2:] == of[:-2]) & (size[of[2:]] >= SHORT)
+        features = [_mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7))[same]]
     else:
-        triples = np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.diff(of, prepend=-1))
-    size = np.diff(np.append(first, len(h)))
-    short = first[size < 3]
-    if len(short):
-        two = size[size < 3] > 1
-        triples = np.concatenate((triples, _mix(h[short] * np.uint64(11) + np.where(two, h[np.minimum(short + 1, len(h) - 1)], np.uint64(0)))))
+        features = []
+    features += [_byte_grams(np.frombuffer(lines[i], np.uint8)) for i in np.flatnonzero(size < SHORT).tolist()]
+    triples = np.concatenate(features)
     lane, sign = (triples >> np.uint64(8)) % np.uint64(LANES), (triples >> np.uint64(60)) & np.uint64(1)
     counts = np.bincount((lane * np.uint64(2) + sign).astype(np.int64), minlength=2 * LANES)
     return Fingerprint(strong, ((counts[1::2] - counts[::2]) & 0xFFFF).astype(np.uint16))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilmatch.llm.common import byte_rows
+from veilmatch.llm.common import byte_rows, smallest
 
 SAMPLE = 4000
 LONGEST = 32_768
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Compress
     chosen = None
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     for q in (0, 1):
-        part = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = smallest(known.where(F.col("quality") == q), "doc_id", sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, LONGEST))
     got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()  # bounded: 2 x sample short texts
