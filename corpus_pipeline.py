@@ -5,8 +5,9 @@ as Parquet and read again as the next stage's ``docs``.  All but the last return
 the columns they got, extra ones included.
 
 1. quality classifier: documents that score below 0.5 go.
-2. SimHash near-dedup: five-word shingles; one document of each group stays, that
-   of the smallest doc_id.
+2. SimHash near-dedup: five-word shingles, 128-bit fingerprints, links where texts
+   of a similarity of 0.8 or more lie; one document of each group stays, that of
+   the smallest doc_id.
 3. suffix-array dedup: bytes of repeated 400-byte strings are cut (in whole
    characters), ``n_chars`` follows; a document of which nothing is left goes.
 4. benchmark decontamination: documents that hold a window of an item go.

@@ -11,13 +11,14 @@ from veilmatch.llm.common import ASCII_LOWER
 from veilmatch.llm.components import components
 
 
-def slow_simhash(text, k=4):
+def slow_simhash(text, k=4, wide=False):
     w = (text or "").encode().translate(ASCII_LOWER).split()
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    f = xxhash.xxh3_128_intdigest if wide else xxhash.xxh64_intdigest
+    h = [f(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else []
+    return sum(1 << b for b in range(128 if wide else 64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def grouped(rows, fps):
+def grouped(rows, fps, most=4, shared=0):
     root = list(range(len(rows)))
 
     def find(x):
@@ -27,7 +28,8 @@ def grouped(rows, fps):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            x = fps[i] ^ fps[j]
+            if x.bit_count() <= most and (not shared or sum(x >> s & 255 == 0 for s in range(0, 128, 8)) >= shared):
                 root[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(rows):
@@ -39,7 +41,7 @@ def grouped(rows, fps):
 def test_groups_equal_brute_force(docs, rows):
     fps = [slow_simhash(t) for _, t in rows]
     want = sorted(repr((d, f, g)) for (d, _), f, g in zip(rows, fps, grouped(rows, fps)))
-    assert sorted(repr((r["doc_id"], r["fp"] % 2**64, r["component_id"])) for r in simhash.groups(docs).collect()) == want
+    assert sorted(repr((r["doc_id"], r["f0"] % 2**64, r["component_id"])) for r in simhash.groups(docs).collect()) == want
 
 
 def test_long_lists_keep_every_group(spark):
@@ -54,10 +56,10 @@ def test_long_lists_keep_every_group(spark):
             fps.add(x)
     fps = sorted(fps)
     want = grouped([(i, None) for i in range(len(fps))], fps)
-    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long")
+    df = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "f0 long")
     found = simhash.links(df).collect()
-    assert all(((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 4 for r in found)
-    root = {r["node"]: r["root"] for r in components(spark.createDataFrame(found, "a long, b long")).collect()}
+    assert all(((r["a0"] ^ r["b0"]) & (2**64 - 1)).bit_count() <= 4 for r in found)
+    root = {r["node"]: r["root"] for r in components(spark.createDataFrame([tuple(r) for r in found], "a long, b long")).collect()}
     signed = [f - 2**64 if f >> 63 else f for f in fps]
     parts = {}
     for f, w in zip(signed, want):
@@ -68,13 +70,15 @@ def test_long_lists_keep_every_group(spark):
 def test_triples_meet_every_four_positions():
     from itertools import combinations
 
-    assert all(any(set(t) <= set(q) for t in simhash.TRIPLES) for q in combinations(range(8), 4))
+    assert len(simhash.NARROW.subsets) == 20 and len(simhash.WIDE.subsets) == 56
+    for index in (simhash.NARROW, simhash.WIDE):
+        assert all(any(set(t) <= set(q) for t in index.subsets) for q in combinations(range(8 * index.longs), index.shared))
 
 
 def test_near_dedup_keeps_one_of_each_group(docs, rows):
     kept = simhash.near_dedup(docs, words=5).collect()
-    fps = [slow_simhash(t, 5) for _, t in rows]
-    want = {g for g in grouped(rows, fps) if g is not None}
+    fps = [slow_simhash(t, 5, True) for _, t in rows]
+    want = {g for g in grouped(rows, fps, 22, 3) if g is not None}
     ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
     assert sorted(ids) == sorted(want) and kept[0].__fields__ == docs.columns
 
@@ -134,3 +138,19 @@ def test_nothing_and_nulls(none, nulls):
         assert simhash.groups(df).count() == n
         assert suffixes.remove_repeats(df).count() == n
     assert {r["component_id"] for r in simhash.groups(nulls).collect()} == {1}
+
+
+def test_wide_index_finds_texts_that_are_alike(spark):
+    """Of texts with a few words changed (similarity 0.8 and more), nearly all meet their originals; other texts do not."""
+    rng = random.Random(8)
+    words = [bytes(rng.choice(b"abcdefghij") for _ in range(6)).decode() for _ in range(4000)]
+    rows = []
+    for i in range(120):
+        w = [rng.choice(words) for _ in range(300)]
+        rows.append((2 * i, " ".join(w)))
+        for k in rng.sample(range(300), 4):  # 20 of 296 shingles differ at most: similarity 0.87 and more
+            w[k] = rng.choice(words)
+        rows.append((2 * i + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(df, words=5, index=simhash.WIDE).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(120)) and sum(got[2 * i + 1] == 2 * i for i in range(120)) >= 110

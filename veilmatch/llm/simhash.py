@@ -1,13 +1,18 @@
 """SimHash near-duplicate groups through an inverted index of fingerprint bytes.
 
-Fingerprints of at most ``DISTANCE`` = 4 differing bits have at least 4 of their
-8 bytes, place by place, in common.  The index is by byte positions: among any 4
-of 8 positions there is one of the 20 triples of ``TRIPLES`` (a Turán system),
-so two such fingerprints meet in the list of at least one triple of positional
-bytes.  (Lists of single bytes would hold 1/256 of all rows each and their pairs
-would grow with the square of the input.)  In a list, the positional bytes that
-two fingerprints share are tallied; pairs with the guaranteed 4 are verified by
-their differing bits.
+A fingerprint is a row of positional bytes.  The index lists fingerprints under
+small subsets of their bytes, chosen so that two fingerprints that share the
+guaranteed number of positional bytes meet in at least one list (a Turán system).
+In a list, the positional bytes that two fingerprints share are tallied; pairs
+with the guaranteed number are verified by their differing bits.  (Lists of single
+bytes would hold 1/256 of all rows each and their pairs would grow with the square
+of the input.)
+
+* ``NARROW``: 64 bits, links of at most 4 bits.  They touch at most 4 of 8 bytes, so
+  4 are shared for certain, and any 4 of 8 positions include one of 20 triples.
+* ``WIDE``: 128 bits, links of at most 22 bits, which is where texts of a shingle
+  similarity of 0.8 lie (19 bits in the mean).  At least 3 shared bytes of 16 meet
+  in one of 56 pairs; texts that are 0.9 alike share 6 or 7 in the mean.
 
 Equal fingerprints are one entry of the index, however many documents have them.
 A long list is not turned into pairs: it is searched from one entry to all that
@@ -18,88 +23,118 @@ leaves the groups unchanged.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmatch.llm.common import ASCII_LOWER, byte_rows, int64, write_table
 from veilmatch.llm.components import components
 
 WORDS = 4
-DISTANCE = 4
-SHARED = 8 - DISTANCE
 SEED = 42
 #: Lists of up to this many entries are compared pair by pair, longer ones are searched.
 SHORT_LIST = 8
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(-1).view(np.uint64)
 
 
-def _triples() -> list[tuple[int, int, int]]:
+@dataclass(frozen=True)
+class Index:
+    """``longs`` 64-bit words a fingerprint; links of at most ``distance`` bits; lists by ``subsets`` of byte positions that meet every ``shared`` positions."""
+
+    longs: int
+    distance: int
+    shared: int
+    subsets: tuple[tuple[int, ...], ...]
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"f{i}" for i in range(self.longs)]
+
+
+def _triples() -> tuple[tuple[int, ...], ...]:
     """Triples of 8 positions such that any 4 positions include one: within a third of them, or two of one third and one of the next."""
     thirds = ((0, 1, 2), (3, 4, 5), (6, 7))
     out = [t for part in thirds for t in combinations(part, 3)]
     for i, part in enumerate(thirds):
         out += [tuple(sorted((*pair, one))) for pair in combinations(part, 2) for one in thirds[(i + 1) % 3]]
-    return sorted(out)
+    return tuple(sorted(out))
+
+
+def _pairs() -> tuple[tuple[int, ...], ...]:
+    """Pairs of 16 positions such that any 3 positions include one: both in one half."""
+    return tuple(p for half in (range(8), range(8, 16)) for p in combinations(half, 2))
+
 
+NARROW = Index(1, 4, 4, _triples())
+WIDE = Index(2, 22, 3, _pairs())
 
-TRIPLES = _triples()
 
+def simhash(raw: bytes, words: int = WORDS, longs: int = 1) -> bytes:
+    """Fingerprint (big-endian) of a text: lower case A-Z, shingles of ``words`` words with repeats; 0 without words.
 
-def simhash(raw: bytes, words: int = WORDS) -> bytes:
-    """64-bit fingerprint (big-endian) of a text: lower case A-Z, shingles of ``words`` words with repeats; 0 without words."""
+    Shingles are hashed by XXH64, or XXH3 of 128 bits for ``longs`` = 2.
+    """
     parts = raw.translate(ASCII_LOWER).split()
-    n = len(parts)
+    n, hashed = len(parts), xxhash.xxh64_digest if longs == 1 else xxhash.xxh3_128_digest
     if not n:
-        return bytes(8)
-    line, hashed = b" ".join(parts), xxhash.xxh64_digest
+        return bytes(8 * longs)
+    line = b" ".join(parts)
     if n <= words:
         return hashed(line, SEED)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     both = zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist())
-    table = _SPREAD[np.frombuffer(b"".join([hashed(line[a:b], SEED) for a, b in both]), np.uint8)].reshape(-1, 8)
+    table = _SPREAD[np.frombuffer(b"".join([hashed(line[a:b], SEED) for a, b in both]), np.uint8)].reshape(-1, 8 * longs)
     count = np.add.reduceat(table, np.arange(0, len(table), 255), axis=0).view(np.uint8).sum(0, dtype=np.int64)
     return np.packbits(2 * count > len(table)).tobytes()
 
 
-def fingerprints(df: DataFrame, *, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp BIGINT) of every row; null texts are empty.  Row-local."""
+def fingerprints(df: DataFrame, *, words: int = WORDS, index: Index = NARROW, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, f0 BIGINT, ..) of every row; null texts are empty.  Row-local."""
+    longs, columns = index.longs, index.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = b"".join([simhash(x, words) for x in byte_rows(b.column(1))])
-            yield pa.RecordBatch.from_arrays([b.column(0), int64(np.frombuffer(got, ">i8"))], [key, "fp"])
+            got = np.frombuffer(b"".join([simhash(x, words, longs) for x in byte_rows(b.column(1))]), ">i8").reshape(-1, longs)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(int64(got[:, i]) for i in range(longs))], [key, *columns])
+
+    kinds = "".join(f", {c} bigint" for c in columns)
+    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}{kinds}")
+
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp bigint")
+def _close(x: np.ndarray, index: Index) -> np.ndarray:
+    """Which rows of differing bits belong to a link: tally of shared bytes, then bits."""
+    tally = (x.view(np.uint8).reshape(len(x), 8 * index.longs) == 0).sum(1)
+    return (tally >= index.shared) & (np.bitwise_count(x).sum(1, dtype=np.int64) <= index.distance)
 
 
-def _search(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _search(x: np.ndarray, index: Index) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect a long list as all its links would."""
     out, left = [], x
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue[-1]) <= DISTANCE
             here = queue.pop()
+            near = _close(left ^ here, index)
             if near.any():
                 got = left[near]
-                out.append((np.full(len(got), here), got))
+                out.append((np.repeat(here[None], len(got), 0), got))
                 left = left[~near]
                 queue += list(got)
     return out
 
 
-def linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside whole lists, given as equal neighbouring ``keys``."""
+def linked(keys: np.ndarray, fps: np.ndarray, index: Index = NARROW) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside whole lists, given as equal neighbouring ``keys``; ``fps`` has a row of 64-bit words for each."""
     first = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, int)
     size = np.diff(np.append(first, len(keys)))
     long = size > SHORT_LIST
-    out = [p for i, n in zip(first[long].tolist(), size[long].tolist()) for p in _search(np.unique(fps[i : i + n]))]
+    out = [p for i, n in zip(first[long].tolist(), size[long].tolist()) for p in _search(np.unique(fps[i : i + n], axis=0), index)]
     short = np.repeat(~long & (size > 1), size)
     k, f = keys[short], fps[short]
     for d in range(1, SHORT_LIST):
@@ -107,53 +142,62 @@ def linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(same):
             break
         x = f[same] ^ f[same + d]
-        tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        good = (tally >= SHARED) & (np.bitwise_count(x) <= DISTANCE) & (x != 0)
+        good = _close(x, index) & x.any(1)
         out.append((f[same][good], f[same + d][good]))
-    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64),) * 2
+    a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros((0, index.longs), np.uint64),) * 2
     return a, b
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b) BIGINT: links that connect the distinct fingerprints of ``fps`` (column fp) as all links of at most 4 bits would."""
+def links(fps: DataFrame, index: Index = NARROW) -> DataFrame:
+    """(a0, .., b0, ..) BIGINT: links that connect the distinct fingerprints of ``fps`` (columns f0, ..) as all links would."""
+    n, columns = index.longs, index.columns
 
-    def byte(i: int):
-        return F.shiftrightunsigned("fp", 8 * (7 - i)).bitwiseAND(F.lit(255))
+    def byte(i: int) -> Column:
+        return F.shiftrightunsigned(columns[i // 8], 8 * (7 - i % 8)).bitwiseAND(F.lit(255))
 
-    keys = [sum((byte(i) * F.lit(256**k) for k, i in enumerate(t)), F.lit(n << 24)).cast("int") for n, t in enumerate(TRIPLES)]
-    posted = fps.select("fp", F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key")
+    keys = [sum((byte(i) * F.lit(256**k) for k, i in enumerate(t)), F.lit(m * 256 ** len(t))).cast("int") for m, t in enumerate(index.subsets)]
+    posted = fps.select(*columns, F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key")
+    names = [f"{side}{i}" for side in "ab" for i in range(n)]
+
+    def batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([int64(np.ascontiguousarray(side[:, i]).view(np.int64)) for side in (x, y) for i in range(n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, f = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        k, f = np.zeros(0, np.int32), np.zeros((0, n), np.uint64)
         for b in batches:
-            k, f = np.concatenate([k, b.column(1).to_numpy()]), np.concatenate([f, b.column(0).to_numpy().view(np.uint64)])
+            own = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(n)], axis=1)
+            k, f = np.concatenate([k, b.column(n).to_numpy()]), np.concatenate([f, own])
             cut = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last list may go on
-            x, y = linked(k[:cut], f[:cut])
+            yield batch(*linked(k[:cut], f[:cut], index))
             k, f = k[cut:], f[cut:]
-            yield pa.RecordBatch.from_arrays([int64(x.view(np.int64)), int64(y.view(np.int64))], ["a", "b"])
-        x, y = linked(k, f)
-        yield pa.RecordBatch.from_arrays([int64(x.view(np.int64)), int64(y.view(np.int64))], ["a", "b"])
+        yield batch(*linked(k, f, index))
 
-    return posted.mapInArrow(run, "a bigint, b bigint")
+    return posted.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
-def groups(df: DataFrame, *, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp, component_id) of every row; component_id is the smallest key reachable by links, itself included.
+def groups(df: DataFrame, *, words: int = WORDS, index: Index = NARROW, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, f0, .., component_id) of every row; component_id is the smallest key reachable by links, itself included.
 
     Texts without words have fingerprint 0 and are linked like others.  A row
     with a null key is in its group too; a group of null keys only has a null id.
     """
-    rows = write_table(fingerprints(df, words=words, text=text, key=key).withColumnRenamed(key, "_key"), "simhash")
-    nodes = rows.groupBy("fp").agg(F.min("_key").alias("low"))
-    root = components(links(nodes.select("fp")))
-    of = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = of.join(of.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("_key").alias(key), "fp", "component_id")
-
-
-def near_dedup(df: DataFrame, *, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    columns = index.columns
+    rows = write_table(fingerprints(df, words=words, index=index, text=text, key=key).withColumnRenamed(key, "_key"), "simhash")
+    low = rows.groupBy(*columns).agg(F.min("_key").alias("low"))
+    # a node orders by its smallest key, so a component's smallest node names the component
+    nodes = low.select(*columns, F.struct(F.col("low").isNull().alias("none"), "low", *columns).alias("node"))
+    found = links(nodes.select(*columns), index)
+    for side in "ab":
+        ends = [f"{side}{i}" for i in range(index.longs)]
+        found = found.join(nodes.select(*[F.col(c).alias(e) for c, e in zip(columns, ends)], F.col("node").alias(side)), ends).drop(*ends)
+    root = components(found.select("a", "b"))
+    named = nodes.join(root, "node", "left").select(*columns, F.coalesce("root.low", "node.low").alias("component_id"))
+    return rows.join(named, columns).select(F.col("_key").alias(key), *columns, "component_id")
+
+
+def near_dedup(df: DataFrame, *, words: int = 5, index: Index = WIDE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """All columns of one row of each group: the one of the smallest key (of repeated keys, one with the smallest text)."""
-    kept = groups(df, words=words, text=text, key=key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
+    kept = groups(df, words=words, index=index, text=text, key=key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
     rows = df.join(write_table(kept, "kept"), F.col(key).eqNullSafe(F.col("_kept"))).drop("_kept")
     body = F.col(text).cast("string")
     order = Window.partitionBy(key).orderBy(F.xxhash64(body), body)
