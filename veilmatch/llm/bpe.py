@@ -139,7 +139,7 @@ class Bpe:
         self._inner: dict[bytes, bytes] = _Table(lambda x: self._merge([self.first[b] for b in x]), CACHE_ROWS // 4)
         self._final: dict[bytes, bytes] = _Table(lambda x: self._merge([self.first[b] for b in x[:-1]] + [self.last[x[-1]]]), CACHE_ROWS // 4) if self.words else self._inner
         self.stretch: dict[str, bytes] = _Table(self._stretch)
-        self.spaced: dict[str, bytes] = _Table(lambda x: self._stretch(" " + x))
+        self.spaced: dict[str, bytes] = _Table(lambda x: self._stretch(" " + x), CACHE_ROWS // 2)
 
     # -- one piece -------------------------------------------------------
     def cuts(self, raw: bytes) -> list[bytes]:

@@ -30,6 +30,8 @@ STRONG = 4
 LANES = 256
 #: Lines of fewer words are known by their bytes, not by word triples.
 SHORT = 8
+#: Ranges of keys per task of compare_with_next(): several, so that ranges that fall to one task even out.
+RANGES = 8
 _ODD_NUMBER = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -146,7 +148,8 @@ def compare_with_next(df: DataFrame, *, text: str = "text", key: str = "doc_id")
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({float(x) for x in rows.select(F.col("_key").cast("double").alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
+    n = RANGES * parts if parts > 1 else 1
+    cuts = sorted({float(x) for x in rows.select(F.col("_key").cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
     if cuts:
         split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_k", outputCol="_b", handleInvalid="keep")
         rows = split.transform(rows.withColumn("_k", F.coalesce(F.col("_key").cast("double"), F.lit(float(cuts[0]) - 1)))).drop("_k").withColumn("_b", F.col("_b").cast("int"))
