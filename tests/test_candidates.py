@@ -96,6 +96,8 @@ def test_two_dataset_functions_and_errors(spark):
         ops.dice_coefficient(parts + parts[:1], 0.5)
     with pytest.raises(NotImplementedError):
         ops.simple_matching_coefficient(parts[:1], 0.5, None)
+    with pytest.raises(TypeError):
+        ops.find_candidate_pairs(spark.createDataFrame([(0, 0, "a"), (1, 0, "b")], "dset_i int, rec_i long, clk string"))
     with pytest.raises(ValueError):
         ops.find_candidate_pairs(spark.createDataFrame([(0, 0, b"a"), (1, 0, b"ab")], "dset_i int, rec_i long, clk binary"))
 
@@ -135,3 +137,21 @@ def test_chunks_cover_each_comparison_once(spark, aim):
     assert len(seen) == len(set(seen)) == sum(sizes[i] * sizes[j] for i in range(4) for j in range(i + 1, 4))
     got = {tuple(r) for r in ops.chunks_table(spark, aim, spark.createDataFrame(list(enumerate(sizes)), "dset_i int, n long")).collect()}
     assert got == {(p["datasetIndex"], *p["range"], q["datasetIndex"], *q["range"]) for p, q in ops.split_to_chunks(aim, dataset_sizes=sizes)}
+
+
+@pytest.mark.parametrize("n_bytes", [1, 7, 8, 9, 15, 17, 25])
+def test_lengths_and_empty_filters(spark, n_bytes):
+    pattern = [b"\x4b" * n_bytes, bytes(n_bytes), b"\xff" * n_bytes]
+    data = [pattern, pattern[::-1]]
+    for threshold in (0.0, 0.5, 1.0):
+        want = spec.candidates(data, spec.dice, threshold)
+        assert rows(ops.find_candidate_pairs(table(spark, data), "dice", threshold)) == want
+        assert rows(ops.find_candidate_pairs(table(spark, data), "dice", threshold, blocking=custom_blocking(F.array(F.lit(1))))) == want
+    assert rows(ops.find_candidate_pairs(table(spark, data), "dice", 1.5)) == []
+
+
+def test_large_products_use_many_tiles(spark):
+    rng = random.Random(12)
+    data = [[rng.randbytes(8) for _ in range(700)] for _ in range(2)]
+    got = rows(ops.find_candidate_pairs(table(spark, data), "dice", 0.62, 3))
+    assert got == spec.candidates(data, spec.dice, 0.62, 3)

@@ -100,3 +100,42 @@ def test_components(spark):
 def test_pairs_from_groups_rejects_other_groups(spark):
     with pytest.raises(Exception, match="two-party"):
         ops.pairs_from_groups(ops.greedy_solve(pairs(spark, ".9 0.0-0.1"))).collect()
+
+
+def slow_groups(pairs, merge_threshold, deduplicated):
+    """Groups as sets; two merge once enough of their cross pairs were seen and, if asked for, no dataset occurs twice."""
+    group, seen = {}, set()
+    for x, y in pairs:
+        a, b = group.setdefault(x, frozenset([x])), group.setdefault(y, frozenset([y]))
+        if a == b:
+            continue
+        seen.add(frozenset([x, y]))
+        count = sum(frozenset([p, q]) in seen for p in a for q in b)
+        clash = deduplicated and {p[0] for p in a} & {q[0] for q in b}
+        if not clash and count >= merge_threshold * len(a) * len(b):
+            for p in a | b:
+                group[p] = a | b
+    return {g for g in group.values() if len(g) > 1}
+
+
+@pytest.mark.parametrize("merge_threshold", [0.0, 0.3, 0.5, 0.75, 1.0])
+@pytest.mark.parametrize("deduplicated", [True, False])
+def test_fold_equals_brute_force(merge_threshold, deduplicated):
+    rng = random.Random(int(merge_threshold * 100) + deduplicated)
+    for _ in range(150):
+        nodes = [(d, r) for d in range(rng.randrange(2, 5)) for r in range(rng.randrange(1, 4))]
+        every = [(x, y) for i, x in enumerate(nodes) for y in nodes[:i]]
+        given = rng.sample(every, rng.randrange(len(every) + 1))
+        got = {frozenset(g) for g in solving.fold(given, merge_threshold, deduplicated)}
+        assert got == slow_groups(given, merge_threshold, deduplicated)
+
+
+def test_order_of_rows_and_partitions_does_not_matter(spark):
+    given = two_party(9)
+    want = None
+    for parts in (1, 3, 7):
+        rows = list(given)
+        random.Random(parts).shuffle(rows)
+        got = groups(ops.greedy_solve(spark.createDataFrame(rows, PAIRS).repartition(parts)))
+        want = got if want is None else want
+        assert got == want

@@ -22,6 +22,8 @@ from veilmatch.session import share_code
 
 def _n_bytes(records: DataFrame) -> int | None:
     """The one length of all bit strings; None if there are none."""
+    if not isinstance(records.schema["clk"].dataType, T.BinaryType):
+        raise TypeError(f"bit strings must be BINARY, not {records.schema['clk'].dataType.simpleString()}")
     low, high, missing = records.agg(F.min(F.octet_length("clk")), F.max(F.octet_length("clk")), F.count_if(F.col("clk").isNull())).first()
     if missing:
         raise TypeError("a record has no bit string")
