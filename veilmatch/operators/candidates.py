@@ -17,7 +17,7 @@ from veilmatch.functions.blocking import Blocking, Record
 from veilmatch.operators.similarity import DICE, SMC, Side, Similarity, named
 from veilmatch.plans.product import product_pairs
 from veilmatch.schema import PAIR_COLUMNS, PAIRS, collection, empty_pairs, ordered
-from veilmatch.session import share_code
+from veilmatch.session import share_code, write_table
 
 
 def _n_bytes(records: DataFrame) -> int | None:
@@ -124,6 +124,7 @@ def find_candidate_pairs(
     sim = named(similarity)
     if k is not None and k < 0:
         raise ValueError(f"k must not be negative, but is {k}")
+    records = write_table(records, "records")  # checks, histogram and both sides of the join read it
     n_bytes = _n_bytes(records)
     if n_bytes is None or k == 0:
         return empty_pairs(spark)
@@ -204,6 +205,7 @@ def hamming_similarity(datasets: Sequence[DataFrame], threshold: float, k: int |
 
 def _one_block(records: DataFrame, sim: Similarity, threshold: float, k: int | None) -> DataFrame:
     share_code(records.sparkSession)
+    records = write_table(records, "records")
     n_bytes = _n_bytes(records)
     if n_bytes is None or k == 0:
         return empty_pairs(records.sparkSession).select("sim", "rec_i0", "rec_i1")
