@@ -66,7 +66,7 @@ def test_cuts_are_never_merged_over():
 
 def test_full_tables_change_nothing(library, monkeypatch):
     b = bpe.Bpe(BYTES)
-    b.spaced.most = b.stretch.most = b._inner.most = 3
+    b.spaced.most = b.stretch.most = b._inner.most = b._whole.most = 3
     text = "one two three four five six one two three seven eight nine one four"
     assert np.frombuffer(b.encode(text), "<u4").tolist() == library[BYTES].encode(text, add_special_tokens=False).ids
 

@@ -136,8 +136,9 @@ class Bpe:
         self.inside = inside
         self._inside_flat = inside.tobytes()
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
-        self._inner: dict[bytes, bytes] = _Table(lambda x: self._merge([self.first[b] for b in x]), CACHE_ROWS // 4)
-        self._final: dict[bytes, bytes] = _Table(lambda x: self._merge([self.first[b] for b in x[:-1]] + [self.last[x[-1]]]), CACHE_ROWS // 4) if self.words else self._inner
+        self._inner: dict[bytes, bytes] = _Table(self._first_ids, CACHE_ROWS // 8)
+        self._final: dict[bytes, bytes] = _Table(self._last_ids, CACHE_ROWS // 8) if self.words else self._inner
+        self._whole: dict[bytes, bytes] = _Table(self._cut_piece, CACHE_ROWS // 2 if self.words else CACHE_ROWS // 4)
         self.stretch: dict[str, bytes] = _Table(self._stretch)
         self.spaced: dict[str, bytes] = _Table(lambda x: self._stretch(" " + x), CACHE_ROWS // 2)
 
@@ -157,11 +158,26 @@ class Bpe:
 
     def piece(self, raw: bytes) -> bytes:
         """Ids (little-endian uint32) of one pre-tokenized piece."""
+        return self._whole[raw] if raw else b""
+
+    def _cut_piece(self, raw: bytes) -> bytes:
         parts = self.cuts(raw)
-        if not parts:
-            return b""
+        if len(parts) == 1:
+            return self._last_ids(raw)
         return b"".join([self._inner[p] for p in parts[:-1]]) + self._final[parts[-1]]
 
+    def _first_ids(self, raw: bytes) -> bytes:
+        """Ids of a fragment that another one follows."""
+        first = self.first
+        return self._merge([first[b] for b in raw])
+
+    def _last_ids(self, raw: bytes) -> bytes:
+        """Ids of the fragment that ends a piece."""
+        first = self.first
+        ids = [first[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        return self._merge(ids)
+
     def _merge(self, ids: list[int]) -> bytes:
         if len(ids) > HEAP_FROM:
             return array("I", self._merge_long(ids)).tobytes()
@@ -199,6 +215,8 @@ class Bpe:
     # -- texts -----------------------------------------------------------
     def pieces(self, text: str) -> list[bytes]:
         """What the tokenizer's pre-tokenizer makes of a (normalised) stretch, in bytes."""
+        if self.words and text.isalpha() and _ODD.search(text) is None:
+            return [text.encode()]
         if _ODD.search(text) is None:
             return [p.encode() for p in self.pattern.findall(text)]
         letters = {c: b for b, c in enumerate(byte_letters())}
@@ -221,10 +239,11 @@ class Bpe:
     def plain_parts(self, text: str) -> list[bytes]:
         """Encoded stretches, in order, of a text without special tokens."""
         if self.words:
-            return [self.stretch[w] for w in self.split(self.normal(text))]
+            words = self.split(self.normal(text)) if _odd(text) else text.lower().split()
+            return list(map(self.stretch.__getitem__, words))
         chunks = text.split(" ") if _GAPS.search(text) is None else _SAFE_SPACE.split(text)
         table = self.spaced
-        return [self.stretch[chunks[0]], *[table[c] for c in chunks[1:]]] if text else []
+        return [self.stretch[chunks[0]], *map(table.__getitem__, chunks[1:])] if text else []
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
