@@ -8,8 +8,8 @@ the columns they got, extra ones included.
 2. SimHash near-dedup: five-word shingles, 128-bit fingerprints, links where texts
    of a similarity of 0.8 or more lie; one document of each group stays, that of
    the smallest doc_id.
-3. suffix-array dedup: bytes of repeated 400-byte strings are cut (in whole
-   characters), ``n_chars`` follows; a document of which nothing is left goes.
+3. suffix-array dedup: repeated strings of 51 words, and of 400 bytes (in whole
+   characters), are cut, ``n_chars`` follows; a document of which nothing is left goes.
 4. benchmark decontamination: documents that hold a window of an item go.
 5. BPE encoding and decoding: token counts and digests of ids and decoded texts.
 """
@@ -50,7 +50,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share_code(spark)
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     rows = docs.select("text", F.struct(*others, F.col("text").isNull().alias("_null")).alias("_row"))
-    cut = suffixes.remove_repeats(rows, length=400, keep=("_row",), whole_characters=True).where("n_removed = 0 or octet_length(kept) > 0")
+    cut = suffixes.remove_repeats(rows, length=400, keep=("_row",), whole_characters=True, words=51).where("n_removed = 0 or octet_length(kept) > 0")
     text = F.when(~F.col("_row._null"), F.col("kept").cast("string"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
     return cut.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -154,3 +154,34 @@ def test_wide_index_finds_texts_that_are_alike(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.groups(df, words=5, index=simhash.WIDE).collect()}
     assert all(got[2 * i] == 2 * i for i in range(120)) and sum(got[2 * i + 1] == 2 * i for i in range(120)) >= 110
+
+
+def test_repeats_of_few_bytes_and_many_words(spark):
+    """Runs of 51 words go, whatever their bytes and the white space inside; runs of 50 words stay."""
+    rng = random.Random(11)
+
+    def some(n, size=3):
+        return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(size)) for _ in range(n)]
+
+    run, short, long = some(51), some(50), some(1, 500)
+    texts = [
+        some(40) + run + some(30),
+        run + some(5) + short,
+        short + some(60) + run + long,
+        long + some(3),
+        some(200),
+        ["a"] * 52,
+        ["b"] * 51,
+        run,
+        [],
+    ]
+    rows = [(i, " ".join(t) if i % 2 else " \n".join(t)) for i, t in enumerate(texts)]
+    rows.append((9, rows[4][1]))
+    texts.append(texts[4])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["kept"] for r in suffixes.remove_repeats(df, length=400, whole_characters=True, words=51).collect()}
+    seen = Counter(tuple(t[i : i + 51]) for t in texts for i in range(len(t) - 50))
+    for i, t in enumerate(texts):
+        gone = {k for j in range(len(t) - 50) if seen[tuple(t[j : j + 51])] > 1 for k in range(j, j + 51)}
+        want = [w for k, w in enumerate(t) if k not in gone and w != long[0]]
+        assert got[i].decode().split() == want

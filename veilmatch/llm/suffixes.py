@@ -19,6 +19,10 @@ inside texts.
 3. Removal.  Repeated starts go back to all places of a fragment, become spans,
    and the spans are cut from the texts.
 
+Repeats can be counted in words as well: each word becomes a code of ``CODE`` bytes
+and the same steps find repeated strings of that many codes, whatever white space
+lies between the words.
+
 Texts shorter than ``LENGTH`` bytes and null texts lose nothing.  Rows with equal
 ids, or none, are documents of their own.
 """
@@ -26,10 +30,12 @@ ids, or none, are documents of their own.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +46,13 @@ from veilmatch.llm.common import byte_rows, drop_table, flat_bytes, int64, spans
 LENGTH = 400
 GRAM = 32
 SHARD = 2_000_000
+#: Bytes of a word's code.
+CODE = 8
 #: Bytes hashed at a time, and starts of one lane of Kasai's scan.
 SPAN, LANE = 1 << 20, 512
 _LISTS = ("hashes", "digests", "starts", "counts", "twice")
 _BASE = 0x9E3779B97F4A7C15
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _power(k: int) -> np.uint64:
@@ -248,8 +257,21 @@ def _key(col) -> F.Column:
     return F.unhex(F.md5(col.cast("binary")))
 
 
-def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """(tkey, copies, n, begins, ends): per distinct text (tkey: its md5) how many rows have it, its bytes, and the spans to remove (unmerged)."""
+def _worded(text: F.Column) -> F.Column:
+    """The words of a text with one space between them."""
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+
+
+def word_codes(raw: bytes) -> bytes:
+    """The codes of the words of a text, end to end."""
+    return b"".join(map(xxhash.xxh3_64_digest, raw.split()))
+
+
+def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", code: Callable[[bytes], bytes] | None = None) -> DataFrame:
+    """(tkey, copies, begins, ends): per distinct text (tkey: its md5) with repeats how many rows have it, and the spans to remove (unmerged).
+
+    With ``code`` the bytes that it makes of a text are judged, and spans are places in them.
+    """
     texts = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +284,10 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text") -
                 x = np.frombuffer(mv, np.uint8)
                 rel = (o - o[0]).tolist()
                 keys = [hashlib.md5(mv[p:q]).digest() for p, q in zip(rel, rel[1:])]
+                if code is not None:
+                    coded = [code(bytes(mv[p:q])) for p, q in zip(rel, rel[1:])]
+                    mv = memoryview(b"".join(coded))
+                    x, o = np.frombuffer(mv, np.uint8), np.concatenate(([0], np.cumsum([len(c) for c in coded])))
                 first = np.zeros(hi - lo, bool)
                 for i, k in enumerate(keys):
                     if k not in seen:
@@ -298,7 +324,8 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text") -
     shared = kinds.groupBy("hash").agg(F.count("*").alias("k"), F.max(F.col("at.twice") & (F.col("times") == 1)).alias("inside"))
     shared = shared.where("k > 1 or inside").select("hash")
     wanted = kinds.join(shared, "hash").select(F.col("at.tkey").alias("tkey"), F.struct("hash", "digest", "times", F.col("at.start").alias("start"), F.col("at.windows").alias("windows")).alias("f"))
-    cuts = texts.where(F.octet_length("text") >= length).select("text", _key(F.col("text")).alias("tkey")).join(wanted.groupBy("tkey").agg(F.collect_list("f").alias("f")).hint("shuffle_hash"), "tkey")
+    long_enough = texts.where(F.octet_length("text") >= length) if code is None else texts
+    cuts = long_enough.select("text", _key(F.col("text")).alias("tkey")).join(wanted.groupBy("tkey").agg(F.collect_list("f").alias("f")).hint("shuffle_hash"), "tkey")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # rows of one text come to one task
@@ -311,6 +338,7 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text") -
                         if len(seen) > 200_000:
                             seen.clear()
                         seen.add(k)
+                        raw = raw if code is None else code(raw)
                         out += [(f["hash"], f["digest"], f["times"], f["windows"], raw[f["start"] : f["start"] + f["windows"] + length - 1]) for f in fs]
                 cols = list(zip(*out)) if out else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["hash", "digest", "times", "windows", "bytes"])
@@ -389,15 +417,34 @@ def merge_spans(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(b[new].tolist(), e[np.append(new[1:] - 1, len(b) - 1)].tolist())) if len(b) else []
 
 
-def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False) -> DataFrame:
+def word_spans(raw: bytes, begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Spans of a text for spans of its words' codes: from the first whole word to the end of the last."""
+    at, out = [m.span() for m in _WORD.finditer(raw)], []
+    for p, q in merge_spans(np.array(begins), np.array(ends)):
+        first, last = -(-p // CODE), q // CODE
+        if first < last:
+            out.append((at[first][0], at[last - 1][1]))
+    return out
+
+
+def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False, words: int | None = None) -> DataFrame:
     """``keep`` columns, n_bytes, n_removed, n_spans, kept BINARY of every row.
 
+    With ``words``, repeats of that many words go too, however few bytes they have.
     With ``whole_characters`` a span is shortened where it begins or ends inside a
     UTF-8 character, so what is kept is text.
     """
     marks = repeated_spans(df, length=length, text=text)
     rows = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("tkey", _key(F.col("_text")))
-    joined = rows.join(marks, "tkey", "left").select("_text", "begins", "ends", *keep)
+    if words is None:
+        marks = marks.select("tkey", "begins", "ends", F.lit(None).cast("array<int>").alias("word_begins"), F.lit(None).cast("array<int>").alias("word_ends"))
+    else:
+        body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        coded = repeated_spans(df.select(_worded(body).alias("text")), length=CODE * words, code=word_codes)
+        keys = df.select(_key(body).alias("tkey"), _key(_worded(body)).alias("wkey")).distinct()
+        coded = keys.join(coded.select(F.col("tkey").alias("wkey"), F.col("begins").alias("word_begins"), F.col("ends").alias("word_ends")), "wkey").drop("wkey")
+        marks = marks.select("tkey", "begins", "ends").join(coded, "tkey", "full")
+    joined = rows.join(marks, "tkey", "left").select("_text", "begins", "ends", "word_begins", "word_ends", *keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*keep, "n_bytes", "n_removed", "n_spans", "kept"]
@@ -406,9 +453,13 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", k
                 b = batch.slice(i, 1000)
                 raws = byte_rows(b.column(0))
                 removed, spans_, kept = [0] * len(b), [0] * len(b), list(raws)
-                for j in np.flatnonzero(b.column(1).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                marked = pc.or_(b.column(1).is_valid(), b.column(3).is_valid())
+                for j in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
                     raw, out, at, gone = raws[j], [], 0, 0
-                    merged = merge_spans(np.array(b.column(1)[j].as_py()), np.array(b.column(2)[j].as_py()))
+                    found = list(zip(b.column(1)[j].as_py() or [], b.column(2)[j].as_py() or []))
+                    if b.column(3)[j].is_valid:
+                        found += word_spans(raw, b.column(3)[j].as_py(), b.column(4)[j].as_py())
+                    merged = merge_spans(np.array([p for p, _ in found], np.int64), np.array([q for _, q in found], np.int64))
                     for p, q in merged:
                         if whole_characters:
                             while p < q and p < len(raw) and raw[p] & 0xC0 == 0x80:
@@ -419,7 +470,7 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", k
                         gone += q - p
                         at = q
                     removed[j], spans_[j], kept[j] = gone, len(merged), b"".join([*out, raw[at:]])
-                yield pa.RecordBatch.from_arrays([*b.columns[3:], int64([len(x) for x in raws]), int64(removed), int64(spans_), pa.array(kept, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*b.columns[5:], int64([len(x) for x in raws]), int64(removed), int64(spans_), pa.array(kept, pa.binary())], names)
 
     schema = T.StructType([df.schema[c] for c in keep])
     for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())):
