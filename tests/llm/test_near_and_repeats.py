@@ -185,3 +185,42 @@ def test_repeats_of_few_bytes_and_many_words(spark):
         gone = {k for j in range(len(t) - 50) if seen[tuple(t[j : j + 51])] > 1 for k in range(j, j + 51)}
         want = [w for k, w in enumerate(t) if k not in gone and w != long[0]]
         assert got[i].decode().split() == want
+
+
+def test_whole_index_finds_every_link(spark):
+    """Links of up to 22 bits meet wherever the bits are, also where hardly a byte is shared; 23 bits are no link."""
+    rng = random.Random(12)
+    fps, pairs = [], []
+    for i in range(400):
+        x = rng.getrandbits(128)
+        n = 23 if i % 4 == 3 else rng.randrange(17, 23)
+        spread = [8 * b + rng.randrange(8) for b in range(16)]
+        bits = rng.sample(range(128), n) if i % 2 else rng.sample(spread, 16) + rng.sample(sorted(set(range(128)) - set(spread)), n - 16)
+        y = x ^ sum(1 << b for b in bits)
+        pairs.append((x, y, n))
+        fps += [x, y]
+    fps += [pairs[0][0] & ~0xFFFF | v for v in range(64)]  # long lists
+
+    def signed(x):
+        return [v - 2**64 if v >> 63 else v for v in (x >> 64, x & (2**64 - 1))]
+
+    df = spark.createDataFrame([tuple(signed(f)) for f in set(fps)], "f0 long, f1 long")
+    found = {frozenset(((r["a0"], r["a1"]), (r["b0"], r["b1"]))) for r in simhash.links(df, simhash.WHOLE).collect()}
+    assert all((frozenset((tuple(signed(x)), tuple(signed(y)))) in found) == (n <= 22) for x, y, n in pairs[1:])
+    distinct = sorted(set(fps))
+    names = {tuple(signed(f)): f for f in distinct}
+    root = {f: f for f in distinct}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in map(tuple, found):
+        assert (names[a] ^ names[b]).bit_count() <= 22
+        root[top(names[a])] = top(names[b])
+    want = grouped([(i, None) for i in range(len(distinct))], distinct, 22)
+    parts = {}
+    for f, w in zip(distinct, want):
+        parts.setdefault(top(f), set()).add(w)
+    assert all(len(p) == 1 for p in parts.values()) and len(parts) == len(set(want))

@@ -12,7 +12,13 @@ of the input.)
   4 are shared for certain, and any 4 of 8 positions include one of 20 triples.
 * ``WIDE``: 128 bits, links of at most 22 bits, which is where texts of a shingle
   similarity of 0.8 lie (19 bits in the mean).  At least 3 shared bytes of 16 meet
-  in one of 56 pairs; texts that are 0.9 alike share 6 or 7 in the mean.
+  in one of 56 pairs; texts that are 0.9 alike share 6 or 7 in the mean.  22 bits may
+  touch more than 13 bytes, so some links of 17 bits and more are not found.
+* ``WHOLE``: the links of ``WIDE`` without loss, for the pipeline.  22 bits over 8
+  positions of 16 bits leave one with at most 2 differing bits.  A fingerprint is
+  listed under each position's value and its 16 neighbours of one bit, and values
+  two bits apart have a neighbour in common, so each link meets in a list.  (No
+  number of equal bytes is certain at 22 bits, so none is asked for.)
 
 Equal fingerprints are one entry of the index, however many documents have them.
 A long list is not turned into pairs: it is searched from one entry to all that
@@ -44,12 +50,16 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape
 
 @dataclass(frozen=True)
 class Index:
-    """``longs`` 64-bit words a fingerprint; links of at most ``distance`` bits; lists by ``subsets`` of byte positions that meet every ``shared`` positions."""
+    """``longs`` 64-bit words a fingerprint; links of at most ``distance`` bits; lists by ``subsets`` of byte positions that meet every ``shared`` positions.
+
+    With ``near``, a list also holds fingerprints whose bytes of the subset differ in one bit from its own.
+    """
 
     longs: int
     distance: int
     shared: int
     subsets: tuple[tuple[int, ...], ...]
+    near: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -72,6 +82,7 @@ def _pairs() -> tuple[tuple[int, ...], ...]:
 
 NARROW = Index(1, 4, 4, _triples())
 WIDE = Index(2, 22, 3, _pairs())
+WHOLE = Index(2, 22, 0, tuple((i, i + 1) for i in range(0, 16, 2)), near=True)
 
 
 def simhash(raw: bytes, words: int = WORDS, longs: int = 1) -> bytes:
@@ -113,9 +124,18 @@ def _close(x: np.ndarray, index: Index) -> np.ndarray:
     return (tally >= index.shared) & (np.bitwise_count(x).sum(1, dtype=np.int64) <= index.distance)
 
 
+def _linked_only(x: np.ndarray, index: Index) -> np.ndarray:
+    """Rows of a long list that have a link in it; lists of neighbouring values hold few of them."""
+    step = max(1, 65536 // len(x))
+    if step < 16:  # one at a time is as fast
+        return x
+    rows = [np.bitwise_count(x[i : i + step, None, 0] ^ x[None, :, 0]) + np.bitwise_count(x[i : i + step, None, 1] ^ x[None, :, 1]) for i in range(0, len(x), step)]
+    return x[np.concatenate([(r <= index.distance).sum(1) for r in rows]) > 1]
+
+
 def _search(x: np.ndarray, index: Index) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect a long list as all its links would."""
-    out, left = [], x
+    out, left = [], _linked_only(x, index) if index.near else x
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -156,7 +176,10 @@ def links(fps: DataFrame, index: Index = NARROW) -> DataFrame:
         return F.shiftrightunsigned(columns[i // 8], 8 * (7 - i % 8)).bitwiseAND(F.lit(255))
 
     keys = [sum((byte(i) * F.lit(256**k) for k, i in enumerate(t)), F.lit(m * 256 ** len(t))).cast("int") for m, t in enumerate(index.subsets)]
-    posted = fps.select(*columns, F.explode(F.array(*keys)).alias("key")).repartition("key").sortWithinPartitions("key")
+    lists = F.array(*keys)
+    if index.near:  # the value, and its neighbours of one bit
+        lists = F.flatten(F.transform(lists, lambda key: F.array(key, *[key.bitwiseXOR(F.lit(1 << i)) for i in range(8 * len(index.subsets[0]))])))
+    posted = fps.select(*columns, F.explode(lists).alias("key")).repartition("key").sortWithinPartitions("key")
     names = [f"{side}{i}" for side in "ab" for i in range(n)]
 
     def batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
