@@ -7,7 +7,7 @@ the columns they got, extra ones included.
 1. quality classifier: documents that score below 0.5 go.
 2. SimHash near-dedup: five-word shingles, 128-bit fingerprints, links of at most
    22 differing bits without exception, which estimates a similarity of 0.8; one
-   document of each group stays, that of the smallest doc_id.
+   document of each group stays, that of the smallest doc_id (null last).
 3. suffix-array dedup: repeated strings of 51 words, and of 400 bytes (in whole
    characters), are cut, ``n_chars`` follows; a document of which nothing is left goes.
 4. benchmark decontamination: documents that hold a window of an item go.
@@ -43,7 +43,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share_code(spark)
-    return simhash.near_dedup(docs, words=5, index=simhash.WHOLE)
+    return simhash.one_of_each_group(docs, words=5)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

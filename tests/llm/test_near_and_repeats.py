@@ -224,3 +224,14 @@ def test_whole_index_finds_every_link(spark):
     for f, w in zip(distinct, want):
         parts.setdefault(top(f), set()).add(w)
     assert all(len(p) == 1 for p in parts.values()) and len(parts) == len(set(want))
+
+
+def test_one_row_of_every_group_with_repeated_and_null_keys(spark):
+    rng = random.Random(13)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    rows = [(2, a), (5, a), (5, b), (7, c), (7, d), (None, d), (None, e), (None, c + " x"), (None, e), (9, b), (9, b)]
+    rows += [(None, "p " * 9), (11, None), (None, ""), (12, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    got = simhash.one_of_each_group(df).collect()
+    assert sorted(repr((r["doc_id"], r["text"])) for r in got) == sorted(map(repr, [(2, a), (5, b), (7, c), (7, d), (None, e), (None, "p " * 9), (11, None)]))
+    assert got[0].__fields__ == df.columns

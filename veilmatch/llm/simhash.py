@@ -225,3 +225,19 @@ def near_dedup(df: DataFrame, *, words: int = 5, index: Index = WIDE, text: str
     body = F.col(text).cast("string")
     order = Window.partitionBy(key).orderBy(F.xxhash64(body), body)
     return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+
+
+def one_of_each_group(df: DataFrame, *, words: int = 5, index: Index = WHOLE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """All columns of one row of each group: the smallest key (null last), of equal keys the one of the smallest text digest.
+
+    Unlike near_dedup(), which keeps one row of each key, rows of different groups
+    never meet, also where keys are repeated or null.
+    """
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.md5(body.cast("binary")).alias("digest"))
+    named = df.select(name.alias("row"), body.alias("text"))
+    low = groups(named, words=words, index=index, key="row").where(F.col("row").eqNullSafe(F.col("component_id"))).select("row").distinct()
+    kept = write_table(low.select(F.col("row.id").alias("_kept"), F.col("row.digest").alias("_digest")), "kept")
+    rows = df.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (F.md5(body.cast("binary")) == F.col("_digest")))
+    order = Window.partitionBy("_kept", "_digest").orderBy(F.col(text).isNull())
+    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_kept", "_digest")
