@@ -69,6 +69,14 @@ def test_hits_equal_brute_force(docs, rows, spark):
     assert decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_ids_are_found(spark):
+    docs = spark.createDataFrame([(1, "say red fox jumps"), (2, "near river bank, red fox jumps"), (3, "lazy dogs")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "red fox jumps"), (None, "say red fox"), (4, "near river")], "item_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontamination.decontaminate(docs, bench).collect()}
+    assert got == {1: (4, 4, [None], True), 2: (6, 5, ["4", None], True), 3: (2, 0, [], False)}
+    assert [r["doc_id"] for r in decontamination.clean(docs, bench).collect()] == [3]
+
+
 # -------------------------------------------------------------- quality
 def labelled(spark, n=400):
     rng = random.Random(4)

@@ -12,7 +12,8 @@ consecutive words of a benchmark item; an item of fewer words is one window.
    document, now with exact words; the words inside occurrences are hit.
 
 Null texts have no words; documents and items without words match nothing.
-Repeated rows get the same result each; ids may be null.
+Repeated rows get the same result each; ids may be null.  All found items without
+an id are one null, the last of a document's items.
 """
 
 from __future__ import annotations
@@ -76,6 +77,7 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: st
     """
     d = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     b = items.select(F.col(item).cast("string").alias("_item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    b = b.withColumn("_ik", F.xxhash64("_item", "_text"))  # never null; items of one key are all looked up
     b = b.withColumn("_w", exact_words(F.col("_text"))).where(F.size("_w") > 0)
     b = b.withColumn("_len", F.least(F.size("_w"), F.lit(window)))
     sizes = [r[0] for r in b.groupBy("_len").agg(F.count("*")).orderBy("_len").collect()]  # at most `window` numbers
@@ -83,14 +85,14 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: st
         return d.where("false").select(F.col("_key").alias(key), "_th", F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
     pairs = []
     for n in sizes:
-        own = fingerprints(b.where(F.col("_len") == n), n, text="_text", keep=["_item"]).groupBy("fp").agg(F.collect_set("_item").alias("_items"))
-        pairs.append(fingerprints(d, n, text="_text", keep=["_key", "_th"]).join(_bounded(own, own.count()), "fp").select("_key", "_th", F.explode("_items").alias("_item")))
+        own = fingerprints(b.where(F.col("_len") == n), n, text="_text", keep=["_ik"]).groupBy("fp").agg(F.collect_set("_ik").alias("_items"))
+        pairs.append(fingerprints(d, n, text="_text", keep=["_key", "_th"]).join(_bounded(own, own.count()), "fp").select("_key", "_th", F.explode("_items").alias("_ik")))
     pairs_all = reduce(DataFrame.unionByName, pairs).distinct()
 
     at = F.sequence(F.lit(0), F.size("_w") - F.col("_len"))
     strings = F.transform(at, lambda i: F.array_join(F.slice(F.col("_w"), i + 1, F.col("_len")), " "))
-    windows = b.select("_item", "_len", F.array_distinct(strings).alias("_windows"))
-    found = pairs_all.join(_bounded(windows, windows.count()), "_item")
+    windows = b.select("_ik", "_item", "_len", F.array_distinct(strings).alias("_windows"))
+    found = pairs_all.join(_bounded(windows, windows.count()), "_ik")
     wanted = found.groupBy("_key", "_th").agg(F.collect_list(F.struct("_item", "_len", "_windows")).alias("_f"))
     both = d.join(wanted.select(F.col("_key").alias("_k"), F.col("_th").alias("_t"), "_f").hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_t")))
     rows = both.select("_key", "_th", "_text", F.explode("_f").alias("_i"))
@@ -106,7 +108,10 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: st
     hit = rows.select("_key", "_th", F.col("_i._item").alias("_item"), F.array_distinct(inside).alias("_hit"))
     every = hit.groupBy("_key", "_th").agg(
         F.array_distinct(F.flatten(F.collect_list("_hit"))).alias("hit"),
-        F.sort_array(F.collect_set(F.when(F.size("_hit") > 0, F.col("_item")))).alias("items"),
+        F.concat(
+            F.sort_array(F.collect_set(F.when(F.size("_hit") > 0, F.col("_item")))),
+            F.when(F.bool_or((F.size("_hit") > 0) & F.col("_item").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")),
+        ).alias("items"),
     )
     return every.where(F.size("hit") > 0).withColumnRenamed("_key", key)
 
