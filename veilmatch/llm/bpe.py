@@ -1,21 +1,12 @@
-"""Byte-pair encoding with vocabulary files of public tokenizers: encode, decode, count.
+"""Byte-pair encoding with vocabulary files of public tokenizers: encode and decode.
 
 Encoding by forced boundaries.  A text is first cut where the tokenizer's own
 pre-tokenizer cuts it.  Inside such a piece, a pair of neighbouring bytes that
 stands inside no vocabulary token can never be merged over, so the piece is cut
 there too; the fragments are encoded on their own and their ids concatenated.
 Fragments and whole space-delimited stretches repeat a lot, so their ids are
-kept in tables of bounded size (``CACHE_ROWS``); what is not kept is encoded
-anew, with the same result.
-
-Counting by a transducer (``CountingTransducer``).  The states are the prefixes
-of words, the transition at the end of a word carries the number of tokens that
-the word emits.  It is deterministic and compiled as far as texts ask for it;
-runs of letters between two white spaces are one compressed transition.  A long
-text is cut into chunks; each chunk becomes a state map (what it adds to a word
-that began before it, the tokens emitted inside, the word that is open at its
-end), and the maps are composed pairwise, level by level, as in a parallel
-prefix scan.
+kept in tables that together take at most ``CACHE_MB`` of a worker; a full table
+is emptied, and what is not kept is encoded anew, with the same result.
 
 Null texts are empty; empty texts have no ids.  Texts of any length are
 processed whole.
@@ -39,15 +30,12 @@ from pyspark.sql import functions as F
 
 from veilmatch.llm.common import byte_rows, int64
 
-#: Most entries that a worker keeps of each table of encoded stretches.
-CACHE_ROWS = 1_200_000
+#: Megabytes of all tables of encoded stretches of a worker, and what an entry takes besides its bytes.
+CACHE_MB, ENTRY_BYTES = 192, 200
 #: Longer stretches are encoded without being kept.
 CACHE_CHARS = 48
 #: Fragments longer than this are merged with a heap, shorter ones by scanning.
 HEAP_FROM = 48
-#: Code points of a chunk of the prefix scan.
-SCAN_CHARS = 1 << 16
-
 # The published pre-tokenizer patterns of the two vocabulary files.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -62,7 +50,7 @@ _SHIFT = 20
 _NEVER = 1 << 62
 
 
-def _odd(text: str) -> bool:
+def is_odd(text: str) -> bool:
     """Whether a text holds anything for which Python's and the library's character tables might differ."""
     try:
         return bool(text.encode("latin-1").translate(None, _PLAIN_LATIN))
@@ -78,22 +66,20 @@ def byte_letters() -> list[str]:
 
 
 class _Table(dict):
-    """What was made of stretches so far: two generations of at most half of ``most`` entries; the older one is dropped when the newer is full."""
+    """What was made of stretches so far; emptied when it holds ``most`` bytes."""
 
-    def __init__(self, make, most: int = CACHE_ROWS):
+    def __init__(self, make, share: float):
         super().__init__()
-        self.make, self.most, self.older = make, most // 2, {}
+        self.make, self.most, self.held = make, share * CACHE_MB * 1e6, 0
 
     def __missing__(self, key):
-        out = self.older.get(key)
-        if out is None:
-            out = self.make(key)
-            if len(key) > CACHE_CHARS:
-                return out
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = out
+        out = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            self.held += ENTRY_BYTES + len(key) + len(out)
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[key] = out
         return out
 
 
@@ -112,7 +98,9 @@ class Bpe:
         self.words = bool(self.end)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self._special_bytes = [t.encode() for t in self.special]
         vocab: dict[str, int] = model["vocab"]
+        self._vocab = vocab
         letters = byte_letters()
         byte_of = {c: b for b, c in enumerate(letters)}
         self.first = [vocab[c] for c in letters]
@@ -136,11 +124,31 @@ class Bpe:
         self.inside = inside
         self._inside_flat = inside.tobytes()
         self.pattern = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN)
-        self._inner: dict[bytes, bytes] = _Table(self._first_ids, CACHE_ROWS // 8)
-        self._final: dict[bytes, bytes] = _Table(self._last_ids, CACHE_ROWS // 8) if self.words else self._inner
-        self._whole: dict[bytes, bytes] = _Table(self._cut_piece, CACHE_ROWS // 2 if self.words else CACHE_ROWS // 4)
-        self.stretch: dict[str, bytes] = _Table(self._stretch)
-        self.spaced: dict[str, bytes] = _Table(lambda x: self._stretch(" " + x), CACHE_ROWS // 2)
+        self._inner: dict[bytes, bytes] = _Table(self._first_ids, 0.1)
+        self._final: dict[bytes, bytes] = _Table(self._last_ids, 0.1) if self.words else self._inner
+        self._whole: dict[bytes, bytes] = _Table(self._cut_piece, 0.2)
+        self.stretch: dict[str, bytes] = _Table(self._stretch, 0.5 if self.words else 0.15)
+        self.spaced: dict[str, bytes] = _Table(lambda x: self._stretch(" " + x), 0.1 if self.words else 0.5)
+
+    def tokens(self) -> Iterator[tuple[int, bytes, bool]]:
+        """(id, bytes, whether it ends a word) of every token that is not special."""
+        for token, i in self._vocab.items():
+            if token not in self.special:
+                yield i, self.token_bytes[i], bool(self.end) and token.endswith(self.end)
+
+    def merge_symbols(self, symbols: list[int]) -> list[int]:
+        """Ids of bytes without any cut before; a symbol of 256 and more is a byte that ends a word."""
+        ids = [self.first[s] if s < 256 else self.last[s - 256] for s in symbols]
+        return np.frombuffer(self._merge(ids), "<u4").tolist()
+
+    def has_special(self, raw: bytes) -> bool:
+        return any(s in raw for s in self._special_bytes)
+
+    def split_special(self, text: str) -> tuple[list[str], list[int]]:
+        """(stretches between special tokens, one more than these; ids of the special tokens)."""
+        if self._special is None:
+            return [text], []
+        return self._special.split(text), [self.special[x] for x in self._special.findall(text)]
 
     # -- one piece -------------------------------------------------------
     def cuts(self, raw: bytes) -> list[bytes]:
@@ -229,17 +237,17 @@ class Bpe:
         """The text as the vocabulary's normalizer leaves it (word vocabularies: lower case, composed, single spaces)."""
         if not self.words:
             return text
-        return text.lower() if not _odd(text) else self.library.normalizer.normalize_str(text)
+        return text.lower() if not is_odd(text) else self.library.normalizer.normalize_str(text)
 
     @staticmethod
     def split(text: str) -> list[str]:
         """Stretches between white space; str.split() also takes U+001C to U+001F, which are no white space here."""
-        return text.split() if not _odd(text) else _WHITE.split(text.strip(_SPACES)) if text.strip(_SPACES) else []
+        return text.split() if not is_odd(text) else _WHITE.split(text.strip(_SPACES)) if text.strip(_SPACES) else []
 
     def plain_parts(self, text: str) -> list[bytes]:
         """Encoded stretches, in order, of a text without special tokens."""
         if self.words:
-            words = self.split(self.normal(text)) if _odd(text) else text.lower().split()
+            words = self.split(self.normal(text)) if is_odd(text) else text.lower().split()
             return list(map(self.stretch.__getitem__, words))
         chunks = text.split(" ") if _GAPS.search(text) is None else _SAFE_SPACE.split(text)
         table = self.spaced
@@ -267,61 +275,6 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-# ---------------------------------------------------------------- counting
-class CountingTransducer:
-    """Counts tokens of a word vocabulary; see the module's text.  ``compiled`` holds the transitions made so far."""
-
-    def __init__(self, bpe: Bpe):
-        if not bpe.words:
-            raise ValueError("the counting transducer needs a vocabulary that drops white space")
-        self.bpe = bpe
-        self.compiled: dict[str, int] = _Table(lambda w: len(bpe._stretch(w)) // 4)
-
-    def state_map(self, chunk: str) -> tuple[str, int, str, bool]:
-        """(text up to the first white space, tokens of the whole words between, text after the last, whether there is white space)."""
-        words = self.bpe.split(chunk)
-        if not words:
-            return "", 0, "", bool(chunk)
-        open_left, open_right = chunk[0] not in _SPACES, chunk[-1] not in _SPACES
-        if open_left and len(words) == 1 and open_right:
-            return chunk, 0, "", False
-        head = words.pop(0) if open_left else ""
-        tail = words.pop() if open_right else ""
-        return head, sum(map(self.compiled.__getitem__, words)), tail, True
-
-    def compose(self, a: tuple[str, int, str, bool], b: tuple[str, int, str, bool]) -> tuple[str, int, str, bool]:
-        """The map of chunk a followed by chunk b; associative."""
-        if not a[3] and not b[3]:
-            return a[0] + b[0], 0, "", False
-        if not a[3]:
-            return a[0] + b[0], b[1], b[2], True
-        if not b[3]:
-            return a[0], a[1], a[2] + b[0], True
-        middle = a[2] + b[0]
-        return a[0], a[1] + b[1] + (self.compiled[middle] if middle else 0), b[2], True
-
-    def plain(self, text: str) -> int:
-        text = self.bpe.normal(text)
-        if len(text) <= SCAN_CHARS:
-            return sum(map(self.compiled.__getitem__, self.bpe.split(text)))
-        maps = [self.state_map(text[i : i + SCAN_CHARS]) for i in range(0, len(text), SCAN_CHARS)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail, _ = maps[0]
-        return n + sum(self.compiled[x] for x in (head, tail) if x)
-
-    def count(self, text: str) -> int:
-        special = self.bpe._special
-        if special is None or special.search(text) is None:
-            return self.plain(text)
-        return len(special.findall(text)) + sum(self.plain(x) for x in special.split(text))
-
-
-@lru_cache(maxsize=4)
-def transducer(path: str) -> CountingTransducer:
-    return CountingTransducer(load(path))
-
-
 # --------------------------------------------------------------- operators
 def encode_documents(df: DataFrame, vocabulary: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids BINARY of little-endian uint32, decoded STRING) of each row of ``df``; row-local, no shuffle."""
@@ -355,17 +308,3 @@ def encoding_digests(df: DataFrame, vocabulary: str, *, text: str = "text", key:
 
     rows = df.select(F.col(key), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
-def count_tokens(df: DataFrame, vocabulary: str, *, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit) of each row of ``df``; row-local, no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = transducer(vocabulary).count
-        for b in batches:
-            raw = byte_rows(b.column(1))
-            n = np.array([count(x.decode("utf-8", "replace")) for x in raw], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), int64([len(x) for x in raw]), int64(n), pa.array(n > limit)], [key, "n_bytes", "n_tokens", "over_limit"])
-
-    rows = df.select(F.col(key), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")

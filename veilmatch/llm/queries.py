@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmatch.llm import bpe, decontamination, fingerprints, licenses, lm, quality, sequences, simhash, suffixes
+from veilmatch.llm import bpe, decontamination, fingerprints, licenses, lm, quality, sequences, simhash, suffixes, transducer
 from veilmatch.llm.common import documents, fold, fresh_path
 
 #: Vocabulary files are found by the package that ships them; the name is the parameter.
@@ -81,7 +81,7 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.count_tokens(documents(spark, sf_dir), vocabulary(WORD_VOCABULARY), limit=2048)
+    return transducer.count_tokens(documents(spark, sf_dir), vocabulary(WORD_VOCABULARY), limit=2048)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
