@@ -1,10 +1,14 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
-from veilmatch.llm import bpe, sequences
+from veilmatch.llm import bpe, sequences, transducer
+from tests.llm.conftest import prose
 from veilmatch.llm.common import fresh_path
 
 P = pytest.importorskip("public_tokenizers")
@@ -38,22 +42,43 @@ def test_counts_equal_the_library(docs, rows, library, monkeypatch):
     for i, x in rows:
         n = len(library[WORDS].encode(x or "", add_special_tokens=False).ids)
         want.append((i, len((x or "").encode()), n, n > 100))
-    assert by_row(bpe.count_tokens(docs, WORDS, limit=100)) == sorted(map(repr, want))
+    assert by_row(transducer.count_tokens(docs, WORDS, limit=100)) == sorted(map(repr, want))
 
 
 def test_state_maps_compose_at_any_cut(library):
-    t = bpe.transducer(WORDS)
-    text = "the quick  brown\n fox it's 12 ".lower() * 3
-    whole = t.plain(text)
+    m = transducer.transducer(WORDS)
+    text = "the quick  brown\n fox it's 12 're-union'll " * 3 + "unbelievable" * 4
+    want = len(library[WORDS].encode(text, add_special_tokens=False).ids)
+    x = np.frombuffer(text.encode(), np.uint8)
+    pieces = transducer.find_pieces(x)
     for k in range(1, 12):
-        maps = [t.state_map(text[i : i + k]) for i in range(0, len(text), k)]
+        maps = m.chunk_maps(x, *pieces, size=k)
         left = maps[0]
-        for m in maps[1:]:
-            left = t.compose(left, m)
-        while len(maps) > 1:
-            maps = [t.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        assert left == maps[0]
-        assert left[1] + sum(t.compiled[x] for x in (left[0], left[2]) if x) == whole == len(library[WORDS].encode(text, add_special_tokens=False).ids)
+        for part in maps[1:]:
+            left = m.compose(left, part)
+        assert m.apply(left, m.start) == m.apply(m.scan(maps), m.start)
+        assert m.apply(left, m.start)[1] == want
+
+
+def test_transitions_sum_to_counts_and_lead_to_ids(library, rows):
+    t, m = library[WORDS], transducer.Transducer(bpe.load(WORDS))
+    rng = random.Random(3)
+    pool = [*"aabcdest'' 'r\"-.,12é²½ÑßİſΣ日本\u0301 \n\x1c\x85\xa0—😀", "'re", "'ve", "'ll", "'s", "n't", "<|endoftext|>", "the ", "ing", "tion"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(1500)] + ["'" * 50, "x" * 200_000, "ab'll " * 30_000] + [x or "" for _, x in rows]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    raws = [x.encode() for x in texts]
+    assert [x.tolist() for x in m.ids(raws)] == want
+    assert m.counts(raws).tolist() == [m.count(x) for x in raws] == list(map(len, want))
+
+
+def test_emptied_transitions_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(transducer, "MOST", 5)
+    monkeypatch.setattr(transducer, "BLOCK", 40)
+    monkeypatch.setattr(transducer, "CHUNK", 30)
+    monkeypatch.setattr(transducer, "SLOTS", 16)
+    m = transducer.Transducer(bpe.load(WORDS))
+    texts = [prose(random.Random(i), 40) for i in range(20)]
+    assert m.counts([x.encode() for x in texts]).tolist() == [len(e.ids) for e in library[WORDS].encode_batch(texts, add_special_tokens=False)]
 
 
 def test_cuts_are_never_merged_over():
@@ -66,7 +91,7 @@ def test_cuts_are_never_merged_over():
 
 def test_full_tables_change_nothing(library, monkeypatch):
     b = bpe.Bpe(BYTES)
-    b.spaced.most = b.stretch.most = b._inner.most = b._whole.most = 3
+    b.spaced.most = b.stretch.most = b._inner.most = b._whole.most = 300
     text = "one two three four five six one two three seven eight nine one four"
     assert np.frombuffer(b.encode(text), "<u4").tolist() == library[BYTES].encode(text, add_special_tokens=False).ids
 
@@ -74,7 +99,7 @@ def test_full_tables_change_nothing(library, monkeypatch):
 def test_files_round_trip(spark, docs, rows, library):
     files = sequences.write_sequences(docs, WORDS, fresh_path(spark, "sequences"), length=64)
     got = [tuple(r) for r in sequences.read_documents(files).collect()]
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).astype(np.int64)))
     want, start = [], 0
     for i, x in order:
         ids = np.array(library[WORDS].encode(x or "", add_special_tokens=False).ids + [2], "<u4")
@@ -82,12 +107,33 @@ def test_files_round_trip(spark, docs, rows, library):
         start += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
     first = files.orderBy("part").first()
-    ids, mask = sequences.read_sequence(first["path"].removeprefix("file:").replace("//", "/") + ".arrows", 0)
-    assert len(ids) == len(mask) == 64 and ids.dtype == np.uint16 and not ids.flags.owndata
+    path = first["path"].removeprefix("file:").replace("//", "/")
+    for i in (0, (first["n_tokens"] - 1) // 64):
+        ids, mask = sequences.read_sequence(path, i)
+        assert len(ids) == len(mask) == 64 and ids.dtype == np.uint16 and not ids.flags.owndata
+        assert mask.true_count == min(64, first["n_tokens"] - 64 * i)
+    with pytest.raises(IndexError):
+        sequences.read_sequence(path, (first["n_tokens"] - 1) // 64 + 1)
+
+
+def test_any_sequence_is_found_by_its_place(tmp_path):
+    ids = np.arange(64 * 37 + 5, dtype=np.uint16)
+    with open(tmp_path / "x.arrows", "wb") as raw:
+        sink = pa.PythonFile(raw)
+        writer = sequences.SequenceWriter(sink, pa.uint16(), 64, batch=4)
+        for part in np.array_split(ids, 9):
+            writer.append(part)
+        assert writer.close() == len(ids)
+    with pa.OSFile(str(tmp_path / "x.batches.arrows"), "wb") as f, pa.ipc.new_stream(f, pa.schema([("place", pa.int64())])) as out:
+        out.write_table(pa.table({"place": pa.array(writer.places, pa.int64())}))
+    for i in (0, 3, 4, 36, 37):
+        got, mask = sequences.read_sequence(str(tmp_path / "x"), i)
+        known = ids[64 * i : 64 * i + 64]
+        assert got[: len(known)].tolist() == known.tolist() and mask.true_count == len(known)
 
 
 def test_nothing_and_nulls(spark, none, nulls):
     for df, n in ((none, 0), (nulls, 3)):
-        assert bpe.encoding_digests(df, BYTES).count() == bpe.count_tokens(df, WORDS).count() == n
+        assert bpe.encoding_digests(df, BYTES).count() == transducer.count_tokens(df, WORDS).count() == n
         files = sequences.write_sequences(df, WORDS, fresh_path(spark, "sequences"))
         assert sorted(r["start"] for r in sequences.read_documents(files).collect()) == list(range(n))

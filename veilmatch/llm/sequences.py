@@ -3,15 +3,19 @@
 Each file holds the documents of one range of keys, end to end, as sequences of
 ``SEQUENCE`` ids: a list of fixed size per row and, beside it, a mask that is
 false where the last sequence is padded.  All batches but the last have
-``BATCH`` rows of fixed width, so any sequence lies at a computable place and is
-read without copying from a memory map.  A second stream file beside it says
-where each document begins.  Ids take 16 bits where the vocabulary allows it.
+``BATCH`` rows, and a side file says at which byte each batch begins, so any
+sequence is read by two seeks, as a view of the memory map.  A second side file
+says where each document begins.  Ids take 16 bits where the vocabulary allows it.
 
 Files are written by tasks below the shared folder under names of their own, so
 a task that runs again after an executor was lost leaves no mixed result; the
 driver gets one row per file.  Documents are in ascending key order over all
-files (null keys first; equal keys by text).  Null texts are empty and hold the
-end id only; an empty table gives no file.
+files (null keys first; equal keys by the XXH64 of their texts, so that rows of
+one key also spread over tasks).  Null texts are empty and hold the end id only;
+an empty table gives no file.
+
+Word vocabularies are encoded by the transducer (transducer.py), byte-level ones
+by forced boundaries (bpe.py); both equal the library.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 
 from veilmatch.llm.bpe import load
 from veilmatch.llm.common import byte_rows, int64
+from veilmatch.llm.transducer import transducer
 
 SEQUENCE = 2048
 BATCH = 256
@@ -38,8 +43,8 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def sequence_schema(width: pa.DataType, length: int) -> pa.Schema:
-    return pa.schema([pa.field("ids", pa.list_(pa.field("item", width, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), length), False)])
+def sequence_schema(width: pa.DataType, length: int, batch: int) -> pa.Schema:
+    return pa.schema([pa.field("ids", pa.list_(pa.field("item", width, False), length), False), pa.field("mask", pa.list_(pa.field("item", pa.bool_(), False), length), False)], metadata={"batch": str(batch)})
 
 
 class SequenceWriter:
@@ -47,7 +52,8 @@ class SequenceWriter:
 
     def __init__(self, sink, width: pa.DataType, length: int = SEQUENCE, batch: int = BATCH):
         self.length, self.batch, self.kind = length, batch, width.to_pandas_dtype()
-        self.schema = sequence_schema(width, length)
+        self.schema = sequence_schema(width, length, batch)
+        self.sink, self.places = sink, []  # where each batch begins
         self.out = pa.ipc.new_stream(sink, self.schema)
         self.waiting: list[np.ndarray] = []
         self.n_waiting = self.total = 0
@@ -63,7 +69,9 @@ class SequenceWriter:
         kinds = self.schema.types
         mask = np.arange(len(flat)) < known
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t) for x, t in zip((flat, mask), kinds)]
-        self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
+        batch = pa.RecordBatch.from_arrays(lists, schema=self.schema)
+        self.out.write_batch(batch)  # the first one writes the schema too
+        self.places.append(self.sink.tell() - pa.ipc.get_record_batch_size(batch))
 
     def _flush(self, last: bool = False) -> None:
         flat = np.concatenate(self.waiting) if self.waiting else np.zeros(0, self.kind)
@@ -92,15 +100,21 @@ def read_flat(source) -> Iterator[np.ndarray]:
         yield flat[: known.true_count] if known.true_count < len(flat) else flat
 
 
-def read_sequence(path: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask) of one sequence of a local file: the ids are a view of the memory map."""
-    with pa.memory_map(path) as source:
-        for batch in pa.ipc.open_stream(source):
-            if number < len(batch):
-                n = batch.column(0).type.list_size
-                return batch.column(0).flatten().to_numpy()[number * n : (number + 1) * n], batch.column(1).flatten().to_numpy(zero_copy_only=False)[number * n : (number + 1) * n]
-            number -= len(batch)
-    raise IndexError("no such sequence")
+def read_sequence(path: str, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """(ids, mask) of one sequence of a local file (``path`` without ending): views of the memory map, found by their place."""
+    with pa.memory_map(f"{path}.batches.arrows") as side:
+        places = pa.ipc.open_stream(side).read_all()["place"].to_numpy()
+    with pa.memory_map(f"{path}.arrows") as source:
+        schema = pa.ipc.open_stream(source).schema
+        which, row = divmod(number, int(schema.metadata[b"batch"]))
+        if not 0 <= number or which >= len(places):
+            raise IndexError("no such sequence")
+        source.seek(int(places[which]))
+        batch = pa.ipc.read_record_batch(pa.ipc.read_message(source), schema)
+        if row >= len(batch):
+            raise IndexError("no such sequence")
+        n = batch.column(0).type.list_size
+        return batch.column(0).flatten().to_numpy(zero_copy_only=True)[row * n : (row + 1) * n], batch.column(1).flatten().slice(row * n, n)
 
 
 def write_sequences(df: DataFrame, vocabulary: str, folder: str, *, end_id: int = 2, length: int = SEQUENCE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -109,6 +123,7 @@ def write_sequences(df: DataFrame, vocabulary: str, folder: str, *, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
+        encode = transducer(vocabulary).ids if bpe.words else lambda raws: (np.frombuffer(bpe.encode(x.decode("utf-8", "replace")), "<u4") for x in raws)
         width = pa.uint16() if bpe.size <= 1 << 16 else pa.uint32()
         end = np.array([end_id], "<u4")
         name, writer = f"{folder}/{uuid.uuid4().hex}", None
@@ -126,9 +141,9 @@ def write_sequences(df: DataFrame, vocabulary: str, folder: str, *, end_id: int
                 sink = fs.open_output_stream(at + ".arrows")
                 writer, low, part = SequenceWriter(sink, width, length), b.column(0)[0].as_py(), TaskContext.get().partitionId()
             n = []
-            for x in byte_rows(b.column(1)):
-                ids = np.frombuffer(bpe.encode(x.decode("utf-8", "replace")), "<u4")
-                writer.append(np.concatenate([ids, end]))
+            for ids in encode(byte_rows(b.column(1))):
+                writer.append(ids)
+                writer.append(end)
                 n.append(len(ids) + 1)
             keys.append(b.column(0))
             counts.append(np.array(n, np.int64))
@@ -136,12 +151,14 @@ def write_sequences(df: DataFrame, vocabulary: str, folder: str, *, end_id: int
             total = writer.close()
             sink.close()
             index = pa.table({"key": pa.chunked_array(keys), "n_tokens": np.concatenate(counts)})
-            with fs.open_output_stream(at + ".index.arrows") as f, pa.ipc.new_stream(f, index.schema) as out:
-                out.write_table(index, max_chunksize=10_000)
+            for ending, table in ((".index.arrows", index), (".batches.arrows", pa.table({"place": int64(writer.places)}))):
+                with fs.open_output_stream(at + ending) as f, pa.ipc.new_stream(f, table.schema) as out:
+                    out.write_table(table, max_chunksize=10_000)
             yield pa.RecordBatch.from_arrays([int64([part]), pa.array([name], pa.string()), int64([len(index)]), int64([total])], ["part", "path", "n_docs", "n_tokens"])
 
-    rows = df.select(F.col(key), F.col(text).cast("string").alias("text")).repartitionByRange(F.col(key)).sortWithinPartitions(key, "text")
-    files = sorted(tuple(x) for x in rows.mapInArrow(run, "part bigint, path string, n_docs bigint, n_tokens bigint").collect())  # a row for each file
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = df.select(F.col(key), body.alias("text"), F.xxhash64(body).alias("_hash")).repartitionByRange(F.col(key), F.col("_hash")).sortWithinPartitions(key, "_hash", "text")
+    files = sorted(tuple(x) for x in rows.select(key, "text").mapInArrow(run, "part bigint, path string, n_docs bigint, n_tokens bigint").collect())  # a row for each file
     out, start = [], 0
     for part, path, n_docs, n_tokens in files:
         out.append((part, path, n_docs, n_tokens, start))
@@ -162,13 +179,11 @@ def read_documents(files: DataFrame, key_type: str = "bigint", *, key: str = "do
                         n = docs.column(1).to_numpy()
                         sums = []
                         for k in n.tolist():
-                            if len(have) < k:
-                                more, m = [have], len(have)
-                                while m < k:
-                                    more.append(next(flat).astype("<u4"))
-                                    m += len(more[-1])
-                                have = np.concatenate(more)
-                            sums.append(zlib.crc32(have[:k]))
+                            crc = 0
+                            while k > len(have):
+                                crc, k = zlib.crc32(have, crc), k - len(have)
+                                have = next(flat).astype("<u4", copy=False)
+                            sums.append(zlib.crc32(have[:k], crc))
                             have = have[k:]
                         starts = start + np.cumsum(n) - n
                         start += int(n.sum())
