@@ -4,12 +4,18 @@ Two zstandard dictionaries are trained, one on texts of label 1 and one on texts
 of label 0.  A text that resembles the first packs smaller with it: the
 difference of the two compressed sizes, divided by their sum, is the evidence.
 A logistic curve, fitted on labelled texts that no dictionary has seen, turns it
-and the two packing ratios into a probability.
+into a probability.  The curve has the difference, how far the text packs at all
+(both sizes together, divided by its length), and the square of each; the second
+tells how much a given difference means, as repeated lines and random letters
+pack unlike prose.  The fit maximises a concave function by Newton steps that are
+halved until they gain, so it ends at its one maximum also where the labels can
+be told apart without error.
 
 Fitting uses a bounded sample of labelled rows: at most ``SAMPLE`` of each label,
-those with the smallest hash of their id, of at most ``LONGEST`` bytes each.
-Scores read whole texts and nothing else.  Null texts are empty.  Without labels
-of both kinds every score is the share of label 1 (0.5 without any labels).
+those with the smallest hash of their id, of at most ``LONGEST`` bytes each; of
+several rows with one id, the smallest text.  Scores read whole texts and nothing
+else.  Null texts are empty.  Without labels of both kinds every score is the
+share of label 1 (0.5 without any labels).
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ SAMPLE = 4000
 LONGEST = 32_768
 DICTIONARY = 65_536
 LEVEL = 3
+#: Bytes that packing adds to any text; the weight that keeps the curve finite.
+FRAME, RIDGE = 20, 1e-3
 
 
 class CompressionClassifier:
@@ -50,9 +58,8 @@ class CompressionClassifier:
 
     def features(self, raw: bytes) -> list[float]:
         g, b = self._sizes(raw)
-        x, rg, rb = (b - g) / (b + g), g / (len(raw) + 20), b / (len(raw) + 20)
-        low, short = max(0.0, 0.22 - rg), 1 / (1 + len(raw) / 100)
-        return [1.0, x, x * x, rg, rb, low, x * short, short, x * max(0.0, 0.22 - rg)]
+        x, packed = (b - g) / (b + g), (b + g) / (len(raw) + FRAME)
+        return [1.0, x, x * x, packed, packed * packed]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.good is None or self.bad is None:
@@ -61,6 +68,30 @@ class CompressionClassifier:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """Weights of the logistic curve for rows ``x`` and labels ``y`` (0 or 1); labels count halfway between equal rows and equal shares."""
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y) * 0.5 + 0.5
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * (w @ w))
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (weight * (y - p)) - ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        share = 1.0
+        while share > 1e-10 and loss(w + share * step) > now - 1e-4 * share * float(slope @ step):
+            share /= 2
+        w = w + share * step
+        before, now = now, loss(w)
+        if before - now <= 1e-10 * max(1.0, before):
+            break
+    return w
+
+
 def train(rows: list[tuple[bytes, int]]) -> CompressionClassifier:
     """Dictionaries from every other text of each label, the curve from the rest.  ``rows`` come in a fixed order."""
     kinds = {q: [t for t, x in rows if x == q and t] for q in (0, 1)}
@@ -76,16 +107,7 @@ def train(rows: list[tuple[bytes, int]]) -> CompressionClassifier:
             books[q] = b"".join(own)[-DICTIONARY:]
     out = CompressionClassifier(books[1], books[0], [], share)
     fit = [(t, q) for q, texts in kinds.items() for t in texts[1::2]]
-    x, y = np.array([out.features(t) for t, _ in fit]), np.array([q for _, q in fit], float)
-    w, ridge = np.zeros(x.shape[1]), 1e-3 * np.eye(x.shape[1])
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y) * 0.5 + 0.5  # halfway between the sample's and equal shares
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    out.weights = w.tolist()
+    out.weights = fit_curve(np.array([out.features(t) for t, _ in fit]), np.array([q for _, q in fit], float)).tolist()
     return out
 
 
@@ -97,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Compress
         part = smallest(known.where(F.col("quality") == q), "doc_id", sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, LONGEST))
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").collect()  # bounded: 2 x sample short texts
+    got = texts.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality").collect()  # bounded: 2 x sample short texts
     got.sort(key=lambda r: (r[0], r[1], r[2]))
     return train([(r[1].encode(), r[2]) for r in got])
 
