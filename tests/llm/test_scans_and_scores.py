@@ -38,12 +38,41 @@ def test_base_places_equal_brute_force(docs, rows, spark):
 
 def test_expressions():
     value = licenses.parse("MIT OR Apache-2.0 AND GPL-2.0-only WITH Classpath-exception-2.0")
-    assert value.choices == {frozenset({"mit"}), frozenset({"apache-2.0", "gpl-2.0-only with classpath-exception-2.0"})}
-    assert licenses.parse("(MIT OR ISC) AND Zlib").choices == {frozenset({"mit", "zlib"}), frozenset({"isc", "zlib"})}
-    for bad in ("", "AND MIT", "(MIT", "MIT OR", "()"):
+    assert value.op == "or" and value.names == {"mit", "apache-2.0", "gpl-2.0-only with classpath-exception-2.0"}
+    assert value.met_by({"mit"}) and not value.met_by({"apache-2.0"}) and value.met_by({"apache-2.0", "gpl-2.0-only with classpath-exception-2.0"})
+    both = licenses.parse("(MIT OR ISC) AND Zlib see the file")
+    assert both.op == "and" and both.met_by({"isc", "zlib"}) and not both.met_by({"mit", "isc"}) and both.text == "( mit or isc ) and zlib"
+    for bad in ("", "AND MIT", "(MIT", "MIT OR", "()", "(MIT OR ISC) WITH x"):
         assert licenses.parse(bad) is None
     got = licenses.scan(b"// SPDX-License-Identifier: (BSD-3-Clause OR MIT)\nint x;")
-    assert got[3] == ["bsd", "mit"] and got[4] > 0.9 and got[5] == ["bsd-3-clause or mit"]
+    assert got[3] == ["bsd", "mit"] and got[4] > 0.9 and got[5] == ["( bsd-3-clause or mit )"]
+
+
+def test_expressions_against_python_logic():
+    rng = random.Random(8)
+    names = ["mit", "isc", "zlib", "bsd-3-clause", "apache-2.0"]
+
+    def build(depth):
+        if not depth or rng.random() < 0.2:
+            return rng.choice(names)
+        a, b, op = build(depth - 1), build(depth - 1), rng.choice(["and", "or"])
+        return f"({a} {op} {b})" if rng.random() < 0.5 else f"{a} {op} {b}"
+
+    for _ in range(200):
+        text = build(5)
+        held = {n for n in names if rng.random() < 0.5}
+        want = eval(re.sub(r"[a-z][a-z0-9.-]+", lambda m: m[0] if m[0] in ("and", "or") else str(m[0] in held), text))
+        assert licenses.parse(text).met_by(held) == want
+
+
+def test_long_expressions():
+    pairs = " and ".join(f"(x{i}-1.0 or y{i}-1.0)" for i in range(10_000))
+    deep = "(" * 10_000 + "x" + "".join(f" {('or', 'and')[i % 2]} n{i})" for i in range(10_000))
+    for text, n in ((pairs, 20_000), (deep, 10_001), (" or ".join(f"n{i}" for i in range(10_000)), 10_000)):
+        value = licenses.parse(text)
+        assert len(value.names) == n and value.met_by(value.names) and not value.met_by(set())
+    got = licenses.scan(f"# spdx-license-identifier: {pairs} and mit\nmit is another line".encode())
+    assert "mit" in got[3] and len(got[3]) == 20_001
 
 
 # ------------------------------------------------------ decontamination
@@ -98,6 +127,42 @@ def test_quality_on_unseen_rows(spark, docs, rows):
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_curve_ends_at_its_maximum_also_when_classes_part_cleanly():
+    rng = np.random.default_rng(0)
+    for n, gap in ((60, 8.0), (4000, 0.5), (4000, 30.0)):
+        y = (np.arange(n) % 2).astype(float)
+        x = np.stack([np.ones(n), (2 * y - 1) * gap + rng.normal(0, 1, n), rng.normal(0, 1, n), rng.uniform(0, 0.2, n)], 1)
+        w = quality.fit_curve(x, y)
+        weight = np.full(n, n * 0.5 / n + 0.5)
+        slope = x.T @ (weight * (y - 1 / (1 + np.exp(-x @ w)))) - quality.RIDGE * w
+        assert np.abs(slope).max() < 1e-3 * max(1, gap) and (((x @ w) > 0) == (y == 1)).mean() > 0.6
+        if gap > 1:
+            assert (((x @ w) > 0) == (y == 1)).all()
+
+
+def test_scores_equal_plain_compression(spark, docs, rows):
+    """The operator's scores against sizes and a curve written out anew."""
+    import zstandard
+
+    df = labelled(spark)
+    model = quality.fit(df, df.select("doc_id", "quality"))
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        g, b = (len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)) for d in (model.good, model.bad))
+        x, r = (b - g) / (b + g), (b + g) / (len(raw) + 20)
+        z = min(40, max(-40, sum(w * f for w, f in zip(model.weights, (1, x, x * x, r, r * r)))))
+        want.append((i, round(1 / (1 + math.exp(-z)), 6)))
+    got = [(r["doc_id"], round(r["score"], 6)) for r in quality.score_documents(docs.drop("score"), model).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_repeated_ids_reach_the_fit_once(spark):
+    df = labelled(spark)
+    model = quality.fit(df.unionByName(df).unionByName(df), df.select("doc_id", "quality"))
+    assert model.weights == quality.fit(df, df.select("doc_id", "quality")).weights
+
+
 def test_quality_without_labels(spark, docs, none, nulls):
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)

@@ -4,7 +4,8 @@ A text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII
 bytes.  One automaton over the words, joined by single spaces, finds all notice
 phrases, overlapping ones too, and the identifier tag; where a tag stands, the
 expression after it is read from the text itself and parsed: ``with`` binds
-tighter than ``and``, ``and`` tighter than ``or``.
+tighter than ``and``, ``and`` tighter than ``or``.  An expression ends with its
+line, however long that is, and is kept as a tree, so time grows with its length.
 
 Null and empty texts have no words, no labels and score 0.
 """
@@ -51,46 +52,77 @@ TAG = "spdx license identifier"
 BASE_WEIGHT, TAG_WEIGHT = 0.8, 0.95
 # Families of licence identifiers by their first part.
 FAMILIES = {"mit": "mit", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "mpl": "mpl", "epl": "epl", "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "unlicense": "unlicense", "cc0": "cc0", "cc": "cc-by"}
-_TAG_TEXT = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]{0,400})")
+_TAG_TEXT = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)")
 _ATOM = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
 @dataclass(frozen=True)
 class Licence:
-    """The value of an expression: ``choices`` are sets of licences of which one set must be met."""
+    """A parsed expression: a name, or an operator over parts.  Chains of one operator are one node; nothing is multiplied out."""
 
-    choices: frozenset[frozenset[str]]
+    op: str  # "name", "or" or "and"
+    parts: tuple  # of Licence; of one name for "name"
+    text: str = ""  # of the root: what was parsed, in lower case with single spaces
 
     @property
     def names(self) -> set[str]:
-        return set().union(*self.choices)
+        """All licences named, those with exceptions as "x with y"."""
+        out, left = set(), [self]
+        while left:
+            here = left.pop()
+            if here.op == "name":
+                out.add(here.parts[0])
+            else:
+                left += here.parts
+        return out
+
+    def met_by(self, held: set[str]) -> bool:
+        """Whether holding these licences meets the expression."""
+        done: dict[int, bool] = {}
+        left = [(self, False)]
+        while left:
+            here, ready = left.pop()
+            if here.op == "name":
+                done[id(here)] = here.parts[0] in held
+            elif ready:
+                done[id(here)] = (any if here.op == "or" else all)(done[id(x)] for x in here.parts)
+            else:
+                left += [(here, True), *((x, False) for x in here.parts)]
+        return done[id(self)]
 
 
 def parse(expression: str) -> Licence | None:
-    """Value of a licence expression, by two stacks; None if it is not well-formed.
+    """The tree of a licence expression of any length, by two stacks; None if it is not well-formed.
 
-    ``or`` unites the choices, ``and`` joins each choice of the left with each of
-    the right, ``with`` attaches an exception's name to its licence.
+    ``with`` attaches an exception's name to the licence before it.  Prose behind a
+    complete expression ends it.
     """
-    values: list[frozenset] = []
+    values: list[tuple[str, list]] = []  # operator and parts; chains grow in place
     waiting: list[str] = []
 
+    def done(value: tuple[str, list]) -> Licence:
+        return Licence(value[0], tuple(value[1]))
+
     def apply() -> None:
         op, b, a = waiting.pop(), values.pop(), values.pop()
-        if op == "or":
-            values.append(a | b)
-        elif op == "and":
-            values.append(frozenset(x | y for x in a for y in b))
+        if op == "with":
+            if a[0] != "name" or b[0] != "name":
+                raise ValueError("an exception belongs to one licence")
+            values.append(("name", [f"{a[1][0]} with {b[1][0]}"]))
+            return
+        parts = a[1] if a[0] == op else [done(a)]
+        if b[0] == op:
+            parts += b[1]
         else:
-            (tail,) = next(iter(b))
-            values.append(frozenset(frozenset(f"{n} with {tail}" for n in x) for x in a))
+            parts.append(done(b))
+        values.append((op, parts))
 
-    want, seen_end = True, False  # whether a licence (not an operator) comes next
+    read: list[str] = []
+    want = True  # whether a licence (not an operator) comes next
     try:
-        for token in _ATOM.findall(expression.lower()):
-            if seen_end:
-                break
+        for found in _ATOM.finditer(expression.lower()):
+            token = found[0]
             if token == "(":
                 if not want:
                     break
@@ -109,17 +141,18 @@ def parse(expression: str) -> Licence | None:
                 waiting.append(token)
                 want = True
             elif want:
-                values.append(frozenset([frozenset([token.rstrip(".:-")])]))
+                values.append(("name", [token.rstrip(".:-")]))
                 want = False
             else:
-                seen_end = True  # prose after the expression
+                break  # prose after the expression
+            read.append(token)
         if want or "(" in waiting:
             return None
         while waiting:
             apply()
     except (IndexError, ValueError):
         return None
-    return Licence(values[0]) if len(values) == 1 and len(values[0]) <= 4096 else None
+    return Licence(values[0][0], tuple(values[0][1]), " ".join(read)) if len(values) == 1 else None
 
 
 def family(name: str) -> str:
@@ -163,7 +196,7 @@ def scan(raw: bytes) -> tuple[int, list[int], list[str], list[str], float, list[
     if tags:
         for m in _TAG_TEXT.finditer(raw.translate(ASCII_LOWER)):
             if value := parse(m[1].decode("utf-8", "replace")):
-                expressions.append(" or ".join(sorted(" and ".join(sorted(c)) for c in value.choices)))
+                expressions.append(value.text)
                 labels |= {family(n) for n in value.names}
                 doubt *= 1 - TAG_WEIGHT
     return len(words), starts, sorted(base), sorted(base | labels), 1 - doubt, expressions
