@@ -32,8 +32,8 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffixes.remove_repeats(documents(spark, sf_dir), length=400)
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = suffixes.remove_repeats(documents(spark, sf_dir), length=400, words=51, cut_words=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_in_runs")
 
 
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

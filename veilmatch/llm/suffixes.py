@@ -16,12 +16,14 @@ inside texts.
    arrays of at most ``SHARD`` bytes: Larsson-Sadakane doubling, then Kasai's
    common prefixes, here for many lanes of starts at once.  A hash with more
    bytes than one shard gets several; their windows are merged by binary search.
+   A hash with more than ``SPLIT`` bytes is dealt over several tasks; windows that
+   two of these tasks have are found by a join of window hashes.
 3. Removal.  Repeated starts go back to all places of a fragment, become spans,
    and the spans are cut from the texts.
 
-Repeats can be counted in words as well: each word becomes a code of ``CODE`` bytes
-and the same steps find repeated strings of that many codes, whatever white space
-lies between the words.
+Repeats can be counted in words as well: each word becomes one symbol, the hash of
+its bytes, and the same steps find repeated strings of that many symbols, whatever
+white space lies between the words.
 
 Texts shorter than ``LENGTH`` bytes and null texts lose nothing.  Rows with equal
 ids, or none, are documents of their own.
@@ -45,8 +47,9 @@ from veilmatch.llm.common import byte_rows, drop_table, flat_bytes, int64, spans
 
 LENGTH = 400
 GRAM = 32
-SHARD = 2_000_000
-#: Bytes of a word's code.
+#: Symbols of a shard, and of one smallest hash in one task.
+SHARD, SPLIT = 1_000_000, 4_000_000
+#: Bytes of a word's symbol.
 CODE = 8
 #: Bytes hashed at a time, and starts of one lane of Kasai's scan.
 SPAN, LANE = 1 << 20, 512
@@ -101,7 +104,7 @@ def fragments(x: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.view(np.uint64), none.astype(bool)
-    gram = min(GRAM, 1 << (length.bit_length() - 1))
+    gram = min(GRAM, 1 << max(0, (length // 4).bit_length() - 1))
     grams = _gram_hashes(x, gram)
     low = _sliding_min(grams, length - gram + 1)
     open_ = np.zeros(n + length + 1, np.int8)  # +1 where the starts of a row begin, -1 behind the last
@@ -122,32 +125,34 @@ def fragments(x: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.
 
 
 def suffix_array(sym: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of ``sym`` (values below 512) in order; ``end`` is the place of the 0 that closes each place's fragment.
+    """Starts of the suffixes of ``sym`` (small whole numbers) in order; ``end`` is the place of the 0 that closes each place's fragment.
 
     Larsson and Sadakane: groups of equal prefixes of h symbols are refined by
     the groups of the suffixes h places on; h doubles; sorted groups rest.  The
-    closing symbols count as different, in the order of the fragments.
+    closing symbols count as different, in any order.  (Sorts need not be stable:
+    what ties is one group.)
     """
     n = len(sym)
-    key, at = np.zeros(n, np.uint64), np.arange(n)
-    for j in range(7):
-        key = key << np.uint64(9) | sym[np.minimum(at + j, end)]
-    sa = np.argsort(key, kind="stable")
-    new = np.append(True, np.diff(key[sa]) != 0)
-    closing = np.flatnonzero(sym == 0)
-    new[: len(closing)] = True  # they come first, in order
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    key, at = np.zeros(n, np.uint64), np.arange(n, dtype=np.int32)
+    bits = int(sym.max()).bit_length()
+    h = max(1, 63 // bits)
+    for j in range(h):
+        key = key << np.uint64(bits) | sym[np.minimum(at + np.int32(j), end)]
+    sa = np.argsort(key).astype(np.int32)
+    key = key[sa]
+    new = np.append(True, key[1:] != key[:-1])
     del key
+    new[: np.count_nonzero(sym == 0)] = True  # they come first
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(new, at, np.int32(0)))
     slots = np.flatnonzero(~new | ~np.append(new[1:], True))
-    h = 7
     while len(slots):
         at = sa[slots]
-        order = rank[np.minimum(at + h, end[at])] + rank[at] * n
-        o = np.argsort(order, kind="stable")
+        order = rank[np.minimum(at + np.int32(h), end[at])] + rank[at] * n
+        o = np.argsort(order)
         order, at = order[o], at[o]
         sa[slots] = at
-        new = np.append(True, np.diff(order) != 0)
+        new = np.append(True, order[1:] != order[:-1])
         rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
         slots = slots[~new | ~np.append(new[1:], True)]
         h *= 2
@@ -161,10 +166,11 @@ def common_prefixes(x: np.ndarray, sa: np.ndarray, end: np.ndarray, begin: np.nd
     Starts run from ``begin`` for ``count`` places, cut into lanes that advance together.
     """
     n = len(x)
-    phi = np.empty(n, np.int64)
+    phi = np.empty(n, np.int32)
     phi[sa[0]] = -1
     phi[sa[1:]] = sa[:-1]
-    words = np.ndarray((n,), "<u8", np.concatenate([x, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    step = 8 if x.itemsize == 1 else 1  # symbols compared at a time
+    words = np.ndarray((n,), "<u8", np.concatenate([x, np.zeros(8, x.dtype)]).tobytes(), strides=(x.itemsize,))
     pieces = -(-count // LANE)
     start = np.repeat(begin, pieces) + LANE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     size = np.minimum(LANE, np.repeat(begin + count, pieces) - start)
@@ -183,26 +189,30 @@ def common_prefixes(x: np.ndarray, sa: np.ndarray, end: np.ndarray, begin: np.nd
         while len(act):
             at = now[act]
             diff = words[p[act] + at] ^ words[q[act] + at]
-            same = np.where(diff == 0, 8, np.bitwise_count((diff & -diff) - np.uint64(1)).astype(np.int64) >> 3)
+            same = np.where(diff == 0, step, np.bitwise_count((diff & -diff) - np.uint64(1)).astype(np.int64) >> 3 if step > 1 else 0)
             now[act] = np.minimum(at + same, cap[act])
-            act = act[(same == 8) & (now[act] < cap[act])]
+            act = act[(same == step) & (now[act] < cap[act])]
         length = now
         out[p] = now
     return out
 
 
+def window_hashes(x: np.ndarray, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _window_hashes(x, length, _BASE)[at], _window_hashes(x, length, 0xD6E8FEB86659FD93)[at]
+
+
 class Shard:
-    """Fragments with their window starts; ``repeated`` marks starts whose window occurs twice in the shard."""
+    """Fragments of symbols of ``width`` bytes with their window starts; ``repeated`` marks starts whose window occurs twice in the shard."""
 
-    def __init__(self, parts: list[bytes], counts: list[int], length: int):
-        sizes = np.array([len(p) for p in parts])
+    def __init__(self, parts: list[bytes], counts: list[int], length: int, width: int = 1):
+        sizes = np.array([len(p) // width for p in parts])
         self.begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         self.count, self.length = np.array(counts, np.int64), length
-        self.x = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-        sym = self.x.astype(np.uint16) + np.uint16(1)
+        self.x = np.frombuffer(bytes(width).join([*parts, b""]), np.uint8 if width == 1 else "<u8")
+        sym = (self.x.astype(np.uint64) if width == 1 else np.unique(self.x, return_inverse=True)[1].astype(np.uint64)) + np.uint64(1)
         stops = self.begin + sizes
         sym[stops] = 0
-        end = np.repeat(stops, sizes + 1)
+        end = np.repeat(stops.astype(np.int32), sizes + 1)
         sa = suffix_array(sym, end)
         lcp = common_prefixes(self.x, sa, end, self.begin, self.count, length)[sa] >= length
         hit = lcp.copy()
@@ -214,6 +224,10 @@ class Shard:
         """All window starts of the shard."""
         return np.repeat(self.begin, self.count) + np.arange(self.count.sum()) - np.repeat(np.cumsum(self.count) - self.count, self.count)
 
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 hash bits of the windows that begin at ``at``."""
+        return window_hashes(self.x, self.length, at)
+
 
 def merge_shards(shards: list[Shard]) -> None:
     """Mark windows that occur in several shards: each shard's windows, by 128 hash bits, are searched in the merged run of those before it."""
@@ -222,7 +236,7 @@ def merge_shards(shards: list[Shard]) -> None:
     for s in shards:
         at = s.starts()
         run = np.empty(len(at), seen.dtype)
-        run["a"], run["b"] = (_window_hashes(s.x, s.length, base)[at] for base in (_BASE, 0xD6E8FEB86659FD93))
+        run["a"], run["b"] = s.windows(at)
         runs.append((s, at, run))
         own = np.unique(run)
         pos = _find(seen, own)
@@ -257,21 +271,17 @@ def _key(col) -> F.Column:
     return F.unhex(F.md5(col.cast("binary")))
 
 
-def _worded(text: F.Column) -> F.Column:
-    """The words of a text with one space between them."""
-    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-
-
 def word_codes(raw: bytes) -> bytes:
-    """The codes of the words of a text, end to end."""
+    """The symbols of the words of a text, end to end."""
     return b"".join(map(xxhash.xxh3_64_digest, raw.split()))
 
 
 def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", code: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """(tkey, copies, begins, ends): per distinct text (tkey: its md5) with repeats how many rows have it, and the spans to remove (unmerged).
 
-    With ``code`` the bytes that it makes of a text are judged, and spans are places in them.
+    With ``code`` the symbols of CODE bytes that it makes of a text are judged, and spans are places among them.
     """
+    width = 1 if code is None else CODE
     texts = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +297,7 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
                 if code is not None:
                     coded = [code(bytes(mv[p:q])) for p, q in zip(rel, rel[1:])]
                     mv = memoryview(b"".join(coded))
-                    x, o = np.frombuffer(mv, np.uint8), np.concatenate(([0], np.cumsum([len(c) for c in coded])))
+                    x, o = np.frombuffer(mv, "<u8"), np.concatenate(([0], np.cumsum([len(c) // CODE for c in coded])))
                 first = np.zeros(hi - lo, bool)
                 for i, k in enumerate(keys):
                     if k not in seen:
@@ -300,7 +310,7 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
                 row, start, count, low, twice = row[keep], start[keep], count[keep], low[keep], twice[keep]
                 at = (o[row] - o[0] + start).tolist()
                 to = (o[row] - o[0] + start + count + length - 1).tolist()
-                digest = np.array([xxhash.xxh3_64_intdigest(mv[p:q]) for p, q in zip(at, to)], np.uint64)
+                digest = np.array([xxhash.xxh3_64_intdigest(mv[width * p : width * q]) for p, q in zip(at, to)], np.uint64)
                 bounds = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=hi - lo)))).astype(np.int32))
                 empty = pa.array(~first | (np.bincount(row, minlength=hi - lo) == 0))
 
@@ -321,12 +331,14 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
         return of.where("hashes is not null").select("tkey", "copies", zipped).select("tkey", "copies", F.col("z.hashes").alias("hash"), F.col("z.digests").alias("digest"), F.col("z.starts").alias("start"), F.col("z.counts").alias("windows"), F.col("z.twice").alias("twice"))
 
     kinds = write_table(places(table).groupBy("hash", "digest").agg(F.sum("copies").alias("times"), F.min(F.struct("tkey", "start", "windows", "twice")).alias("at")), "fragments")
-    shared = kinds.groupBy("hash").agg(F.count("*").alias("k"), F.max(F.col("at.twice") & (F.col("times") == 1)).alias("inside"))
-    shared = shared.where("k > 1 or inside").select("hash")
-    wanted = kinds.join(shared, "hash").select(F.col("at.tkey").alias("tkey"), F.struct("hash", "digest", "times", F.col("at.start").alias("start"), F.col("at.windows").alias("windows")).alias("f"))
+    sized = kinds.groupBy("hash").agg(F.count("*").alias("k"), F.max(F.col("at.twice") & (F.col("times") == 1)).alias("inside"), F.sum(F.col("at.windows") + F.lit(length - 1)).alias("all"))
+    shared = write_table(sized.where("k > 1 or inside").select("hash", F.ceil(F.col("all") / SPLIT).alias("tasks")), "shared")
+    wanted = kinds.join(shared, "hash").select(
+        F.col("at.tkey").alias("tkey"),
+        "tasks",
+        F.struct("hash", "digest", "times", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), F.pmod("digest", "tasks").alias("task")).alias("f"),
+    )
     long_enough = texts.where(F.octet_length("text") >= length) if code is None else texts
-    cuts = long_enough.select("text", _key(F.col("text")).alias("tkey")).join(wanted.groupBy("tkey").agg(F.collect_list("f").alias("f")).hint("shuffle_hash"), "tkey")
-
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # rows of one text come to one task
         for b in batches:
@@ -339,26 +351,31 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
                             seen.clear()
                         seen.add(k)
                         raw = raw if code is None else code(raw)
-                        out += [(f["hash"], f["digest"], f["times"], f["windows"], raw[f["start"] : f["start"] + f["windows"] + length - 1]) for f in fs]
-                cols = list(zip(*out)) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["hash", "digest", "times", "windows", "bytes"])
+                        out += [(f["hash"], f["digest"], f["times"], f["windows"], raw[width * f["start"] : width * (f["start"] + f["windows"] + length - 1)], f["task"]) for f in fs]
+                cols = list(zip(*out)) if out else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))], ["hash", "digest", "times", "windows", "bytes", "task"])
+
+    def cut_fragments(of: DataFrame) -> DataFrame:
+        """The bytes of one example of each fragment of ``of``."""
+        cuts = long_enough.select("text", _key(F.col("text")).alias("tkey")).join(of.groupBy("tkey").agg(F.collect_list("f").alias("f")).hint("shuffle_hash"), "tkey")
+        return cuts.select("tkey", "text", "f").mapInArrow(cut_out, "hash bigint, digest bigint, times bigint, windows int, bytes binary, task bigint")
 
-    dealt = cuts.select("tkey", "text", "f").mapInArrow(cut_out, "hash bigint, digest bigint, times bigint, windows int, bytes binary").repartition("hash").sortWithinPartitions("hash", "digest")
+    dealt = cut_fragments(wanted).repartition("hash", "task").sortWithinPartitions("hash", "task", "digest")
 
     def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["hash", "digest", "begins", "ends"]
 
         def solve(keys: list[list[tuple]]) -> pa.RecordBatch:
-            """``keys``: the fragments of whole hashes, or of one hash that is larger than a shard."""
+            """``keys``: the fragments of whole hashes, or of one hash that is larger than a shard (as far as this task has it)."""
             flat = [f for k in keys for f in k]
             cuts_, size, groups_ = [0], 0, []
             for i, f in enumerate(flat):
-                if size and size + len(f[4]) > SHARD * 1.5:
+                if size and size + len(f[4]) // width > SHARD * 1.5:
                     cuts_.append(i)
                     size = 0
-                size += len(f[4])
+                size += len(f[4]) // width
             for p, q in zip(cuts_, [*cuts_[1:], len(flat)]):
-                groups_.append((flat[p:q], Shard([f[4] for f in flat[p:q]], [f[3] for f in flat[p:q]], length)))
+                groups_.append((flat[p:q], Shard([f[4] for f in flat[p:q]], [f[3] for f in flat[p:q]], length, width)))
             if len(groups_) > 1:
                 merge_shards([s for _, s in groups_])
             out = []
@@ -380,9 +397,9 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
         for b in batches:
             for i in range(0, len(b), 1000):
                 for f in zip(*(c.to_pylist() for c in b.slice(i, 1000).columns)):
-                    if now and f[0] != now[-1][0]:
+                    if now and (f[0], f[5]) != (now[-1][0], now[-1][5]):
                         ready.append(now)
-                        size += sum(len(x[4]) for x in now)
+                        size += sum(len(x[4]) for x in now) // width
                         now = []
                         if size >= SHARD:
                             yield solve(ready)
@@ -396,7 +413,10 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
 
     found = dealt.mapInArrow(sort_shards, "hash bigint, digest bigint, begins array<int>, ends array<int>")
     whole = kinds.where("times > 1").select("hash", "digest", F.array(F.lit(0)).alias("begins"), F.array(F.lit(None).cast("int")).alias("ends"))
-    marks = write_table(found.unionByName(whole), "repeats")
+    marks = found.unionByName(whole)
+    if shared.where("tasks > 1").limit(1).count():
+        marks = marks.unionByName(_across_tasks(cut_fragments(wanted.where("tasks > 1")), length, width))
+    marks = write_table(marks, "repeats")
     hit = places(table.where("copies = 1")).join(marks, ["hash", "digest"]).select(
         "tkey",
         F.explode(F.arrays_zip("begins", "ends")).alias("z"),
@@ -409,6 +429,23 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
     return some.unionByName(many).select("tkey", "copies", F.col("s.b").alias("begins"), F.col("s.e").alias("ends"))
 
 
+def _across_tasks(pieces: DataFrame, length: int, width: int) -> DataFrame:
+    """(hash, digest, begins, ends): windows of ``pieces`` that pieces of another task have too."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, d, n, raw, task in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5))):
+                x = np.frombuffer(raw, np.uint8 if width == 1 else "<u8")
+                a, c = window_hashes(x, length, np.arange(n))
+                yield pa.RecordBatch.from_arrays([int64(a.view(np.int64)), int64(c.view(np.int64)), int64(np.full(n, h)), int64(np.full(n, d)), int64(np.full(n, task)), pa.array(np.arange(n, dtype=np.int32))], ["a", "b", "hash", "digest", "task", "at"])
+
+    windows = pieces.mapInArrow(each, "a bigint, b bigint, hash bigint, digest bigint, task bigint, at int")
+    table = write_table(windows, "windows")
+    both = table.groupBy("a", "b").agg(F.min("task").alias("low"), F.max("task").alias("high")).where("low < high").select("a", "b")
+    hit = table.join(both, ["a", "b"]).groupBy("hash", "digest").agg(F.sort_array(F.collect_set("at")).alias("begins"))
+    return hit.select("hash", "digest", "begins", F.transform("begins", lambda x: x + F.lit(length)).alias("ends"))
+
+
 def merge_spans(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Spans united where they touch or overlap, in order."""
     o = np.argsort(begins, kind="stable")
@@ -418,19 +455,18 @@ def merge_spans(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def word_spans(raw: bytes, begins: list[int], ends: list[int]) -> list[tuple[int, int]]:
-    """Spans of a text for spans of its words' codes: from the first whole word to the end of the last."""
+    """Spans of a text for spans of its words: from the start of the first to the end of the last."""
     at, out = [m.span() for m in _WORD.finditer(raw)], []
     for p, q in merge_spans(np.array(begins), np.array(ends)):
-        first, last = -(-p // CODE), q // CODE
-        if first < last:
-            out.append((at[first][0], at[last - 1][1]))
+        out.append((at[p][0], at[q - 1][1]))
     return out
 
 
-def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False, words: int | None = None) -> DataFrame:
-    """``keep`` columns, n_bytes, n_removed, n_spans, kept BINARY of every row.
+def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", keep: tuple[str, ...] = ("doc_id",), whole_characters: bool = False, words: int | None = None, cut_words: bool = True) -> DataFrame:
+    """``keep`` columns, n_bytes, n_removed, n_spans, n_in_runs, kept BINARY of every row.
 
-    With ``words``, repeats of that many words go too, however few bytes they have.
+    With ``words``, repeats of that many words go too, however few bytes they have;
+    without ``cut_words`` they stay and are only counted, in ``n_in_runs`` (their bytes).
     With ``whole_characters`` a span is shortened where it begins or ends inside a
     UTF-8 character, so what is kept is text.
     """
@@ -439,26 +475,25 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", k
     if words is None:
         marks = marks.select("tkey", "begins", "ends", F.lit(None).cast("array<int>").alias("word_begins"), F.lit(None).cast("array<int>").alias("word_ends"))
     else:
-        body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-        coded = repeated_spans(df.select(_worded(body).alias("text")), length=CODE * words, code=word_codes)
-        keys = df.select(_key(body).alias("tkey"), _key(_worded(body)).alias("wkey")).distinct()
-        coded = keys.join(coded.select(F.col("tkey").alias("wkey"), F.col("begins").alias("word_begins"), F.col("ends").alias("word_ends")), "wkey").drop("wkey")
+        coded = repeated_spans(df, length=words, text=text, code=word_codes).select("tkey", F.col("begins").alias("word_begins"), F.col("ends").alias("word_ends"))
         marks = marks.select("tkey", "begins", "ends").join(coded, "tkey", "full")
     joined = rows.join(marks, "tkey", "left").select("_text", "begins", "ends", "word_begins", "word_ends", *keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*keep, "n_bytes", "n_removed", "n_spans", "kept"]
+        names = [*keep, "n_bytes", "n_removed", "n_spans", "n_in_runs", "kept"]
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 b = batch.slice(i, 1000)
                 raws = byte_rows(b.column(0))
-                removed, spans_, kept = [0] * len(b), [0] * len(b), list(raws)
+                removed, spans_, runs, kept = [0] * len(b), [0] * len(b), [0] * len(b), list(raws)
                 marked = pc.or_(b.column(1).is_valid(), b.column(3).is_valid())
                 for j in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
                     raw, out, at, gone = raws[j], [], 0, 0
                     found = list(zip(b.column(1)[j].as_py() or [], b.column(2)[j].as_py() or []))
                     if b.column(3)[j].is_valid:
-                        found += word_spans(raw, b.column(3)[j].as_py(), b.column(4)[j].as_py())
+                        in_runs = word_spans(raw, b.column(3)[j].as_py(), b.column(4)[j].as_py())
+                        runs[j] = sum(q - p for p, q in in_runs)
+                        found += in_runs if cut_words else []
                     merged = merge_spans(np.array([p for p, _ in found], np.int64), np.array([q for _, q in found], np.int64))
                     for p, q in merged:
                         if whole_characters:
@@ -470,9 +505,9 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", k
                         gone += q - p
                         at = q
                     removed[j], spans_[j], kept[j] = gone, len(merged), b"".join([*out, raw[at:]])
-                yield pa.RecordBatch.from_arrays([*b.columns[5:], int64([len(x) for x in raws]), int64(removed), int64(spans_), pa.array(kept, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*b.columns[5:], int64([len(x) for x in raws]), int64(removed), int64(spans_), int64(runs), pa.array(kept, pa.binary())], names)
 
     schema = T.StructType([df.schema[c] for c in keep])
-    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())):
+    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("n_in_runs", T.LongType()), ("kept", T.BinaryType())):
         schema.add(name, kind)
     return joined.mapInArrow(cut, schema)
