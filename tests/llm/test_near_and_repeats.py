@@ -70,17 +70,97 @@ def test_long_lists_keep_every_group(spark):
 def test_triples_meet_every_four_positions():
     from itertools import combinations
 
-    assert len(simhash.NARROW.subsets) == 20 and len(simhash.WIDE.subsets) == 56
-    for index in (simhash.NARROW, simhash.WIDE):
+    assert len(simhash.NARROW.subsets) == 20 and len(simhash.CANDIDATES.subsets) == 120
+    for index in (simhash.NARROW, simhash.CANDIDATES):
         assert all(any(set(t) <= set(q) for t in index.subsets) for q in combinations(range(8 * index.longs), index.shared))
 
 
-def test_near_dedup_keeps_one_of_each_group(docs, rows):
-    kept = simhash.near_dedup(docs, words=5).collect()
-    fps = [slow_simhash(t, 5, True) for _, t in rows]
-    want = {g for g in grouped(rows, fps, 22, 3) if g is not None}
-    ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
-    assert sorted(ids) == sorted(want) and kept[0].__fields__ == docs.columns
+def shingle_set(text, k=5):
+    w = (text or "").encode().translate(ASCII_LOWER).split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def alike_groups(rows, similarity=0.8):
+    """The smallest position of each row's group by all pairs of shingle sets."""
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= similarity * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(rows))]
+
+
+def test_one_row_of_every_alike_group(docs, rows):
+    kept = simhash.one_of_each_group(docs).collect()
+    assert kept[0].__fields__ == docs.columns
+    want = {}
+    for (d, t), g in zip(rows, alike_groups(rows)):
+        want.setdefault(g, set()).add((d is None, d or 0))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(min(x) for x in want.values())
+
+
+def test_verified_links_connect_as_all_links_do():
+    rng = random.Random(2)
+    for trial in range(30):
+        base = rng.sample(range(10**6), 40)
+        sets = []
+        for _ in range(25):
+            x = set(base)
+            for y in rng.sample(base, rng.randrange(0, 12)):
+                x.discard(y)
+                x.add(rng.randrange(10**6))
+            sets.append(np.array(sorted(x), np.uint64))
+        sets += [np.zeros(0, np.uint64)] * 2
+        side = np.array([rng.randrange(2) for _ in sets])
+        fps = np.zeros((len(sets), 2), np.uint64)
+        for across in (False, True):
+            if across and len(set(side)) < 2:
+                continue
+            root = list(range(len(sets)))
+            for i in range(len(sets)):
+                for j in range(i):
+                    a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                    if (a == b or len(a & b) >= 0.8 * len(a | b)) and (not across or side[i] != side[j]):
+                        root = [root[j] if r == root[i] else r for r in root]
+            got = list(range(len(sets)))
+            links, label = simhash.verified_links(side, fps, sets, 0.8, across)
+            assert len(set(zip(root, label.tolist()))) == len(set(root)) == len(set(label.tolist()))
+            for i, j in links:
+                assert got[i] != got[j] and (not across or side[i] != side[j])
+                got = [got[j] if r == got[i] else r for r in got]
+            assert len(set(zip(root, got))) == len(set(root)) == len(set(got))
+
+
+def test_near_groups_find_links_of_0_8_and_no_others(spark, monkeypatch):
+    """Recall of pairs of 0.8 and more is 0.9 at least, no text is in a group without such a link; blocks change nothing."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    rows = []
+    for i in range(80):
+        w = [rng.choice(words) for _ in range(200)]
+        rows.append(" ".join(w))
+        for _ in range(rng.randrange(1, 12)):  # a chain of edits, and edits of one text
+            v = w if i % 2 else list(w)
+            for k in rng.sample(range(200), rng.randrange(1, 10)):
+                v[k] = rng.choice(words)
+            rows.append(" ".join(v))
+    rows = list(enumerate(rows))
+    named = spark.createDataFrame(rows, "row long, text string").repartition(3)
+    got = {r["row"]: r["group"] for r in simhash.near_groups(named).collect()}
+    truth = alike_groups(rows)
+    assert all(truth[i] == truth[g] for i, g in got.items())
+    pairs = [(i, j) for i, a in rows for j, b in rows[max(0, i - 12) : i] for x, y in [(shingle_set(a), shingle_set(b))] if len(x & y) >= 0.8 * len(x | y)]
+    assert len(pairs) > 100 and np.mean([got[i] == got[j] for i, j in pairs]) > 0.95
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0)
+    assert {r["row"]: r["group"] for r in simhash.near_groups(named).collect()} == got
 
 
 def slow_repeats(rows, length):
@@ -104,6 +184,23 @@ def test_repeats_equal_brute_force(docs, rows, length, shard, monkeypatch):
     assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest())) for r in got) == slow_repeats(rows, length)
 
 
+def test_hashes_of_many_fragments_are_dealt_over_tasks(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffixes, "SPLIT", 900)
+    got = suffixes.remove_repeats(docs, length=60, keep=("doc_id",)).collect()
+    assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest())) for r in got) == slow_repeats(rows, 60)
+
+
+def test_shards_of_words():
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(120)]
+    for _ in range(10):
+        parts = [np.array([x if rng.random() < 0.97 else rng.getrandbits(64) for x in base[a : a + 60]], "<u8") for a in (rng.randrange(50) for _ in range(6))]
+        counts = [len(p) - 8 for p in parts]
+        seen = Counter(p[i : i + 9].tobytes() for p, n in zip(parts, counts) for i in range(n))
+        s = suffixes.Shard([p.tobytes() for p in parts], counts, 9, 8)
+        assert [s.repeated[b : b + n].tolist() for b, n in zip(s.begin, s.count)] == [[seen[p[i : i + 9].tobytes()] > 1 for i in range(n)] for p, n in zip(parts, counts)]
+
+
 def test_shards_and_their_merge():
     rng = random.Random(1)
     for trial in range(20):
@@ -140,22 +237,6 @@ def test_nothing_and_nulls(none, nulls):
     assert {r["component_id"] for r in simhash.groups(nulls).collect()} == {1}
 
 
-def test_wide_index_finds_texts_that_are_alike(spark):
-    """Of texts with a few words changed (similarity 0.8 and more), nearly all meet their originals; other texts do not."""
-    rng = random.Random(8)
-    words = [bytes(rng.choice(b"abcdefghij") for _ in range(6)).decode() for _ in range(4000)]
-    rows = []
-    for i in range(120):
-        w = [rng.choice(words) for _ in range(300)]
-        rows.append((2 * i, " ".join(w)))
-        for k in rng.sample(range(300), 4):  # 20 of 296 shingles differ at most: similarity 0.87 and more
-            w[k] = rng.choice(words)
-        rows.append((2 * i + 1, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(df, words=5, index=simhash.WIDE).collect()}
-    assert all(got[2 * i] == 2 * i for i in range(120)) and sum(got[2 * i + 1] == 2 * i for i in range(120)) >= 110
-
-
 def test_repeats_of_few_bytes_and_many_words(spark):
     """Runs of 51 words go, whatever their bytes and the white space inside; runs of 50 words stay."""
     rng = random.Random(11)
@@ -185,45 +266,38 @@ def test_repeats_of_few_bytes_and_many_words(spark):
         gone = {k for j in range(len(t) - 50) if seen[tuple(t[j : j + 51])] > 1 for k in range(j, j + 51)}
         want = [w for k, w in enumerate(t) if k not in gone and w != long[0]]
         assert got[i].decode().split() == want
+    counted = {r["doc_id"]: r for r in suffixes.remove_repeats(df, length=400, words=51, cut_words=False).collect()}
+    plain = {r["doc_id"]: r for r in suffixes.remove_repeats(df, length=400).collect()}
+    text = dict(rows)
+    for i, t in enumerate(texts):
+        gone = {k for j in range(len(t) - 50) if seen[tuple(t[j : j + 51])] > 1 for k in range(j, j + 51)}
+        assert counted[i]["kept"] == plain[i]["kept"] and (counted[i]["n_in_runs"] > 0) == bool(gone) and counted[i]["n_in_runs"] <= len(text[i].encode())
 
 
-def test_whole_index_finds_every_link(spark):
-    """Links of up to 22 bits meet wherever the bits are, also where hardly a byte is shared; 23 bits are no link."""
+def test_candidates_are_found_by_two_shared_bytes(spark):
+    """Fingerprints of up to 26 differing bits and 2 shared bytes are linked; others are not."""
     rng = random.Random(12)
-    fps, pairs = [], []
-    for i in range(400):
+    fps = []
+    for i in range(300):
         x = rng.getrandbits(128)
-        n = 23 if i % 4 == 3 else rng.randrange(17, 23)
-        spread = [8 * b + rng.randrange(8) for b in range(16)]
-        bits = rng.sample(range(128), n) if i % 2 else rng.sample(spread, 16) + rng.sample(sorted(set(range(128)) - set(spread)), n - 16)
-        y = x ^ sum(1 << b for b in bits)
-        pairs.append((x, y, n))
-        fps += [x, y]
-    fps += [pairs[0][0] & ~0xFFFF | v for v in range(64)]  # long lists
+        touched = rng.sample(range(16), 15 if i % 3 == 0 else rng.randrange(4, 15))
+        bits = rng.sample([8 * b + k for b in touched for k in range(8)], rng.choice([8, 18, 26, 27]))
+        fps += [x, x ^ sum(1 << b for b in bits)]
+    fps += [fps[0] & ~0xFFFF | v for v in range(64)]  # long lists
+    distinct = sorted(set(fps))
 
     def signed(x):
-        return [v - 2**64 if v >> 63 else v for v in (x >> 64, x & (2**64 - 1))]
-
-    df = spark.createDataFrame([tuple(signed(f)) for f in set(fps)], "f0 long, f1 long")
-    found = {frozenset(((r["a0"], r["a1"]), (r["b0"], r["b1"]))) for r in simhash.links(df, simhash.WHOLE).collect()}
-    assert all((frozenset((tuple(signed(x)), tuple(signed(y)))) in found) == (n <= 22) for x, y, n in pairs[1:])
-    distinct = sorted(set(fps))
-    names = {tuple(signed(f)): f for f in distinct}
-    root = {f: f for f in distinct}
-
-    def top(f):
-        while root[f] != f:
-            f = root[f]
-        return f
-
-    for a, b in map(tuple, found):
-        assert (names[a] ^ names[b]).bit_count() <= 22
-        root[top(names[a])] = top(names[b])
-    want = grouped([(i, None) for i in range(len(distinct))], distinct, 22)
-    parts = {}
-    for f, w in zip(distinct, want):
-        parts.setdefault(top(f), set()).add(w)
-    assert all(len(p) == 1 for p in parts.values()) and len(parts) == len(set(want))
+        return tuple(v - 2**64 if v >> 63 else v for v in (x >> 64, x & (2**64 - 1)))
+
+    found = simhash.links(spark.createDataFrame([signed(f) for f in distinct], "f0 long, f1 long"), simhash.CANDIDATES).collect()
+    names = {signed(f): i for i, f in enumerate(distinct)}
+    root = list(range(len(distinct)))
+    for r in found:
+        i, j = names[r["a0"], r["a1"]], names[r["b0"], r["b1"]]
+        assert (distinct[i] ^ distinct[j]).bit_count() <= 26
+        root = [root[j] if x == root[i] else x for x in root]
+    want = grouped([(i, None) for i in range(len(distinct))], distinct, 26, 2)
+    assert len(set(zip(root, want))) == len(set(root)) == len(set(want))
 
 
 def test_one_row_of_every_group_with_repeated_and_null_keys(spark):

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import prose
-from tests.llm.test_near_and_repeats import grouped, slow_simhash
+from tests.llm.test_near_and_repeats import alike_groups
 from tests.llm.test_scans_and_scores import WORD, lower
 
 
@@ -49,7 +49,7 @@ def test_stages_against_brute_force(spark, folder):
     assert near.columns == docs.columns
     given = sorted(kept.items())
     ids = {r["doc_id"] for r in near.collect()}
-    assert ids == set(grouped(given, [slow_simhash(t, 5, True) for _, t in given], 22, 3))
+    assert ids == {given[g][0] for g in alike_groups(given)}
     cut = steps["suffix-array dedup"](spark, near, folder)
     assert cut.columns == docs.columns and cut.schema == docs.schema
     raws = {i: (kept[i] or "").encode() for i in ids}

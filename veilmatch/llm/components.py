@@ -1,6 +1,6 @@
 """Connected components of link tables by alternating large and small stars.
 
-Every round is two joins and two aggregations over the links and ends in a
+Every round is two joins and three aggregations over the links and ends in a
 written table, so lineage stays short and no link reaches the driver; the driver
 sees one checksum per round.  A node of very many links is a skewed join key,
 which adaptive execution splits.
@@ -17,19 +17,14 @@ from veilmatch.llm.common import drop_table, write_table
 ROUNDS = 60
 
 
-def _star(both: DataFrame, large: bool) -> DataFrame:
-    """One star over symmetric links (u, v): link neighbours to the smallest node around ``u``."""
-    if large:
-        low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        return both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    down = both.where("v < u")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return linked.unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-
-
-def _both(links: DataFrame) -> DataFrame:
-    return links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+def _round(now: DataFrame) -> DataFrame:
+    """A large and a small star over links (a, b) with a > b: neighbours above a node, then those below it, are linked to the smallest node around it."""
+    both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,8 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     now = write_table(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     for _ in range(ROUNDS):
-        stars = _star(_both(_star(_both(now), True).where("a <> b").distinct()), False).where("a <> b").distinct()
-        new = write_table(stars, "links")
+        new = write_table(_round(now), "links")
         drop_table(now)
         now = new
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.min("a"), F.max("b")).first()
@@ -50,4 +44,6 @@ def components(links: DataFrame) -> DataFrame:
         seen = mark
     else:
         raise RuntimeError("components did not converge")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out._veil_path = now._veil_path  # type: ignore[attr-defined]  # for drop_table()
+    return out

@@ -10,20 +10,23 @@ of the input.)
 
 * ``NARROW``: 64 bits, links of at most 4 bits.  They touch at most 4 of 8 bytes, so
   4 are shared for certain, and any 4 of 8 positions include one of 20 triples.
-* ``WIDE``: 128 bits, links of at most 22 bits, which is where texts of a shingle
-  similarity of 0.8 lie (19 bits in the mean).  At least 3 shared bytes of 16 meet
-  in one of 56 pairs; texts that are 0.9 alike share 6 or 7 in the mean.  22 bits may
-  touch more than 13 bytes, so some links of 17 bits and more are not found.
-* ``WHOLE``: the links of ``WIDE`` without loss, for the pipeline.  22 bits over 8
-  positions of 16 bits leave one with at most 2 differing bits.  A fingerprint is
-  listed under each position's value and its 16 neighbours of one bit, and values
-  two bits apart have a neighbour in common, so each link meets in a list.  (No
-  number of equal bytes is certain at 22 bits, so none is asked for.)
+* ``CANDIDATES``: 128 bits, links of at most 26 bits that share at least 2 of 16
+  bytes; all 120 pairs of positions are lists, so any 2 shared bytes meet.  This
+  index only finds candidates: texts of a shingle similarity of 0.8 differ in 19 bits
+  in the mean (standard deviation 4) and share 2 bytes or more 19 times of 20; the
+  similarity itself is then computed from the shingles (near_groups()).
 
 Equal fingerprints are one entry of the index, however many documents have them.
 A long list is not turned into pairs: it is searched from one entry to all that
 are still unreached, and only the links that reach a new entry are kept, which
 leaves the groups unchanged.
+
+near_groups() solves what candidate links connect.  Texts of one connected cluster
+are dealt to blocks of about ``BLOCK`` texts or ``BLOCK_BYTES`` (nearly always one), each pair of blocks is one group of rows,
+and in it texts are compared by their sets of shingles unless they are connected
+already or their fingerprints differ in more than ``FAR`` bits (which texts of 0.8
+do less than once in a thousand times).  Only links that connect something new
+leave a group, so neither a list nor a cluster is turned into its pairs.
 """
 
 from __future__ import annotations
@@ -38,28 +41,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmatch.llm.common import ASCII_LOWER, byte_rows, int64, write_table
+from veilmatch.llm.common import ASCII_LOWER, byte_rows, drop_table, int64, write_table
 from veilmatch.llm.components import components
 
 WORDS = 4
 SEED = 42
 #: Lists of up to this many entries are compared pair by pair, longer ones are searched.
 SHORT_LIST = 8
+#: Texts of a block of a cluster and bytes of their shingles; bits beyond which no two texts are compared.
+BLOCK, BLOCK_BYTES, FAR = 2048, 32_000_000, 36
+#: What is sent to every task: up to so many bytes, at so many a row at most (digests and fingerprints; keys of usual size).
+BROADCAST_BYTES, ROW_BYTES = 32_000_000, 200
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(-1).view(np.uint64)
 
 
 @dataclass(frozen=True)
 class Index:
-    """``longs`` 64-bit words a fingerprint; links of at most ``distance`` bits; lists by ``subsets`` of byte positions that meet every ``shared`` positions.
-
-    With ``near``, a list also holds fingerprints whose bytes of the subset differ in one bit from its own.
-    """
+    """``longs`` 64-bit words a fingerprint; links of at most ``distance`` bits; lists by ``subsets`` of byte positions that meet every ``shared`` positions."""
 
     longs: int
     distance: int
     shared: int
     subsets: tuple[tuple[int, ...], ...]
-    near: bool = False
 
     @property
     def columns(self) -> list[str]:
@@ -75,14 +78,8 @@ def _triples() -> tuple[tuple[int, ...], ...]:
     return tuple(sorted(out))
 
 
-def _pairs() -> tuple[tuple[int, ...], ...]:
-    """Pairs of 16 positions such that any 3 positions include one: both in one half."""
-    return tuple(p for half in (range(8), range(8, 16)) for p in combinations(half, 2))
-
-
 NARROW = Index(1, 4, 4, _triples())
-WIDE = Index(2, 22, 3, _pairs())
-WHOLE = Index(2, 22, 0, tuple((i, i + 1) for i in range(0, 16, 2)), near=True)
+CANDIDATES = Index(2, 26, 2, tuple(combinations(range(16), 2)))
 
 
 def simhash(raw: bytes, words: int = WORDS, longs: int = 1) -> bytes:
@@ -125,17 +122,17 @@ def _close(x: np.ndarray, index: Index) -> np.ndarray:
 
 
 def _linked_only(x: np.ndarray, index: Index) -> np.ndarray:
-    """Rows of a long list that have a link in it; lists of neighbouring values hold few of them."""
+    """Rows of a list that have a link in it; of lists that are long because the table is, few have."""
     step = max(1, 65536 // len(x))
     if step < 16:  # one at a time is as fast
         return x
-    rows = [np.bitwise_count(x[i : i + step, None, 0] ^ x[None, :, 0]) + np.bitwise_count(x[i : i + step, None, 1] ^ x[None, :, 1]) for i in range(0, len(x), step)]
+    rows = [sum(np.bitwise_count(x[i : i + step, None, w] ^ x[None, :, w]).astype(np.int16) for w in range(index.longs)) for i in range(0, len(x), step)]
     return x[np.concatenate([(r <= index.distance).sum(1) for r in rows]) > 1]
 
 
 def _search(x: np.ndarray, index: Index) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect a long list as all its links would."""
-    out, left = [], _linked_only(x, index) if index.near else x
+    out, left = [], _linked_only(x, index)
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -177,8 +174,6 @@ def links(fps: DataFrame, index: Index = NARROW) -> DataFrame:
 
     keys = [sum((byte(i) * F.lit(256**k) for k, i in enumerate(t)), F.lit(m * 256 ** len(t))).cast("int") for m, t in enumerate(index.subsets)]
     lists = F.array(*keys)
-    if index.near:  # the value, and its neighbours of one bit
-        lists = F.flatten(F.transform(lists, lambda key: F.array(key, *[key.bitwiseXOR(F.lit(1 << i)) for i in range(8 * len(index.subsets[0]))])))
     posted = fps.select(*columns, F.explode(lists).alias("key")).repartition("key").sortWithinPartitions("key")
     names = [f"{side}{i}" for side in "ab" for i in range(n)]
 
@@ -218,26 +213,148 @@ def groups(df: DataFrame, *, words: int = WORDS, index: Index = NARROW, text: st
     return rows.join(named, columns).select(F.col("_key").alias(key), *columns, "component_id")
 
 
-def near_dedup(df: DataFrame, *, words: int = 5, index: Index = WIDE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All columns of one row of each group: the one of the smallest key (of repeated keys, one with the smallest text)."""
-    kept = groups(df, words=words, index=index, text=text, key=key).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_kept")).distinct()
-    rows = df.join(write_table(kept, "kept"), F.col(key).eqNullSafe(F.col("_kept"))).drop("_kept")
-    body = F.col(text).cast("string")
-    order = Window.partitionBy(key).orderBy(F.xxhash64(body), body)
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+def shingles(raw: bytes, words: int) -> np.ndarray:
+    """The set of hashed shingles of a text, sorted; of fewer words, the one of all; without words, none."""
+    parts = raw.translate(ASCII_LOWER).split()
+    n = len(parts)
+    if n <= words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)] if n else [], np.uint64)
+    line = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    both = zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist())
+    return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in both], np.uint64))
+
+
+def alike(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``others`` have at least this Jaccard similarity with ``one``; all are sorted sets.  Two empty sets are alike."""
+    sizes = np.array([len(x) for x in others], np.int64)
+    if not len(one):
+        return sizes == 0
+    out = np.zeros(len(others), bool)
+    near = np.flatnonzero((sizes >= similarity * len(one)) & (len(one) >= similarity * sizes) & (sizes > 0))
+    if len(near):
+        flat = np.concatenate([others[i] for i in near.tolist()])
+        hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes[near])[:-1])), dtype=np.int64)
+        # both / union >= similarity, with what floats lose on exact ties given back
+        out[near] = both * (1 + 1e-12) >= similarity * (len(one) + sizes[near] - both)
+    return out
 
 
-def one_of_each_group(df: DataFrame, *, words: int = 5, index: Index = WHOLE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All columns of one row of each group: the smallest key (null last), of equal keys the one of the smallest text digest.
+def verified_links(side: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, across: bool) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links, one member of each text's group): links between texts that connect them as all links would; with ``across``, only links between the two sides count."""
+    n = len(sets)
+    label, out = np.arange(n), []
+    first = np.flatnonzero(side == side.min()) if across else np.arange(n)
+    rest = np.flatnonzero(side != side.min()) if across else None
+    for i in first.tolist():
+        left = rest if across else np.arange(i + 1, n)
+        left = left[label[left] != label[i]]
+        left = left[np.bitwise_count(fps[left] ^ fps[i]).sum(1, dtype=np.int64) <= FAR]
+        if len(left):
+            for j in left[alike(sets[i], [sets[k] for k in left.tolist()], similarity)].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out, label
+
+
+def near_groups(named: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(row, group) of each distinct ``row`` of ``named`` (row: any orderable type, text STRING): ``group`` is the smallest row that verified links reach.
+
+    A row must always have the same text.  Texts that are equal in words (A-Z in
+    lower case, white space aside) are one text; texts without words are one too.
+    """
+    row_type = named.schema["row"].dataType.simpleString()
 
-    Unlike near_dedup(), which keeps one row of each key, rows of different groups
-    never meet, also where keys are repeated or null.
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws = byte_rows(b.column(1))
+            got = np.frombuffer(b"".join([simhash(x, words, 2) for x in raws]), ">i8").reshape(-1, 2)
+            lines = [b" ".join(x.translate(ASCII_LOWER).split()) for x in raws]
+            same = [xxhash.xxh3_128_digest(x) for x in lines]
+            n = [x.count(b" ") + 1 for x in lines]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), int64(n), int64(got[:, 0]), int64(got[:, 1])], ["row", "same", "n", "f0", "f1"])
+
+    rows = write_table(named.select("row", "text").mapInArrow(prints, f"row {row_type}, same binary, n bigint, f0 bigint, f1 bigint"), "prints")
+    texts = write_table(rows.groupBy("same").agg(F.min("row").alias("low"), *(F.first(c).alias(c) for c in ("n", "f0", "f1"))), "texts")
+    close = links(texts.select("f0", "f1").distinct(), CANDIDATES)
+    spot = components(close.select(F.struct(F.col("a0").alias("f0"), F.col("a1").alias("f1")).alias("a"), F.struct(F.col("b0").alias("f0"), F.col("b1").alias("f1")).alias("b")))
+    placed = texts.join(spot.select("node.*", "root"), ["f0", "f1"], "left").select("same", "low", "n", "f0", "f1", F.coalesce("root", F.struct("f0", "f1")).alias("cluster"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    large = placed.groupBy("cluster").agg(F.count("*").alias("size"), blocks.alias("blocks")).where("size > 1")
+    open_texts = write_table(placed.join(large, "cluster").select("low", "same", "f0", "f1", "cluster", "blocks"), "clusters")
+    n, most = open_texts.agg(F.count("*"), F.max("blocks")).first()
+    looked = F.broadcast(open_texts) if n * ROW_BYTES <= BROADCAST_BYTES else open_texts
+    found = named.join(looked, F.col("row").eqNullSafe(F.col("low")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["c0", "c1", "blocks", "same", "f0", "f1", "set"]
+        for b in batches:
+            for i in range(0, len(b), 500):
+                part = b.slice(i, 500)
+                got = [shingles(x, words).tobytes() for x in byte_rows(part.column(6))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(6)), pa.array(got, pa.binary())], names)
+
+    body = found.select(F.col("cluster.f0").alias("c0"), F.col("cluster.f1").alias("c1"), "blocks", "same", "f0", "f1", "text")
+    own = F.pmod(F.xxhash64("same"), "blocks").cast("int")
+    dealt = (
+        body.mapInArrow(sets, "c0 bigint, c1 bigint, blocks int, same binary, f0 bigint, f1 bigint, set binary")
+        .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("c0", "c1", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("blocks") > 1).alias("part"), "own", "same", "f0", "f1", "set")
+        .repartition("c0", "c1", "p", "q")
+        .sortWithinPartitions("c0", "c1", "p", "q", "same")
+    )
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ended(group: list[tuple]) -> pa.RecordBatch:
+            once = [x for x, before in zip(group, [None, *group]) if before is None or x[1] != before[1]]  # repeated rows
+            got: list[tuple[int, int]] = []
+            if len(once) > 1:
+                got, label = verified_links(np.array([x[0] for x in once]), np.array([x[2:4] for x in once], np.int64).view(np.uint64), [np.frombuffer(x[4], np.uint64) for x in once], similarity, key[2] != key[3])
+                if not key[4]:  # a whole cluster: its groups are final
+                    got = [(i, j) for i, j in enumerate(label.tolist()) if i != j]
+            return pa.RecordBatch.from_arrays([pa.array([once[i][1] for i, _ in got], pa.binary()), pa.array([once[j][1] for _, j in got], pa.binary()), pa.array([key[4]] * len(got), pa.bool_())], ["a", "b", "part"])
+
+        key, group = None, []
+        for b in batches:
+            for i in range(0, len(b), 1000):
+                cols = [c.to_pylist() for c in b.slice(i, 1000).columns]
+                for row in zip(*cols):
+                    if row[:5] != key:
+                        if len(group) > 1:
+                            yield ended(group)
+                        key, group = row[:5], []
+                    group.append(row[5:])
+        if len(group) > 1:
+            yield ended(group)
+
+    solved = write_table(dealt.mapInArrow(solve, "a binary, b binary, part boolean"), "solved")
+    root, tables = solved.where("not part").select(F.col("a").alias("node"), F.col("b").alias("root")), [open_texts, spot, solved]
+    if most and most > 1:
+        linked_parts = components(solved.where("part").select("a", "b"))
+        root, tables = root.unionByName(linked_parts), [*tables, linked_parts]
+    out = texts.join(root, texts["same"] == root["node"], "left").select(texts["same"], "low", F.coalesce("root", texts["same"]).alias("team"))
+    lows = write_table(out.groupBy("team").agg(F.min("low").alias("group")).join(out, "team").select("same", "group"), "groups")
+    for table in tables:
+        drop_table(table)
+    result = rows.join(lows, "same").select("row", "group").distinct()
+    result._veil_tables = (rows, texts, lows)  # type: ignore[attr-defined]
+    return result
+
+
+def one_of_each_group(df: DataFrame, *, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """All columns of one row of each group of near_groups(): the smallest key (null last), of equal keys the one of the smallest text digest.
+
+    Rows of different groups never meet, also where keys are repeated or null.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.md5(body.cast("binary")).alias("digest"))
-    named = df.select(name.alias("row"), body.alias("text"))
-    low = groups(named, words=words, index=index, key="row").where(F.col("row").eqNullSafe(F.col("component_id"))).select("row").distinct()
-    kept = write_table(low.select(F.col("row.id").alias("_kept"), F.col("row.digest").alias("_digest")), "kept")
-    rows = df.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (F.md5(body.cast("binary")) == F.col("_digest")))
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.md5(body).alias("digest"))
+    found = near_groups(df.select(name.alias("row"), body.alias("text")), words=words, similarity=similarity)
+    kept = write_table(found.select("group").distinct().select(F.col("group.id").alias("_kept"), F.col("group.digest").alias("_digest")), "kept")
+    for table in found._veil_tables:  # type: ignore[attr-defined]
+        drop_table(table)
+    rows = df.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (F.md5(body) == F.col("_digest")))
     order = Window.partitionBy("_kept", "_digest").orderBy(F.col(text).isNull())
     return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_kept", "_digest")
