@@ -5,9 +5,9 @@ as Parquet and read again as the next stage's ``docs``.  All but the last return
 the columns they got, extra ones included.
 
 1. quality classifier: documents that score below 0.5 go.
-2. SimHash near-dedup: five-word shingles, 128-bit fingerprints, links of at most
-   22 differing bits without exception, which estimates a similarity of 0.8; one
-   document of each group stays, that of the smallest doc_id (null last).
+2. SimHash near-dedup: candidates by 128-bit fingerprints of five-word shingles, links
+   where the sets of shingles have a similarity of 0.8 or more; one document of each
+   group stays, that of the smallest doc_id (null last).
 3. suffix-array dedup: repeated strings of 51 words, and of 400 bytes (in whole
    characters), are cut, ``n_chars`` follows; a document of which nothing is left goes.
 4. benchmark decontamination: documents that hold a window of an item go.
