@@ -19,12 +19,16 @@ def share_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where none is named (tests, local runs)."""
+    """The folder that spark.checkpoint.dir or setCheckpointDir() names; a temporary one only in local sessions that name none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = named.get() if named.isDefined() else None
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="veilmatch-")
         spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
