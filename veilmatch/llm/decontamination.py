@@ -6,10 +6,12 @@ consecutive words of a benchmark item; an item of fewer words is one window.
 1. Fingerprints.  In every window the smallest hash of ``GRAM`` neighbouring
    words is kept, for documents and items alike, so any shared window shares one.
    The first pass lowers all letters (a coarser match that loses nothing).
+   Fingerprints of all window lengths come from one scan of the documents.
 2. Documents and items that share a fingerprint are pairs.  The item side is
-   broadcast while it has at most ``BROADCAST_ROWS`` rows; else the join shuffles.
+   broadcast while it has at most ``BROADCAST_BYTES``; else the join shuffles.
 3. Extension.  For each pair all windows of the item are looked up in the
-   document, now with exact words; the words inside occurrences are hit.
+   document, now with exact words; the words inside occurrences are hit.  A row
+   holds one document and one item, however many items a document meets.
 
 Null texts have no words; documents and items without words match nothing.
 Repeated rows get the same result each; ids may be null.  All found items without
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 GRAM = 5
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,17 +59,23 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprints(df: DataFrame, window: int, *, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``fp``: one row per kept fingerprint of rows with at least ``window`` words."""
-    gram = min(GRAM, window)
+def fingerprints(df: DataFrame, windows: list[int], *, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns, ``window`` and ``fp``: one row per kept fingerprint of rows with at least ``window`` words, for each of these lengths."""
     hashed = df.select(*keep, F.transform(coarse_words(F.col(text)), lambda w: F.xxhash64(w)).alias("_h"))
-    grams = hashed.select(*keep, F.when(F.size("_h") >= window, _grams("_h", gram)).alias("_g"))  # no filter: it would compute the words twice
-    width = window - gram + 1
-    return grams.select(*keep, F.explode(F.array_distinct("_g") if width == 1 else _smallest("_g", width)).alias("fp"))
+    sizes = sorted({min(GRAM, w) for w in windows})
+    grams = hashed.select(*keep, F.size("_h").alias("_n"), *(F.when(F.size("_h") >= g, _grams("_h", g)).alias(f"_g{g}") for g in sizes))  # no filter: it would compute the words twice
 
+    def kept(window: int) -> Column:
+        gram = min(GRAM, window)
+        own = F.array_distinct(f"_g{gram}") if window == gram else _smallest(f"_g{gram}", window - gram + 1)
+        found = F.transform(own, lambda x: F.struct(F.lit(window).alias("window"), x.alias("fp")))
+        return F.when(F.col("_n") >= window, found).otherwise(F.array().cast("array<struct<window:int,fp:bigint>>"))
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return grams.select(*keep, F.explode(F.concat(*map(kept, windows))).alias("_f")).select(*keep, "_f.*")
+
+
+def _bounded(df: DataFrame, size: int | None) -> DataFrame:
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
 def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -83,19 +91,16 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: st
     sizes = [r[0] for r in b.groupBy("_len").agg(F.count("*")).orderBy("_len").collect()]  # at most `window` numbers
     if not sizes:
         return d.where("false").select(F.col("_key").alias(key), "_th", F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    pairs = []
-    for n in sizes:
-        own = fingerprints(b.where(F.col("_len") == n), n, text="_text", keep=["_ik"]).groupBy("fp").agg(F.collect_set("_ik").alias("_items"))
-        pairs.append(fingerprints(d, n, text="_text", keep=["_key", "_th"]).join(_bounded(own, own.count()), "fp").select("_key", "_th", F.explode("_items").alias("_ik")))
-    pairs_all = reduce(DataFrame.unionByName, pairs).distinct()
+    own = reduce(DataFrame.unionByName, [fingerprints(b.where(F.col("_len") == n), [n], text="_text", keep=["_ik"]) for n in sizes]).distinct()
+    theirs = fingerprints(d, sizes, text="_text", keep=["_key", "_th"])
+    pairs = theirs.join(_bounded(own, 40 * own.count()), ["window", "fp"]).select("_key", "_th", "_ik").distinct()
 
     at = F.sequence(F.lit(0), F.size("_w") - F.col("_len"))
     strings = F.transform(at, lambda i: F.array_join(F.slice(F.col("_w"), i + 1, F.col("_len")), " "))
     windows = b.select("_ik", "_item", "_len", F.array_distinct(strings).alias("_windows"))
-    found = pairs_all.join(_bounded(windows, windows.count()), "_ik")
-    wanted = found.groupBy("_key", "_th").agg(F.collect_list(F.struct("_item", "_len", "_windows")).alias("_f"))
-    both = d.join(wanted.select(F.col("_key").alias("_k"), F.col("_th").alias("_t"), "_f").hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_t")))
-    rows = both.select("_key", "_th", "_text", F.explode("_f").alias("_i"))
+    size = windows.agg(F.sum(F.octet_length(F.array_join("_windows", " ")) + 16 * F.size("_windows") + 100)).first()[0]
+    both = d.join(pairs.select(F.col("_key").alias("_k"), F.col("_th").alias("_t"), "_ik").hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_t")))
+    rows = both.join(_bounded(windows, size), "_ik").select("_key", "_th", "_text", F.struct("_item", "_len", "_windows").alias("_i"))
 
     def places(words: Column) -> Column:
         """Where windows of the item start in ``words``."""
@@ -106,14 +111,14 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: st
 
     inside = F.flatten(F.transform(_let(exact_words(F.col("_text")), places), lambda p: F.sequence(p, p + F.col("_i._len") - 1)))
     hit = rows.select("_key", "_th", F.col("_i._item").alias("_item"), F.array_distinct(inside).alias("_hit"))
-    every = hit.groupBy("_key", "_th").agg(
-        F.array_distinct(F.flatten(F.collect_list("_hit"))).alias("hit"),
+    every = hit.select("_key", "_th", "_item", F.explode("_hit").alias("_place")).groupBy("_key", "_th").agg(
+        F.collect_set("_place").alias("hit"),
         F.concat(
-            F.sort_array(F.collect_set(F.when(F.size("_hit") > 0, F.col("_item")))),
-            F.when(F.bool_or((F.size("_hit") > 0) & F.col("_item").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")),
+            F.sort_array(F.collect_set("_item")),
+            F.when(F.bool_or(F.col("_item").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")),
         ).alias("items"),
     )
-    return every.where(F.size("hit") > 0).withColumnRenamed("_key", key)
+    return every.withColumnRenamed("_key", key)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
