@@ -245,3 +245,95 @@ def test_words_of_a_bucket_share_its_probability(docs):
         if cls > voc.own:
             inside[cls - 1 - voc.own] += c + 1
     assert all(voc.bucket_norm[b] == inside[b] + 1 for b in range(lm.BUCKETS))
+
+
+def test_words_of_equal_counts_stay_known_by_place(spark, monkeypatch):
+    """With more words of one count than places, some get places and classes; before, none did."""
+    monkeypatch.setattr(lm, "LOCAL_WORDS", 100)
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(50)], "doc_id long, text string")
+    voc = lm.vocabulary(lm.count_words(df))
+    assert 50 <= len(voc.words) <= 150 and voc.own == len(voc.words) and voc.distinct == 2001
+
+
+def test_scores_equal_the_model_written_out(docs, rows):
+    """Each score against probabilities of a plain softmax over all classes, word by word."""
+    held = fold(docs, 7) == 2
+    plain = docs.drop("score")
+    learn = plain.where(~F.coalesce(fold(plain, 7) == 2, F.lit(False)))
+    voc = lm.vocabulary(lm.count_words(learn))
+    voc.place
+    model = lm.fit(learn, voc)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in lm.score(plain, held).collect())
+    known = dict(zip(voc.words, voc.counts.tolist()))
+    own = {w: 1 + i for i, w in enumerate(voc.words[: voc.own])}
+    want = []
+    for d, t in rows:
+        total, u, v = 0.0, 0, 0
+        parts = (t or "").encode().translate(lm.ASCII_LOWER).split()
+        for w in [*parts, b""]:
+            cls = own.get(w, 1 + voc.own + lm.bucket(w)) if w else 0
+            z = model.q.astype(float) @ (model.r[u] * model.c[0] + model.r[v] * model.c[1]).astype(float) + model.b
+            total += (z[cls] - np.log(np.exp(z - z.max()).sum()) - z.max()) / math.log(10)
+            if cls > voc.own:
+                total += math.log10((known.get(w, 0) + 1) / voc.bucket_norm[lm.bucket(w)])
+            u, v = cls, u
+        want.append((d is None, d or 0, len(parts) + 1, total))
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
+    assert np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], rtol=2e-3, atol=1e-3)
+
+
+def slow_fingerprint(text):
+    """Lanes in whole numbers, one word and one line at a time."""
+    full, odd = 2**64, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % full
+        return x ^ x >> 32
+
+    strong, lanes = [0] * 4, [0] * 256
+    for line in (text or "").encode().split(b"\n"):
+        line = line.strip(b" \t\r\x0b\x0c")
+        if not line:
+            continue
+        digest = hashlib.blake2b(line, digest_size=32).digest()
+        strong = [(a + int.from_bytes(digest[8 * i : 8 * i + 8], "little")) % full for i, a in enumerate(strong)]
+        words = [mix(sum((b + 1) * pow(odd, k, full) for k, b in enumerate(w)) % full) for w in line.split()]
+        if len(words) >= 8:
+            features = [mix((3 * a + 5 * b + 7 * c) % full) for a, b, c in zip(words, words[1:], words[2:])]
+        else:
+            k = min(len(line), 6 if len(line) >= 16 else 3)
+            features = [mix((sum(b * pow(odd, k - 1 - j, full) for j, b in enumerate(line[i : i + k])) + k) % full) for i in range(len(line) - k + 1)]
+        for f in features:
+            lanes[(f >> 8) % 256] += 1 if f >> 60 & 1 else -1
+    return strong, lanes
+
+
+def slow_likeness(a, b):
+    if a == b:
+        return 1.0
+    norm = math.sqrt(sum(x * x for x in a[1]) * sum(x * x for x in b[1]))
+    return min(1.0, max(0.0, sum(x * y for x, y in zip(a[1], b[1])) / norm)) if norm else 0.0
+
+
+def test_fingerprints_and_likeness_equal_plain_sums(docs, rows):
+    short = [(i, t) for i, t in rows if len(t or "") < 5000]
+    df = docs.where(F.length(F.coalesce("text", F.lit(""))) < 5000)
+    order = sorted(short, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    prints = [slow_fingerprint(t) for _, t in order]
+    want = []
+    for i, (d, t) in enumerate(order):
+        after = order[(i + 1) % len(order)][1] or ""
+        t = t or ""
+        k = len(t) // 4
+        e = slow_fingerprint(t[: len(t) - k] + after[:k])
+        text = "".join(f"{x:016x}" for x in prints[i][0]) + "".join(f"{x % 2**32:08x}" for x in prints[i][1])
+        want.append((repr(d), text, round(slow_likeness(prints[i], e), 9), round(slow_likeness(prints[i], prints[(i + 1) % len(order)]), 9)))
+    got = [(repr(r["doc_id"]), r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.compare_with_next(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_long_repetitive_texts_stay_alike():
+    line = b"the quick brown fox jumps over the lazy dog\n"
+    a, b = fingerprints.fingerprint(line * 40_000), fingerprints.fingerprint(line * 30_000)
+    assert a != b and a.likeness(b) > 0.999

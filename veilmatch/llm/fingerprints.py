@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs.
 
 A paragraph (a line) is hashed to a vector: ``STRONG`` numbers modulo 2**64 from
-a 256-bit hash of the paragraph, and ``LANES`` numbers modulo 2**16, the sum of
+a 256-bit hash of the paragraph, and ``LANES`` numbers modulo 2**32, the sum of
 signed unit vectors picked by hashes of its word triples (of neighbouring bytes,
 if it has fewer than ``SHORT`` words).  A text's fingerprint is the sum of its paragraphs' vectors, lane by lane,
 so paragraphs may come in any order, and inserting or deleting one adds or
@@ -75,7 +75,7 @@ class Fingerprint:
 
     def __init__(self, strong: np.ndarray | None = None, lanes: np.ndarray | None = None):
         self.strong = np.zeros(STRONG, np.uint64) if strong is None else strong
-        self.lanes = np.zeros(LANES, np.uint16) if lanes is None else lanes
+        self.lanes = np.zeros(LANES, np.uint32) if lanes is None else lanes
 
     def __add__(self, other: "Fingerprint") -> "Fingerprint":
         return Fingerprint(self.strong + other.strong, self.lanes + other.lanes)
@@ -87,13 +87,13 @@ class Fingerprint:
         return bool((self.strong == other.strong).all() and (self.lanes == other.lanes).all())
 
     def text(self) -> str:
-        return self.strong.astype(">u8").tobytes().hex() + self.lanes.astype(">u2").tobytes().hex()
+        return self.strong.astype(">u8").tobytes().hex() + self.lanes.astype(">u4").tobytes().hex()
 
     def likeness(self, other: "Fingerprint") -> float:
         """0 to 1; 1 for equal fingerprints."""
         if self == other:
             return 1.0
-        a, b = self.lanes.view(np.int16).astype(np.float64), other.lanes.view(np.int16).astype(np.float64)
+        a, b = self.lanes.view(np.int32).astype(np.float64), other.lanes.view(np.int32).astype(np.float64)
         norm = np.sqrt((a @ a) * (b @ b))
         return float(min(1.0, max(0.0, a @ b / norm))) if norm else 0.0
 
@@ -118,7 +118,7 @@ def fingerprint(raw: bytes) -> Fingerprint:
     triples = np.concatenate(features)
     lane, sign = (triples >> np.uint64(8)) % np.uint64(LANES), (triples >> np.uint64(60)) & np.uint64(1)
     counts = np.bincount((lane * np.uint64(2) + sign).astype(np.int64), minlength=2 * LANES)
-    return Fingerprint(strong, ((counts[1::2] - counts[::2]) & 0xFFFF).astype(np.uint16))
+    return Fingerprint(strong, ((counts[1::2] - counts[::2]) & 0xFFFFFFFF).astype(np.uint32))
 
 
 def fingerprint_documents(df: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -143,7 +143,7 @@ def compare_with_next(df: DataFrame, *, text: str = "text", key: str = "doc_id")
     One shuffle: rows go to ranges of keys and are sorted there; the first row of
     each range travels also to the range before it.  Range limits come from
     quantiles; the driver sees one number per range.  Null keys come first, equal
-    keys in the order of their texts.
+    keys in the order of their texts' SHA-256.  Keys must be numbers.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
@@ -158,7 +158,7 @@ def compare_with_next(df: DataFrame, *, text: str = "text", key: str = "doc_id")
     order = F.struct(F.col("_key").isNotNull().alias("a"), "_key", F.sha2("_text", 256).alias("h"))
     firsts = sorted((r[0], r[1]) for r in rows.groupBy("_b").agg(F.min(order).alias("f")).collect())  # one row per range
     if not firsts:
-        return spark.createDataFrame([], f"{key} bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        return spark.createDataFrame([], f"`{key}` {df.schema[key].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     before = [(f["a"], f["_key"], f["h"], firsts[i - 1][0]) for i, (_, f) in enumerate(firsts)]
     kind = df.schema[key].dataType.simpleString()
     heads = spark.createDataFrame(before, f"a boolean, k {kind}, h string, to int")
