@@ -19,7 +19,7 @@ of the input.)
 Equal fingerprints are one entry of the index, however many documents have them.
 A long list is not turned into pairs: it is searched from one entry to all that
 are still unreached, and only the links that reach a new entry are kept, which
-leaves the groups unchanged.
+leaves the groups unchanged.  What a task finds is contracted to stars.
 
 near_groups() solves what candidate links connect.  Texts of one connected cluster
 are dealt to blocks of about ``BLOCK`` texts or ``BLOCK_BYTES`` (nearly always one), each pair of blocks is one group of rows,
@@ -48,6 +48,8 @@ WORDS = 4
 SEED = 42
 #: Lists of up to this many entries are compared pair by pair, longer ones are searched.
 SHORT_LIST = 8
+#: Links that a task holds before it contracts them.
+HELD_LINKS = 400_000
 #: Texts of a block of a cluster and bytes of their shingles; bits beyond which no two texts are compared.
 BLOCK, BLOCK_BYTES, FAR = 2048, 32_000_000, 36
 #: What is sent to every task: up to so many bytes, at so many a row at most (digests and fingerprints; keys of usual size).
@@ -165,8 +167,33 @@ def linked(keys: np.ndarray, fps: np.ndarray, index: Index = NARROW) -> tuple[np
     return a, b
 
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect the same rows as the links (a, b): each row but one of a group with the group's smallest, so at most one pair a row."""
+    n = a.shape[1]
+    if not len(a):
+        return a, b
+    nodes, at = np.unique(np.ascontiguousarray(np.concatenate([a, b])).view([(f"f{i}", np.uint64) for i in range(n)]).ravel(), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        if (p == q).all():
+            break
+        low = np.minimum(p, q)
+        np.minimum.at(label, p, low)
+        np.minimum.at(label, q, low)
+        while (label[label] != label).any():
+            label = label[label]
+    rows = nodes.view(np.uint64).reshape(-1, n)
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return rows[moved], rows[label[moved]]
+
+
 def links(fps: DataFrame, index: Index = NARROW) -> DataFrame:
-    """(a0, .., b0, ..) BIGINT: links that connect the distinct fingerprints of ``fps`` (columns f0, ..) as all links would."""
+    """(a0, .., b0, ..) BIGINT: pairs that connect the distinct fingerprints of ``fps`` (columns f0, ..) as all links would.
+
+    Each task contracts its links before it hands them on, so large groups do not
+    leave it as their pairs.
+    """
     n, columns = index.longs, index.columns
 
     def byte(i: int) -> Column:
@@ -182,13 +209,24 @@ def links(fps: DataFrame, index: Index = NARROW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, f = np.zeros(0, np.int32), np.zeros((0, n), np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add(found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            held.append(found)
+            if sum(len(x) for x, _ in held) > HELD_LINKS:
+                held[:] = [contracted(*(np.concatenate(x) for x in zip(*held)))]
+                if len(held[0][0]) > HELD_LINKS // 2:
+                    yield batch(*held.pop())
+
         for b in batches:
             own = np.stack([b.column(i).to_numpy().view(np.uint64) for i in range(n)], axis=1)
             k, f = np.concatenate([k, b.column(n).to_numpy()]), np.concatenate([f, own])
             cut = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last list may go on
-            yield batch(*linked(k[:cut], f[:cut], index))
+            yield from add(linked(k[:cut], f[:cut], index))
             k, f = k[cut:], f[cut:]
-        yield batch(*linked(k, f, index))
+        yield from add(linked(k, f, index))
+        if held:
+            yield batch(*contracted(*(np.concatenate(x) for x in zip(*held))))
 
     return posted.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
