@@ -165,8 +165,9 @@ def matching_rounds(pairs: DataFrame, rounds: int = MATCHING_ROUNDS) -> DataFram
     Each round accepts the pairs that are best for both their records and drops
     all pairs of the records so matched.  What is left after ``rounds`` is folded.
     """
-    check_bipartite(pairs)
-    left = write_table(pairs.select("sim", "rec_i0", "rec_i1"), "unmatched")
+    given = write_table(pairs.select("sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"), "unmatched")
+    check_bipartite(given)
+    left = given.select("sim", "rec_i0", "rec_i1")
     matched: DataFrame | None = None
     for _ in range(rounds):
         best0 = left.groupBy("rec_i0").agg(F.max(F.struct("sim", (-F.col("rec_i0")).alias("x"), (-F.col("rec_i1")).alias("y"))).alias("m"))
@@ -184,8 +185,8 @@ def matching_rounds(pairs: DataFrame, rounds: int = MATCHING_ROUNDS) -> DataFram
 
 def match_labels(pairs: DataFrame) -> DataFrame:
     """``pairs`` with is_match: whether greedy two-party matching accepts the pair (else it can never be accepted)."""
-    check_bipartite(pairs)
     held = write_table(pairs, "labelled")
+    check_bipartite(held)
     if held.count() <= FOLD_PAIRS:
         found = pairs_from_groups(greedy_solve(held))
     else:

@@ -7,8 +7,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilmatch.operators.solving import check_bipartite, match_labels
+from veilmatch.operators.solving import match_labels
 from veilmatch.schema import ordered
+from veilmatch.session import write_table
 
 
 def bin_edges(pairs: DataFrame, bins: int) -> list[float]:
@@ -34,16 +35,17 @@ def _rows(spark: SparkSession, edges: list[float], name: str) -> DataFrame:
 
 def similarities_hist(pairs: DataFrame, bins: int = 100) -> DataFrame:
     """(bin, lo, hi, n): pairs by similarity; ranges are half-open, the last one closed."""
-    edges = bin_edges(pairs, bins)
-    counts = _binned(pairs.select("sim"), edges, "bin").groupBy("bin").agg(F.count("*").alias("n"))
+    held = write_table(pairs.select("sim"), "sims")  # else the pairs would be made twice
+    edges = bin_edges(held, bins)
+    counts = _binned(held, edges, "bin").groupBy("bin").agg(F.count("*").alias("n"))
     return _rows(pairs.sparkSession, edges, "bin").join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _by_step(pairs: DataFrame, steps: int) -> tuple[DataFrame, list[float]]:
     """(step, m, u): matches and others by the highest threshold they reach, and the thresholds."""
-    check_bipartite(pairs)
-    edges = bin_edges(pairs, steps)
-    labelled = _binned(match_labels(pairs).select("sim", "is_match"), [*edges, float("inf")], "step")
+    held = write_table(pairs.select("sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"), "pairs")
+    edges = bin_edges(held, steps)
+    labelled = _binned(match_labels(held).select("sim", "is_match"), [*edges, float("inf")], "step")
     return labelled.groupBy("step").agg(F.count_if("is_match").alias("m"), F.count_if(~F.col("is_match")).alias("u")), edges
 
 

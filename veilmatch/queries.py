@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from veilmatch import operators as ops
 from veilmatch.functions import bit_blocking, block_and, block_or, continuous_blocking, custom_blocking, list_blocking
+from veilmatch.functions.bits import all_equal
 from veilmatch.schema import PAIRS
 from veilmatch.session import share_code, shared_dir, write_table
+from veilmatch.sources import clks
 from veilmatch.sources import pairs as pairfile
 from veilmatch.streaming import block_index, link_stream
 
@@ -256,6 +258,116 @@ def streamed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(PAIRS).parquet(f"{folder}/pairs")
 
 
+def _folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/veilmatch/{tag}-{np.random.default_rng().integers(2**62)}"
+
+
+def clk_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parties' filters written as JSON documents and read back; a record's place is its number."""
+    at = _folder(spark, "json")
+    clks.write_clk_json(sign_clks(spark, sf_dir), at)
+    both = [clks.read_clk_json(spark, f"{at}/dset_i={i}", i) for i in (0, 1)]
+    return both[0].unionByName(both[1]).select("dset_i", "rec_i", F.hex("clk").alias("clk"))
+
+
+def truth_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _folder(spark, "truth")
+    _pairs(spark, sf_dir).agg(F.to_json(F.collect_list(F.array("rec_i0", "rec_i1"))).alias("value")).coalesce(1).write.text(at)
+    return clks.read_truth_json(spark, at)
+
+
+def random_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, fairness (within 10 standard deviations) and repeatability of random filters."""
+    one, again, other = (clks.random_clks(spark, 500, 1024, seed=s, dset_i=1, start=7) for s in (3, 3, 4))
+    bits = sum(F.bit_count(F.conv(F.substring(F.hex("clk"), 1 + 8 * i, 8), 16, 10).cast("bigint")) for i in range(32))
+    rows = one.select("dset_i", "rec_i", F.octet_length("clk").alias("n_bytes"), bits.between(352, 672).alias("fair"), "clk")
+    rows = rows.join(again.select("rec_i", F.col("clk").alias("clk2")), "rec_i").join(other.select("rec_i", F.col("clk").alias("clk3")), "rec_i")
+    return rows.select("dset_i", "rec_i", "n_bytes", "fair", (F.col("clk") == F.col("clk2")).alias("again"), (F.col("clk") == F.col("clk3")).alias("other_seed"))
+
+
+def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random problem of 300 x 200 records: its shape, and its size within 10 standard deviations."""
+    p = clks.random_problem(spark, 300, 200, 0.1, seed=5)
+    return p.agg(
+        F.count("*").between(5266, 6734).alias("size"),
+        (F.count("*") == F.count_distinct("rec_i0", "rec_i1")).alias("once"),
+        F.bool_and((F.col("sim") >= 0) & (F.col("sim") < 1) & (F.col("dset_i0") == 0) & (F.col("dset_i1") == 1)).alias("legal"),
+        F.bool_and(F.col("rec_i0").between(0, 299) & F.col("rec_i1").between(0, 199)).alias("inside"),
+    )
+
+
+def _read_lazily(spark: SparkSession, parts: Iterator[bytes], path: str) -> DataFrame:
+    """Rows of one file made of ``parts``, through the lazy reader; the file is as large as the pairs of a small problem."""
+    pairfile.write_file(path, parts)
+    return spark.createDataFrame(list(pairfile.load_to_iterable(path)), "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint")
+
+
+def dump_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, _ = pairfile.dump_candidate_pairs_iter(write_table(_pairs(spark, sf_dir), "pairs"))
+    return _read_lazily(spark, parts, f"{_folder(spark, 'iter')}/all.pairs")
+
+
+def merge_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sorted files of one problem, merged lazily."""
+    pairs, at = write_table(_pairs(spark, sf_dir), "pairs"), _folder(spark, "merge")
+    paths = [f"{at}/{i}.pairs" for i in range(3)]
+    for i, path in enumerate(paths):
+        pairfile.write_file(path, pairfile.dump_candidate_pairs_iter(pairs.where(F.col("rec_i1") % 3 == i))[0])
+    parts, _ = pairfile.merge_streams_iter(paths)
+    return _read_lazily(spark, parts, f"{at}/all.pairs")
+
+
+def empty_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters without bits, as every third label has them here: similarity 0, which a threshold of 0 keeps."""
+    rows = sign_clks(spark, sf_dir).withColumn("clk", F.when(F.col("label") % 3 == 0, F.unhex(F.lit("0" * 16))).otherwise(F.col("clk")))
+    return ops.find_candidate_pairs(rows, "dice", 0.0, blocking=list_blocking("label"), in_order=False)
+
+
+def self_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a record with itself do not change any group."""
+    pairs = write_table(_pairs(spark, sf_dir), "pairs")
+    own = pairs.select(F.lit(1.0).alias("sim"), "dset_i0", F.col("dset_i0").alias("dset_i1"), "rec_i0", F.col("rec_i0").alias("rec_i1")).distinct()
+    return ops.pairs_from_groups(ops.greedy_solve(pairs.unionByName(own)))
+
+
+def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of three parties as nested rows, by size."""
+    nested = ops.nested_groups(ops.greedy_solve(_pairs(spark, sf_dir, parties=3)))
+    return nested.groupBy(F.size("members").alias("n_members")).agg(F.count("*").alias("n_groups"))
+
+
+def rejected_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which inputs are refused."""
+    r = sign_clks(spark, sf_dir)
+    p = write_table(_pairs(spark, sf_dir, parties=3), "pairs")
+    cases: dict[str, Callable[[], object]] = {
+        "merge threshold below 0": lambda: ops.probabilistic_greedy_solve(p, merge_threshold=-0.1),
+        "merge threshold above 1": lambda: ops.probabilistic_greedy_solve(p, merge_threshold=1.01),
+        "merge threshold 1": lambda: ops.probabilistic_greedy_solve(p, merge_threshold=1.0),
+        "no ids": lambda: ops.greedy_solve(p.drop("rec_i1")),
+        "three parties to a two-party statistic": lambda: ops.nonmatch_index_score(p),
+        "no bins": lambda: ops.similarities_hist(p, 0),
+        "part of a byte": lambda: clks.random_clks(spark, 3, 12),
+        "no files": lambda: pairfile.merge_streams(spark, [], "x"),
+        "equal values": lambda: ops.find_candidate_pairs(r, "dice", T),
+    }
+
+    def refused(run: Callable[[], object]) -> bool:
+        try:
+            run()
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(run)) for name, run in cases.items()], "input string, refused boolean")
+
+
+def equal_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a column has one value only: filters' bytes, and labels."""
+    r = sign_clks(spark, sf_dir)
+    return spark.createDataFrame([("bytes", all_equal(r.withColumn("n", F.octet_length("clk")), "n")), ("label", all_equal(r, "label")), ("none", all_equal(r.where("false"), "label"))], "what string, equal boolean")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "popcount": popcount,
@@ -295,6 +407,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pair_file_round_trip": pair_file_round_trip,
         "dump_size": dump_size,
         "streamed_pairs": streamed_pairs,
+        "clk_json_round_trip": clk_json_round_trip,
+        "truth_json_round_trip": truth_json_round_trip,
+        "random_records": random_records,
+        "random_pairs": random_pairs,
+        "dump_iterator": dump_iterator,
+        "merge_iterator": merge_iterator,
+        "empty_filters": empty_filters,
+        "self_pairs": self_pairs,
+        "group_sizes": group_sizes,
+        "rejected_inputs": rejected_inputs,
+        "equal_lengths": equal_lengths,
     }
 
 
@@ -360,6 +483,26 @@ w AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS a, CAST([] AS BIGIN
       FROM (SELECT w.i AS j, w.a, w.b, o.*, NOT list_contains(w.a, o.rec_i0) AND NOT list_contains(w.b, o.rec_i1) AS free FROM w JOIN o ON o.i = w.i + 1) o),
 l AS (SELECT o.*, w.m AS is_match FROM o JOIN w USING (i))"""
 
+
+
+def _grouped(threshold: float, deduplicated: bool) -> str:
+    """CTEs up to g: the label of each record after all pairs, walked in order of priority; labels are places by (dataset, record)."""
+    clash = "len(list_intersect(list_transform(list_filter(ks, lambda k: lab[k + 1] = lx), lambda k: ds[k + 1]), list_transform(list_filter(ks, lambda k: lab[k + 1] = ly), lambda k: ds[k + 1]))) > 0" if deduplicated else "FALSE"
+    return f"""idx AS (SELECT dset_i, rec_i, row_number() OVER (ORDER BY dset_i, rec_i) - 1 AS k FROM r),
+o AS (SELECT row_number() OVER (ORDER BY sim DESC, dset_i0, dset_i1, rec_i0, rec_i1) AS i, a.k AS x, b.k AS y FROM p JOIN idx a ON a.dset_i = dset_i0 AND a.rec_i = rec_i0 JOIN idx b ON b.dset_i = dset_i1 AND b.rec_i = rec_i1),
+c AS (SELECT (SELECT list(x ORDER BY i) FROM o) AS xs, (SELECT list(y ORDER BY i) FROM o) AS ys, (SELECT list(k ORDER BY k) FROM idx) AS ks, (SELECT list(dset_i ORDER BY k) FROM idx) AS ds),
+w AS (SELECT CAST(0 AS BIGINT) AS i, ks AS lab FROM c
+      UNION ALL
+      SELECT i, CASE WHEN lx <> ly AND NOT ({clash}) AND n >= CAST({threshold} AS DOUBLE) * len(list_filter(lab, lambda l: l = lx)) * len(list_filter(lab, lambda l: l = ly))
+                     THEN list_transform(lab, lambda l: CASE WHEN l = greatest(lx, ly) THEN least(lx, ly) ELSE l END) ELSE lab END
+      FROM (SELECT *, CASE WHEN lx = ly THEN 0 ELSE len(list_filter(range(1, i + 1), lambda j: (lab[xs[j] + 1] = lx AND lab[ys[j] + 1] = ly) OR (lab[xs[j] + 1] = ly AND lab[ys[j] + 1] = lx))) END AS n
+            FROM (SELECT o.i, w.lab, lab[x + 1] AS lx, lab[y + 1] AS ly, c.* FROM w JOIN o ON o.i = w.i + 1 CROSS JOIN c))),
+z AS (SELECT lab FROM w WHERE i = (SELECT max(i) FROM w)),
+g AS (SELECT idx.*, lab[k + 1] AS label FROM idx, z QUALIFY count(*) OVER (PARTITION BY lab[k + 1]) > 1)"""
+
+
+_GROUPS = "SELECT h.dset_i AS group_dset, h.rec_i AS group_rec, g.dset_i, g.rec_i FROM g JOIN idx h ON h.k = g.label"
+
 _EDGES = f"""lim AS (SELECT min(sim) AS low, max(sim) AS high FROM p),
 edge AS (SELECT CAST(i AS INTEGER) AS i, CASE WHEN i = {BINS} THEN high ELSE CAST(i AS DOUBLE) * ((high - low) / CAST({BINS} AS DOUBLE)) + low END AS t FROM lim, range(0, {BINS} + 1) g(i)),
 bin AS (SELECT a.i AS bin, a.t AS lo, b.t AS hi FROM edge a JOIN edge b ON b.i = a.i + 1)"""
@@ -380,7 +523,23 @@ def oracle_sql() -> dict[str, str]:
     given = "FROM r a JOIN r b ON a.dset_i = 0 AND b.dset_i = 1 AND b.rec_i = a.rec_i + 1"
     near_label = f"WITH {_all(near, 0.99, keys=_BY_LABEL, on=_KEYED)} SELECT {_OUT} FROM p"
     matches = f"WITH RECURSIVE {pairs}, {_WALK} SELECT rec_i0, rec_i1 FROM l WHERE is_match"
+    three = _all(_DICE, T, 3)
+    numbered = "row_number() OVER (PARTITION BY dset_i ORDER BY rec_i) - 1"
+    no_bits = _all(_DICE, 0.0, on="a.label = b.label").replace("FROM embeddings)", "FROM embeddings), e0 AS (SELECT * REPLACE (CASE WHEN label % 3 = 0 THEN 0 ELSE w0 END AS w0, CASE WHEN label % 3 = 0 THEN 0 ELSE w1 END AS w1) FROM e)").replace("AS pc FROM e)", "AS pc FROM e0)")
     return {
+        "greedy_three_party": f"WITH RECURSIVE {three}, {_grouped(1.0, False)} {_GROUPS}",
+        "probabilistic_greedy": f"WITH RECURSIVE {three}, {_grouped(0.5, True)} {_GROUPS}",
+        "group_sizes": f"WITH RECURSIVE {three}, {_grouped(1.0, False)}, m AS (SELECT CAST(count(*) AS INTEGER) AS n_members FROM g GROUP BY label) SELECT n_members, count(*) AS n_groups FROM m GROUP BY 1",
+        "clk_json_round_trip": f"WITH {_records(2)} SELECT dset_i, {numbered} AS rec_i, lpad(to_hex(w0), 8, '0') || lpad(to_hex(w1), 8, '0') AS clk FROM r",
+        "truth_json_round_trip": f"WITH {pairs} SELECT rec_i0, rec_i1 FROM p",
+        "random_records": "SELECT CAST(1 AS INTEGER) AS dset_i, i + 7 AS rec_i, CAST(128 AS INTEGER) AS n_bytes, TRUE AS fair, TRUE AS again, FALSE AS other_seed FROM range(500) t(i)",
+        "random_pairs": "SELECT TRUE AS size, TRUE AS once, TRUE AS legal, TRUE AS inside",
+        "dump_iterator": f"WITH {pairs} SELECT {_OUT} FROM p",
+        "merge_iterator": f"WITH {pairs} SELECT {_OUT} FROM p",
+        "empty_filters": f"WITH {no_bits} SELECT {_OUT} FROM p",
+        "self_pairs": matches,
+        "rejected_inputs": "SELECT * FROM (VALUES ('merge threshold below 0', TRUE), ('merge threshold above 1', TRUE), ('merge threshold 1', FALSE), ('no ids', TRUE), ('three parties to a two-party statistic', TRUE), ('no bins', TRUE), ('part of a byte', TRUE), ('no files', TRUE), ('equal values', FALSE)) t(input, refused)",
+        "equal_lengths": "SELECT * FROM (VALUES ('bytes', TRUE), ('label', FALSE), ('none', TRUE)) t(what, equal)",
         "popcount": f"WITH {_records(2)} SELECT dset_i, rec_i, pc FROM r",
         "dice_pairs": f"WITH {_records(2)} SELECT a.rec_i AS rec_i0, b.rec_i AS rec_i1, {_DICE} AS sim {given}",
         "dice_candidates": f"WITH {pairs} SELECT {_OUT} FROM p",
