@@ -28,10 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmatch.llm.common import byte_rows, int64
+from veilmatch.llm.common import byte_rows, int64, tidy
 
 #: Megabytes of all tables of encoded stretches of a worker, and what an entry takes besides its bytes.
-CACHE_MB, ENTRY_BYTES = 192, 200
+CACHE_MB, ENTRY_BYTES = 96, 200
 #: Longer stretches are encoded without being kept.
 CACHE_CHARS = 48
 #: Fragments longer than this are merged with a heap, shorter ones by scanning.
@@ -288,7 +288,7 @@ def encode_documents(df: DataFrame, vocabulary: str, *, text: str = "text", key:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], [key, "ids", "decoded"])
 
     rows = df.select(F.col(key), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary, decoded string")
+    return rows.mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary, decoded string")
 
 
 def encoding_digests(df: DataFrame, vocabulary: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -307,4 +307,4 @@ def encoding_digests(df: DataFrame, vocabulary: str, *, text: str = "text", key:
             yield pa.RecordBatch.from_arrays([b.column(0), int64(n), pa.array(a, pa.string()), pa.array(d, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(key), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

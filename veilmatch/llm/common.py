@@ -7,10 +7,12 @@ executors see, so that a lost executor never loses them.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +105,28 @@ def flat_bytes(col: pa.Array) -> tuple[memoryview, np.ndarray]:
     return memoryview(buf) if buf is not None else memoryview(b""), off
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker, which other tasks use again, gives back the memory that it no longer needs."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := _trim():
+                trim(0)
+
+    return tidied
+
+
 def spans(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of consecutive rows of at most ``most`` bytes together (a longer row stands alone)."""
     n, a = len(off) - 1, 0

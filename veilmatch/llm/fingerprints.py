@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmatch.llm.common import byte_rows, int64
+from veilmatch.llm.common import byte_rows, int64, tidy
 
 STRONG = 4
 LANES = 256
@@ -128,7 +128,7 @@ def fingerprint_documents(df: DataFrame, *, text: str = "text", key: str = "doc_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x).text() for x in byte_rows(b.column(1))], pa.string())], [key, "fingerprint"])
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprint string")
+    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprint string")
 
 
 def edited(own: str, following: str) -> str:
@@ -188,4 +188,4 @@ def compare_with_next(df: DataFrame, *, text: str = "text", key: str = "doc_id")
             types = [keys.type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return shuffled.select("_key", "_text", "_copy").mapInArrow(run, f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return shuffled.select("_key", "_text", "_copy").mapInArrow(tidy(run), f"`{key}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

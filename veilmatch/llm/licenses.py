@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmatch.llm.common import ALNUM_LOWER, ASCII_LOWER, byte_rows, int64
+from veilmatch.llm.common import ALNUM_LOWER, ASCII_LOWER, byte_rows, int64, tidy
 
 # The phrases that count as base places, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -215,4 +215,4 @@ def scan_documents(df: DataFrame, *, text: str = "text", key: str = "doc_id") ->
             )
 
     rows = df.select(F.col(key), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_words bigint, starts array<bigint>, base_labels string, labels string, score double, expressions array<string>")
+    return rows.mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, n_words bigint, starts array<bigint>, base_labels string, labels string, score double, expressions array<string>")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilmatch.llm.common import byte_rows, smallest
+from veilmatch.llm.common import byte_rows, smallest, tidy
 
 SAMPLE = 4000
 LONGEST = 32_768
@@ -132,4 +132,4 @@ def score_documents(df: DataFrame, model: CompressionClassifier, *, text: str =
             yield pa.RecordBatch.from_arrays([*(b.column(i + 1) for i in range(len(keep))), pa.array(model.scores(byte_rows(b.column(0))))], [*keep, "score"])
 
     rows = df.select(F.col(text).cast("string").alias("_text"), *keep)
-    return rows.mapInArrow(run, T.StructType([df.schema[c] for c in keep]).add("score", T.DoubleType()))
+    return rows.mapInArrow(tidy(run), T.StructType([df.schema[c] for c in keep]).add("score", T.DoubleType()))

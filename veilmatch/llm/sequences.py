@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmatch.llm.bpe import load
-from veilmatch.llm.common import byte_rows, int64
+from veilmatch.llm.common import byte_rows, int64, tidy
 from veilmatch.llm.transducer import transducer
 
 SEQUENCE = 2048
@@ -158,7 +158,7 @@ def write_sequences(df: DataFrame, vocabulary: str, folder: str, *, end_id: int
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(F.col(key), body.alias("text"), F.xxhash64(body).alias("_hash")).repartitionByRange(F.col(key), F.col("_hash")).sortWithinPartitions(key, "_hash", "text")
-    files = sorted(tuple(x) for x in rows.select(key, "text").mapInArrow(run, "part bigint, path string, n_docs bigint, n_tokens bigint").collect())  # a row for each file
+    files = sorted(tuple(x) for x in rows.select(key, "text").mapInArrow(tidy(run), "part bigint, path string, n_docs bigint, n_tokens bigint").collect())  # a row for each file
     out, start = [], 0
     for part, path, n_docs, n_tokens in files:
         out.append((part, path, n_docs, n_tokens, start))
@@ -189,4 +189,4 @@ def read_documents(files: DataFrame, key_type: str = "bigint", *, key: str = "do
                         start += int(n.sum())
                         yield pa.RecordBatch.from_arrays([docs.column(0), int64(starts), int64(n), int64(sums)], [key, "start", "n_tokens", "ids_crc32"])
 
-    return files.mapInArrow(run, f"`{key}` {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return files.mapInArrow(tidy(run), f"`{key}` {key_type}, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmatch.llm.common import ASCII_LOWER, byte_rows, drop_table, int64, write_table
+from veilmatch.llm.common import ASCII_LOWER, byte_rows, drop_table, int64, tidy, write_table
 from veilmatch.llm.components import components
 
 WORDS = 4
@@ -114,7 +114,7 @@ def fingerprints(df: DataFrame, *, words: int = WORDS, index: Index = NARROW, te
             yield pa.RecordBatch.from_arrays([b.column(0), *(int64(got[:, i]) for i in range(longs))], [key, *columns])
 
     kinds = "".join(f", {c} bigint" for c in columns)
-    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}{kinds}")
+    return df.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}{kinds}")
 
 
 def _close(x: np.ndarray, index: Index) -> np.ndarray:
@@ -228,7 +228,7 @@ def links(fps: DataFrame, index: Index = NARROW) -> DataFrame:
         if held:
             yield batch(*contracted(*(np.concatenate(x) for x in zip(*held))))
 
-    return posted.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    return posted.mapInArrow(tidy(run), ", ".join(f"{c} bigint" for c in names))
 
 
 def groups(df: DataFrame, *, words: int = WORDS, index: Index = NARROW, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -315,7 +315,7 @@ def near_groups(named: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
             n = [x.count(b" ") + 1 for x in lines]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), int64(n), int64(got[:, 0]), int64(got[:, 1])], ["row", "same", "n", "f0", "f1"])
 
-    rows = write_table(named.select("row", "text").mapInArrow(prints, f"row {row_type}, same binary, n bigint, f0 bigint, f1 bigint"), "prints")
+    rows = write_table(named.select("row", "text").mapInArrow(tidy(prints), f"row {row_type}, same binary, n bigint, f0 bigint, f1 bigint"), "prints")
     texts = write_table(rows.groupBy("same").agg(F.min("row").alias("low"), *(F.first(c).alias(c) for c in ("n", "f0", "f1"))), "texts")
     close = links(texts.select("f0", "f1").distinct(), CANDIDATES)
     spot = components(close.select(F.struct(F.col("a0").alias("f0"), F.col("a1").alias("f1")).alias("a"), F.struct(F.col("b0").alias("f0"), F.col("b1").alias("f1")).alias("b")))
@@ -338,7 +338,7 @@ def near_groups(named: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
     body = found.select(F.col("cluster.f0").alias("c0"), F.col("cluster.f1").alias("c1"), "blocks", "same", "f0", "f1", "text")
     own = F.pmod(F.xxhash64("same"), "blocks").cast("int")
     dealt = (
-        body.mapInArrow(sets, "c0 bigint, c1 bigint, blocks int, same binary, f0 bigint, f1 bigint, set binary")
+        body.mapInArrow(tidy(sets), "c0 bigint, c1 bigint, blocks int, same binary, f0 bigint, f1 bigint, set binary")
         .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("c0", "c1", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("blocks") > 1).alias("part"), "own", "same", "f0", "f1", "set")
         .repartition("c0", "c1", "p", "q")
@@ -368,7 +368,7 @@ def near_groups(named: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
         if len(group) > 1:
             yield ended(group)
 
-    solved = write_table(dealt.mapInArrow(solve, "a binary, b binary, part boolean"), "solved")
+    solved = write_table(dealt.mapInArrow(tidy(solve), "a binary, b binary, part boolean"), "solved")
     root, tables = solved.where("not part").select(F.col("a").alias("node"), F.col("b").alias("root")), [open_texts, spot, solved]
     if most and most > 1:
         linked_parts = components(solved.where("part").select("a", "b"))

@@ -43,12 +43,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilmatch.llm.common import byte_rows, drop_table, flat_bytes, int64, spans, write_table
+from veilmatch.llm.common import byte_rows, drop_table, flat_bytes, int64, spans, tidy, write_table
 
 LENGTH = 400
 GRAM = 32
 #: Symbols of a shard, and of one smallest hash in one task.
-SHARD, SPLIT = 1_000_000, 4_000_000
+SHARD, SPLIT = 500_000, 4_000_000
 #: Bytes of a word's symbol.
 CODE = 8
 #: Bytes hashed at a time, and starts of one lane of Kasai's scan.
@@ -322,7 +322,7 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
                     ["tkey", "n", *_LISTS],
                 )
 
-    rows = texts.mapInArrow(cut, "tkey binary, n bigint, hashes array<bigint>, digests array<bigint>, starts array<int>, counts array<int>, twice array<boolean>")
+    rows = texts.mapInArrow(tidy(cut), "tkey binary, n bigint, hashes array<bigint>, digests array<bigint>, starts array<int>, counts array<int>, twice array<boolean>")
     by_text = rows.groupBy("tkey").agg(F.count("*").alias("copies"), F.max("n").alias("n"), *(F.first(c, ignorenulls=True).alias(c) for c in _LISTS))
     table = write_table(by_text, "texts")
 
@@ -358,7 +358,7 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
     def cut_fragments(of: DataFrame) -> DataFrame:
         """The bytes of one example of each fragment of ``of``."""
         cuts = long_enough.select("text", _key(F.col("text")).alias("tkey")).join(of.groupBy("tkey").agg(F.collect_list("f").alias("f")).hint("shuffle_hash"), "tkey")
-        return cuts.select("tkey", "text", "f").mapInArrow(cut_out, "hash bigint, digest bigint, times bigint, windows int, bytes binary, task bigint")
+        return cuts.select("tkey", "text", "f").mapInArrow(tidy(cut_out), "hash bigint, digest bigint, times bigint, windows int, bytes binary, task bigint")
 
     dealt = cut_fragments(wanted).repartition("hash", "task").sortWithinPartitions("hash", "task", "digest")
 
@@ -411,7 +411,7 @@ def repeated_spans(df: DataFrame, *, length: int = LENGTH, text: str = "text", c
         if ready:
             yield solve(ready)
 
-    found = dealt.mapInArrow(sort_shards, "hash bigint, digest bigint, begins array<int>, ends array<int>")
+    found = dealt.mapInArrow(tidy(sort_shards), "hash bigint, digest bigint, begins array<int>, ends array<int>")
     whole = kinds.where("times > 1").select("hash", "digest", F.array(F.lit(0)).alias("begins"), F.array(F.lit(None).cast("int")).alias("ends"))
     marks = found.unionByName(whole)
     if shared.where("tasks > 1").limit(1).count():
@@ -439,7 +439,7 @@ def _across_tasks(pieces: DataFrame, length: int, width: int) -> DataFrame:
                 a, c = window_hashes(x, length, np.arange(n))
                 yield pa.RecordBatch.from_arrays([int64(a.view(np.int64)), int64(c.view(np.int64)), int64(np.full(n, h)), int64(np.full(n, d)), int64(np.full(n, task)), pa.array(np.arange(n, dtype=np.int32))], ["a", "b", "hash", "digest", "task", "at"])
 
-    windows = pieces.mapInArrow(each, "a bigint, b bigint, hash bigint, digest bigint, task bigint, at int")
+    windows = pieces.mapInArrow(tidy(each), "a bigint, b bigint, hash bigint, digest bigint, task bigint, at int")
     table = write_table(windows, "windows")
     both = table.groupBy("a", "b").agg(F.min("task").alias("low"), F.max("task").alias("high")).where("low < high").select("a", "b")
     hit = table.join(both, ["a", "b"]).groupBy("hash", "digest").agg(F.sort_array(F.collect_set("at")).alias("begins"))
@@ -510,4 +510,4 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, text: str = "text", k
     schema = T.StructType([df.schema[c] for c in keep])
     for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("n_in_runs", T.LongType()), ("kept", T.BinaryType())):
         schema.add(name, kind)
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmatch.llm.bpe import Bpe, byte_letters, is_odd, load
-from veilmatch.llm.common import byte_rows, int64
+from veilmatch.llm.common import byte_rows, int64, tidy
 
 #: Transitions that a worker keeps from one block of text to the next.
 MOST = 600_000
@@ -444,4 +444,4 @@ def count_tokens(df: DataFrame, vocabulary: str, *, limit: int = 2048, text: str
             yield pa.RecordBatch.from_arrays([b.column(0), int64([len(x) for x in raw]), int64(n), pa.array(n > limit)], [key, "n_bytes", "n_tokens", "over_limit"])
 
     rows = df.select(F.col(key), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
