@@ -5,8 +5,9 @@ pre-tokenizer cuts it.  Inside such a piece, a pair of neighbouring bytes that
 stands inside no vocabulary token can never be merged over, so the piece is cut
 there too; the fragments are encoded on their own and their ids concatenated.
 Fragments and whole space-delimited stretches repeat a lot, so their ids are
-kept in tables that together take at most ``CACHE_MB`` of a worker; a full table
-is emptied, and what is not kept is encoded anew, with the same result.
+kept in tables that together take at most ``CACHE_MB`` of a worker; the half of a
+table that was not asked for lately goes when it is full, and what is not kept is
+encoded anew, with the same result.
 
 Null texts are empty; empty texts have no ids.  Texts of any length are
 processed whole.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from veilmatch.llm.common import byte_rows, int64, tidy
 
 #: Megabytes of all tables of encoded stretches of a worker, and what an entry takes besides its bytes.
-CACHE_MB, ENTRY_BYTES = 96, 200
+CACHE_MB, ENTRY_BYTES = 160, 200
 #: Longer stretches are encoded without being kept.
 CACHE_CHARS = 48
 #: Fragments longer than this are merged with a heap, shorter ones by scanning.
@@ -66,17 +67,20 @@ def byte_letters() -> list[str]:
 
 
 class _Table(dict):
-    """What was made of stretches so far; emptied when it holds ``most`` bytes."""
+    """What was made of stretches so far: two generations of at most ``most`` bytes; the older one goes when the newer is full."""
 
     def __init__(self, make, share: float):
         super().__init__()
-        self.make, self.most, self.held = make, share * CACHE_MB * 1e6, 0
+        self.make, self.most, self.held, self.older = make, share * CACHE_MB * 1e6 / 2, 0, {}
 
     def __missing__(self, key):
-        out = self.make(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if len(key) <= CACHE_CHARS:
             self.held += ENTRY_BYTES + len(key) + len(out)
             if self.held > self.most:
+                self.older = dict(self)
                 self.clear()
                 self.held = 0
             self[key] = out
