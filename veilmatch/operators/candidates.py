@@ -15,15 +15,19 @@ from pyspark.sql import types as T
 from veilmatch.functions.bits import clk_words
 from veilmatch.functions.blocking import Blocking, Record
 from veilmatch.operators.similarity import DICE, SMC, Side, Similarity, named
-from veilmatch.plans.product import product_pairs
+from veilmatch.plans.product import packed_bits, product_pairs
 from veilmatch.schema import PAIR_COLUMNS, PAIRS, collection, empty_pairs, ordered
 from veilmatch.session import share_code, write_table
 
 
-def _n_bytes(records: DataFrame) -> int | None:
-    """The one length of all bit strings; None if there are none."""
+def _check_type(records: DataFrame) -> None:
     if not isinstance(records.schema["clk"].dataType, T.BinaryType):
         raise TypeError(f"bit strings must be BINARY, not {records.schema['clk'].dataType.simpleString()}")
+
+
+def _n_bytes(records: DataFrame) -> int | None:
+    """The one length of all bit strings; None if there are none."""
+    _check_type(records)
     low, high, missing = records.agg(F.min(F.octet_length("clk")), F.max(F.octet_length("clk")), F.count_if(F.col("clk").isNull())).first()
     if missing:
         raise TypeError("a record has no bit string")
@@ -51,9 +55,8 @@ def encode_records(records: DataFrame, n_bytes: int, *keep: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = dict(zip(rows_names, b.columns))
-            flat = np.frombuffer(b"".join(column["clk"].to_pylist()), np.uint8).reshape(len(b), n_bytes)
             full = np.zeros((len(b), 8 * n), np.uint8)
-            full[:, :n_bytes] = flat
+            full[:, :n_bytes] = packed_bits(column["clk"], n_bytes)
             words = full.view(">u8").astype(np.uint64)
             pc = np.bitwise_count(words).sum(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([column["dset_i"], column["rec_i"], *(column[c] for c in keep), *(pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(n)), pa.array(pc)], names)
@@ -62,6 +65,31 @@ def encode_records(records: DataFrame, n_bytes: int, *keep: str) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
+def _counted(records: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]], int | None]:
+    """Table (dset_i, rec_i, clk, pc), its histogram (dset_i, pc, n) and the one length of its bit strings, checked in the same two passes."""
+    _check_type(records)
+    share_code(records.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clk = b.column(2).cast(pa.large_binary())
+            off = np.frombuffer(clk.buffers()[1], np.int64)[clk.offset : clk.offset + len(clk) + 1] if len(clk) else np.zeros(1, np.int64)
+            bits = np.bitwise_count(np.frombuffer(clk.buffers()[2] or b"", np.uint8)[off[0] : off[-1]])
+            pc = np.diff(np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])[off - off[0]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pc)], [*b.schema.names, "pc"])
+
+    rows = records.select(F.col("dset_i").cast("int").alias("dset_i"), F.col("rec_i").cast("bigint").alias("rec_i"), "clk")
+    table = write_table(rows.mapInArrow(run, "dset_i int, rec_i bigint, clk binary, pc int"), "records")
+    counts = table.groupBy("dset_i", "pc").agg(F.count("*").alias("n"), F.min(F.octet_length("clk")).alias("low"), F.max(F.octet_length("clk")).alias("high"), F.count_if(F.col("clk").isNull()).alias("missing"))
+    got = counts.collect()  # at most parties x (bits + 1) rows
+    if any(r["missing"] for r in got):
+        raise TypeError("a record has no bit string")
+    lengths = {x for r in got for x in (r["low"], r["high"])}
+    if len(lengths) > 1:
+        raise ValueError("bit strings differ in length")
+    return table, [(r["dset_i"], r["pc"], r["n"]) for r in got], lengths.pop() if lengths else None
+
+
 def popcount_arrays(records: DataFrame) -> DataFrame:
     """(dset_i, rec_i, pc): bits set in each record."""
     n = _n_bytes(records)
@@ -124,14 +152,16 @@ def find_candidate_pairs(
     sim = named(similarity)
     if k is not None and k < 0:
         raise ValueError(f"k must not be negative, but is {k}")
-    records = write_table(records, "records")  # checks, histogram and both sides of the join read it
-    n_bytes = _n_bytes(records)
+    product = blocking is None and sim.counts is not None
+    if product:
+        records, histogram, n_bytes = _counted(records)
+    else:
+        records = write_table(records, "records")  # checks and both sides of the join read it
+        n_bytes = _n_bytes(records)
     if n_bytes is None or k == 0:
         return empty_pairs(spark)
-    n_bits = 8 * n_bytes
-    if blocking is None and sim.counts is not None and n_bytes:
-        rows = encode_records(records, n_bytes, "clk").select("dset_i", "rec_i", "clk", "pc")
-        pairs = product_pairs(rows, sim, float(threshold), n_bits, k)
+    if product and n_bytes:
+        pairs = product_pairs(records, histogram, sim, float(threshold), 8 * n_bytes, k)
         if k is not None:
             pairs = _limit_block(pairs, sim, k, [])
     else:
@@ -204,13 +234,10 @@ def hamming_similarity(datasets: Sequence[DataFrame], threshold: float, k: int |
 
 
 def _one_block(records: DataFrame, sim: Similarity, threshold: float, k: int | None) -> DataFrame:
-    share_code(records.sparkSession)
-    records = write_table(records, "records")
-    n_bytes = _n_bytes(records)
+    records, histogram, n_bytes = _counted(records)
     if n_bytes is None or k == 0:
         return empty_pairs(records.sparkSession).select("sim", "rec_i0", "rec_i1")
-    rows = encode_records(records, n_bytes, "clk").select("dset_i", "rec_i", "clk", "pc")
-    pairs = product_pairs(rows, sim, float(threshold), 8 * n_bytes, k)
+    pairs = product_pairs(records, histogram, sim, float(threshold), 8 * n_bytes, k)
     if k is not None:
         pairs = _limit_block(pairs, sim, k, [])
     return pairs.select("sim", "rec_i0", "rec_i1").orderBy(F.col("sim").desc(), "rec_i0", "rec_i1")

@@ -3,14 +3,22 @@
 Without blocking every cross-party pair is compared.  Records are dealt to tiles
 by popcount: the histogram of popcounts (at most one row per party and count)
 fixes tiles of about equal size that cover narrow ranges of counts.  Pairs of
-tiles whose counts cannot reach the threshold are never formed.  In a pair of
-tiles one matrix product of the bits, as 0/1 floats, gives all common-bit counts
-exactly; only scores that reach the threshold leave the task.
+tiles whose counts cannot reach the threshold are never formed.  Every other pair
+of tiles is one partition: records cross the wire packed, once per tile pair, and
+are unpacked in blocks whose matrix product, of the bits as 0/1 floats, gives all
+common-bit counts exactly.  Only scores that reach the threshold leave the task,
+block by block.
+
+Tiles grow with the input up to ``LARGEST`` records, and beyond it where there
+would be more than ``MOST_PAIRS`` pairs of tiles, so what is broadcast (tiles and
+their pairs) is bounded, and a record is sent to one tile in ``LARGEST`` records
+of the other party.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +27,19 @@ from pyspark.sql import functions as F
 
 from veilmatch.operators.similarity import Similarity
 
-LARGEST, SMALLEST, ROWS = 4096, 128, 512
+LARGEST, SMALLEST = 65_536, 128
+#: Pairs of tiles aimed at, at most; tasks, at most (further tile pairs share them).
+MOST_PAIRS, MOST_TASKS = 1_000_000, 20_000
+#: Records of the two sides that one matrix product compares, and pairs gathered before they leave the task.
+ROWS, COLUMNS, FLUSH = 512, 8192, 500_000
 
+Tile = tuple[int, int, int, int, int, int]
+Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _tile_table(counts: list[tuple[int, int, int]], aim: int) -> list[tuple[int, int, int, int, int, int]]:
+
+def _tile_table(counts: list[tuple[int, int, int]], aim: int, tile: int = 0) -> list[Tile]:
     """(dset_i, pc, first tile, tiles sharing this pc, lowest pc of the tile, highest) for a histogram (dset_i, pc, n)."""
-    out, tile = [], 0
+    out: list[Tile] = []
     by_party: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for d, pc, n in counts:
         by_party[d].append((pc, n))
@@ -54,6 +69,35 @@ def _tile_table(counts: list[tuple[int, int, int]], aim: int) -> list[tuple[int,
     return out
 
 
+def _tile_pairs(left: list[Tile], right: list[Tile], similarity: Similarity, threshold: float, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of tiles of different parties (the lower one left) that popcounts let reach ``threshold``."""
+
+    def each(table: list[Tile]) -> np.ndarray:
+        return np.array(sorted({(d, first + i, low, high) for d, _, first, parts, low, high in table for i in range(parts)}), np.int64).reshape(-1, 4)
+
+    d1, t1, low1, high1 = each(right).T
+    out = []
+    for d0, t0, low0, high0 in each(left).tolist():
+        met = d1 > d0
+        if similarity.best is not None:
+            # the best score lies at the closest counts of the two ranges, the highest ones if they meet (no bits: score 0)
+            top = np.minimum(high0, high1)
+            x, y = np.maximum(low0, top), np.maximum(low1, top)
+            met &= similarity.counts(np.minimum(x, y).astype(np.float64), x, y, n_bits) >= threshold
+        out.append(np.stack([np.full(np.count_nonzero(met), t0), t1[met]]))
+    return tuple(np.concatenate(out, axis=1)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def _aims(sizes: dict[int, int], slots: int, wide: bool) -> tuple[int, int]:
+    """Records of a left and of a right tile; ``wide``: right tiles as large as they may be, so that limits of left records cut most."""
+    total = sum(a * b for i, a in sizes.items() for j, b in sizes.items() if i < j)
+    square = max(SMALLEST, min(LARGEST, (total / slots) ** 0.5), (total / MOST_PAIRS) ** 0.5)
+    if not wide:
+        return int(square), int(square)
+    right = max(min(LARGEST, max(sizes.values(), default=1)), square)
+    return int(max(SMALLEST, square * square / right)), int(right)
+
+
 def _rank_within(group: np.ndarray, sim: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Rank of each pair in its group by (sim descending, other ascending), from 0."""
     o = np.lexsort((other, -sim, group))
@@ -64,74 +108,128 @@ def _rank_within(group: np.ndarray, sim: np.ndarray, other: np.ndarray) -> np.nd
     return out
 
 
-def product_pairs(records: DataFrame, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> DataFrame:
+def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> DataFrame:
     """Pairs (unordered) of all parties that reach ``threshold``; with ``k``, those that the limits can still keep.
 
-    ``records``: (dset_i, rec_i, clk, pc).
+    ``records``: (dset_i, rec_i, clk, pc), of which ``histogram`` has the counts (dset_i, pc, n).
     """
     spark = records.sparkSession
-    histogram = [tuple(r) for r in records.groupBy("dset_i", "pc").count().collect()]  # at most parties x (bits + 1) rows
     sizes: dict[int, int] = defaultdict(int)
     for d, _, n in histogram:
         sizes[d] += n
-    slots = 4 * spark.sparkContext.defaultParallelism
-    total = sum(a * b for i, a in sizes.items() for j, b in sizes.items() if i < j)
-    aim = int(min(LARGEST, max(SMALLEST, (total / slots) ** 0.5)))
-    table = _tile_table(histogram, aim)
-    tiles = spark.createDataFrame(table, "dset_i int, pc int, first int, parts int, low int, high int")
-    placed = records.join(F.broadcast(tiles), ["dset_i", "pc"]).select("dset_i", "rec_i", "clk", "pc", (F.col("first") + F.pmod(F.xxhash64("rec_i"), F.col("parts"))).cast("int").alias("tile"))
-    each = tiles.select("dset_i", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("tile"), "low", "high").distinct()
-    a, b = (each.select(F.col("dset_i").alias(f"d{i}"), F.col("tile").alias(f"t{i}"), F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}")) for i in (0, 1))
-    met = a.join(b, F.col("d0") < F.col("d1"))
-    if similarity.best is not None:
-        # the best score lies at the closest counts of the two ranges, the highest ones if they meet (no bits: score 0)
-        top = F.least("high0", "high1")
-        x, y = F.greatest(F.col("low0"), top), F.greatest(F.col("low1"), top)
-        met = met.where(similarity.best(x, y, n_bits) >= F.lit(float(threshold)))
-    met = met.select("t0", "t1")
-    left = placed.withColumnRenamed("tile", "t0").join(met, "t0")
-    right = placed.withColumnRenamed("tile", "t1").join(met, "t1")
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own: both sides come from one table
-    parts = max(1, min(2000, int(met.count())))
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        names, types = ["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"], [pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        out: list[list[np.ndarray]] = []
-        if len(a) and len(b):
-            bits_a, bits_b = (_bits(t.column("clk"), n_bits) for t in (a, b))
-            pc_a, pc_b, rec_a, rec_b, d_a, d_b = (t.column(c).to_numpy() for c in ("pc", "rec_i", "dset_i") for t in (a, b))
-            slope, offset = similarity.cutoff(threshold, n_bits)
-            need_b = (slope * pc_b + offset - 0.01).astype(np.float32)
-            for i in range(0, len(bits_a), ROWS):
-                common = bits_a[i : i + ROWS] @ bits_b.T
-                need = (slope * pc_a[i : i + ROWS]).astype(np.float32)
-                reach = (common - need[:, None]) >= need_b
-                if k is not None and not similarity.two_sided and k < len(bits_b) and np.count_nonzero(reach) > 2 * k * len(common):
-                    # most pairs pass: leave those below a row's k-th best score, ties stay for the exact ranks
-                    n = len(common)
-                    dense = similarity.counts(common.ravel().astype(np.float64), np.repeat(pc_a[i : i + n], len(pc_b)), np.tile(pc_b, n), n_bits).reshape(n, -1)
-                    reach &= dense >= np.partition(dense, len(bits_b) - k, axis=1)[:, [len(bits_b) - k]]
-                hit = np.flatnonzero(reach)
-                x, y = hit // len(bits_b), hit % len(bits_b)
-                c, x = common.ravel()[hit], x + i
-                sim = similarity.counts(c.astype(np.float64), pc_a[x], pc_b[y], n_bits)
-                keep = sim >= threshold
-                sim, x, y = sim[keep], x[keep], y[keep]
-                if k is not None and not similarity.two_sided:
-                    top = _rank_within(x, sim, rec_b[y]) < k
-                    sim, x, y = sim[top], x[top], y[top]
-                out.append([sim, x, y])
-            sim, x, y = (np.concatenate(z) for z in zip(*out))
-            if k is not None and similarity.two_sided:
-                top = (_rank_within(x, sim, rec_b[y]) < k) | (_rank_within(y, sim, rec_a[x]) < k)
-                sim, x, y = sim[top], x[top], y[top]
-            return pa.table([pa.array(sim), pa.array(d_a[x].astype(np.int32)), pa.array(d_b[y].astype(np.int32)), pa.array(rec_a[x]), pa.array(rec_b[y])], names)
-        return pa.table([pa.array([], t) for t in types], names)
-
-    left, right = left.repartition(parts, "t0", "t1"), right.repartition(parts, "t0", "t1")
-    return left.groupBy("t0", "t1").cogroup(right.groupBy("t0", "t1")).applyInArrow(compare, "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint")
-
-
-def _bits(clk: pa.ChunkedArray, n_bits: int) -> np.ndarray:
-    flat = b"".join(clk.to_pylist())
-    return np.unpackbits(np.frombuffer(flat, np.uint8).reshape(len(clk), -1), axis=1).astype(np.float32)
+    one_sided = k is not None and not similarity.two_sided
+    aims = _aims(sizes, 4 * spark.sparkContext.defaultParallelism, one_sided)
+    left = _tile_table([h for h in histogram if h[0] < max(sizes)], aims[0])
+    right = _tile_table([h for h in histogram if h[0] > min(sizes)], aims[1], max((t[2] + t[3] for t in left), default=0))
+    t0, t1 = _tile_pairs(left, right, similarity, threshold, n_bits)
+    parts = max(1, min(MOST_TASKS, len(t0)))
+    pair = np.arange(len(t0))
+    routes = spark.createDataFrame(pa.table({"tile": np.concatenate([t0, t1]).astype(np.int32), "pair": np.concatenate([pair, pair]).astype(np.int32)}))
+    tiles = spark.createDataFrame([(d, pc, side, first, n) for side, table in enumerate((left, right)) for d, pc, first, n, _, _ in table], "dset_i int, pc int, side int, first int, parts int")
+    placed = records.join(F.broadcast(tiles), ["dset_i", "pc"]).withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("rec_i"), F.col("parts"))).cast("int"))
+    sent = placed.join(F.broadcast(routes), "tile").select("pair", "side", "dset_i", "rec_i", "pc", "clk")
+    sent = sent.repartitionById(parts, F.pmod("pair", F.lit(parts)).cast("int"))
+    if len(t0) > parts:
+        sent = sent.sortWithinPartitions("pair")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            at = b.column("pair").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for i, j in zip(cuts, cuts[1:]):
+                if held and i < j and held[-1].column("pair")[0].as_py() != at[i]:
+                    yield from _compared(pa.Table.from_batches(held), similarity, threshold, n_bits, k)
+                    held = []
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from _compared(pa.Table.from_batches(held), similarity, threshold, n_bits, k)
+
+    return sent.mapInArrow(run, "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint")
+
+
+def _compared(rows: pa.Table, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of one pair of tiles."""
+    side = rows.column("side").to_numpy()
+    (bits_a, pc_a, rec_a, d_a), (bits_b, pc_b, rec_b, d_b) = (_tile(rows.filter(pa.array(side == s)), n_bits) for s in (0, 1))
+    if not len(pc_a) or not len(pc_b):
+        return
+
+    def limited(hits: Hits) -> Hits:
+        sim, x, y = hits
+        top = _rank_within(x, sim, rec_b[y]) < k
+        if similarity.two_sided:  # what is among neither record's best changes no rank that counts
+            top |= _rank_within(y, sim, rec_a[x]) < k
+        return sim[top], x[top], y[top]
+
+    def batch(hits: Hits) -> pa.RecordBatch:
+        sim, x, y = hits
+        return pa.RecordBatch.from_arrays([pa.array(sim), pa.array(d_a[x]), pa.array(d_b[y]), pa.array(rec_a[x]), pa.array(rec_b[y])], ["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"])
+
+    waiting: list[Hits] = []
+    size, step = 0, FLUSH
+    for i in range(0, len(pc_a), ROWS):
+        a = _floats(bits_a[i : i + ROWS])
+        for j in range(0, len(pc_b), COLUMNS):
+            hits = _block(a, _floats(bits_b[j : j + COLUMNS]), pc_a[i : i + ROWS], pc_b[j : j + COLUMNS], similarity, threshold, n_bits, k)
+            waiting.append((hits[0], hits[1] + i, hits[2] + j))
+            size += len(hits[0])
+            if size > step:
+                got = _joined(waiting)
+                waiting, size = [], 0
+                if k is not None:
+                    got = limited(got)
+                    if len(got[0]) <= 4 * FLUSH:  # else they leave the task as they are: the limits are taken over all pairs later
+                        waiting, size, step = [got], len(got[0]), max(FLUSH, 2 * len(got[0]))
+                        continue
+                yield batch(got)
+        if waiting and (k is None or not similarity.two_sided) and (size > FLUSH // 4 or i + ROWS >= len(pc_a)):
+            # these left records have met the whole tile
+            got = _joined(waiting)
+            waiting, size, step = [], 0, FLUSH
+            yield batch(got if k is None else limited(got))
+    if waiting:
+        yield batch(_joined(waiting) if k is None else limited(_joined(waiting)))
+
+
+def _joined(hits: list[Hits]) -> Hits:
+    return tuple(np.concatenate(h) for h in zip(*hits))
+
+
+def _block(a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Hits:
+    """(sim, row, column) of the pairs of two blocks that reach ``threshold``."""
+    slope, offset = similarity.cutoff(threshold, n_bits)
+    common = a @ b.T
+    need = (slope * pc_a).astype(np.float32)
+    slack = 0.01 + 1e-6 * n_bits  # more than 32-bit sums are off
+    reach = common >= need[:, None] + (slope * pc_b + offset - slack).astype(np.float32)
+    if k is not None and not similarity.two_sided and k < len(pc_b) and np.count_nonzero(reach) > 2 * k * len(pc_a):
+        # most pairs pass: leave those below a row's k-th best score, ties stay for the exact ranks
+        n = len(pc_a)
+        dense = similarity.counts(common.ravel().astype(np.float64), np.repeat(pc_a, len(pc_b)), np.tile(pc_b, n), n_bits).reshape(n, -1)
+        reach &= dense >= np.partition(dense, len(pc_b) - k, axis=1)[:, [len(pc_b) - k]]
+    hit = np.flatnonzero(reach)
+    x, y = hit // len(pc_b), hit % len(pc_b)
+    sim = similarity.counts(common.ravel()[hit].astype(np.float64), pc_a[x], pc_b[y], n_bits)
+    keep = sim >= threshold
+    return sim[keep], x[keep], y[keep]
+
+
+def _tile(rows: pa.Table, n_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(packed bits, popcounts, ids, parties) of a tile's records."""
+    packed = [packed_bits(c, n_bits // 8) for c in rows.column("clk").chunks]
+    bits = np.concatenate(packed) if packed else np.zeros((0, n_bits // 8), np.uint8)
+    return bits, *(rows.column(c).to_numpy() for c in ("pc", "rec_i", "dset_i"))
+
+
+def packed_bits(clk: pa.Array, n_bytes: int) -> np.ndarray:
+    """The bytes of bit strings of one length, without a Python object for each."""
+    clk = clk.cast(pa.large_binary())
+    if not len(clk):
+        return np.zeros((0, n_bytes), np.uint8)
+    off = np.frombuffer(clk.buffers()[1], np.int64)[clk.offset : clk.offset + len(clk) + 1]
+    return np.frombuffer(clk.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].reshape(len(clk), n_bytes)
+
+
+def _floats(packed: np.ndarray) -> np.ndarray:
+    return np.unpackbits(packed, axis=1).astype(np.float32)
