@@ -80,6 +80,24 @@ def test_rounds_and_components_equal_the_fold(spark, seed, monkeypatch):
     assert {tuple(r) for r in ops.pairs_from_groups(ops.greedy_solve(df)).collect()} == want
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_many_components_equal_the_fold(spark, batch, monkeypatch):
+    rng = random.Random(5)
+    given = []
+    for c in range(12):  # components of 1 to 40 pairs over three datasets
+        nodes = [(d, 10 * c + r) for d in range(3) for r in range(rng.randrange(1, 6))]
+        every = [(x, y) for x in nodes for y in nodes if x[0] < y[0]]
+        given += [(rng.randrange(4) / 4, x[0], y[0], x[1], y[1]) for x, y in rng.sample(every, rng.randrange(1, len(every) + 1))]
+    df = spark.createDataFrame(given, PAIRS)
+    want = groups(ops.probabilistic_greedy_solve(df, merge_threshold=0.5))
+    monkeypatch.setattr(solving, "FOLD_PAIRS", 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert groups(ops.probabilistic_greedy_solve(df, merge_threshold=0.5)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)] + [(7, 7)]

@@ -9,9 +9,11 @@ in rounds of locally best pairs, which gives the greedy result as well.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +96,33 @@ def _folded(rows: pd.DataFrame, merge_threshold: float, deduplicated: bool, orde
     return pd.DataFrame({"g_dset": [g[0] for g, _ in out], "g_rec": [g[1] for g, _ in out], "dset_i": [n[0] for _, n in out], "rec_i": [n[1] for _, n in out]}, dtype="int64")
 
 
+def _by_component(solve: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``solve`` for rows sorted by column ``root``: many small components in one call, as no state flows between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last component seen, which may go on
+        for b in batches:
+            if not len(b):
+                continue
+            keys = pc.run_end_encode(pc.binary_join_element_wise(*(pc.cast(x, pa.string()) for x in b.column("root").flatten()), ","))
+            ends = keys.run_ends.to_pylist()
+            begins = ends[-2] if len(ends) > 1 else 0  # where the batch's last component begins
+            if held and (begins or held[-1].column("root")[len(held[-1]) - 1] != b.column("root")[0]):
+                held.append(b.slice(0, begins))
+                yield from solved(held)
+                held = []
+            elif begins:
+                yield from solved([b.slice(0, begins)])
+            held.append(b.slice(begins))
+        if held:
+            yield from solved(held)
+
+    def solved(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return iter(pa.Table.from_pandas(solve(pa.Table.from_batches(parts).drop_columns(["root"]).to_pandas()), preserve_index=False).to_batches())
+
+    return run
+
+
 def _checked(pairs: DataFrame, merge_threshold: float) -> None:
     if not 0 <= merge_threshold <= 1:
         raise ValueError(f"merge_threshold must be in [0, 1], not {merge_threshold}")
@@ -120,8 +149,8 @@ def probabilistic_greedy_solve(pairs: DataFrame, *, merge_threshold: float = 0.5
     else:
         a, b = (F.struct(F.col(f"dset_i{i}").cast("bigint").alias("d"), F.col(f"rec_i{i}").alias("r")) for i in (0, 1))
         roots = components(held.select(a.alias("a"), b.alias("b")))
-        tagged = held.withColumn("node", a).join(roots, "node").drop("node")
-        solved = tagged.groupBy("root").applyInPandas(lambda pdf: solve(pdf), schema)
+        tagged = held.withColumn("node", a).join(roots, "node").drop("node").repartition("root").sortWithinPartitions("root")
+        solved = tagged.mapInArrow(_by_component(solve), schema)
     return solved.select(
         F.struct(F.col("g_dset").cast("int").alias("dset_i"), F.col("g_rec").alias("rec_i")).alias("group_id"),
         F.col("dset_i").cast("int").alias("dset_i"),
