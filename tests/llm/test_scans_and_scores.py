@@ -255,8 +255,10 @@ def test_words_of_equal_counts_stay_known_by_place(spark, monkeypatch):
     assert 50 <= len(voc.words) <= 150 and voc.own == len(voc.words) and voc.distinct == 2001
 
 
-def test_scores_equal_the_model_written_out(docs, rows):
-    """Each score against probabilities of a plain softmax over all classes, word by word."""
+@pytest.mark.parametrize("near", [5, 10_000])
+def test_scores_equal_the_model_written_out(docs, rows, near, monkeypatch):
+    """Each score against probabilities of a plain softmax over all classes, word by word; ``near`` words make contexts of their own."""
+    monkeypatch.setattr(lm, "CONTEXTS", lm.BUCKETS + 1 + near)
     held = fold(docs, 7) == 2
     plain = docs.drop("score")
     learn = plain.where(~F.coalesce(fold(plain, 7) == 2, F.lit(False)))
@@ -272,11 +274,12 @@ def test_scores_equal_the_model_written_out(docs, rows):
         parts = (t or "").encode().translate(lm.ASCII_LOWER).split()
         for w in [*parts, b""]:
             cls = own.get(w, 1 + voc.own + lm.bucket(w)) if w else 0
-            z = model.q.astype(float) @ (model.r[u] * model.c[0] + model.r[v] * model.c[1]).astype(float) + model.b
+            z = model.outputs.astype(float) @ (model.r[u] * model.c[0] + model.r[v] * model.c[1]).astype(float) + model.b
             total += (z[cls] - np.log(np.exp(z - z.max()).sum()) - z.max()) / math.log(10)
             if cls > voc.own:
                 total += math.log10((known.get(w, 0) + 1) / voc.bucket_norm[lm.bucket(w)])
-            u, v = cls, u
+            place = own.get(w, near + 1) if w else 0
+            u, v = place if place <= near else min(near, voc.own) + 1 + lm.bucket(w), u
         want.append((d is None, d or 0, len(parts) + 1, total))
     assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
     assert np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], rtol=2e-3, atol=1e-3)
