@@ -1,5 +1,8 @@
 import math
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,3 +46,9 @@ def test_smc_needs_bits_and_all_equal(spark):
     assert not all_equal(spark.createDataFrame([(1,), (2,)], "x int"), "x")
     assert all_equal(spark.createDataFrame([], "x int"), "x")
     assert math.isclose(2 * 3 / 7, 6 / 7)
+
+
+@pytest.mark.parametrize("module", ["plans.product", "operators.candidates", "operators.solving", "operators.similarity", "functions.bits", "sources.pairs", "session", "queries"])
+def test_modules_import_first(module):
+    """A Python worker may start with any module."""
+    subprocess.run([sys.executable, "-c", f"import veilmatch.{module}"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

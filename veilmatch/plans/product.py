@@ -19,13 +19,15 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmatch.operators.similarity import Similarity
+if TYPE_CHECKING:  # workers import this module first, and the operators import it
+    from veilmatch.operators.similarity import Similarity
 
 LARGEST, SMALLEST = 65_536, 128
 #: Pairs of tiles aimed at, at most; tasks, at most (further tile pairs share them).
