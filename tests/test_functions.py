@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tests.linkage_spec import dice as dice_spec
 from tests.linkage_spec import popcount as popcount_spec
 from tests.linkage_spec import smc as smc_spec
+from veilmatch import session
 from veilmatch.functions import all_equal, clk_words, dice, get_bit, logand_count, popcount, py_floordiv, smc
 
 
@@ -52,3 +53,12 @@ def test_smc_needs_bits_and_all_equal(spark):
 def test_modules_import_first(module):
     """A Python worker may start with any module."""
     subprocess.run([sys.executable, "-c", f"import veilmatch.{module}"], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_intermediate_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}")
+    held = session.write_table(spark.range(5).toDF("x"), "kept")
+    folder = os.path.dirname(held.inputFiles()[0].removeprefix("file://").removeprefix("file:"))
+    assert held.count() == 5 and os.path.exists(folder)
+    session.drop_tables(spark)
+    assert not os.path.exists(folder)

@@ -32,8 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/veilmatch/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results not yet written or collected can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_table(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` below the shared folder and read it back, so a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/veilmatch/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
