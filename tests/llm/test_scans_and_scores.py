@@ -285,6 +285,40 @@ def test_scores_equal_the_model_written_out(docs, rows, near, monkeypatch):
     assert np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], rtol=2e-3, atol=1e-3)
 
 
+def test_every_training_text_trains_and_scales_the_model(spark, monkeypatch):
+    """Each sixteenth of the texts changes the parameters, and the scale is picked by the likelihood of all tokens, those of long texts too."""
+    rng, seen = random.Random(3), []
+    texts = [prose(rng, 40) for _ in range(60)] + [prose(rng, 5000), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    voc = lm.vocabulary(lm.count_words(df))
+    whole = lm.fit(df, voc).r  # no scale changes it
+    ids = voc.stream([(t or "").encode() for t in texts])
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(16))
+    parts = {r[0] for r in df.select(part).collect()}
+    for p in sorted(parts)[:1] + sorted(parts)[-1:]:
+        assert not np.array_equal(lm.fit(df.where(part != p), voc).r, whole)
+    rescale = lm.LogBilinear.rescale
+    monkeypatch.setattr(lm.LogBilinear, "rescale", lambda self, gains: seen.append(gains) or rescale(self, gains))
+    assert np.array_equal(lm.fit(df, voc).r, whole)
+    share = lm.class_shares(voc) / lm.class_shares(voc).sum()
+    assert 0 in parts and math.isclose(seen[0][0], np.log(share)[ids].sum(), rel_tol=1e-6)
+
+
+def test_gains_are_the_likelihoods_of_scaled_models():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 7, 400).astype(np.int32)
+    model = lm.LogBilinear((np.bincount(ids, minlength=9) + 1.0) / (len(ids) + 9))
+    model.train(ids)
+    got = model.gains(ids, model.normalisers())
+    for scale, g in zip(lm.SCALES, got):
+        last, prior, norm = model.scaled(scale).tables()
+        total, u, v = 0.0, 0, 0
+        for w in ids:
+            total += last[u, w] + prior[v, w] - norm[u, v]
+            u, v = w, u if w else 0
+        assert math.isclose(g, total, rel_tol=1e-5)
+
+
 def slow_fingerprint(text):
     """Lanes in whole numbers, one word and one line at a time."""
     full, odd = 2**64, 0x9E3779B97F4A7C15

@@ -16,10 +16,12 @@ together, one place for unseen words in each bucket included, have probability 1
 What is gathered: counts of all words of all training texts (pre-aggregated by
 task, then summed by word).  Words with the ``LOCAL_WORDS`` largest counts are sent
 to all tasks; the counts of the others reach their texts by a join on the word.
-Training starts from a model fitted to at most ``SEED_TEXTS`` texts, then every
-task trains on the training texts of its partition and the models are averaged, so
-scores depend a little on how rows are dealt to tasks.  One text in ``ASIDE`` is only
-counted: on such texts, which no model has seen, the context's influence is scaled.
+Every training text is trained on once, in one of ``ROUNDS`` picked by its hash: in a
+round each task trains on the round's texts of its partition, from the model of the
+round before, and the models are averaged, so scores depend a little on how rows are
+dealt to tasks.  Before that, the same texts, which the model of the round before has
+not seen, are scored under several influences of the context; the influence under
+which all training texts together are likeliest scales the model at the end.
 
 Null texts are empty; an empty text is its end token.  Rows may repeat, ids may be null.
 """
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmatch.llm.common import ASCII_LOWER, byte_rows, drop_table, int64, smallest, tidy, write_table
+from veilmatch.llm.common import ASCII_LOWER, byte_rows, drop_table, int64, tidy, write_table
 
 CLASSES = 4096
 CONTEXTS = 1024
@@ -47,12 +49,10 @@ NOISE = 48
 BATCH = 1024
 RATE = 0.1
 LOCAL_WORDS = 200_000
-#: Influences of the context that are tried on texts the first model has not seen.
+#: Influences of the context that are tried on texts before they are trained on.
 SCALES = (0.0, 0.5, 0.75, 1.0, 1.25)
-SEED_TEXTS = 2000
-#: One text in so many (by its hash) is counted but not trained on; the scale is picked on such texts.
-ASIDE = 16
-SEED_BYTES = 20_000
+#: Parts of the training texts (by their hash) that are trained on in each round: all of them in one round or another.
+ROUNDS = (1, 7, 8)
 #: Distinct words that a task gathers before it hands them on; models averaged by one task.
 FLUSH, FAN_IN = 400_000, 64
 END = b""
@@ -93,11 +93,12 @@ class LogBilinear:
         return self.q + self.g[self.kin]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.parameters])
+        """Parameters and the sums of squares by which steps shrink."""
+        return np.concatenate([x.ravel() for x in (*self.parameters, *self._squares)])
 
     def load(self, flat: np.ndarray) -> "LogBilinear":
         at = 0
-        for x in self.parameters:
+        for x in (*self.parameters, *self._squares):
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
         return self
@@ -145,25 +146,43 @@ class LogBilinear:
         squares[at] += g * g
         x[at] += RATE * g / np.sqrt(squares[at])
 
+    def scaled(self, scale: float) -> "LogBilinear":
+        """A model with so many times the context's influence; 0 leaves the classes' shares."""
+        other = LogBilinear(self.share, self.context, self.kin).load(self.flat())
+        other.q *= np.float32(scale)
+        other.g *= np.float32(scale)
+        if not scale:
+            other.b = np.log(self.share).astype(np.float32)
+        return other
+
+    def normalisers(self) -> list[np.ndarray | None]:
+        """Those of each of SCALES; None: all zero, as shares sum to 1."""
+        return [self.scaled(s).normaliser() if s else None for s in SCALES]
+
+    def gains(self, ids: np.ndarray, norms: list[np.ndarray | None]) -> np.ndarray:
+        """Log-likelihoods of a stream of classes under each of SCALES; ``norms``: normalisers()."""
+        total = np.zeros(len(SCALES))
+        last, prior, out, bias = self.factors()
+        shares = np.log(self.share)
+        before = np.concatenate(([0, 0], ids[:-1])).astype(ids.dtype)
+        us, vs = self.context[before[1:]], self.context[np.where(before[1:] == 0, 0, before[:-1])]
+        for k in range(0, len(ids), 16 * BATCH):
+            u, v, w = us[k : k + 16 * BATCH], vs[k : k + 16 * BATCH], ids[k : k + 16 * BATCH]
+            dot = float(np.einsum("ij,ij->", last[u] + prior[v], out[w], dtype=np.float64))
+            own = float(bias[w].sum(dtype=np.float64))
+            for i, (s, norm) in enumerate(zip(SCALES, norms)):
+                total[i] += shares[w].sum() if norm is None else s * dot + own - float(norm[u, v].sum(dtype=np.float64))
+        return total
+
+    def rescale(self, gains: np.ndarray) -> None:
+        """Scale the context's influence to that of SCALES with the largest of ``gains``."""
+        best = self.scaled(SCALES[int(np.argmax(gains))])
+        self.q, self.g, self.b = best.q, best.g, best.b
+
     def sharpen(self, ids: np.ndarray) -> None:
-        """Scale the context's influence to what suits a stream of classes best (0 would leave the classes' shares)."""
-        if not len(ids):
-            return
-        last = np.concatenate(([0], ids[:-1]))
-        prior = self.context[np.where(last == 0, 0, np.concatenate(([0], last[:-1])))]
-        last = self.context[last]
-        best = None
-        for scale in SCALES:
-            other = LogBilinear(self.share, self.context, self.kin).load(self.flat())
-            other.q *= np.float32(scale)
-            other.g *= np.float32(scale)
-            if not scale:
-                other.b = np.log(self.share).astype(np.float32)
-            a, b, norm = other.tables()
-            got = float((a[last, ids] + b[prior, ids] - norm[last, prior]).sum(dtype=np.float64))
-            if best is None or got > best[0]:
-                best = got, other
-        self.q, self.g, self.b = best[1].q, best[1].g, best[1].b
+        """Scale the context's influence to what suits a stream of classes best."""
+        if len(ids):
+            self.rescale(self.gains(ids, self.normalisers()))
 
     def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """What by_context() needs: vectors of contexts as last word and as the one before, of classes, and biases."""
@@ -303,52 +322,63 @@ def class_shares(voc: Vocabulary) -> np.ndarray:
     return np.concatenate([[voc.end_count], voc.counts[: voc.own], voc.bucket_norm]) + 1.0
 
 
-def fit(df: DataFrame, voc: Vocabulary, *, text: str = "text", key: str = "doc_id") -> LogBilinear:
-    """Train on every row of ``df``."""
+def fit(df: DataFrame, voc: Vocabulary, *, text: str = "text") -> LogBilinear:
+    """Train on every row of ``df``, and scale the context's influence by every row."""
     spark = df.sparkSession
     context, kin = voc.context, voc.kin
     model = LogBilinear(class_shares(voc) / class_shares(voc).sum(), context, kin)
-    body = F.col(text).cast("string")
-    aside = F.pmod(F.xxhash64(F.coalesce(body, F.lit(""))), F.lit(ASIDE)) == 0  # never trained on; the same for equal texts
-    some = df.select(F.col(key).alias("k"), body.alias("t"), aside.alias("aside")).where(F.octet_length("t").between(1, SEED_BYTES))
-    first, unseen = ([r["t"].encode() for r in smallest(some.where(F.col("aside") == w), "k", n).collect()] for w, n in ((False, SEED_TEXTS), (True, SEED_TEXTS // 4)))  # bounded: short texts
-    model.train(voc.stream(first))
-    start, share = model.flat(), model.share
-    sent = spark.sparkContext.broadcast((voc, start, share, context, kin))
+    kind = "n bigint, model binary, gains array<double>"
+    names = ["n", "model", "gains"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, start, share, context, kin = sent.value
-        own = LogBilinear(share, context, kin).load(start)
-        n = 0
-        for b in batches:
-            for i in range(0, len(b), 500):
-                ids = voc.stream(byte_rows(b.slice(i, 500).column(0)))
-                own.train(ids)
-                n += len(ids)
-        if n:
-            yield pa.RecordBatch.from_arrays([int64([n]), pa.array([own.flat().astype("<f4").tobytes()], pa.binary())], ["n", "model"])
+    def packed(n: int, flat: np.ndarray, gains: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([int64([n]), pa.array([flat.astype("<f4").tobytes()], pa.binary()), pa.array([gains.tolist()], pa.list_(pa.float64()))], names)
+
+    def united(rows: list[tuple]) -> tuple[int, np.ndarray | None, np.ndarray]:
+        """(tokens, average model, sum of gains)."""
+        total, n, gains = None, 0, np.zeros(len(SCALES))
+        for k, m, g in rows:
+            x = np.frombuffer(m, "<f4") * np.float64(k)
+            total, n, gains = x if total is None else total + x, n + k, gains + np.array(g)
+        return n, total / n if n else None, gains
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
-        for b in batches:
-            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(m, "<f4") * np.float64(k)
-                total, n = x if total is None else total + x, n + k
+        n, flat, gains = united([row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))])
         if n:
-            yield pa.RecordBatch.from_arrays([int64([n]), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "model"])
+            yield packed(n, flat, gains)
 
-    kind = "n bigint, model binary"
-    models = write_table(df.where(~aside).select(body.alias("text")).mapInArrow(tidy(run), kind), "models")
-    while (left := models.count()) > FAN_IN:
-        fewer = write_table(models.repartition(-(-left // FAN_IN)).mapInArrow(tidy(average), kind), "models")
+    body = F.col(text).cast("string")
+    part = F.pmod(F.xxhash64(F.coalesce(body, F.lit(""))), F.lit(sum(ROUNDS)))  # the same for equal texts
+    gains = np.zeros(len(SCALES))
+    for i, size in enumerate(ROUNDS):
+        sent = spark.sparkContext.broadcast((voc, model.flat(), model.share, context, kin, model.normalisers(), i))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            voc, start, share, context, kin, norms, i = sent.value
+            before, own = LogBilinear(share, context, kin).load(start), LogBilinear(share, context, kin, seed=7 + i).load(start)
+            n, gains = 0, np.zeros(len(SCALES))
+            for b in batches:
+                for k in range(0, len(b), 500):
+                    ids = voc.stream(byte_rows(b.slice(k, 500).column(0)))
+                    gains += before.gains(ids, norms)
+                    own.train(ids)
+                    n += len(ids)
+            if n:
+                yield packed(n, own.flat(), gains)
+
+        done = sum(ROUNDS[:i])
+        models = write_table(df.where((part >= done) & (part < done + size)).select(body.alias("text")).mapInArrow(tidy(run), kind), "models")
+        while (left := models.count()) > FAN_IN:
+            fewer = write_table(models.repartition(-(-left // FAN_IN)).mapInArrow(tidy(average), kind), "models")
+            drop_table(models)
+            models = fewer
+        n, flat, more = united([(r["n"], r["model"], r["gains"]) for r in models.collect()])  # at most FAN_IN rows
         drop_table(models)
-        models = fewer
-    last = models.collect()  # at most FAN_IN rows
-    drop_table(models)
-    if last:
-        weight = np.array([r["n"] for r in last], np.float64)
-        model.load(sum(np.frombuffer(r["model"], "<f4") * w for r, w in zip(last, weight)) / weight.sum())
-    model.sharpen(voc.stream(unseen))
+        sent.destroy()
+        if n:
+            model.load(flat)
+            gains += more
+    if gains.any():
+        model.rescale(gains)
     return model
 
 
@@ -359,7 +389,7 @@ def score(df: DataFrame, held_out: Column, *, text: str = "text", key: str = "do
     learn = rows.where(~F.col("_held"))
     counts = write_table(count_words(learn, text="_text"), "counts")
     voc = vocabulary(counts)
-    model = fit(learn, voc, text="_text", key="_key")
+    model = fit(learn, voc, text="_text")
     sent = spark.sparkContext.broadcast((voc, model.context, model.factors(), model.normaliser()))  # tasks make the tables: they are larger
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
