@@ -333,3 +333,31 @@ def test_one_row_of_every_group_with_repeated_and_null_keys(spark):
     got = simhash.one_of_each_group(df).collect()
     assert sorted(repr((r["doc_id"], r["text"])) for r in got) == sorted(map(repr, [(2, a), (5, b), (7, c), (7, d), (None, e), (None, "p " * 9), (11, None)]))
     assert got[0].__fields__ == df.columns
+
+
+def test_suffixes_of_few_letters_take_few_sorts(monkeypatch):
+    """First keys hold as many symbols as the letters that occur need; orders and repeats equal brute force."""
+    rng, sorts = random.Random(8), []
+    argsort = np.argsort
+    monkeypatch.setattr(suffixes.np, "argsort", lambda x, **k: sorts.append(len(x)) or argsort(x, **k))
+    letters = np.array([[0], [255], [1, 255], [97, 122], list(range(256))], object)
+    for few in letters:
+        for sizes in ([1], [5, 3], [400], [60, 200, 9]):
+            parts = [bytes(rng.choice(few) for _ in range(k)) for k in sizes]
+            sym = np.array([x for p in parts for x in [*(b + 1 for b in p), 0]], np.uint64)
+            stops = np.flatnonzero(sym == 0)
+            end = np.repeat(stops, np.array(sizes) + 1)
+            sa = suffixes.suffix_array(sym, end)
+            # closing symbols differ, in the order in which they come first in sa
+            rank = {int(p): i for i, p in enumerate(sa[: len(parts)])}
+            suffix = lambda i: [(int(x), 0) for x in sym[i : end[i]]] + [(0, rank[int(end[i])])]
+            assert set(rank) == set(stops.tolist()) and sa.tolist() == sorted(range(len(sym)), key=suffix)
+            begin, count = np.concatenate(([0], stops[:-1] + 1)), np.maximum(0, np.array(sizes) - 4)
+            s = suffixes.Shard(parts, count.tolist(), 5)
+            windows = Counter(p[i : i + 5] for p, c in zip(parts, count) for i in range(c))
+            assert all(s.repeated[b + i] == (windows[p[i : i + 5]] > 1) for p, b, c in zip(parts, begin, count) for i in range(c))
+    text = bytes(rng.choice(b"yz") for _ in range(200))
+    assert max(text.rfind(text[i : i + 30]) - i for i in range(170)) == 0  # no repeat of 30
+    sorts.clear()
+    suffixes.Shard([text], [150], 51)
+    assert sorts.count(201) == 1 and len(sorts) == 2  # one of the suffixes, one of Kasai's lanes

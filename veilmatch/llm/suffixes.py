@@ -52,7 +52,7 @@ SHARD, SPLIT = 500_000, 4_000_000
 #: Bytes of a word's symbol.
 CODE = 8
 #: Bytes hashed at a time, and starts of one lane of Kasai's scan.
-SPAN, LANE = 1 << 20, 512
+SPAN, LANE = 1 << 20, 32
 _LISTS = ("hashes", "digests", "starts", "counts", "twice")
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -133,28 +133,47 @@ def suffix_array(sym: np.ndarray, end: np.ndarray) -> np.ndarray:
     what ties is one group.)
     """
     n = len(sym)
-    key, at = np.zeros(n, np.uint64), np.arange(n, dtype=np.int32)
+    end = end.astype(np.int64)
+    at = np.arange(n)
+    left = end - at
     bits = int(sym.max()).bit_length()
     h = max(1, 63 // bits)
-    for j in range(h):
-        key = key << np.uint64(bits) | sym[np.minimum(at + np.int32(j), end)]
-    sa = np.argsort(key).astype(np.int32)
+
+    def then(key: np.ndarray, more: np.ndarray, first: int, wide: int) -> np.ndarray:
+        """Keys of ``first`` symbols with those of ``wide`` symbols that follow them; behind the end there are zeros."""
+        out = key << np.uint64(bits * wide)
+        m = max(0, n - first)
+        out[:m] |= np.where(left[:m] >= first, more[first:], np.uint64(0))
+        return out
+
+    key, size, piece, wide = None, 0, sym.astype(np.uint64), 1
+    while True:
+        if h & wide:
+            key, size = (piece if key is None else then(key, piece, size, wide)), size + wide
+        if 2 * wide > h:
+            break
+        piece, wide = then(piece, piece, wide, wide), 2 * wide
+    sa = np.argsort(key)
     key = key[sa]
     new = np.append(True, key[1:] != key[:-1])
-    del key
+    del key, piece, left
     new[: np.count_nonzero(sym == 0)] = True  # they come first
+    group = np.maximum.accumulate(np.where(new, at, 0))
     rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, at, np.int32(0)))
-    slots = np.flatnonzero(~new | ~np.append(new[1:], True))
+    rank[sa] = group
+    rests = new & np.append(new[1:], True)
+    slots, group = np.flatnonzero(~rests), group[~rests]
     while len(slots):
         at = sa[slots]
-        order = rank[np.minimum(at + np.int32(h), end[at])] + rank[at] * n
+        order = rank[np.minimum(at + h, end[at])] + group * n
         o = np.argsort(order)
         order, at = order[o], at[o]
         sa[slots] = at
         new = np.append(True, order[1:] != order[:-1])
-        rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        slots = slots[~new | ~np.append(new[1:], True)]
+        group = slots[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        rank[at] = group
+        rests = new & np.append(new[1:], True)
+        slots, group = slots[~rests], group[~rests]
         h *= 2
     return sa
 
@@ -166,7 +185,8 @@ def common_prefixes(x: np.ndarray, sa: np.ndarray, end: np.ndarray, begin: np.nd
     Starts run from ``begin`` for ``count`` places, cut into lanes that advance together.
     """
     n = len(x)
-    phi = np.empty(n, np.int32)
+    end = end.astype(np.int64)
+    phi = np.empty(n, np.int64)
     phi[sa[0]] = -1
     phi[sa[1:]] = sa[:-1]
     step = 8 if x.itemsize == 1 else 1  # symbols compared at a time
@@ -209,7 +229,10 @@ class Shard:
         self.begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         self.count, self.length = np.array(counts, np.int64), length
         self.x = np.frombuffer(bytes(width).join([*parts, b""]), np.uint8 if width == 1 else "<u8")
-        sym = (self.x.astype(np.uint64) if width == 1 else np.unique(self.x, return_inverse=True)[1].astype(np.uint64)) + np.uint64(1)
+        if width == 1:  # few symbols are few bits
+            sym = np.cumsum(np.bincount(self.x, minlength=256) > 0).astype(np.uint64)[self.x]
+        else:
+            sym = np.unique(self.x, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
         stops = self.begin + sizes
         sym[stops] = 0
         end = np.repeat(stops.astype(np.int32), sizes + 1)
