@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmatch.llm import bpe, decontamination, fingerprints, licenses, lm, quality, sequences, simhash, suffixes, transducer
-from veilmatch.llm.common import documents, fold, fresh_path
+from veilmatch.llm import bpe, decontamination, fingerprints, licenses, lm, packing, prefix_trie, quality, search, sequences, simhash, suffixes, transducer
+from veilmatch.llm.common import documents, fold, fresh_path, share_code
 
 #: Vocabulary files are found by the package that ships them; the name is the parameter.
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -90,9 +90,42 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.read_documents(files)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir), vocabulary(BYTE_VOCABULARY), end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build_index(documents(spark, sf_dir))
+    return search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share_code(spark)
+    turns = prefix_trie.turns_in_order(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.trie(*prefix_trie.share_beginnings(turns))
+
+
+_QUERIES = (
+    op1_lm_scoring,
+    op2_simhash_near_dedup,
+    op3_suffix_array_dedup,
+    op4_bpe_encoding,
+    op5_license_scan,
+    op6_benchmark_decontamination,
+    op7_quality_classifier,
+    op8_document_fingerprints,
+    op9_token_counts,
+    op10_token_files,
+    op11_best_fit_packing,
+    op12_ranked_search,
+    op13_conversation_trie,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_bpe_encoding, op5_license_scan, op6_benchmark_decontamination, op7_quality_classifier, op8_document_fingerprints, op9_token_counts, op10_token_files)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": decontamination.ORACLE}
+    return {"op6_benchmark_decontamination": decontamination.ORACLE, "op12_ranked_search": search.ORACLE, "op13_conversation_trie": prefix_trie.ORACLE}
