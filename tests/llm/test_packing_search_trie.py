@@ -108,6 +108,20 @@ def test_packed_pieces_hold_every_token_once(spark, wide, rows, capacity):
         assert bytes(r["ids"]) == b"".join(i for _, _, i in x) and r["starts"] == [o for o, _, _ in x] and r["n_tokens"] == sum(n for _, n, _ in x)
 
 
+def test_the_fast_encoder_equals_the_library(rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTES)
+    rng = random.Random(2)
+    pool = [*"aabcdest'' 'r\"-.,12\u00e9\u00b2\u00bd\u00d1\u00df\u0130\u017f\u65e5\u0301 \n\t\r\x1c\x85\xa0\u2014\U0001f600", "'re", "'ll", "n't", "<|endoftext|>", "the ", " ing", "tion", "   ", "\n\n", "ABC", "2024"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["".join(rng.choice("etaoinshr dlucm") for _ in range(300)) for _ in range(500)] + [prose(rng, 200) for _ in range(50)] + [t or "" for _, t in rows]
+    texts += [" " * 900, "x" * 100_000, "a " + "\n" * 5000, ("q" * 399 + " ") * 20, "\x00\x01 a"]
+    encode = packing.encoder(BYTES)
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(encode(text), "<u4").tolist() == want.ids, text[:80]
+
+
 def test_packing_nothing_and_nulls(spark, none, nulls):
     assert packing.pack(none, BYTES).count() == 0
     assert sorted((r["length"], r["offset"]) for r in packing.pack(nulls, BYTES).collect()) == [(1, 0), (1, 1), (1, 2)]
