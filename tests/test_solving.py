@@ -1,12 +1,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import linkage_spec as spec
 from veilmatch import operators as ops
 from veilmatch.operators import solving
 from veilmatch.operators.components import components
-from veilmatch.schema import PAIRS
+from veilmatch.operators.merging import fold_groups, merge_rounds
+from veilmatch.schema import PAIRS, canonical_order
 
 
 def pairs(spark, text):
@@ -76,8 +78,71 @@ def test_rounds_and_components_equal_the_fold(spark, seed, monkeypatch):
     want = set(spec.greedy([(r[3], r[4]) for r in given]))
     assert {tuple(r) for r in ops.pairs_from_groups(ops.greedy_solve(df)).collect()} == want
     assert {(r["rec_i0"], r["rec_i1"]) for r in ops.matching_rounds(df, rounds=2).collect()} == want
-    monkeypatch.setattr(solving, "FOLD_PAIRS", 0)
-    assert {tuple(r) for r in ops.pairs_from_groups(ops.greedy_solve(df)).collect()} == want
+    assert sorted(tuple(r) for r in ops.pivot_matching(df, small=6).select("rec_i0", "rec_i1").collect()) == sorted(want)
+    if seed == 0:
+        monkeypatch.setattr(solving, "FOLD_PAIRS", 5)  # of two components, a larger one goes by rounds
+        more = df.unionByName(spark.createDataFrame([(0.5, 0, 1, 100, 100)], PAIRS))
+        assert {tuple(r) for r in ops.pairs_from_groups(ops.greedy_solve(more)).collect()} == want | {(100, 100)}
+
+
+def test_pivots_on_ties_and_nothing(spark):
+    same = spark.createDataFrame([(0.5, 0, 1, a, b) for a in (1, 2, 3) for b in (4, 5)], PAIRS)
+    for small in (0, 2, 100):
+        assert sorted(tuple(r) for r in ops.pivot_matching(same, small=small).collect()) == [(0.5, 1, 4), (0.5, 2, 5)]
+    assert ops.pivot_matching(same.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        ops.pivot_matching(spark.createDataFrame([(0.5, 0, 2, 1, 1)], PAIRS))
+
+
+def crowd(seed, pieces=70):
+    """Many small components of two to four datasets, pairs inside a dataset included, in random order."""
+    rng = random.Random(seed)
+    given = []
+    for c in range(pieces):
+        nodes = [(d, 10 * c + r) for d in range(rng.randrange(2, 5)) for r in range(rng.randrange(1, 5))]
+        every = [(x, y) for i, x in enumerate(nodes) for y in nodes[:i]]
+        given += rng.sample(every, rng.randrange(len(every) + 1))
+    rng.shuffle(given)
+    return given
+
+
+@pytest.mark.parametrize("merge_threshold, deduplicated, rounds", [(1.0, False, 100), (0.5, True, 100), (0.3, False, 100), (0.75, False, 2), (0.0, True, 1)])
+def test_merges_in_rounds_equal_the_fold(spark, merge_threshold, deduplicated, rounds):
+    given = crowd(int(10 * merge_threshold))
+    df = spark.createDataFrame([(i, x[0], y[0], x[1], y[1]) for i, (x, y) in enumerate(given)], "i long, dset_i0 int, dset_i1 int, rec_i0 long, rec_i1 long").repartition(3)
+    got = {}
+    for r in merge_rounds(df, merge_threshold, deduplicated, [F.col("i")], rounds=rounds).collect():
+        got.setdefault((r["root"]["d"], r["root"]["r"]), []).append((r["node"]["d"], r["node"]["r"]))
+    want = solving.fold(given, merge_threshold, deduplicated)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert all(min(m) == root for root, m in got.items())
+
+
+def test_folding_contracted_groups_equals_the_fold():
+    rng = random.Random(8)
+    for _ in range(300):
+        given, t, once = crowd(rng.random(), 2), rng.choice([0.0, 0.3, 0.5, 0.75, 1.0]), rng.random() < 0.5
+        places = fold_groups([(i, x, 1, -1, [x[0]], y, 1, -1, [y[0]]) for i, (x, y) in enumerate(given)], t, once)
+        root = {n: n for e in given for n in e}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in places:
+            root[find(given[i][0])] = find(given[i][1])
+        groups = {}
+        for n in root:
+            groups.setdefault(find(n), []).append(n)
+        assert sorted(sorted(m) for m in groups.values() if len(m) > 1) == sorted(map(sorted, solving.fold(given, t, once)))
+
+
+def test_no_pairs_no_merges(spark):
+    empty = spark.createDataFrame([], PAIRS)
+    assert merge_rounds(empty, 1.0, False, canonical_order()).count() == 0
+    loop = spark.createDataFrame([(1.0, 0, 0, 3, 3)], PAIRS)
+    assert merge_rounds(loop, 1.0, False, canonical_order()).count() == 0
 
 
 @pytest.mark.parametrize("batch", [1, 3, 10_000])

@@ -13,8 +13,9 @@ from veilmatch.operators.candidates import (
     simple_matching_coefficient,
 )
 from veilmatch.operators.chunks import chunks_table, process_chunk, split_to_chunks
+from veilmatch.operators.merging import merge_rounds
 from veilmatch.operators.similarity import DICE, SMC, Similarity, custom_similarity
-from veilmatch.operators.solving import greedy_solve, match_labels, matching_rounds, nested_groups, pairs_from_groups, probabilistic_greedy_solve
+from veilmatch.operators.solving import greedy_solve, match_labels, matching_rounds, nested_groups, pairs_from_groups, pivot_matching, probabilistic_greedy_solve
 from veilmatch.operators.stats import cumul_number_matches_vs_threshold, match_ratio, matches_nonmatches_hist, nonmatch_index_score, precision_recall, similarities_hist
 
 __all__ = [
@@ -37,9 +38,11 @@ __all__ = [
     "matches_nonmatches_hist",
     "matching_rounds",
     "merge_pairs",
+    "merge_rounds",
     "nested_groups",
     "nonmatch_index_score",
     "pairs_from_groups",
+    "pivot_matching",
     "popcount_arrays",
     "precision_recall",
     "probabilistic_greedy_solve",

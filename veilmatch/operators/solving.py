@@ -2,8 +2,9 @@
 
 State flows only between groups that a pair joins, so each connected component
 can be solved alone.  Small inputs are folded in one task; larger ones are split
-into components first, and a two-party component too large for a task is matched
-in rounds of locally best pairs, which gives the greedy result as well.
+into components first.  A component too large for a task is solved in rounds of
+merges that cannot conflict (merging.py); two parties can also be matched in rounds
+of locally best pairs, or band by band of similarity.  All give the greedy result.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmatch.operators.components import components
+from veilmatch.operators.merging import merge_rounds
 from veilmatch.schema import GROUPS, canonical_order
 from veilmatch.session import share_code, write_table
 
@@ -149,8 +151,15 @@ def probabilistic_greedy_solve(pairs: DataFrame, *, merge_threshold: float = 0.5
     else:
         a, b = (F.struct(F.col(f"dset_i{i}").cast("bigint").alias("d"), F.col(f"rec_i{i}").alias("r")) for i in (0, 1))
         roots = components(held.select(a.alias("a"), b.alias("b")))
-        tagged = held.withColumn("node", a).join(roots, "node").drop("node").repartition("root").sortWithinPartitions("root")
-        solved = tagged.mapInArrow(_by_component(solve), schema)
+        tagged = write_table(held.withColumn("node", a).join(roots, "node").drop("node"), "tagged")
+        large = tagged.groupBy("root").count().where(F.col("count") > FOLD_PAIRS).select("root")
+        large = write_table(large, "large")
+        small = tagged.join(large, "root", "left_anti").repartition("root").sortWithinPartitions("root")
+        solved = small.mapInArrow(_by_component(solve), schema)
+        if not large.isEmpty():
+            order_by = [F.col(c).asc() if up else F.col(c).desc() for c, up in zip(by, ascending)]
+            merged = merge_rounds(tagged.join(large, "root", "left_semi"), merge_threshold, deduplicated, order_by)
+            solved = solved.unionByName(merged.select(F.col("root.d").alias("g_dset"), F.col("root.r").alias("g_rec"), F.col("node.d").alias("dset_i"), F.col("node.r").alias("rec_i")))
     return solved.select(
         F.struct(F.col("g_dset").cast("int").alias("dset_i"), F.col("g_rec").alias("rec_i")).alias("group_id"),
         F.col("dset_i").cast("int").alias("dset_i"),
@@ -212,6 +221,50 @@ def matching_rounds(pairs: DataFrame, rounds: int = MATCHING_ROUNDS) -> DataFram
     return more if matched is None else matched.unionByName(more)
 
 
+def pivot_matching(pairs: DataFrame, small: int = FOLD_PAIRS) -> DataFrame:
+    """Greedy two-party matching (sim, rec_i0, rec_i1) by recursion over pivots of similarity, without a total sort.
+
+    A band of pairs is solved once all better bands are: first pairs of records
+    matched there go (provable rejects).  A band of at most ``small`` pairs is folded.
+    In a larger one the pairs that are best for both their records are matches, as all
+    better pairs are decided and all others of these records lie below (provable
+    accepts).  What remains is cut at its median place, (sim, rec_i0, rec_i1), and the better half is solved first.
+    """
+    given = write_table(pairs.select("sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"), "unmatched")
+    check_bipartite(given)
+    place = F.struct((-F.col("sim")).alias("s"), F.col("rec_i0").alias("x"), F.col("rec_i1").alias("y"))
+    given = given.select("sim", "rec_i0", "rec_i1", place.alias("place"))
+    matched: list[DataFrame] = []
+    waiting = [(given, 0)]  # a band and how many tables of matches it has met
+    while waiting:
+        band, met = waiting.pop()
+        for new in matched[met:]:
+            band = band.join(new.select("rec_i0"), "rec_i0", "left_anti").join(new.select("rec_i1"), "rec_i1", "left_anti")
+        band = write_table(band.select("sim", "rec_i0", "rec_i1", "place"), "band")
+        met, size = len(matched), band.count()
+        if not size:
+            continue
+        if size <= small:
+            ids = band.select("sim", F.lit(0).alias("dset_i0"), F.lit(1).alias("dset_i1"), "rec_i0", "rec_i1")
+            matched.append(write_table(pairs_from_groups(greedy_solve(ids)).join(band.select("sim", "rec_i0", "rec_i1"), ["rec_i0", "rec_i1"]), "matched"))
+            continue
+        bests = [band.groupBy(c).agg(F.min("place").alias("place")).select("place") for c in ("rec_i0", "rec_i1")]
+        sure = bests[0].join(bests[1], "place").select("place.x", "place.y", (-F.col("place.s")).alias("sim"))
+        matched.append(write_table(sure.select("sim", F.col("x").alias("rec_i0"), F.col("y").alias("rec_i1")), "matched"))
+        middle = band.select(F.percentile_approx("place.s", 0.5, 1000).alias("s")).first()["s"]
+        better = F.col("place.s") < middle
+        if not 0 < band.where(better).count() < size:
+            better = F.col("place.s") <= middle  # the median is the best value
+            if band.where(better).count() == size:  # all are alike: by record instead, their order among ties
+                cut = band.select(F.percentile_approx("rec_i0", 0.5, 1000).alias("x"), F.min("rec_i0").alias("low")).first()
+                better = F.col("rec_i0") < cut["x"] if cut["x"] > cut["low"] else F.col("rec_i0") <= cut["low"]
+        waiting += [(band.where(~better), met), (band.where(better), met)]
+    out = matched[0].select("sim", "rec_i0", "rec_i1") if matched else given.select("sim", "rec_i0", "rec_i1")
+    for more in matched[1:]:
+        out = out.unionByName(more.select("sim", "rec_i0", "rec_i1"))
+    return out
+
+
 def match_labels(pairs: DataFrame) -> DataFrame:
     """``pairs`` with is_match: whether greedy two-party matching accepts the pair (else it can never be accepted)."""
     held = write_table(pairs, "labelled")

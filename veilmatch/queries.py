@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilmatch import operators as ops
 from veilmatch.functions import bit_blocking, block_and, block_or, continuous_blocking, custom_blocking, list_blocking
 from veilmatch.functions.bits import all_equal
-from veilmatch.schema import PAIRS
+from veilmatch.schema import PAIRS, canonical_order
 from veilmatch.session import share_code, shared_dir, write_table
 from veilmatch.sources import clks
 from veilmatch.sources import pairs as pairfile
@@ -178,6 +178,26 @@ def _flat(groups: DataFrame) -> DataFrame:
     return groups.select(F.col("group_id.dset_i").alias("group_dset"), F.col("group_id.rec_i").alias("group_rec"), "dset_i", "rec_i")
 
 
+def greedy_by_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The research solver: matches by recursion over pivots of similarity, bands of over 500 pairs cut."""
+    return ops.pivot_matching(_pairs(spark, sf_dir), small=500).select("rec_i0", "rec_i1")
+
+
+def _by_rounds(pairs: DataFrame, merge_threshold: float, deduplicated: bool) -> DataFrame:
+    merged = ops.merge_rounds(pairs, merge_threshold, deduplicated, canonical_order())
+    d, r = (F.col(f"{c}.d").cast("int") for c in ("root", "node")), (F.col(f"{c}.r") for c in ("root", "node"))
+    return merged.select(*[c.alias(n) for c, n in zip(d, ("group_dset", "dset_i"))], *[c.alias(n) for c, n in zip(r, ("group_rec", "rec_i"))])
+
+
+def greedy_three_party_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of three parties by rounds of merges on the contracted graph; no task folds a component."""
+    return _by_rounds(_pairs(spark, sf_dir, parties=3), 1.0, False)
+
+
+def probabilistic_greedy_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_rounds(_pairs(spark, sf_dir, parties=3), 0.5, True)
+
+
 def greedy_three_party(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(ops.greedy_solve(_pairs(spark, sf_dir, parties=3)))
 
@@ -394,6 +414,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "word_filters_by_language": word_filters_by_language,
         "greedy_two_party": greedy_two_party,
         "greedy_rounds": greedy_rounds,
+        "greedy_by_pivots": greedy_by_pivots,
+        "greedy_three_party_rounds": greedy_three_party_rounds,
+        "probabilistic_greedy_rounds": probabilistic_greedy_rounds,
         "greedy_three_party": greedy_three_party,
         "probabilistic_greedy": probabilistic_greedy,
         "match_labels": match_labels,
@@ -564,6 +587,9 @@ def oracle_sql() -> dict[str, str]:
         "word_filters_by_language": f"WITH {_WORDS} SELECT {_OUT} FROM p WHERE sim >= CAST(0.7 AS DOUBLE) AND la IS NOT DISTINCT FROM lb",
         "greedy_two_party": matches,
         "greedy_rounds": matches,
+        "greedy_by_pivots": matches,
+        "greedy_three_party_rounds": f"WITH RECURSIVE {three}, {_grouped(1.0, False)} {_GROUPS}",
+        "probabilistic_greedy_rounds": f"WITH RECURSIVE {three}, {_grouped(0.5, True)} {_GROUPS}",
         "match_labels": f"WITH RECURSIVE {pairs}, {_WALK} SELECT {_OUT}, is_match FROM l",
         "similarity_histogram": f"WITH {pairs}, {_EDGES} SELECT bin, lo, hi, count(sim) AS n FROM bin LEFT JOIN p ON {_IN_BIN} GROUP BY ALL",
         "match_histogram": f"""WITH RECURSIVE {pairs}, {_WALK}, {_EDGES}, h AS (SELECT bin, lo, hi, count(sim) FILTER (WHERE is_match) AS matches, count(sim) FILTER (WHERE NOT is_match) AS nonmatches FROM bin LEFT JOIN l ON {_IN_BIN} GROUP BY ALL)
