@@ -155,3 +155,19 @@ def test_large_products_use_many_tiles(spark):
     data = [[rng.randbytes(8) for _ in range(700)] for _ in range(2)]
     got = rows(ops.find_candidate_pairs(table(spark, data), "dice", 0.62, 3))
     assert got == spec.candidates(data, spec.dice, 0.62, 3)
+
+
+@pytest.mark.parametrize("name,f,two", [("dice", spec.dice, False), ("smc", spec.smc, True)])
+@pytest.mark.parametrize("threshold,k", [(0.0, None), (0.55, None), (0.0, 2)])
+def test_large_blocks_by_tiles_equal_brute_force(spark, monkeypatch, name, f, two, threshold, k):
+    """Blocks above the limit go through the kernel, in several tiles each; smaller ones through the join; records share several blocks of both kinds."""
+    from veilmatch.operators import candidates
+    from veilmatch.plans import blocks
+
+    monkeypatch.setattr(candidates, "BLOCK_ROWS", 12)
+    monkeypatch.setattr(blocks, "SMALLEST", 3)
+    data, rng = make(11, (31, 27, 9), 5, few=25), random.Random(2)
+    keys = [[rng.choice([["hot"], ["hot", "b"], ["hot", "b", "rare"], ["rare"], ["b", None], [], None]) for _ in d] for d in data]
+    t = table(spark, data, keys, "array<string>")
+    want = spec.candidates(data, f, threshold, k, [[[] if x is None else x for x in d] for d in keys], two)
+    assert rows(ops.find_candidate_pairs(t, name, threshold, k, custom_blocking("v"))) == want

@@ -15,11 +15,16 @@ from pyspark.sql import types as T
 from veilmatch.functions.bits import clk_words
 from veilmatch.functions.blocking import Blocking, Record
 from veilmatch.operators.similarity import DICE, SMC, Side, Similarity, named
+from veilmatch.plans.blocks import large_block_pairs
 from veilmatch.plans.product import packed_bits, product_pairs
 from veilmatch.schema import PAIR_COLUMNS, PAIRS, collection, empty_pairs, ordered
 from veilmatch.session import share_code, write_table
 
 
+#: Records of a block (over all parties) above which it is compared by the matrix kernel instead of a join.
+BLOCK_ROWS = 512
+
+
 def _check_type(records: DataFrame) -> None:
     if not isinstance(records.schema["clk"].dataType, T.BinaryType):
         raise TypeError(f"bit strings must be BINARY, not {records.schema['clk'].dataType.simpleString()}")
@@ -184,8 +189,15 @@ def _blocked(records: DataFrame, sim: Similarity, threshold: float, k: int | Non
         keys = F.array_distinct(blocking(Record([F.col(f"w{i}") for i in range(n_words)], n_bits)))
         rows = rows.withColumn("_keys", keys)
     rows = rows.select("dset_i", "rec_i", "pc", *[f"w{i}" for i in range(n_words)], *sim.needs, *(["_keys"] if keyed else []))
+    runs = []
     if keyed:
         rows = rows.select("*", F.explode("_keys").alias("_key"))
+        if sim.counts is not None:
+            rows = write_table(rows, "keyed")
+            large = write_table(rows.groupBy("_key").count().where(F.col("count") > BLOCK_ROWS).select("_key"), "large")
+            if not large.isEmpty():
+                runs.append(large_block_pairs(rows.join(large, "_key", "left_semi"), sim, float(threshold), n_words, n_bits, k))
+                rows = rows.join(large, "_key", "left_anti")
     a, b = Side("a_", n_words), Side("b_", n_words)
     on: Column = a["dset_i"] < b["dset_i"]
     if keyed:
@@ -203,6 +215,8 @@ def _blocked(records: DataFrame, sim: Similarity, threshold: float, k: int | Non
         b["rec_i"].alias("rec_i1"),
         *([a["_key"].alias("_block")] if keyed and k is not None else []),
     ).where(F.col("sim") >= F.lit(float(threshold)))
+    for more in runs:
+        scored = scored.unionByName(more.select(*scored.columns))
     if k is None:
         return scored
     kept = _limit_block(scored, sim, k, ["_block"] if keyed else [])

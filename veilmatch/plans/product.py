@@ -37,6 +37,8 @@ ROWS, COLUMNS, FLUSH = 512, 8192, 500_000
 
 Tile = tuple[int, int, int, int, int, int]
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Packed bits, popcounts, ids and parties of a tile's records.
+Records = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _tile_table(counts: list[tuple[int, int, int]], aim: int, tile: int = 0) -> list[Tile]:
@@ -153,7 +155,14 @@ def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], sim
 def _compared(rows: pa.Table, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs of one pair of tiles."""
     side = rows.column("side").to_numpy()
-    (bits_a, pc_a, rec_a, d_a), (bits_b, pc_b, rec_b, d_b) = (_tile(rows.filter(pa.array(side == s)), n_bits) for s in (0, 1))
+    left, right = (_tile(rows.filter(pa.array(side == s)), n_bits) for s in (0, 1))
+    for sim, x, y in hits_of(left, right, similarity, threshold, n_bits, k):
+        yield pa.RecordBatch.from_arrays([pa.array(sim), pa.array(left[3][x]), pa.array(right[3][y]), pa.array(left[2][x]), pa.array(right[2][y])], ["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"])
+
+
+def hits_of(left: Records, right: Records, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Iterator[Hits]:
+    """(sim, row of left, row of right) of pairs of two tiles that reach ``threshold``; with ``k``, those that the limits can still keep."""
+    (bits_a, pc_a, rec_a, _), (bits_b, pc_b, rec_b, _) = left, right
     if not len(pc_a) or not len(pc_b):
         return
 
@@ -164,10 +173,6 @@ def _compared(rows: pa.Table, similarity: Similarity, threshold: float, n_bits:
             top |= _rank_within(y, sim, rec_a[x]) < k
         return sim[top], x[top], y[top]
 
-    def batch(hits: Hits) -> pa.RecordBatch:
-        sim, x, y = hits
-        return pa.RecordBatch.from_arrays([pa.array(sim), pa.array(d_a[x]), pa.array(d_b[y]), pa.array(rec_a[x]), pa.array(rec_b[y])], ["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"])
-
     waiting: list[Hits] = []
     size, step = 0, FLUSH
     for i in range(0, len(pc_a), ROWS):
@@ -184,14 +189,14 @@ def _compared(rows: pa.Table, similarity: Similarity, threshold: float, n_bits:
                     if len(got[0]) <= 4 * FLUSH:  # else they leave the task as they are: the limits are taken over all pairs later
                         waiting, size, step = [got], len(got[0]), max(FLUSH, 2 * len(got[0]))
                         continue
-                yield batch(got)
+                yield got
         if waiting and (k is None or not similarity.two_sided) and (size > FLUSH // 4 or i + ROWS >= len(pc_a)):
             # these left records have met the whole tile
             got = _joined(waiting)
             waiting, size, step = [], 0, FLUSH
-            yield batch(got if k is None else limited(got))
+            yield got if k is None else limited(got)
     if waiting:
-        yield batch(_joined(waiting) if k is None else limited(_joined(waiting)))
+        yield _joined(waiting) if k is None else limited(_joined(waiting))
 
 
 def _joined(hits: list[Hits]) -> Hits:
@@ -217,7 +222,7 @@ def _block(a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndarray, sim
     return sim[keep], x[keep], y[keep]
 
 
-def _tile(rows: pa.Table, n_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tile(rows: pa.Table, n_bits: int) -> Records:
     """(packed bits, popcounts, ids, parties) of a tile's records."""
     packed = [packed_bits(c, n_bits // 8) for c in rows.column("clk").chunks]
     bits = np.concatenate(packed) if packed else np.zeros((0, n_bits // 8), np.uint8)
