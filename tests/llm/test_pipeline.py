@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import prose
@@ -90,6 +91,28 @@ def test_stages_against_brute_force(spark, folder):
     assert all(end[i]["decoded_sha256"] == hashlib.sha256((after[i]["text"] or "").encode()).hexdigest() for i in want)
 
 
+#: Names that stages use inside, beside the columns of the table.
+INSIDE = "_k _t _th _kept _digest _nth _null _none _row _text _key _md5 none row key same n f0 f1 low cluster root group team tkey begins ends kept n_removed n_bytes hit items _item _ik _w _len score quality start length"
+
+
+def test_columns_of_any_name_change_nothing(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("kept")
+    wide = docs.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(INSIDE.split())])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, other = stage(spark, docs, folder), stage(spark, wide, folder)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert other.columns == wide.columns
+            assert all(r[c] == f"x{i}" for r in other.collect() for i, c in enumerate(INSIDE.split()))
+        assert sorted(map(repr, other.select(plain.columns).collect())) == sorted(map(repr, plain.collect())), name
+
+
+def test_labels_that_teach_nothing_reject_nothing(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    with pytest.warns(UserWarning, match="too few"):
+        assert corpus_pipeline.keep_good(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_run_registers_and_handles_nothing(spark, folder, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")

@@ -163,6 +163,16 @@ def test_repeated_ids_reach_the_fit_once(spark):
     assert model.weights == quality.fit(df, df.select("doc_id", "quality")).weights
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 7])
+def test_quality_of_few_labels(n):
+    good = [(f"the quick brown fox number {i} jumps over the lazy dog near the river bank".encode(), 1) for i in range(n)]
+    bad = [(f"zzq#{i} $$$ xx{i}!! ### qqk zz 000{i} $$$ xx!! ### qqk zz".encode(), 0) for i in range(n)]
+    model = quality.train(good + bad)
+    got = model.scores([b"the lazy fox jumps over the quick brown dog near the bank", b"### qqk zz $$$ xx!! zzq# 111"])
+    assert model.trained == (n > 1)
+    assert got[0] > 0.5 > got[1] if n > 1 else set(got) == {0.5}
+
+
 def test_quality_without_labels(spark, docs, none, nulls):
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)

@@ -116,6 +116,26 @@ def test_files_round_trip(spark, docs, rows, library):
         sequences.read_sequence(path, (first["n_tokens"] - 1) // 64 + 1)
 
 
+def test_files_take_keys_of_any_type(spark, docs, none):
+    strings = docs.where("doc_id is not null").selectExpr("concat('d', doc_id) doc_id", "text")
+    files = sequences.write_sequences(strings, WORDS, fresh_path(spark, "sequences"))
+    got = sequences.read_documents(files)
+    assert got.schema["doc_id"].dataType.simpleString() == "string"
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in strings.collect())
+    empty = sequences.read_documents(sequences.write_sequences(strings.limit(0), WORDS, fresh_path(spark, "sequences")))
+    assert empty.count() == 0 and empty.schema["doc_id"].dataType.simpleString() == "string"
+
+
+def test_long_pieces_take_linear_time(library):
+    import time
+
+    m = transducer.Transducer(bpe.load(WORDS))
+    for text in ("a" * 400_000, "abcab" * 80_000, "lorem" + "ipsum" * 60_000 + " " + "x" * 300_000):
+        began = time.process_time()
+        assert m.count(text.encode()) == len(next(iter(m.ids([text.encode()])))) == len(library[WORDS].encode(text, add_special_tokens=False).ids)
+        assert time.process_time() - began < 20
+
+
 def test_any_sequence_is_found_by_its_place(tmp_path):
     ids = np.arange(64 * 37 + 5, dtype=np.uint16)
     with open(tmp_path / "x.arrows", "wb") as raw:

@@ -85,6 +85,11 @@ def fold(df: DataFrame, modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(modulus)
 
 
+def packed(df: DataFrame) -> Column:
+    """Whole rows in one column, ``_row``: no name in them can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def byte_rows(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row of a string or binary column; null is empty."""
     data, off = flat_bytes(col)

@@ -7,11 +7,12 @@ consecutive words of a benchmark item; an item of fewer words is one window.
    words is kept, for documents and items alike, so any shared window shares one.
    The first pass lowers all letters (a coarser match that loses nothing).
    Fingerprints of all window lengths come from one scan of the documents.
-2. Documents and items that share a fingerprint are pairs.  The item side is
+2. Documents that share a fingerprint with an item are looked at.  The item side is
    broadcast while it has at most ``BROADCAST_BYTES``; else the join shuffles.
-3. Extension.  For each pair all windows of the item are looked up in the
-   document, now with exact words; the words inside occurrences are hit.  A row
-   holds one document and one item, however many items a document meets.
+3. Extension.  All windows of these documents, now of exact words, and of all items
+   meet in one join on 128 bits of hash.  Its rows hold no text and a document's
+   window once, so a document that meets many items, or a long one that holds a long
+   item, costs its length.  The words inside occurrences are hit.
 
 Null texts have no words; documents and items without words match nothing.
 Repeated rows get the same result each; ids may be null.  All found items without
@@ -26,6 +27,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmatch.llm.common import packed
+
 WINDOW = 10
 GRAM = 5
 BROADCAST_BYTES = 32_000_000
@@ -74,6 +77,11 @@ def fingerprints(df: DataFrame, windows: list[int], *, text: str, keep: list[str
     return grams.select(*keep, F.explode(F.concat(*map(kept, windows))).alias("_f")).select(*keep, "_f.*")
 
 
+def _named(window: Column) -> list[Column]:
+    """Two 64-bit hashes that stand for a window's words: 128 bits, so that no two windows share them in practice."""
+    return [F.xxhash64(window).alias("_h0"), F.xxhash64(F.lit("#"), window).alias("_h1")]
+
+
 def _bounded(df: DataFrame, size: int | None) -> DataFrame:
     return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
@@ -85,33 +93,32 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: st
     """
     d = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).withColumn("_th", F.xxhash64("_text"))
     b = items.select(F.col(item).cast("string").alias("_item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    b = b.withColumn("_ik", F.xxhash64("_item", "_text"))  # never null; items of one key are all looked up
     b = b.withColumn("_w", exact_words(F.col("_text"))).where(F.size("_w") > 0)
     b = b.withColumn("_len", F.least(F.size("_w"), F.lit(window)))
     sizes = [r[0] for r in b.groupBy("_len").agg(F.count("*")).orderBy("_len").collect()]  # at most `window` numbers
     if not sizes:
         return d.where("false").select(F.col("_key").alias(key), "_th", F.lit(None).cast("array<int>").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    own = reduce(DataFrame.unionByName, [fingerprints(b.where(F.col("_len") == n), [n], text="_text", keep=["_ik"]) for n in sizes]).distinct()
+    own = reduce(DataFrame.unionByName, [fingerprints(b.where(F.col("_len") == n), [n], text="_text", keep=[]) for n in sizes]).distinct()
     theirs = fingerprints(d, sizes, text="_text", keep=["_key", "_th"])
-    pairs = theirs.join(_bounded(own, 40 * own.count()), ["window", "fp"]).select("_key", "_th", "_ik").distinct()
+    found = theirs.join(_bounded(own, 40 * own.count()), ["window", "fp"], "left_semi").select(F.col("_key").alias("_k"), F.col("_th").alias("_t")).distinct()
 
     at = F.sequence(F.lit(0), F.size("_w") - F.col("_len"))
     strings = F.transform(at, lambda i: F.array_join(F.slice(F.col("_w"), i + 1, F.col("_len")), " "))
-    windows = b.select("_ik", "_item", "_len", F.array_distinct(strings).alias("_windows"))
-    size = windows.agg(F.sum(F.octet_length(F.array_join("_windows", " ")) + 16 * F.size("_windows") + 100)).first()[0]
-    both = d.join(pairs.select(F.col("_key").alias("_k"), F.col("_th").alias("_t"), "_ik").hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_t")))
-    rows = both.join(_bounded(windows, size), "_ik").select("_key", "_th", "_text", F.struct("_item", "_len", "_windows").alias("_i"))
+    windows = b.select("_item", "_len", F.explode(strings).alias("_s")).select("_item", "_len", *_named(F.col("_s"))).distinct()
+    both = d.join(found.hint("shuffle_hash"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_t")))
 
     def places(words: Column) -> Column:
-        """Where windows of the item start in ``words``."""
-        size, windows = F.col("_i._len"), F.col("_i._windows")
-        spelt = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
-        found = _let(spelt, lambda s: _let(F.array_intersect(s, windows), lambda m: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.array_contains(m, F.get(s, i)))))
-        return F.when(F.size(words) >= size, found).otherwise(F.array().cast("array<int>"))
-
-    inside = F.flatten(F.transform(_let(exact_words(F.col("_text")), places), lambda p: F.sequence(p, p + F.col("_i._len") - 1)))
-    hit = rows.select("_key", "_th", F.col("_i._item").alias("_item"), F.array_distinct(inside).alias("_hit"))
-    every = hit.select("_key", "_th", "_item", F.explode("_hit").alias("_place")).groupBy("_key", "_th").agg(
+        """Every window of a document, named, for each window length of the items."""
+
+        def of(size: int) -> Column:
+            named = F.transform(F.sequence(F.lit(0), F.size(words) - F.lit(size)), lambda i: _let(F.array_join(F.slice(words, i + 1, size), " "), lambda w: F.struct(F.lit(size).alias("_len"), i.alias("_place"), *_named(w))))
+            return F.when(F.size(words) >= size, named).otherwise(F.array().cast("array<struct<_len:int,_place:int,_h0:bigint,_h1:bigint>>"))
+
+        return F.concat(*map(of, sizes))
+
+    spelt = both.select("_key", "_th", F.explode(_let(exact_words(F.col("_text")), places)).alias("_p")).select("_key", "_th", "_p.*")
+    hit = spelt.join(_bounded(windows, 64 * windows.count()), ["_len", "_h0", "_h1"])
+    every = hit.select("_key", "_th", "_item", F.explode(F.sequence(F.col("_place"), F.col("_place") + F.col("_len") - 1)).alias("_place")).groupBy("_key", "_th").agg(
         F.collect_set("_place").alias("hit"),
         F.concat(
             F.sort_array(F.collect_set("_item")),
@@ -132,10 +139,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, te
 
 
 def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` that hold no window of any item, all columns."""
+    """The rows of ``docs`` that hold no window of any item, all columns; any names are fine, as rows travel packed."""
     hits = matches(docs, items, window=window, text=text, key=key, item=item).select(F.col(key).alias("_k"), F.col("_th").alias("_t"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.join(hits, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(body) == F.col("_t")), "left_anti")
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(body).alias("_th"), packed(docs))
+    return rows.join(hits, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_th") == F.col("_t")), "left_anti").select("_row.*")
 
 
 ORACLE = rf"""

@@ -14,8 +14,9 @@ be told apart without error.
 Fitting uses a bounded sample of labelled rows: at most ``SAMPLE`` of each label,
 those with the smallest hash of their id, of at most ``LONGEST`` bytes each; of
 several rows with one id, the smallest text.  Scores read whole texts and nothing
-else.  Null texts are empty.  Without labels of both kinds every score is the
-share of label 1 (0.5 without any labels).
+else.  Null texts are empty.  Each label needs two texts that are not empty, one for
+its dictionary and one for the curve; with fewer, nothing is trained and every
+score is the share of label 1 among the labelled texts, moved towards 0.5 by one text of each label.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ class CompressionClassifier:
         self.good, self.bad, self.weights, self.share = good, bad, weights, share
         self._packers = None
 
+    @property
+    def trained(self) -> bool:
+        """Whether scores depend on the text."""
+        return self.good is not None and self.bad is not None
+
     def __getstate__(self):
         return {**self.__dict__, "_packers": None}
 
@@ -62,7 +68,7 @@ class CompressionClassifier:
         return [1.0, x, x * x, packed, packed * packed]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if self.good is None or self.bad is None:
+        if not self.trained:
             return np.full(len(texts), self.share)
         z = np.array([self.features(x) for x in texts]).reshape(len(texts), -1) @ np.array(self.weights)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -96,7 +102,7 @@ def train(rows: list[tuple[bytes, int]]) -> CompressionClassifier:
     """Dictionaries from every other text of each label, the curve from the rest.  ``rows`` come in a fixed order."""
     kinds = {q: [t for t, x in rows if x == q and t] for q in (0, 1)}
     share = (len(kinds[1]) + 1) / (len(kinds[0]) + len(kinds[1]) + 2)
-    if min(map(len, kinds.values())) < 8:
+    if min(map(len, kinds.values())) < 2:
         return CompressionClassifier(None, None, [], share)
     books = {}
     for q, texts in kinds.items():

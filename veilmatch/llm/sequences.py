@@ -163,11 +163,26 @@ def write_sequences(df: DataFrame, vocabulary: str, folder: str, *, end_id: int
     for part, path, n_docs, n_tokens in files:
         out.append((part, path, n_docs, n_tokens, start))
         start += n_tokens
-    return spark.createDataFrame(out, "part bigint, path string, n_docs bigint, n_tokens bigint, start bigint").repartition(max(1, len(out)))
+    written = spark.createDataFrame(out, "part bigint, path string, n_docs bigint, n_tokens bigint, start bigint").repartition(max(1, len(out)))
+    written._veil_key = df.schema[key].dataType.simpleString()  # type: ignore[attr-defined]  # where there is no file
+    return written
 
 
-def read_documents(files: DataFrame, key_type: str = "bigint", *, key: str = "doc_id") -> DataFrame:
+def _key_type(files: DataFrame) -> str:
+    """The type of the keys in the files, from the side file of one of them."""
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    one = files.select("path").first()
+    if one is None:
+        return getattr(files, "_veil_key", "bigint")
+    fs, at = _open(one["path"])
+    with fs.open_input_stream(at + ".index.arrows") as side:
+        return from_arrow_type(pa.ipc.open_stream(side).schema.field("key").type).simpleString()
+
+
+def read_documents(files: DataFrame, key_type: str | None = None, *, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of each document in the files that write_sequences() returned, read back from them."""
+    key_type = key_type or _key_type(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

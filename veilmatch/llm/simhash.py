@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmatch.llm.common import ASCII_LOWER, byte_rows, drop_table, int64, tidy, write_table
+from veilmatch.llm.common import ASCII_LOWER, byte_rows, drop_table, int64, packed, tidy, write_table
 from veilmatch.llm.components import components
 
 WORDS = 4
@@ -393,6 +393,7 @@ def one_of_each_group(df: DataFrame, *, words: int = 5, similarity: float = 0.8,
     kept = write_table(found.select("group").distinct().select(F.col("group.id").alias("_kept"), F.col("group.digest").alias("_digest")), "kept")
     for table in found._veil_tables:  # type: ignore[attr-defined]
         drop_table(table)
-    rows = df.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (F.md5(body) == F.col("_digest")))
-    order = Window.partitionBy("_kept", "_digest").orderBy(F.col(text).isNull())
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_kept", "_digest")
+    rows = df.select(F.col(key).alias("_key"), F.md5(body).alias("_md5"), F.col(text).isNull().alias("_none"), packed(df))
+    rows = rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")) & (F.col("_md5") == F.col("_digest")))
+    order = Window.partitionBy("_kept", "_digest").orderBy("_none")
+    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("_row.*")

@@ -47,6 +47,8 @@ PAIRS = 300_000
 #: Bytes of text that walk together, and bytes of a chunk of the scan.
 BLOCK, CHUNK = 1 << 20, 1 << 16
 SLOTS = 1 << 20
+#: Pieces still walking below which each goes on alone.
+FEW = 16
 #: Added to a byte that ends a piece.
 CLOSING = 256
 _ODD_NUMBER, _FREE = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 64) - 1)
@@ -143,6 +145,7 @@ class Transducer:
         """Forget all states and transitions."""
         self.start = array("q", [self._pack(0, -1, 0)]).tobytes()
         self.chains: list[bytes] = [self.start]
+        self.steps: dict[int, int] = {}
         self.number: dict[bytes, int] = {self.start: 0}
         self._room(SLOTS)
 
@@ -241,6 +244,15 @@ class Transducer:
             bad, got = bad[other], got[other]
         return out
 
+    def _step(self, key: int) -> int:
+        """One packed transition, for walks of few pieces: a dictionary in front of the table."""
+        got = self.steps.get(key)
+        if got is None:
+            if len(self.steps) >= MOST:
+                self.steps.clear()
+            got = self.steps[key] = int(self._look(np.array([key], np.uint64))[0])
+        return got
+
     # -- walks -----------------------------------------------------------
     def _blocks(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
         """Runs of pieces of about BLOCK bytes; between them the table may be emptied."""
@@ -260,13 +272,25 @@ class Transducer:
         active = len(long) - np.searchsorted(long[::-1], np.arange(2, long[0] + 1))  # pieces of at least 2, 3, .. bytes
         state, n = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
         nine, low = np.uint64(9), np.uint64(0xFFF)
-        for j, m in enumerate(active.tolist()):
+        together = int(np.searchsorted(-active, -FEW, "right"))  # bytes that more than FEW pieces have
+        for j, m in enumerate(active[:together].tolist()):
             got = self._look(state[:m] << nine | x[at[:m] + j])
             state[:m] = got >> np.uint64(32)
             if tokens is None:
                 n[:m] += (got >> np.uint64(20) & low).astype(np.int64) - 1024
             else:
                 tokens[at[:m] + j] = (got & np.uint64(0xFFFFF)).astype(np.int32)
+        for i in range(int(active[together]) if together < len(active) else 0):  # the rest of the longest ones, each on its own
+            now, more, low_bits = int(state[i]), 0, []
+            for b in x[at[i] + together : at[i] + long[i] - 1].tolist():
+                step = self._step(now << 9 | b)
+                now, more = step >> 32, more + (step >> 20 & 0xFFF) - 1024
+                if tokens is not None:
+                    low_bits.append(step & 0xFFFFF)
+            state[i] = now
+            n[i] += more
+            if low_bits:
+                tokens[at[i] + together : at[i] + long[i] - 1] = low_bits
         last = at + long - 1
         got = self._look(state << nine | x[last] + np.uint64(CLOSING))
         if tokens is not None:
@@ -296,8 +320,11 @@ class Transducer:
     def run(self, chain: bytes, raw: bytes, closed: bool) -> tuple[bytes, int]:
         """(state, tokens) after ``raw`` inside a piece, which ends with it if ``closed``."""
         n, state = 0, self._state(chain)
-        for i, b in enumerate(raw, 1):
-            got = int(self._look(np.array([state << 9 | b + CLOSING * (closed and i == len(raw))], np.uint64))[0])
+        for b in raw[: len(raw) - closed]:
+            got = self._step(state << 9 | b)
+            state, n = got >> 32, n + (got >> 20 & 0xFFF) - 1024
+        if closed and raw:
+            got = self._step(state << 9 | raw[-1] + CLOSING)
             state, n = got >> 32, n + (got >> 20 & 0xFFF) - 1024
         return self.chains[state], n
 
