@@ -16,29 +16,29 @@ the columns they got, extra ones included.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmatch.llm import bpe, decontamination, quality, simhash, suffixes
-from veilmatch.llm.common import documents, fold, share_code, write_table
+from veilmatch.llm.common import documents, fold, packed, share_code, write_table
 from veilmatch.llm.queries import BYTE_VOCABULARY, vocabulary
 
 #: No SQL expresses compressed sizes, XXH64 fingerprints or a BPE vocabulary.
 ORACLE_SQL: str | None = None
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """The text beside one column that holds the whole row, so no column's name can clash."""
-    return docs.select(F.col("text").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score 0.5 and more.  Labels that teach nothing (see quality.py) reject nothing: all rows stay, with a warning."""
     share_code(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels.where(fold(labels, 3) != 1))
-    return quality.score_documents(_packed(docs), model, keep=("_row",)).where("score >= 0.5").select("_row.*")
+    if not model.trained:
+        warnings.warn("too few labelled texts to judge quality: no document is rejected", stacklevel=2)
+        return docs
+    return quality.score_documents(docs.select("text", packed(docs)), model, keep=("_row",)).where("score >= 0.5").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share_code(spark)
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    rows = docs.select("text", F.struct(*others, F.col("text").isNull().alias("_null")).alias("_row"))
+    rows = docs.select("text", F.struct(packed(docs.drop("text")), F.col("text").isNull().alias("none")).alias("_row"))
     cut = suffixes.remove_repeats(rows, length=400, keep=("_row",), whole_characters=True, words=51).where("n_removed = 0 or octet_length(kept) > 0")
-    text = F.when(~F.col("_row._null"), F.col("kept").cast("string"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
-    return cut.select(*[(new[c] if c in new else F.col(f"_row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    text = F.when(~F.col("_row.none"), F.col("kept").cast("string"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col("_row._row.n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return cut.select(*[(new[c] if c in new else F.col(f"_row._row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
