@@ -53,6 +53,27 @@ def test_dump_and_merge(spark, tmp_path):
             f()
 
 
+def test_one_file_from_many_tasks(spark, tmp_path):
+    """Ranges merged and written by several tasks make the bytes that one writer makes; ties fall into one range or several."""
+    draw = random.Random(7)
+    rows = spec.canonical([(draw.choice((0.5, 0.75, 1.0)), 0, 1, draw.randrange(6), draw.randrange(300)) for _ in range(4000)])
+    rows = spec.canonical([*rows, *[(0.75, 0, 1, 3, 3)] * 900])
+    df = spark.createDataFrame(rows, PAIRS).repartition(5)
+    pairs.dump_candidate_pairs(df, str(tmp_path / "all"))
+    pairs.dump_candidate_pairs(df, str(tmp_path / "all"))
+    (made,) = [p for p in (tmp_path / "all").iterdir() if not p.name.startswith(".")]
+    assert list(pairs.load_to_iterable(str(made))) == rows
+    side = draw.choices(range(4), k=len(rows))
+    files = [write(tmp_path / f"s{i}", [r for r, x in zip(rows, side) if x == i]) for i in range(4)] + [write(tmp_path / "none", [])]
+    for entries in (100, 1000, 10**9):
+        out = tmp_path / f"m{entries}"
+        assert pairs.merge_streams(spark, files, str(out), range_entries=entries) == made.stat().st_size
+        assert [p.read_bytes() for p in out.iterdir() if not p.name.startswith(".")] == [made.read_bytes()]
+    assert pairs.merge_streams(spark, files[-1:], str(tmp_path / "empty")) == 4
+    with pytest.raises(Exception, match="not in canonical order"):
+        pairs.merge_streams(spark, [write(tmp_path / "back", rows[::-1])], str(tmp_path / "bad"))
+
+
 def test_broken_files(spark, tmp_path):
     good = (tmp_path / "g", ROWS)
     write(*good)
