@@ -113,6 +113,32 @@ def test_no_or_one_party_and_custom_similarity(spark):
     assert got == spec.candidates(ids, lambda x, y: 1.0 - abs(x[0] - y[0]) / 20, 0.9, 1)
 
 
+@pytest.mark.parametrize("two_sided", [False, True])
+@pytest.mark.parametrize("k", [None, 2])
+def test_block_function_in_parts(spark, two_sided, k):
+    """A function of whole blocks gives the same pairs when blocks are dealt into parts."""
+    data = make(11, (40, 31, 9))
+    t = table(spark, data, [[r % 7 / 3 for r in range(len(d))] for d in data], "double").withColumn("b", F.col("rec_i") % 2)
+
+    def near(left, right, threshold, k):
+        both = left.merge(right, how="cross", suffixes=("_0", "_1"))
+        both["sim"] = 1.0 - (both.v_0 - both.v_1).abs()
+        both = both[both.sim >= threshold].rename(columns={"rec_i_0": "rec_i0", "rec_i_1": "rec_i1"}).sort_values(["sim", "rec_i1", "rec_i0"], ascending=[False, True, True])
+        if k is not None:
+            left_rank = both.groupby("rec_i0").cumcount()
+            right_rank = both.sort_values(["sim", "rec_i0"], ascending=[False, True]).groupby("rec_i1").cumcount()
+            both = both[(left_rank < k) & ((right_rank.reindex(both.index) < k) if two_sided else True)]
+        return both[["sim", "rec_i0", "rec_i1"]]
+
+    blocking = block_or(list_blocking("b"), list_blocking("v"))
+    whole = rows(ops.block_similarity(t, near, 0.5, k, blocking))
+    assert whole
+    for split in (3, 1000):
+        assert rows(ops.block_similarity(t, near, 0.5, k, blocking, split_rows=split, two_sided=two_sided)) == whole
+    with pytest.raises(ValueError):
+        ops.block_similarity(t, near, 0.5, k, blocking, split_rows=0)
+
+
 def test_explicit_pairs_and_tiles(spark):
     data = make(9, (40, 35), 8, 60)
     df = spark.createDataFrame([(x, y) for x, y in zip(*data)], "clk0 binary, clk1 binary")

@@ -103,3 +103,47 @@ def test_json_and_random(spark, tmp_path):
     assert {len(r["clk"]) for r in a.collect()} == {17} and a.select("clk").distinct().count() == 50
     n = clks.random_problem(spark, 40, 50, 0.25).count()
     assert 380 < n < 620
+
+
+def test_json_by_ranges(spark, tmp_path):
+    """Ranges of a few bytes, which cut elements anywhere, give the elements of the whole document in their places."""
+    values = [bytes([i % 256] * (1 + i % 5)) for i in range(60)]
+    for k, text in enumerate([json.dumps({"clks": [base64.b64encode(v).decode() for v in values]}, indent=i) for i in (None, 3)]):
+        (tmp_path / f"c{k}.json").write_text(text.replace("/", "\\/") if k else text)
+        for split in (5, 64, 10**6):
+            got = clks.read_clk_json(spark, str(tmp_path / f"c{k}.json"), split=split).orderBy("rec_i").collect()
+            assert [(r["rec_i"], bytes(r["clk"])) for r in got] == list(enumerate(values))
+    want = [(i, -i * i) for i in range(40)]
+    (tmp_path / "t.json").write_text(json.dumps(want, indent=1))
+    for split in (3, 50, 10**6):
+        assert sorted(map(tuple, clks.read_truth_json(spark, str(tmp_path / "t.json"), split=split).collect())) == sorted(want)
+    records = spark.createDataFrame([(d, i, v) for d in (0, 2) for i, v in enumerate(values)], "dset_i int, rec_i bigint, clk binary").repartition(7)
+    clks.write_clk_json(records, str(tmp_path / "w"))
+    for d in (0, 2):
+        (made,) = [p for p in (tmp_path / "w" / f"dset_i={d}").iterdir()]
+        assert [base64.b64decode(x) for x in json.loads(made.read_text())["clks"]] == values
+    for name, rows in (("some", want), ("none", [])):
+        clks.write_truth_json(spark.createDataFrame(rows, "rec_i0 bigint, rec_i1 bigint").repartition(3), str(tmp_path / name))
+        (made,) = (tmp_path / name).iterdir()
+        assert sorted(map(tuple, json.loads(made.read_text()))) == sorted(rows)
+        assert clks.read_truth_json(spark, str(tmp_path / name)).count() == len(rows)
+    for name, text in (("a", '{"x": 1, "clks": []}'), ("b", '{"clks": ["YQ=="], "x": 1}'), ("c", "[]")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="filters are read from"):
+            clks.read_clk_json(spark, str(tmp_path / name)).collect()
+    (tmp_path / "e").write_text('{"clks": []}')
+    assert clks.read_clk_json(spark, str(tmp_path / "e")).count() == 0
+    (tmp_path / "d").write_text("[[1, 2], [3]]")
+    with pytest.raises(Exception, match="pairs are read from"):
+        clks.read_truth_json(spark, str(tmp_path / "d")).collect()
+
+
+def test_random_links(spark):
+    left, right = (spark.range(a, b, c).withColumnRenamed("id", "rec_i") for a, b, c in ((5, 45, 1), (100, 200, 2)))
+    got = clks.random_links(left, right, 0.3, seed=4).collect()
+    assert sorted(got) == sorted(clks.random_links(left.repartition(3), right.repartition(2), 0.3, seed=4).collect())
+    assert 450 < len(got) < 750 and len({(r["rec_i0"], r["rec_i1"]) for r in got}) == len(got)
+    assert {r["rec_i1"] for r in got} == set(range(100, 200, 2)) and all(0 <= r["sim"] < 1 for r in got)
+    assert clks.random_links(left, right, 1.0).count() == 2000 and clks.random_links(left, right, 0.0).count() == 0
+    assert clks.random_links(left, right.where("false"), 0.5).count() == 0
+    assert clks.random_problem(spark, 10, 10**12, 1e-12).count() < 60

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import warnings
 from collections.abc import Callable, Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -268,12 +269,18 @@ def dice_coefficient_pairs(df: DataFrame, left: str = "clk0", right: str = "clk1
     return df.withColumn(out, dice(a, b))
 
 
-def block_similarity(records: DataFrame, function: Callable, threshold: float, k: int | None = None, blocking: Blocking | None = None, *, in_order: bool = True) -> DataFrame:
+def block_similarity(records: DataFrame, function: Callable, threshold: float, k: int | None = None, blocking: Blocking | None = None, *, in_order: bool = True, split_rows: int | None = None, two_sided: bool = True) -> DataFrame:
     """Candidate pairs by an opaque function of whole blocks.
 
     ``function(left, right, threshold, k)`` gets two pandas frames of one block and
     two datasets (rec_i, clk and further columns) and returns a frame (sim, rec_i0,
-    rec_i1).  A block of a dataset pair is one task: use it for small blocks only.
+    rec_i1).  Without ``split_rows`` a block of a dataset pair is one task, of any size.
+
+    With it, the function sees at most about that many records of either side at once:
+    larger blocks are dealt into parts, every two parts meet in a task, and a record is
+    sent once per part of the other side.  A score must depend on its two records only
+    then, and limits inside a block are taken over its parts: of both records if
+    ``two_sided`` (the function then gets no ``k``), else of the left one.
     """
     import pandas as pd
 
@@ -281,22 +288,41 @@ def block_similarity(records: DataFrame, function: Callable, threshold: float, k
     n_bytes = _n_bytes(records)
     if n_bytes is None:
         return empty_pairs(records.sparkSession)
+    if split_rows is not None and split_rows < 1:
+        raise ValueError("parts of a block need a record at least")
     keys = F.array(F.lit("")) if blocking is None else F.array_distinct(blocking(Record(clk_words(F.col("clk"), n_bytes), 8 * n_bytes)))
     rows = records.withColumn("_key", F.explode(keys))
     sets = [r[0] for r in records.select("dset_i").distinct().collect()]  # one number per party
+    group = ["_key"]
+    if split_rows is not None:
+        rows, group = write_table(rows, "blocks"), ["_key", "_part0", "_part1"]
+        sizes = write_table(rows.groupBy("_key", "dset_i").agg(F.ceil(F.count("*") / split_rows).cast("int").alias("parts")), "block-sizes")
+    asked = None if split_rows is not None and two_sided else k
     runs = []
-    for i in sorted(sets):
-        for j in sorted(sets):
-            if i < j:
-                # aliased: both sides come from one table
-                a, b = (rows.where(F.col("dset_i") == d).select(*[F.col(c).alias(c) for c in rows.columns]).groupBy("_key") for d in (i, j))
-
-                def apply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-                    empty = pd.DataFrame({"sim": pd.Series(dtype="float64"), "rec_i0": pd.Series(dtype="int64"), "rec_i1": pd.Series(dtype="int64")})
-                    return function(x.drop(columns="_key"), y.drop(columns="_key"), threshold, k) if len(x) and len(y) else empty
-
-                got = a.cogroup(b).applyInPandas(apply, "sim double, rec_i0 bigint, rec_i1 bigint")
-                runs.append(got.select("sim", F.lit(i).cast("int").alias("dset_i0"), F.lit(j).cast("int").alias("dset_i1"), "rec_i0", "rec_i1"))
+    for i, j in combinations(sorted(sets), 2):
+        # aliased: both sides come from one table
+        sides = [rows.where(F.col("dset_i") == d).select(*[F.col(c).alias(c) for c in rows.columns]) for d in (i, j)]
+        if split_rows is not None:
+            met = [sizes.where(F.col("dset_i") == d).select("_key", F.col("parts").alias(f"_n{s}")) for s, d in enumerate((i, j))]
+            both = met[0].join(met[1], "_key")  # blocks of one side have no pairs
+            for s, side in enumerate(sides):
+                own = F.pmod(F.xxhash64("rec_i"), F.col(f"_n{s}")).cast("int")
+                side = side.join(both, "_key").withColumn(f"_part{s}", own).withColumn(f"_part{1 - s}", F.explode(F.sequence(F.lit(0), F.col(f"_n{1 - s}") - 1)))
+                sides[s] = side.drop("_n0", "_n1")
+        a, b = (side.groupBy(*group) for side in sides)
+
+        def apply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            empty = pd.DataFrame({"sim": pd.Series(dtype="float64"), "rec_i0": pd.Series(dtype="int64"), "rec_i1": pd.Series(dtype="int64"), "_block": pd.Series(dtype="object")})
+            if not len(x) or not len(y):
+                return empty
+            return function(x.drop(columns=group), y.drop(columns=group), threshold, asked)[["sim", "rec_i0", "rec_i1"]].assign(_block=x["_key"].iloc[0])
+
+        got = a.cogroup(b).applyInPandas(apply, "sim double, rec_i0 bigint, rec_i1 bigint, _block string")
+        got = got.select("sim", F.lit(i).cast("int").alias("dset_i0"), F.lit(j).cast("int").alias("dset_i1"), "rec_i0", "rec_i1", "_block")
+        if split_rows is not None and k is not None:
+            left, right = (["_block", f"rec_i{s}"] for s in (0, 1))
+            got = _both(got, k, left, right) if two_sided else _top(got, k, left, ["rec_i1"])
+        runs.append(got.drop("_block"))
     if not runs:
         return empty_pairs(records.sparkSession)
     pairs = enforce_k(functools.reduce(DataFrame.unionByName, runs).dropDuplicates(PAIR_COLUMNS[1:]), k)

@@ -7,8 +7,10 @@ of ``documents`` set bits of 1024-bit filters.  Parties are residues of the id.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,7 +157,7 @@ def block_function(spark: SparkSession, sf_dir: str) -> DataFrame:
         both["sim"] = 1.0 - (both.x_0 - both.x_1).abs()
         return both[both.sim >= threshold].rename(columns={"rec_i_0": "rec_i0", "rec_i_1": "rec_i1"})[["sim", "rec_i0", "rec_i1"]]
 
-    return ops.block_similarity(sign_clks(spark, sf_dir), near, 0.99, None, list_blocking("label"), in_order=False)
+    return ops.block_similarity(sign_clks(spark, sf_dir), near, 0.99, None, list_blocking("label"), in_order=False, split_rows=16)
 
 
 def word_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,34 +294,48 @@ def clk_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _folder(spark, "truth")
-    _pairs(spark, sf_dir).agg(F.to_json(F.collect_list(F.array("rec_i0", "rec_i1"))).alias("value")).coalesce(1).write.text(at)
+    clks.write_truth_json(_pairs(spark, sf_dir), at)
     return clks.read_truth_json(spark, at)
 
 
 def random_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, fairness (within 10 standard deviations) and repeatability of random filters."""
-    one, again, other = (clks.random_clks(spark, 500, 1024, seed=s, dset_i=1, start=7) for s in (3, 3, 4))
+    """Random filters for the ids of a table: sizes, fairness (within 10 standard deviations) and repeatability."""
+    ids = sign_clks(spark, sf_dir).select("dset_i", "rec_i")
+    one, again, other = (clks.random_filters(ids, 1024, seed=s).withColumnRenamed("clk", name) for s, name in ((3, "clk"), (3, "clk2"), (4, "clk3")))
     bits = sum(F.bit_count(F.conv(F.substring(F.hex("clk"), 1 + 8 * i, 8), 16, 10).cast("bigint")) for i in range(32))
-    rows = one.select("dset_i", "rec_i", F.octet_length("clk").alias("n_bytes"), bits.between(352, 672).alias("fair"), "clk")
-    rows = rows.join(again.select("rec_i", F.col("clk").alias("clk2")), "rec_i").join(other.select("rec_i", F.col("clk").alias("clk3")), "rec_i")
-    return rows.select("dset_i", "rec_i", "n_bytes", "fair", (F.col("clk") == F.col("clk2")).alias("again"), (F.col("clk") == F.col("clk3")).alias("other_seed"))
+    rows = one.withColumn("fair", bits.between(352, 672)).join(again.repartition(3), ["dset_i", "rec_i"]).join(other, ["dset_i", "rec_i"])
+    return rows.select("dset_i", "rec_i", F.octet_length("clk").alias("n_bytes"), "fair", (F.col("clk") == F.col("clk2")).alias("again"), (F.col("clk") == F.col("clk3")).alias("other_seed"))
 
 
 def random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random problem of 300 x 200 records: its shape, and its size within 10 standard deviations."""
-    p = clks.random_problem(spark, 300, 200, 0.1, seed=5)
-    return p.agg(
-        F.count("*").between(5266, 6734).alias("size"),
+    """A random problem of a table's two parties, 20 links a record: its shape, and its size within 10 standard deviations."""
+    sides = [sign_clks(spark, sf_dir).where(F.col("dset_i") == i).select("rec_i") for i in (0, 1)]
+    n, m = (x.count() for x in sides)
+    p = min(1.0, 20 / max(m, 1))
+    links = clks.random_links(*sides, p, seed=5)
+    legal = (F.col("sim") >= 0) & (F.col("sim") < 1) & (F.col("dset_i0") == 0) & (F.col("dset_i1") == 1)
+    return links.agg(
+        F.lit(n).cast("bigint").alias("n_left"),
+        F.lit(m).cast("bigint").alias("n_right"),
+        (F.abs(F.count("*") - n * m * p) <= 10 * (n * m * p * (1 - p)) ** 0.5).alias("size"),
         (F.count("*") == F.count_distinct("rec_i0", "rec_i1")).alias("once"),
-        F.bool_and((F.col("sim") >= 0) & (F.col("sim") < 1) & (F.col("dset_i0") == 0) & (F.col("dset_i1") == 1)).alias("legal"),
-        F.bool_and(F.col("rec_i0").between(0, 299) & F.col("rec_i1").between(0, 199)).alias("inside"),
+        F.bool_and(legal).alias("legal"),
+        F.bool_and((F.col("rec_i0") % 2 == 0) & (F.col("rec_i1") % 2 == 1)).alias("inside"),
     )
 
 
 def _read_lazily(spark: SparkSession, parts: Iterator[bytes], path: str) -> DataFrame:
-    """Rows of one file made of ``parts``, through the lazy reader; the file is as large as the pairs of a small problem."""
+    """Rows of one file made of ``parts``, through the lazy reader in a task."""
     pairfile.write_file(path, parts)
-    return spark.createDataFrame(list(pairfile.load_to_iterable(path)), "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file in b["path"]:
+                found = pairfile.load_to_iterable(file)
+                while part := list(islice(found, 65_536)):
+                    yield pd.DataFrame(part, columns=PAIRS.names)
+
+    return spark.range(1).select(F.lit(path).alias("path")).mapInPandas(rows, PAIRS)
 
 
 def dump_iterator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -555,8 +571,8 @@ def oracle_sql() -> dict[str, str]:
         "group_sizes": f"WITH RECURSIVE {three}, {_grouped(1.0, False)}, m AS (SELECT CAST(count(*) AS INTEGER) AS n_members FROM g GROUP BY label) SELECT n_members, count(*) AS n_groups FROM m GROUP BY 1",
         "clk_json_round_trip": f"WITH {_records(2)} SELECT dset_i, {numbered} AS rec_i, lpad(to_hex(w0), 8, '0') || lpad(to_hex(w1), 8, '0') AS clk FROM r",
         "truth_json_round_trip": f"WITH {pairs} SELECT rec_i0, rec_i1 FROM p",
-        "random_records": "SELECT CAST(1 AS INTEGER) AS dset_i, i + 7 AS rec_i, CAST(128 AS INTEGER) AS n_bytes, TRUE AS fair, TRUE AS again, FALSE AS other_seed FROM range(500) t(i)",
-        "random_pairs": "SELECT TRUE AS size, TRUE AS once, TRUE AS legal, TRUE AS inside",
+        "random_records": f"WITH {_records(2)} SELECT dset_i, rec_i, CAST(128 AS INTEGER) AS n_bytes, TRUE AS fair, TRUE AS again, FALSE AS other_seed FROM r",
+        "random_pairs": f"WITH {_records(2)} SELECT COUNT(*) FILTER (dset_i = 0) AS n_left, COUNT(*) FILTER (dset_i = 1) AS n_right, TRUE AS size, TRUE AS once, TRUE AS legal, TRUE AS inside FROM r",
         "dump_iterator": f"WITH {pairs} SELECT {_OUT} FROM p",
         "merge_iterator": f"WITH {pairs} SELECT {_OUT} FROM p",
         "empty_filters": f"WITH {no_bits} SELECT {_OUT} FROM p",
