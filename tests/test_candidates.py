@@ -197,3 +197,39 @@ def test_large_blocks_by_tiles_equal_brute_force(spark, monkeypatch, name, f, tw
     t = table(spark, data, keys, "array<string>")
     want = spec.candidates(data, f, threshold, k, [[[] if x is None else x for x in d] for d in keys], two)
     assert rows(ops.find_candidate_pairs(t, name, threshold, k, custom_blocking("v"))) == want
+
+
+@pytest.mark.parametrize("name,f,two", [("dice", spec.dice, False), ("smc", spec.smc, True)])
+@pytest.mark.parametrize("k", [None, 2])
+def test_product_by_shuffled_tiles(spark, monkeypatch, name, f, two, k):
+    """Tables too large to be sent to every executor give the same pairs."""
+    from veilmatch.operators import candidates
+
+    t = table(spark, make(12))
+    want = rows(ops.find_candidate_pairs(t, name, 0.6, k))
+    monkeypatch.setattr(candidates, "LOCAL_BYTES", 0)
+    assert want and rows(ops.find_candidate_pairs(t, name, 0.6, k)) == want
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_margins_equal_counts(monkeypatch, k):
+    """Bit strings too long for exact margins take counts; both keep the same pairs with the same scores."""
+    import numpy as np
+
+    from veilmatch.plans import product
+
+    rng = np.random.default_rng(3)
+    sides = []
+    for n in (700, 900):
+        bits = rng.integers(0, 256, (n, 5), dtype=np.uint8) & rng.integers(0, 256, (n, 1), dtype=np.uint8)
+        sides.append((bits, np.bitwise_count(bits).sum(1).astype(np.int32), np.arange(n), np.zeros(n, np.int32)))
+
+    def hits(sim, threshold):
+        return sorted(x for h in product.hits_of(*sides, sim, threshold, 40, k) for x in zip(*(c.tolist() for c in h)))
+
+    for sim in (ops.DICE, ops.SMC):
+        for threshold in (0.0, 0.5, 0.8, 1.0):
+            with monkeypatch.context() as m:
+                got = hits(sim, threshold)
+                m.setattr(product, "EXACT_BITS", 0)
+                assert got and hits(sim, threshold) == got

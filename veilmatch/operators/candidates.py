@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ from veilmatch.session import share_code, write_table
 
 #: Records of a block (over all parties) above which it is compared by the matrix kernel instead of a join.
 BLOCK_ROWS = 512
+#: Bytes of all records up to which the full product sends them to every executor instead of shuffling tiles.
+LOCAL_BYTES = 32 << 20
 
 
 def _check_type(records: DataFrame) -> None:
@@ -71,8 +73,8 @@ def encode_records(records: DataFrame, n_bytes: int, *keep: str) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
-def _counted(records: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]], int | None]:
-    """Table (dset_i, rec_i, clk, pc), its histogram (dset_i, pc, n) and the one length of its bit strings, checked in the same two passes."""
+def _counted(records: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]], int | None, pa.Table | None]:
+    """Table (dset_i, rec_i, clk, pc), its histogram (dset_i, pc, n), the one length of its bit strings, and its rows if they have up to LOCAL_BYTES."""
     _check_type(records)
     share_code(records.sparkSession)
 
@@ -85,15 +87,23 @@ def _counted(records: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]],
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pc)], [*b.schema.names, "pc"])
 
     rows = records.select(F.col("dset_i").cast("int").alias("dset_i"), F.col("rec_i").cast("bigint").alias("rec_i"), "clk")
-    table = write_table(rows.mapInArrow(run, "dset_i int, rec_i bigint, clk binary, pc int"), "records")
-    counts = table.groupBy("dset_i", "pc").agg(F.count("*").alias("n"), F.min(F.octet_length("clk")).alias("low"), F.max(F.octet_length("clk")).alias("high"), F.count_if(F.col("clk").isNull()).alias("missing"))
-    got = counts.collect()  # at most parties x (bits + 1) rows
-    if any(r["missing"] for r in got):
+    seen = Observation()
+    length = F.octet_length("clk")
+    checks = [F.count("*").alias("n"), F.min(length).alias("low"), F.max(length).alias("high"), F.count_if(F.col("clk").isNull()).alias("missing")]
+    table = write_table(rows.mapInArrow(run, "dset_i int, rec_i bigint, clk binary, pc int").observe(seen, *checks), "records")
+    found = seen.get
+    if found["missing"]:
         raise TypeError("a record has no bit string")
-    lengths = {x for r in got for x in (r["low"], r["high"])}
-    if len(lengths) > 1:
+    if found["low"] != found["high"]:
         raise ValueError("bit strings differ in length")
-    return table, [(r["dset_i"], r["pc"], r["n"]) for r in got], lengths.pop() if lengths else None
+    if not found["n"]:
+        return table, [], None, None
+    if found["n"] * (found["high"] + 16) <= LOCAL_BYTES:
+        local = table.toArrow()
+        counts = local.group_by(["dset_i", "pc"]).aggregate([([], "count_all")])
+        return table, sorted(zip(*(counts.column(c).to_pylist() for c in ("dset_i", "pc", "count_all")))), found["high"], local
+    counts = table.groupBy("dset_i", "pc").agg(F.count("*").alias("n")).collect()  # at most parties x (bits + 1) rows
+    return table, [(r["dset_i"], r["pc"], r["n"]) for r in counts], found["high"], None
 
 
 def popcount_arrays(records: DataFrame) -> DataFrame:
@@ -160,19 +170,21 @@ def find_candidate_pairs(
         raise ValueError(f"k must not be negative, but is {k}")
     product = blocking is None and sim.counts is not None
     if product:
-        records, histogram, n_bytes = _counted(records)
+        records, histogram, n_bytes, local = _counted(records)
     else:
         records = write_table(records, "records")  # checks and both sides of the join read it
         n_bytes = _n_bytes(records)
     if n_bytes is None or k == 0:
         return empty_pairs(spark)
     if product and n_bytes:
-        pairs = product_pairs(records, histogram, sim, float(threshold), 8 * n_bytes, k)
+        pairs = product_pairs(records, histogram, sim, float(threshold), 8 * n_bytes, k, local)
         if k is not None:
             pairs = _limit_block(pairs, sim, k, [])
     else:
         pairs = _blocked(records, sim, threshold, k, blocking, n_bytes)
     pairs = enforce_k(pairs, k).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PAIRS])
+    if in_order and k is None:
+        pairs = write_table(pairs, "pairs")  # a sort reads its input twice, which would compare all pairs twice
     return ordered(pairs) if in_order else pairs
 
 
@@ -249,10 +261,10 @@ def hamming_similarity(datasets: Sequence[DataFrame], threshold: float, k: int |
 
 
 def _one_block(records: DataFrame, sim: Similarity, threshold: float, k: int | None) -> DataFrame:
-    records, histogram, n_bytes = _counted(records)
+    records, histogram, n_bytes, local = _counted(records)
     if n_bytes is None or k == 0:
         return empty_pairs(records.sparkSession).select("sim", "rec_i0", "rec_i1")
-    pairs = product_pairs(records, histogram, sim, float(threshold), 8 * n_bytes, k)
+    pairs = product_pairs(records, histogram, sim, float(threshold), 8 * n_bytes, k, local)
     if k is not None:
         pairs = _limit_block(pairs, sim, k, [])
     return pairs.select("sim", "rec_i0", "rec_i1").orderBy(F.col("sim").desc(), "rec_i0", "rec_i1")

@@ -35,6 +35,10 @@ MOST_PAIRS, MOST_TASKS = 1_000_000, 20_000
 #: Records of the two sides that one matrix product compares, and pairs gathered before they leave the task.
 ROWS, COLUMNS, FLUSH = 512, 8192, 500_000
 
+_SCHEMA = "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint"
+#: Bits up to which a margin of common bits, in parts of 1/64, is exact in 32-bit floats.
+EXACT_BITS = 65_536
+
 Tile = tuple[int, int, int, int, int, int]
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: Packed bits, popcounts, ids and parties of a tile's records.
@@ -112,10 +116,11 @@ def _rank_within(group: np.ndarray, sim: np.ndarray, other: np.ndarray) -> np.nd
     return out
 
 
-def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> DataFrame:
+def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], similarity: Similarity, threshold: float, n_bits: int, k: int | None, local: pa.Table | None = None) -> DataFrame:
     """Pairs (unordered) of all parties that reach ``threshold``; with ``k``, those that the limits can still keep.
 
-    ``records``: (dset_i, rec_i, clk, pc), of which ``histogram`` has the counts (dset_i, pc, n).
+    ``records``: (dset_i, rec_i, clk, pc), of which ``histogram`` has the counts (dset_i, pc, n)
+    and ``local``, if given, the rows: few enough to be sent to every executor.
     """
     spark = records.sparkSession
     sizes: dict[int, int] = defaultdict(int)
@@ -126,6 +131,8 @@ def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], sim
     left = _tile_table([h for h in histogram if h[0] < max(sizes)], aims[0])
     right = _tile_table([h for h in histogram if h[0] > min(sizes)], aims[1], max((t[2] + t[3] for t in left), default=0))
     t0, t1 = _tile_pairs(left, right, similarity, threshold, n_bits)
+    if local is not None:
+        return _local_product(records, local, left, right, t0, t1, similarity, threshold, n_bits, k)
     parts = max(1, min(MOST_TASKS, len(t0)))
     pair = np.arange(len(t0))
     routes = spark.createDataFrame(pa.table({"tile": np.concatenate([t0, t1]).astype(np.int32), "pair": np.concatenate([pair, pair]).astype(np.int32)}))
@@ -149,13 +156,39 @@ def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], sim
         if held:
             yield from _compared(pa.Table.from_batches(held), similarity, threshold, n_bits, k)
 
-    return sent.mapInArrow(run, "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint")
+    return sent.mapInArrow(run, _SCHEMA)
+
+
+def _local_product(records: DataFrame, local: pa.Table, left: list[Tile], right: list[Tile], t0: np.ndarray, t1: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> DataFrame:
+    """The same tiles and pairs of them, cut from a broadcast of all records: no join or shuffle, one job of a task per slot."""
+    spark = records.sparkSession
+    bits, pc, rec, dset = _tile(local, n_bits)
+    tiles: dict[int, np.ndarray] = {}
+    for table in (left, right):
+        for d, count, first, parts, _, _ in table:
+            mine = np.flatnonzero((dset == d) & (pc == count))
+            for i in range(parts):
+                tiles[first + i] = np.concatenate([tiles.get(first + i, mine[:0]), mine[i::parts]])
+    shared = spark.sparkContext.broadcast((bits, pc, rec, dset, tiles, t0, t1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, pc, rec, dset, tiles, t0, t1 = shared.value
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                sides = [tuple(x[tiles[t]] for x in (bits, pc, rec, dset)) for t in (int(t0[i]), int(t1[i]))]
+                yield from _batches(*sides, similarity, threshold, n_bits, k)
+
+    return spark.range(0, len(t0), 1, max(1, min(spark.sparkContext.defaultParallelism, len(t0)))).mapInArrow(run, _SCHEMA)
 
 
 def _compared(rows: pa.Table, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs of one pair of tiles."""
     side = rows.column("side").to_numpy()
     left, right = (_tile(rows.filter(pa.array(side == s)), n_bits) for s in (0, 1))
+    yield from _batches(left, right, similarity, threshold, n_bits, k)
+
+
+def _batches(left: Records, right: Records, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Iterator[pa.RecordBatch]:
     for sim, x, y in hits_of(left, right, similarity, threshold, n_bits, k):
         yield pa.RecordBatch.from_arrays([pa.array(sim), pa.array(left[3][x]), pa.array(right[3][y]), pa.array(left[2][x]), pa.array(right[2][y])], ["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"])
 
@@ -173,12 +206,17 @@ def hits_of(left: Records, right: Records, similarity: Similarity, threshold: fl
             top |= _rank_within(y, sim, rec_a[x]) < k
         return sim[top], x[top], y[top]
 
+    def columns(j: int) -> np.ndarray:
+        return _with_needs(_floats(bits_b[j : j + COLUMNS]), pc_b[j : j + COLUMNS], similarity, threshold, n_bits, False)
+
+    only = columns(0) if len(pc_b) <= COLUMNS else None  # a tile of one block is unpacked once
     waiting: list[Hits] = []
     size, step = 0, FLUSH
     for i in range(0, len(pc_a), ROWS):
-        a = _floats(bits_a[i : i + ROWS])
+        a = _with_needs(_floats(bits_a[i : i + ROWS]), pc_a[i : i + ROWS], similarity, threshold, n_bits, True)
         for j in range(0, len(pc_b), COLUMNS):
-            hits = _block(a, _floats(bits_b[j : j + COLUMNS]), pc_a[i : i + ROWS], pc_b[j : j + COLUMNS], similarity, threshold, n_bits, k)
+            b = columns(j) if only is None else only
+            hits = _block(a, b, pc_a[i : i + ROWS], pc_b[j : j + COLUMNS], similarity, threshold, n_bits, k)
             waiting.append((hits[0], hits[1] + i, hits[2] + j))
             size += len(hits[0])
             if size > step:
@@ -203,21 +241,42 @@ def _joined(hits: list[Hits]) -> Hits:
     return tuple(np.concatenate(h) for h in zip(*hits))
 
 
+def _with_needs(bits: np.ndarray, pc: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, left: bool) -> np.ndarray:
+    """Bits and two columns more, so that a product is what common bits exceed the pair's need by, less a slack.
+
+    Needs are whole parts of 1/64, so no sum of up to EXACT_BITS bits is rounded.
+    """
+    slope, offset = similarity.cutoff(threshold, n_bits)
+    slack = 0.01 + 1e-6 * n_bits  # more than needs and scores are off
+    need = np.floor((slope * pc + (0 if left else offset - slack)) * 64) / 64
+    one = np.ones(len(pc))
+    return np.concatenate([bits, np.stack([-need, one] if left else [one, -need], axis=1).astype(np.float32)], axis=1)
+
+
 def _block(a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Hits:
     """(sim, row, column) of the pairs of two blocks that reach ``threshold``."""
-    slope, offset = similarity.cutoff(threshold, n_bits)
-    common = a @ b.T
-    need = (slope * pc_a).astype(np.float32)
-    slack = 0.01 + 1e-6 * n_bits  # more than 32-bit sums are off
-    reach = common >= need[:, None] + (slope * pc_b + offset - slack).astype(np.float32)
+    if n_bits <= EXACT_BITS:
+        margin = a @ b.T
+        reach = margin >= 0
+
+        def common(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return np.rint(margin.ravel()[at].astype(np.float64) - a[x, -2] - b[y, -1])
+    else:
+        counts = a[:, :-2] @ b[:, :-2].T
+        reach = counts >= -a[:, -2:-1] - b[:, -1]
+
+        def common(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return counts.ravel()[at].astype(np.float64)
+
     if k is not None and not similarity.two_sided and k < len(pc_b) and np.count_nonzero(reach) > 2 * k * len(pc_a):
         # most pairs pass: leave those below a row's k-th best score, ties stay for the exact ranks
-        n = len(pc_a)
-        dense = similarity.counts(common.ravel().astype(np.float64), np.repeat(pc_a, len(pc_b)), np.tile(pc_b, n), n_bits).reshape(n, -1)
-        reach &= dense >= np.partition(dense, len(pc_b) - k, axis=1)[:, [len(pc_b) - k]]
+        n, m = len(pc_a), len(pc_b)
+        x, y = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+        dense = similarity.counts(common(x, y, np.arange(n * m)), pc_a[x], pc_b[y], n_bits).reshape(n, -1)
+        reach &= dense >= np.partition(dense, m - k, axis=1)[:, [m - k]]
     hit = np.flatnonzero(reach)
     x, y = hit // len(pc_b), hit % len(pc_b)
-    sim = similarity.counts(common.ravel()[hit].astype(np.float64), pc_a[x], pc_b[y], n_bits)
+    sim = similarity.counts(common(x, y, hit), pc_a[x], pc_b[y], n_bits)
     keep = sim >= threshold
     return sim[keep], x[keep], y[keep]
 
