@@ -233,3 +233,21 @@ def test_margins_equal_counts(monkeypatch, k):
                 got = hits(sim, threshold)
                 m.setattr(product, "EXACT_BITS", 0)
                 assert got and hits(sim, threshold) == got
+
+
+@pytest.mark.parametrize("name,k", [("dice", None), ("dice", 2), ("smc", 1)])
+def test_killed_run_of_tiles(spark, tmp_path, name, k):
+    """A run that died after some tiles ends with the same pairs, and compares only what was not there."""
+    data = make(13, (40, 35, 20), 8, 60)
+    t = table(spark, data)
+    tiles = list(ops.split_to_chunks(300, dataset_sizes=[40, 35, 20]))
+    want = sorted(r for c in tiles for r in rows(ops.process_chunk(c, t, name, 0.5, k)))
+    folder = tmp_path / "tiles"
+    assert sorted(rows(ops.run_chunks(t, tiles[1::2], str(folder), name, 0.5, k))) == sorted(r for c in tiles[1::2] for r in rows(ops.process_chunk(c, t, name, 0.5, k)))
+    old = {p.name: p.stat().st_mtime_ns for p in folder.iterdir()}
+    assert len(old) == len(tiles[1::2])
+    (folder / "_begun-0").write_bytes(b"cut off")
+    assert sorted(rows(ops.run_chunks(t, [c[::-1] for c in tiles], str(folder), name, 0.5, k))) == want
+    now = {p.name: p.stat().st_mtime_ns for p in folder.iterdir() if not p.name.startswith("_")}
+    assert len(now) == len(tiles) and {n: now[n] for n in old} == old
+    assert ops.run_chunks(t.where("false"), tiles, str(tmp_path / "none"), name, 0.5, k).count() == 0

@@ -13,6 +13,7 @@ from veilmatch.operators.candidates import (
     simple_matching_coefficient,
 )
 from veilmatch.operators.chunks import chunks_table, process_chunk, split_to_chunks
+from veilmatch.operators.ledger import finished_tiles, run_chunks
 from veilmatch.operators.merging import merge_rounds
 from veilmatch.operators.similarity import DICE, SMC, Similarity, custom_similarity
 from veilmatch.operators.solving import greedy_solve, match_labels, matching_rounds, nested_groups, pairs_from_groups, pivot_matching, probabilistic_greedy_solve
@@ -31,6 +32,7 @@ __all__ = [
     "encode_records",
     "enforce_k",
     "find_candidate_pairs",
+    "finished_tiles",
     "greedy_solve",
     "hamming_similarity",
     "match_labels",
@@ -47,6 +49,7 @@ __all__ = [
     "precision_recall",
     "probabilistic_greedy_solve",
     "process_chunk",
+    "run_chunks",
     "similarities_hist",
     "simple_matching_coefficient",
     "split_to_chunks",

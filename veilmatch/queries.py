@@ -250,6 +250,15 @@ def chunk_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.merge_pairs(*runs)
 
 
+def chunk_pairs_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tiles in one job of its own after a run that made every third: the same pairs."""
+    r = sign_clks(spark, sf_dir).withColumn("rec_i", F.floor(F.col("rec_i") / 2))
+    n = [r.where(F.col("dset_i") == i).count() for i in (0, 1)]
+    tiles, at = list(ops.split_to_chunks(sum(n) ** 2 / 64, dataset_sizes=n)), _folder(spark, "tiles")
+    ops.run_chunks(r, tiles[::3], at, "dice", T)
+    return ops.run_chunks(r, tiles, at, "dice", T)
+
+
 def pair_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of two label parities written to two files, merged to one, and read back."""
     r = sign_clks(spark, sf_dir)
@@ -443,6 +452,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "precision_recall": precision_recall,
         "chunks": chunks,
         "chunk_pairs": chunk_pairs,
+        "chunk_pairs_resumed": chunk_pairs_resumed,
         "pair_file_round_trip": pair_file_round_trip,
         "dump_size": dump_size,
         "streamed_pairs": streamed_pairs,
@@ -624,6 +634,7 @@ x AS (SELECT *, unnest(range(0, CAST(c0 AS BIGINT))) AS i FROM k), y AS (SELECT
 SELECT dset_i0, CAST(round_even(i * (n0 / c0), 0) AS BIGINT) AS a0, CASE WHEN i + 1 = c0 THEN n0 ELSE CAST(round_even((i + 1) * (n0 / c0), 0) AS BIGINT) END AS b0,
        dset_i1, CAST(round_even(j * (n1 / c1), 0) AS BIGINT) AS a1, CASE WHEN j + 1 = c1 THEN n1 ELSE CAST(round_even((j + 1) * (n1 / c1), 0) AS BIGINT) END AS b1 FROM y""",
         "chunk_pairs": f"WITH {pairs} SELECT sim, dset_i0, dset_i1, rec_i0 // 2 AS rec_i0, rec_i1 // 2 AS rec_i1 FROM p",
+        "chunk_pairs_resumed": f"WITH {pairs} SELECT sim, dset_i0, dset_i1, rec_i0 // 2 AS rec_i0, rec_i1 // 2 AS rec_i1 FROM p",
         "pair_file_round_trip": f"WITH {pairs} SELECT {_OUT} FROM p",
         "dump_size": f"WITH {pairs} SELECT count(*) AS n_pairs, 4 + 24 * count(*) AS n_bytes FROM p",
         "streamed_pairs": f"WITH {_all(_DICE, 0.5, on='a.label = b.label')} SELECT {_OUT} FROM p",
