@@ -251,3 +251,57 @@ def test_killed_run_of_tiles(spark, tmp_path, name, k):
     now = {p.name: p.stat().st_mtime_ns for p in folder.iterdir() if not p.name.startswith("_")}
     assert len(now) == len(tiles) and {n: now[n] for n in old} == old
     assert ops.run_chunks(t.where("false"), tiles, str(tmp_path / "none"), name, 0.5, k).count() == 0
+
+
+@pytest.mark.parametrize("name,f,two", [("dice", spec.dice, False), ("smc", spec.smc, True)])
+@pytest.mark.parametrize("k", [1, 3])
+def test_limits_in_waves_of_tiles(spark, monkeypatch, name, f, two, k):
+    """Tiles of a few records, so that each record meets many: the same pairs, and fewer of them leave the tasks."""
+    from veilmatch.operators import candidates
+    from veilmatch.plans import product
+
+    rng = random.Random(23)
+    data = [[rng.randbytes(3) for _ in range(n)] + make(29, n_bytes=3)[0] for n in (20, 25, 15)]
+    monkeypatch.setattr(candidates, "LOCAL_BYTES", 0)
+    monkeypatch.setattr(product, "_aims", lambda sizes, slots, wide: (12, 6))
+    monkeypatch.setattr(product, "GROWTH", 3)
+    emitted = []
+    plain = product._compared_tiles
+
+    def counted(*args):
+        out = plain(*args)
+        emitted.append((args[3] is not None, out.count()))
+        return out
+
+    monkeypatch.setattr(product, "_compared_tiles", counted)
+    want = spec.candidates(data, f, 0.3, k, two_sided=two)
+    assert rows(ops.find_candidate_pairs(table(spark, data), name, 0.3, k)) == want
+    assert [floors for floors, _ in emitted] == [False, True, True]
+    in_waves = sum(n for _, n in emitted)
+    monkeypatch.setattr(product, "WAVES_FROM", 10**9)
+    emitted.clear()
+    assert rows(ops.find_candidate_pairs(table(spark, data), name, 0.3, k)) == want
+    assert len(emitted) == 1 and in_waves < emitted[0][1]
+
+
+def test_thresholds_rise_inside_a_tile(monkeypatch):
+    """Columns in small blocks: what is left of each row holds its best k, with ties, by Dice and by needs with offsets."""
+    import numpy as np
+
+    from veilmatch.operators.similarity import DICE, Similarity
+    from veilmatch.plans import product
+
+    agree = Similarity("agree", None, counts=lambda c, x, y, n: (n - (x + y - 2.0 * c)) / n, cutoff=lambda t, n: (0.5, (t - 1) * n / 2))
+    rng = np.random.default_rng(31)
+    sides = []
+    for n in (40, 300):
+        bits = np.packbits(rng.random((n, 64)) < rng.random((n, 1)), axis=1)
+        sides.append((bits, np.bitwise_count(bits).sum(1).astype(np.int32), np.arange(n), np.zeros(n, np.int32)))
+    monkeypatch.setattr(product, "COLUMNS", 37)
+    common = np.unpackbits(sides[0][0], axis=1).astype(int) @ np.unpackbits(sides[1][0], axis=1).astype(int).T
+    for sim in (DICE, agree):
+        full = sim.counts(common.astype(float), sides[0][1][:, None], sides[1][1][None, :], 64)
+        for k in (1, 4, 30):
+            got = {(int(x), int(y)) for _, xs, ys in product.hits_of(*sides, sim, 0.2, 64, k) for x, y in zip(xs, ys)}
+            want = {(x, int(y)) for x in range(40) for y in np.lexsort((np.arange(300), -full[x]))[:k] if full[x, y] >= 0.2}
+            assert got == want

@@ -37,7 +37,7 @@ class Similarity:
 
     ``two_sided``: inside a block, k limits both records of a pair, not the left one only.
     ``best(low_count, high_count, n_bits)``: highest score that popcounts allow, as a column.
-    ``counts(common, pc_a, pc_b, n_bits)``: scores from numpy counts; without it there is no full-product kernel.
+    ``counts(common, pc_a, pc_b, n_bits)``: scores from numpy counts (vectors, or a matrix with a column and a row); without it there is no full-product kernel.
     """
 
     name: str
@@ -51,8 +51,8 @@ class Similarity:
 
 
 def _dice_counts(common: np.ndarray, pa: np.ndarray, pb: np.ndarray, n_bits: int) -> np.ndarray:
-    total = (pa + pb).astype(np.float64)
-    return np.divide(2.0 * common, total, out=np.zeros(len(common)), where=total > 0)
+    total = np.asarray(pa + pb, np.float64)
+    return np.divide(2.0 * common, total, out=np.zeros(np.shape(total)), where=total > 0)
 
 
 def _dice_best(a: Column, b: Column, n_bits: int) -> Column:

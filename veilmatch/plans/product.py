@@ -13,6 +13,13 @@ Tiles grow with the input up to ``LARGEST`` records, and beyond it where there
 would be more than ``MOST_PAIRS`` pairs of tiles, so what is broadcast (tiles and
 their pairs) is bounded, and a record is sent to one tile in ``LARGEST`` records
 of the other party.
+
+With a limit ``k``, thresholds rise.  Inside a tile, a left record that has met some
+columns must beat its k-th best score among them.  Across tiles, the pairs of tiles
+are run in waves (each record's nearest tile by popcount first, then ``GROWTH`` times
+as many a wave); a wave is told each record's k-th best score of the waves before, in
+a table joined to the records, and emits only what reaches it, so about ``k`` pairs of a
+record leave each wave instead of ``k`` for each tile it meets.
 """
 
 from __future__ import annotations
@@ -23,9 +30,11 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmatch.session import write_table
+
 if TYPE_CHECKING:  # workers import this module first, and the operators import it
     from veilmatch.operators.similarity import Similarity
 
@@ -34,6 +43,8 @@ LARGEST, SMALLEST = 65_536, 128
 MOST_PAIRS, MOST_TASKS = 1_000_000, 20_000
 #: Records of the two sides that one matrix product compares, and pairs gathered before they leave the task.
 ROWS, COLUMNS, FLUSH = 512, 8192, 500_000
+#: Waves of tile pairs grow by this; tiles of one party that a tile must meet for waves to pay.
+GROWTH, WAVES_FROM = 8, 3
 
 _SCHEMA = "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint"
 #: Bits up to which a margin of common bits, in parts of 1/64, is exact in 32-bit floats.
@@ -41,6 +52,8 @@ EXACT_BITS = 65_536
 
 Tile = tuple[int, int, int, int, int, int]
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Score that a pair must reach at each left and at each right record: at either one is enough.
+Floors = tuple[np.ndarray, np.ndarray]
 #: Packed bits, popcounts, ids and parties of a tile's records.
 Records = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -133,13 +146,78 @@ def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], sim
     t0, t1 = _tile_pairs(left, right, similarity, threshold, n_bits)
     if local is not None:
         return _local_product(records, local, left, right, t0, t1, similarity, threshold, n_bits, k)
-    parts = max(1, min(MOST_TASKS, len(t0)))
-    pair = np.arange(len(t0))
-    routes = spark.createDataFrame(pa.table({"tile": np.concatenate([t0, t1]).astype(np.int32), "pair": np.concatenate([pair, pair]).astype(np.int32)}))
     tiles = spark.createDataFrame([(d, pc, side, first, n) for side, table in enumerate((left, right)) for d, pc, first, n, _, _ in table], "dset_i int, pc int, side int, first int, parts int")
     placed = records.join(F.broadcast(tiles), ["dset_i", "pc"]).withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("rec_i"), F.col("parts"))).cast("int"))
-    sent = placed.join(F.broadcast(routes), "tile").select("pair", "side", "dset_i", "rec_i", "pc", "clk")
-    sent = sent.repartitionById(parts, F.pmod("pair", F.lit(parts)).cast("int"))
+    wave = _waves(left, right, t0, t1, similarity, n_bits) if k is not None else np.zeros(len(t0), np.int64)
+    if not wave.any():
+        return _compared_tiles(placed, t0, t1, None, None, similarity, threshold, n_bits, k)
+    party = {first + i: d for table in (left, right) for d, _, first, parts, _, _ in table for i in range(parts)}
+    best = None
+    for w in range(int(wave.max()) + 1):
+        now = wave == w
+        floors = None if best is None else _floor_table(best, similarity, k)
+        pairs = _compared_tiles(placed, t0[now], t1[now], floors, party, similarity, threshold, n_bits, k)
+        best = write_table(_leading(pairs if best is None else best.select(*pairs.columns).unionByName(pairs), similarity, k), "wave")
+    return best.select(*pairs.columns)
+
+
+def _waves(left: list[Tile], right: list[Tile], t0: np.ndarray, t1: np.ndarray, similarity: Similarity, n_bits: int) -> np.ndarray:
+    """Wave of each pair of tiles: a left tile meets one tile of each other party in wave 0, up to GROWTH in the next, and so on, the closest popcounts first."""
+    party, middle = {}, {}
+    for table in (left, right):
+        for d, _, first, parts, low, high in table:
+            for i in range(parts):
+                party[first + i], middle[first + i] = d, (low + high) / 2
+    if not len(t0):
+        return np.zeros(0, np.int64)
+    other = np.array([party[t] for t in t1.tolist()])
+    apart = np.abs(np.array([middle[t] for t in t0.tolist()]) - np.array([middle[t] for t in t1.tolist()]))
+    o = np.lexsort((t1, apart, other, t0))
+    new = np.append(True, (t0[o][1:] != t0[o][:-1]) | (other[o][1:] != other[o][:-1]))
+    rank = np.arange(len(o)) - np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
+    if rank.max() + 1 < WAVES_FROM:
+        return np.zeros(len(t0), np.int64)
+    out = np.empty(len(t0), np.int64)
+    out[o] = np.ceil(np.log(rank + 1) / np.log(GROWTH) - 1e-9)
+    return out
+
+
+def _ranks(similarity: Similarity) -> list[tuple[str, Column]]:
+    left = Window.partitionBy("dset_i0", "dset_i1", "rec_i0").orderBy(F.col("sim").desc(), "rec_i1")
+    right = Window.partitionBy("dset_i0", "dset_i1", "rec_i1").orderBy(F.col("sim").desc(), "rec_i0")
+    return [("_l", F.row_number().over(left))] + ([("_r", F.row_number().over(right))] if similarity.two_sided else [])
+
+
+def _leading(pairs: DataFrame, similarity: Similarity, k: int) -> DataFrame:
+    """Pairs among the best ``k`` of a record that limits hold for, with these ranks."""
+    ranks = _ranks(similarity)
+    out = pairs.withColumns(dict(ranks))
+    return out.where(" or ".join(f"{name} <= {k}" for name, _ in ranks))
+
+
+def _floor_table(best: DataFrame, similarity: Similarity, k: int) -> DataFrame:
+    """(dset_i, rec_i, other, floor): the k-th best score of each record that has ``k`` towards a party."""
+    out = best.where(F.col("_l") == k).select(F.col("dset_i0").alias("dset_i"), F.col("rec_i0").alias("rec_i"), F.col("dset_i1").alias("other"), F.col("sim").alias("floor"))
+    if similarity.two_sided:
+        out = out.unionByName(best.where(F.col("_r") == k).select(F.col("dset_i1").alias("dset_i"), F.col("rec_i1").alias("rec_i"), F.col("dset_i0").alias("other"), F.col("sim").alias("floor")))
+    return out
+
+
+def _compared_tiles(placed: DataFrame, t0: np.ndarray, t1: np.ndarray, floors: DataFrame | None, party: dict[int, int] | None, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> DataFrame:
+    """Pairs of the pairs of tiles (t0, t1), one partition each; ``floors``: scores that records must reach, if known."""
+    spark = placed.sparkSession
+    parts = max(1, min(MOST_TASKS, len(t0)))
+    pair = np.arange(len(t0), dtype=np.int32)
+    route = {"tile": np.concatenate([t0, t1]).astype(np.int32), "pair": np.concatenate([pair, pair])}
+    if floors is not None:
+        route["other"] = np.array([party[t] for t in [*t1.tolist(), *t0.tolist()]], np.int32)
+    routed = placed.join(F.broadcast(spark.createDataFrame(pa.table(route))), "tile")
+    columns = ["pair", "side", "dset_i", "rec_i", "pc", "clk"]
+    if floors is not None:
+        known = floors.groupBy("dset_i", "rec_i").agg(F.map_from_entries(F.collect_list(F.struct("other", "floor"))).alias("_floors"))  # an entry per party
+        routed = routed.join(known, ["dset_i", "rec_i"], "left").withColumn("floor", F.coalesce(F.try_element_at("_floors", F.col("other")), F.lit(float("-inf"))))
+        columns.append("floor")
+    sent = routed.select(*columns).repartitionById(parts, F.pmod("pair", F.lit(parts)).cast("int"))
     if len(t0) > parts:
         sent = sent.sortWithinPartitions("pair")
 
@@ -184,16 +262,17 @@ def _local_product(records: DataFrame, local: pa.Table, left: list[Tile], right:
 def _compared(rows: pa.Table, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Iterator[pa.RecordBatch]:
     """Pairs of one pair of tiles."""
     side = rows.column("side").to_numpy()
-    left, right = (_tile(rows.filter(pa.array(side == s)), n_bits) for s in (0, 1))
-    yield from _batches(left, right, similarity, threshold, n_bits, k)
+    sides = [rows.filter(pa.array(side == s)) for s in (0, 1)]
+    floors = tuple(x.column("floor").to_numpy() for x in sides) if "floor" in rows.column_names else None
+    yield from _batches(*(_tile(x, n_bits) for x in sides), similarity, threshold, n_bits, k, floors)
 
 
-def _batches(left: Records, right: Records, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Iterator[pa.RecordBatch]:
-    for sim, x, y in hits_of(left, right, similarity, threshold, n_bits, k):
+def _batches(left: Records, right: Records, similarity: Similarity, threshold: float, n_bits: int, k: int | None, floors: Floors | None = None) -> Iterator[pa.RecordBatch]:
+    for sim, x, y in hits_of(left, right, similarity, threshold, n_bits, k, floors):
         yield pa.RecordBatch.from_arrays([pa.array(sim), pa.array(left[3][x]), pa.array(right[3][y]), pa.array(left[2][x]), pa.array(right[2][y])], ["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"])
 
 
-def hits_of(left: Records, right: Records, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Iterator[Hits]:
+def hits_of(left: Records, right: Records, similarity: Similarity, threshold: float, n_bits: int, k: int | None, floors: Floors | None = None) -> Iterator[Hits]:
     """(sim, row of left, row of right) of pairs of two tiles that reach ``threshold``; with ``k``, those that the limits can still keep."""
     (bits_a, pc_a, rec_a, _), (bits_b, pc_b, rec_b, _) = left, right
     if not len(pc_a) or not len(pc_b):
@@ -209,6 +288,8 @@ def hits_of(left: Records, right: Records, similarity: Similarity, threshold: fl
     def columns(j: int) -> np.ndarray:
         return _with_needs(_floats(bits_b[j : j + COLUMNS]), pc_b[j : j + COLUMNS], similarity, threshold, n_bits, False)
 
+    low = np.full(len(pc_a), -np.inf) if floors is None else np.array(floors[0])  # rises as left records meet columns, if they alone are limited
+    high = floors[1] if floors is not None and similarity.two_sided else None
     only = columns(0) if len(pc_b) <= COLUMNS else None  # a tile of one block is unpacked once
     waiting: list[Hits] = []
     size, step = 0, FLUSH
@@ -216,7 +297,14 @@ def hits_of(left: Records, right: Records, similarity: Similarity, threshold: fl
         a = _with_needs(_floats(bits_a[i : i + ROWS]), pc_a[i : i + ROWS], similarity, threshold, n_bits, True)
         for j in range(0, len(pc_b), COLUMNS):
             b = columns(j) if only is None else only
-            hits = _block(a, b, pc_a[i : i + ROWS], pc_b[j : j + COLUMNS], similarity, threshold, n_bits, k)
+            at, to = slice(i, i + ROWS), slice(j, j + COLUMNS)
+            if k is None or similarity.two_sided:
+                hits = _block(a, b, pc_a[at], pc_b[to], similarity, threshold, n_bits)
+                if high is not None:
+                    keep = (hits[0] >= low[at][hits[1]]) | (hits[0] >= high[to][hits[2]])
+                    hits = tuple(h[keep] for h in hits)
+            else:
+                hits = _best_of_block(a, b, pc_a[at], pc_b[to], similarity, threshold, n_bits, k, low[at])
             waiting.append((hits[0], hits[1] + i, hits[2] + j))
             size += len(hits[0])
             if size > step:
@@ -253,34 +341,50 @@ def _with_needs(bits: np.ndarray, pc: np.ndarray, similarity: Similarity, thresh
     return np.concatenate([bits, np.stack([-need, one] if left else [one, -need], axis=1).astype(np.float32)], axis=1)
 
 
-def _block(a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Hits:
-    """(sim, row, column) of the pairs of two blocks that reach ``threshold``."""
+def _margins(a: np.ndarray, b: np.ndarray, n_bits: int) -> np.ndarray:
+    """What common bits exceed the needs of the pairs of two blocks by."""
     if n_bits <= EXACT_BITS:
-        margin = a @ b.T
-        reach = margin >= 0
-
-        def common(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-            return np.rint(margin.ravel()[at].astype(np.float64) - a[x, -2] - b[y, -1])
-    else:
-        counts = a[:, :-2] @ b[:, :-2].T
-        reach = counts >= -a[:, -2:-1] - b[:, -1]
-
-        def common(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-            return counts.ravel()[at].astype(np.float64)
-
-    if k is not None and not similarity.two_sided and k < len(pc_b) and np.count_nonzero(reach) > 2 * k * len(pc_a):
-        # most pairs pass: leave those below a row's k-th best score, ties stay for the exact ranks
-        n, m = len(pc_a), len(pc_b)
-        x, y = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
-        dense = similarity.counts(common(x, y, np.arange(n * m)), pc_a[x], pc_b[y], n_bits).reshape(n, -1)
-        reach &= dense >= np.partition(dense, m - k, axis=1)[:, [m - k]]
+        return a @ b.T
+    return (a[:, :-2] @ b[:, :-2].T).astype(np.float64) + a[:, -2:-1] + b[:, -1]
+
+
+def _scores(margin: np.ndarray, a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, reach: np.ndarray) -> Hits:
+    """(sim, row, column) of the pairs ``reach`` that do reach ``threshold``."""
     hit = np.flatnonzero(reach)
     x, y = hit // len(pc_b), hit % len(pc_b)
-    sim = similarity.counts(common(x, y, hit), pc_a[x], pc_b[y], n_bits)
+    common = np.rint(margin.ravel()[hit].astype(np.float64) - a[x, -2] - b[y, -1])
+    sim = similarity.counts(common, pc_a[x], pc_b[y], n_bits)
     keep = sim >= threshold
     return sim[keep], x[keep], y[keep]
 
 
+def _block(a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndarray, similarity: Similarity, threshold: float, n_bits: int) -> Hits:
+    """(sim, row, column) of the pairs of two blocks that reach ``threshold``."""
+    margin = _margins(a, b, n_bits)
+    return _scores(margin, a, b, pc_a, pc_b, similarity, threshold, n_bits, margin >= 0)
+
+
+def _best_of_block(a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, k: int, low: np.ndarray) -> Hits:
+    """The same, without pairs below ``low`` of their row, which is raised to the row's ``k``-th best score of the block."""
+    margin = _margins(a, b, n_bits)
+    known = low > threshold
+    reach = margin >= 0
+    if known.any():  # needs are linear in the counts, so they rise least at the lowest or at the highest count
+        slope, offset = similarity.cutoff(threshold, n_bits)
+        slopes, offsets = np.array([similarity.cutoff(t, n_bits) if up else (slope, offset) for t, up in zip(low.tolist(), known.tolist())]).T
+        rise = np.minimum(*((slopes - slope) * (pc_a + p) + offsets - offset for p in (pc_b.min(), pc_b.max())))
+        reach &= margin >= np.maximum(0, rise - 0.05)[:, None]
+    if k < len(pc_b) and np.count_nonzero(reach) > 2 * k * len(pc_a):
+        # many pairs pass: leave those below a row's k-th best score, ties stay for the exact ranks
+        common = np.rint(margin - a[:, -2:-1] - b[:, -1])
+        dense = similarity.counts(common, pc_a[:, None], pc_b[None, :], n_bits)
+        np.maximum(low, np.partition(dense, len(pc_b) - k, axis=1)[:, len(pc_b) - k], out=low)
+        reach &= dense >= low[:, None]
+    sim, x, y = _scores(margin, a, b, pc_a, pc_b, similarity, threshold, n_bits, reach)
+    keep = sim >= low[x]
+    return sim[keep], x[keep], y[keep]
+
+
 def _tile(rows: pa.Table, n_bits: int) -> Records:
     """(packed bits, popcounts, ids, parties) of a tile's records."""
     packed = [packed_bits(c, n_bits // 8) for c in rows.column("clk").chunks]
