@@ -296,14 +296,14 @@ def test_scores_equal_the_model_written_out(docs, rows, near, monkeypatch):
 
 
 def test_every_training_text_trains_and_scales_the_model(spark, monkeypatch):
-    """Each sixteenth of the texts changes the parameters, and the scale is picked by the likelihood of all tokens, those of long texts too."""
+    """The texts of the first and of the last part change the parameters, and the scale is picked by the likelihood of all tokens, those of long texts too."""
     rng, seen = random.Random(3), []
     texts = [prose(rng, 40) for _ in range(60)] + [prose(rng, 5000), "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     voc = lm.vocabulary(lm.count_words(df))
     whole = lm.fit(df, voc).r  # no scale changes it
     ids = voc.stream([(t or "").encode() for t in texts])
-    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(16))
+    part = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(lm.PARTS))
     parts = {r[0] for r in df.select(part).collect()}
     for p in sorted(parts)[:1] + sorted(parts)[-1:]:
         assert not np.array_equal(lm.fit(df.where(part != p), voc).r, whole)
@@ -311,7 +311,19 @@ def test_every_training_text_trains_and_scales_the_model(spark, monkeypatch):
     monkeypatch.setattr(lm.LogBilinear, "rescale", lambda self, gains: seen.append(gains) or rescale(self, gains))
     assert np.array_equal(lm.fit(df, voc).r, whole)
     share = lm.class_shares(voc) / lm.class_shares(voc).sum()
-    assert 0 in parts and math.isclose(seen[0][0], np.log(share)[ids].sum(), rel_tol=1e-6)
+    assert min(parts) < lm.FIRST and math.isclose(seen[0][0], np.log(share)[ids].sum(), rel_tol=1e-6)
+
+
+def test_rounds_grow_with_tasks_and_steps_are_not_diluted():
+    for tasks in (0, 1, 2, 8, 33, 5000):
+        ends = lm.round_ends(tasks)
+        assert ends[0] == lm.FIRST and ends[-1] == lm.PARTS and ends == sorted(set(ends))
+    assert [len(lm.round_ends(t)) for t in (1, 8, 64, 4096)] == [3, 6, 9, 15]
+    start = np.array([1.0, 1.0, 1.0, 1.0, 1.0, 1.0], np.float32)  # three parameters, three sums of squares
+    one, two = np.array([2.0, 1.0, 3.0, 2.0, 1.0, 5.0], np.float32), np.array([1.0, 1.0, 2.0, 1.0, 1.0, 3.0], np.float32)
+    got = lm.joined(start, lm.progress(start, one) + lm.progress(start, two))
+    # moved by one task alone; by none; by both, of which the first has twice the other's squares
+    assert np.allclose(got, [2.0, 1.0, 1 + (2 * 4 + 1 * 2) / 6, 2.0, 1.0, 1 + (16 + 4) / 6])
 
 
 def test_gains_are_the_likelihoods_of_scaled_models():

@@ -16,12 +16,14 @@ together, one place for unseen words in each bucket included, have probability 1
 What is gathered: counts of all words of all training texts (pre-aggregated by
 task, then summed by word).  Words with the ``LOCAL_WORDS`` largest counts are sent
 to all tasks; the counts of the others reach their texts by a join on the word.
-Every training text is trained on once, in one of ``ROUNDS`` picked by its hash: in a
-round each task trains on the round's texts of its partition, from the model of the
-round before, and the models are averaged, so scores depend a little on how rows are
+Every training text is trained on once, in a round picked by its hash (more rounds the
+more tasks there are, see round_ends()): in a round each task trains on the round's texts of its partition, from the model of the
+round before, and each parameter takes the average step of the tasks that moved it,
+weighted by their squared gradients, so scores depend a little on how rows are
 dealt to tasks.  Before that, the same texts, which the model of the round before has
-not seen, are scored under several influences of the context; the influence under
-which all training texts together are likeliest scales the model at the end.
+not seen, are scored under several influences of the context (those of the first round,
+in which the model is random, by the model after it); the influence under which all
+training texts together are likeliest scales the model at the end.
 
 Null texts are empty; an empty text is its end token.  Rows may repeat, ids may be null.
 """
@@ -31,11 +33,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +54,10 @@ RATE = 0.1
 LOCAL_WORDS = 200_000
 #: Influences of the context that are tried on texts before they are trained on.
 SCALES = (0.0, 0.5, 0.75, 1.0, 1.25)
-#: Parts of the training texts (by their hash) that are trained on in each round: all of them in one round or another.
-ROUNDS = (1, 7, 8)
-#: Distinct words that a task gathers before it hands them on; models averaged by one task.
-FLUSH, FAN_IN = 400_000, 64
+#: Parts into which training texts fall by their hash; those of the first round.
+PARTS, FIRST = 64, 4
+#: Distinct words that a task gathers before it hands them on; sums of steps that one task adds up.
+FLUSH, FAN_IN = 400_000, 8
 END = b""
 
 
@@ -327,30 +330,30 @@ def fit(df: DataFrame, voc: Vocabulary, *, text: str = "text") -> LogBilinear:
     spark = df.sparkSession
     context, kin = voc.context, voc.kin
     model = LogBilinear(class_shares(voc) / class_shares(voc).sum(), context, kin)
-    kind = "n bigint, model binary, gains array<double>"
-    names = ["n", "model", "gains"]
+    kind = "sums binary, gains array<double>"
+    names = ["sums", "gains"]
 
-    def packed(n: int, flat: np.ndarray, gains: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([int64([n]), pa.array([flat.astype("<f4").tobytes()], pa.binary()), pa.array([gains.tolist()], pa.list_(pa.float64()))], names)
+    def packed(sums: np.ndarray, gains: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([sums.astype("<f4").tobytes()], pa.binary()), pa.array([gains.tolist()], pa.list_(pa.float64()))], names)
 
-    def united(rows: list[tuple]) -> tuple[int, np.ndarray | None, np.ndarray]:
-        """(tokens, average model, sum of gains)."""
-        total, n, gains = None, 0, np.zeros(len(SCALES))
-        for k, m, g in rows:
-            x = np.frombuffer(m, "<f4") * np.float64(k)
-            total, n, gains = x if total is None else total + x, n + k, gains + np.array(g)
-        return n, total / n if n else None, gains
+    def united(rows: Iterable[tuple]) -> tuple[np.ndarray | None, np.ndarray]:
+        total, gains = None, np.zeros(len(SCALES))
+        for m, g in rows:
+            x = np.frombuffer(m, "<f4").astype(np.float64)
+            total, gains = x if total is None else total + x, gains + np.array(g)
+        return total, gains
 
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, flat, gains = united([row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))])
-        if n:
-            yield packed(n, flat, gains)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, gains = united(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        if total is not None:
+            yield packed(total, gains)
 
     body = F.col(text).cast("string")
-    part = F.pmod(F.xxhash64(F.coalesce(body, F.lit(""))), F.lit(sum(ROUNDS)))  # the same for equal texts
+    part = F.pmod(F.xxhash64(F.coalesce(body, F.lit(""))), F.lit(PARTS))  # the same for equal texts
     gains = np.zeros(len(SCALES))
-    for i, size in enumerate(ROUNDS):
-        sent = spark.sparkContext.broadcast((voc, model.flat(), model.share, context, kin, model.normalisers(), i))
+    i, ends = 0, [FIRST, PARTS]
+    while i < len(ends):
+        sent = spark.sparkContext.broadcast((voc, model.flat(), model.share, context, kin, model.normalisers() if i else [], i))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             voc, start, share, context, kin, norms, i = sent.value
@@ -358,30 +361,60 @@ def fit(df: DataFrame, voc: Vocabulary, *, text: str = "text") -> LogBilinear:
             n, gains = 0, np.zeros(len(SCALES))
             for b in batches:
                 for k in range(0, len(b), 500):
-                    ids = voc.stream(byte_rows(b.slice(k, 500).column(0)))
-                    gains += before.gains(ids, norms)
-                    own.train(ids)
-                    n += len(ids)
+                    rows = b.slice(k, 500)
+                    for fresh in (False, True):
+                        ids = voc.stream(byte_rows(rows.filter(pc.equal(rows.column(1), fresh)).column(0)))
+                        if norms:  # the first model is random: its texts are scored by the next one
+                            gains += before.gains(ids, norms)
+                        if fresh:
+                            own.train(ids)
+                        n += len(ids)
             if n:
-                yield packed(n, own.flat(), gains)
-
-        done = sum(ROUNDS[:i])
-        models = write_table(df.where((part >= done) & (part < done + size)).select(body.alias("text")).mapInArrow(tidy(run), kind), "models")
-        while (left := models.count()) > FAN_IN:
-            fewer = write_table(models.repartition(-(-left // FAN_IN)).mapInArrow(tidy(average), kind), "models")
+                yield packed(progress(start, own.flat()), gains)
+
+        fresh = (part < ends[i]) & (part >= ends[i - 1]) if i else part < ends[0]
+        learnt = df.where(part < ends[1] if i == 1 else fresh).select(body.alias("text"), fresh.alias("fresh"))
+        models = write_table(learnt.mapInArrow(tidy(run), kind), "models")
+        tasks = left = models.count()
+        while left > FAN_IN:
+            left = -(-left // FAN_IN)
+            fewer = write_table(models.repartition(left).mapInArrow(tidy(add), kind), "models")
             drop_table(models)
             models = fewer
-        n, flat, more = united([(r["n"], r["model"], r["gains"]) for r in models.collect()])  # at most FAN_IN rows
+        sums, more = united((r["sums"], r["gains"]) for r in models.collect())  # at most FAN_IN rows
         drop_table(models)
         sent.destroy()
-        if n:
-            model.load(flat)
+        if sums is not None:
+            model.load(joined(model.flat(), sums))
             gains += more
+        if i == 0:
+            ends = round_ends(tasks)
+        i += 1
     if gains.any():
         model.rescale(gains)
     return model
 
 
+def round_ends(tasks: int) -> list[int]:
+    """Parts up to which each round trains: after the first, two rounds and one more each time the tasks double, as what tasks learn side by side adds up in the next round only."""
+    more = min(PARTS - FIRST, 2 + max(0, tasks - 1).bit_length())
+    return [FIRST, *(FIRST + (PARTS - FIRST) * j // more for j in range(1, more + 1))]
+
+
+def progress(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What a task adds to the sums of a round, from flat() before and after: steps and squares of gradients, weighted by these squares, and the weights."""
+    was, now = start.reshape(2, -1).astype(np.float64), end.reshape(2, -1).astype(np.float64)
+    step, squares = now - was
+    return np.concatenate([step * squares, squares * squares, squares])
+
+
+def joined(start: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """flat() after a round: each parameter moves by the average step of the tasks that moved it, so what few tasks have seen is not diluted by the others."""
+    steps, squares, weight = sums.reshape(3, -1)
+    moved = np.divide(np.stack([steps, squares]), weight, out=np.zeros((2, len(weight))), where=weight > 0)
+    return start + moved.ravel().astype(np.float32)
+
+
 def score(df: DataFrame, held_out: Column, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; rows where ``held_out`` is not true are learnt from."""
     spark = df.sparkSession
