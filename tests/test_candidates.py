@@ -161,6 +161,15 @@ def test_parts_of_blocks_share_their_way(spark, monkeypatch, k):
     assert sent == [110]
 
 
+def test_tiles_as_rows_are_made_by_many_tasks(spark):
+    """The same tiles as split_to_chunks(), dealt over tasks although their sizes are three rows."""
+    sizes = [700, 0, 801, 650]
+    tiles = ops.chunks_table(spark, 300, spark.createDataFrame(list(enumerate(sizes)), "dset_i int, n bigint"))
+    want = [(x["datasetIndex"], *x["range"], y["datasetIndex"], *y["range"]) for x, y in ops.split_to_chunks(300, dataset_sizes=sizes)]
+    assert sorted(map(tuple, tiles.collect())) == sorted(want)
+    assert tiles.groupBy(F.spark_partition_id()).count().count() > 4
+
+
 def test_explicit_pairs_and_tiles(spark):
     data = make(9, (40, 35), 8, 60)
     df = spark.createDataFrame([(x, y) for x, y in zip(*data)], "clk0 binary, clk1 binary")

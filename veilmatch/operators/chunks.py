@@ -50,13 +50,19 @@ def chunks_table(spark: SparkSession, chunk_size_aim: float, sizes: DataFrame) -
     pair = pair.withColumn("c0", F.greatest(half_even(F.col("n0") / F.sqrt(F.lit(aim))), one))
     pair = pair.withColumn("c1", F.greatest(half_even(F.col("n1") * (F.col("n0") / F.col("c0")) / F.lit(aim)), one))
 
-    def cuts(n: str, c: str):
-        size, parts = F.col(n), F.col(c).cast("int")
-        at = F.transform(F.sequence(F.lit(0), parts), lambda i: F.when(i == parts, size).otherwise(half_even(i * (size / F.col(c))).cast("bigint")))
-        return F.transform(F.sequence(F.lit(1), parts), lambda i: F.struct(F.get(at, i - 1).alias("a"), F.get(at, i).alias("b")))
-
-    tiles = pair.withColumn("x", F.explode(cuts("n0", "c0"))).withColumn("y", F.explode(cuts("n1", "c1")))
-    return tiles.select("dset_i0", F.col("x.a").alias("a0"), F.col("x.b").alias("b0"), "dset_i1", F.col("y.a").alias("a1"), F.col("y.b").alias("b1"))
+    def cut(n: str, c: str, i: str):
+        size, parts, at = F.col(n), F.col(c), F.col(i)
+        end = F.when(at + 1 == parts, size).otherwise(half_even((at + 1) * (size / parts)).cast("bigint"))
+        return half_even(at * (size / parts)).cast("bigint"), end
+
+    def places(c: str):
+        return F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1))
+
+    # A row per tile of the first dataset is few bytes: a number of one's own keeps them apart, and no task makes all tiles.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    across = pair.withColumn("i", places("c0")).repartition(tasks, "dset_i0", "dset_i1", "i")
+    (a0, b0), (a1, b1) = cut("n0", "c0", "i"), cut("n1", "c1", "j")
+    return across.withColumn("j", places("c1")).select("dset_i0", a0.alias("a0"), b0.alias("b0"), "dset_i1", a1.alias("a1"), b1.alias("b1"))
 
 
 def _validated(chunk: Sequence[dict], records: DataFrame) -> list[tuple[int, int, int]]:
