@@ -147,3 +147,25 @@ def test_random_links(spark):
     assert clks.random_links(left, right, 1.0).count() == 2000 and clks.random_links(left, right, 0.0).count() == 0
     assert clks.random_links(left, right.where("false"), 0.5).count() == 0
     assert clks.random_problem(spark, 10, 10**12, 1e-12).count() < 60
+
+
+def test_iterators_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    """The queries' files are made and read by tasks: no rows come to the driver, and every stretch of a file is read once."""
+    from pyspark.sql import DataFrame
+
+    from veilmatch import queries
+
+    rows = [(1 - i / 100, 0, 1, i, 2 * i) for i in range(50)]
+    monkeypatch.setattr(queries, "_pairs", lambda s, d: s.createDataFrame(rows, PAIRS))
+    monkeypatch.setattr(queries, "LAZY_ENTRIES", 7)
+
+    def none(self, *args, **options):
+        raise AssertionError("rows pass through the driver")
+
+    for query in (queries.dump_iterator,):
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "toLocalIterator", none)
+            out = query(spark, "")
+        assert out.rdd.getNumPartitions() == 8 and sorted(map(tuple, out.collect()), reverse=True) == rows
+    monkeypatch.setattr(queries, "_pairs", lambda s, d: s.createDataFrame([], PAIRS))
+    assert queries.dump_iterator(spark, "").count() == 0
