@@ -162,10 +162,10 @@ def test_iterators_stay_off_the_driver(spark, tmp_path, monkeypatch):
     def none(self, *args, **options):
         raise AssertionError("rows pass through the driver")
 
-    for query in (queries.dump_iterator,):
+    for query in (queries.dump_iterator, queries.merge_iterator):
         with monkeypatch.context() as m:
             m.setattr(DataFrame, "toLocalIterator", none)
             out = query(spark, "")
         assert out.rdd.getNumPartitions() == 8 and sorted(map(tuple, out.collect()), reverse=True) == rows
     monkeypatch.setattr(queries, "_pairs", lambda s, d: s.createDataFrame([], PAIRS))
-    assert queries.dump_iterator(spark, "").count() == 0
+    assert queries.dump_iterator(spark, "").count() == queries.merge_iterator(spark, "").count() == 0
