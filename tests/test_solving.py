@@ -145,6 +145,26 @@ def test_no_pairs_no_merges(spark):
     assert merge_rounds(loop, 1.0, False, canonical_order()).count() == 0
 
 
+@pytest.mark.parametrize("parties, threshold, dedup", [(2, 1.0, False), (3, 1.0, False), (3, 0.5, True)])
+def test_best_pairs_decide_most_others(spark, monkeypatch, parties, threshold, dedup):
+    """Pairs that the best ones leave without effect go before anything is shuffled; groups and matches stay."""
+    rng = random.Random(parties)
+    nodes = [(d, r) for d in range(parties) for r in range(14)]
+    given = [(rng.randrange(20) / 20, x[0], y[0], x[1], y[1]) for x in nodes for y in nodes if x[0] < y[0] and rng.random() < 0.7]
+    df = spark.createDataFrame(given, PAIRS)
+    want = groups(ops.probabilistic_greedy_solve(df, merge_threshold=threshold, deduplicated=dedup))
+    monkeypatch.setattr(solving, "PREFIX_PAIRS", 20)
+    left = ops.undecided_pairs(df, threshold, dedup)
+    assert left.count() < len(given) / 2 and want
+    assert groups(ops.probabilistic_greedy_solve(df, merge_threshold=threshold, deduplicated=dedup)) == want
+    inner = df.unionByName(spark.createDataFrame([(0.9, 0, 0, 1, 2)], PAIRS))
+    assert (ops.undecided_pairs(inner, threshold, dedup).count() < len(given)) == dedup and ops.undecided_pairs(df, 0.5, False).count() == len(given)
+    if parties == 2:
+        good = spec.greedy([(r[3], r[4]) for r in spec.canonical(given)])
+        assert sorted(tuple(r) for r in ops.matching_rounds(df, rounds=2).select("rec_i0", "rec_i1").collect()) == sorted(good)
+        assert sorted((r["rec_i0"], r["rec_i1"]) for r in ops.match_labels(df).where("is_match").collect()) == sorted(good)
+
+
 @pytest.mark.parametrize("batch", [1, 3, 10_000])
 def test_many_components_equal_the_fold(spark, batch, monkeypatch):
     rng = random.Random(5)

@@ -16,7 +16,7 @@ from veilmatch.operators.chunks import chunks_table, process_chunk, split_to_chu
 from veilmatch.operators.ledger import finished_tiles, run_chunks
 from veilmatch.operators.merging import merge_rounds
 from veilmatch.operators.similarity import DICE, SMC, Similarity, custom_similarity
-from veilmatch.operators.solving import greedy_solve, match_labels, matching_rounds, nested_groups, pairs_from_groups, pivot_matching, probabilistic_greedy_solve
+from veilmatch.operators.solving import greedy_solve, match_labels, matching_rounds, nested_groups, pairs_from_groups, pivot_matching, probabilistic_greedy_solve, undecided_pairs
 from veilmatch.operators.stats import cumul_number_matches_vs_threshold, match_ratio, matches_nonmatches_hist, nonmatch_index_score, precision_recall, similarities_hist
 
 __all__ = [
@@ -53,4 +53,5 @@ __all__ = [
     "similarities_hist",
     "simple_matching_coefficient",
     "split_to_chunks",
+    "undecided_pairs",
 ]

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilmatch.operators.components import components
 from veilmatch.operators.merging import merge_rounds
@@ -25,6 +26,8 @@ from veilmatch.session import share_code, write_table
 
 #: Pairs that one task folds.
 FOLD_PAIRS = 2_000_000
+#: Best pairs that are solved to find which of the others can still change a group; up to twice as many are taken where they tie, which a task still folds.
+PREFIX_PAIRS = 1_000_000
 #: Rounds of locally best pairs before the rest is folded.
 MATCHING_ROUNDS = 12
 
@@ -133,17 +136,8 @@ def _checked(pairs: DataFrame, merge_threshold: float) -> None:
             raise ValueError(f"candidate pairs lack {c}")
 
 
-def probabilistic_greedy_solve(pairs: DataFrame, *, merge_threshold: float = 0.5, deduplicated: bool = True, order: str | None = None) -> DataFrame:
-    """Groups (group_id, dset_i, rec_i) of at least two records; group_id is the group's smallest (dset_i, rec_i).
-
-    Pairs are taken in canonical order, or by ascending column ``order``.  Any number
-    of datasets; pairs inside a dataset are legal.
-    """
-    _checked(pairs, merge_threshold)
-    share_code(pairs.sparkSession)
-    by, ascending = ([order], [True]) if order else (["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"], [False, True, True, True, True])
-    ids = pairs.select("dset_i0", "rec_i0", "dset_i1", "rec_i1", *(x for x in by if x in ("sim", order)))
-    held = write_table(ids, "pairs")
+def _solved(held: DataFrame, merge_threshold: float, deduplicated: bool, by: Sequence[str], ascending: Sequence[bool]) -> DataFrame:
+    """(g_dset, g_rec, dset_i, rec_i): groups of written pairs."""
     schema = "g_dset bigint, g_rec bigint, dset_i bigint, rec_i bigint"
     solve = lambda pdf: _folded(pdf, merge_threshold, deduplicated, by, ascending)
     if held.count() <= FOLD_PAIRS:
@@ -160,6 +154,67 @@ def probabilistic_greedy_solve(pairs: DataFrame, *, merge_threshold: float = 0.5
             order_by = [F.col(c).asc() if up else F.col(c).desc() for c, up in zip(by, ascending)]
             merged = merge_rounds(tagged.join(large, "root", "left_semi"), merge_threshold, deduplicated, order_by)
             solved = solved.unionByName(merged.select(F.col("root.d").alias("g_dset"), F.col("root.r").alias("g_rec"), F.col("node.d").alias("dset_i"), F.col("node.r").alias("rec_i")))
+    return solved
+
+
+def _first_pairs(pairs: DataFrame, key: Column, aim: int, size: int) -> DataFrame | None:
+    """About ``aim`` pairs of the lowest ``key``, ties together; None if that is all of them."""
+    cut = pairs.agg(F.percentile_approx(key, min(1.0, aim / size), max(10_000, 20 * size // aim))).first()[0]
+    upto, below = pairs.where(key <= F.lit(cut)), pairs.where(key < F.lit(cut))
+    n = upto.count()
+    if n > 2 * aim and below.count() >= aim / 64:  # many pairs tie at the cut: the next time
+        return below
+    return upto if n < size else None
+
+
+def undecided_pairs(pairs: DataFrame, merge_threshold: float = 1.0, deduplicated: bool = False, order: str | None = None) -> DataFrame:
+    """Written ``pairs`` (each at most once) without those that cannot change the groups, if there are over PREFIX_PAIRS.
+
+    The best pairs alone are solved.  Groups only grow, so two that share a dataset by then
+    never merge: if ``deduplicated``, as the dataset would occur twice; if all cross pairs
+    are wanted and no pair lies inside a dataset, as one is missing.  No merge counts the
+    pairs between such groups, so the others alone have the same groups.  Records of the
+    best pairs, two for each at most, are sent to every task; the pairs are not shuffled.
+    """
+    size, aim = pairs.count(), PREFIX_PAIRS
+    if size <= aim or not (order is None or isinstance(pairs.schema[order].dataType, T.NumericType)):
+        return pairs
+    if not deduplicated and (merge_threshold < 1 or not pairs.where("dset_i0 = dset_i1 and rec_i0 <> rec_i1").isEmpty()):
+        return pairs
+    by, ascending = ([order], [True]) if order else (["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"], [False, True, True, True, True])
+    key = F.col(order) if order else -F.col("sim")
+    columns = pairs.columns
+    while size > aim:
+        first = _first_pairs(pairs, key, aim, size)
+        if first is None:
+            break
+        groups = write_table(_solved(first, merge_threshold, deduplicated, by, ascending), "first-groups")
+        parties = groups.groupBy("g_dset", "g_rec").agg(F.collect_set("dset_i").alias("parties"))
+        known = write_table(groups.join(parties, ["g_dset", "g_rec"]), "known")
+        met = pairs
+        for i in (0, 1):
+            side = known.select(F.col("dset_i").cast("int").alias(f"dset_i{i}"), F.col("rec_i").alias(f"rec_i{i}"), F.struct("g_dset", "g_rec").alias(f"_g{i}"), F.col("parties").alias(f"_p{i}"))
+            met = met.join(F.broadcast(side), [f"dset_i{i}", f"rec_i{i}"], "left").withColumn(f"_p{i}", F.coalesce(f"_p{i}", F.array(F.col(f"dset_i{i}").cast("bigint"))))
+        inside = F.coalesce(F.col("_g0") == F.col("_g1"), F.lit(False))
+        pairs = write_table(met.where(inside | ~F.arrays_overlap("_p0", "_p1")).select(*columns), "undecided")
+        left = pairs.count()
+        aim = aim if left <= 0.8 * size else 4 * aim
+        size = left
+    return pairs
+
+
+def probabilistic_greedy_solve(pairs: DataFrame, *, merge_threshold: float = 0.5, deduplicated: bool = True, order: str | None = None) -> DataFrame:
+    """Groups (group_id, dset_i, rec_i) of at least two records; group_id is the group's smallest (dset_i, rec_i).
+
+    Pairs are taken in canonical order, or by ascending column ``order``.  Any number
+    of datasets; pairs inside a dataset are legal.
+    """
+    _checked(pairs, merge_threshold)
+    share_code(pairs.sparkSession)
+    by, ascending = ([order], [True]) if order else (["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"], [False, True, True, True, True])
+    ids = pairs.select("dset_i0", "rec_i0", "dset_i1", "rec_i1", *(x for x in by if x in ("sim", order)))
+    held = undecided_pairs(write_table(ids, "pairs"), merge_threshold, deduplicated, order)
+    solved = _solved(held, merge_threshold, deduplicated, by, ascending)
     return solved.select(
         F.struct(F.col("g_dset").cast("int").alias("dset_i"), F.col("g_rec").alias("rec_i")).alias("group_id"),
         F.col("dset_i").cast("int").alias("dset_i"),
@@ -205,7 +260,7 @@ def matching_rounds(pairs: DataFrame, rounds: int = MATCHING_ROUNDS) -> DataFram
     """
     given = write_table(pairs.select("sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"), "unmatched")
     check_bipartite(given)
-    left = given.select("sim", "rec_i0", "rec_i1")
+    left = undecided_pairs(given).select("sim", "rec_i0", "rec_i1")
     matched: DataFrame | None = None
     for _ in range(rounds):
         best0 = left.groupBy("rec_i0").agg(F.max(F.struct("sim", (-F.col("rec_i0")).alias("x"), (-F.col("rec_i1")).alias("y"))).alias("m"))
@@ -232,6 +287,7 @@ def pivot_matching(pairs: DataFrame, small: int = FOLD_PAIRS) -> DataFrame:
     """
     given = write_table(pairs.select("sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"), "unmatched")
     check_bipartite(given)
+    given = undecided_pairs(given)
     place = F.struct((-F.col("sim")).alias("s"), F.col("rec_i0").alias("x"), F.col("rec_i1").alias("y"))
     given = given.select("sim", "rec_i0", "rec_i1", place.alias("place"))
     matched: list[DataFrame] = []
@@ -269,11 +325,13 @@ def match_labels(pairs: DataFrame) -> DataFrame:
     """``pairs`` with is_match: whether greedy two-party matching accepts the pair (else it can never be accepted)."""
     held = write_table(pairs, "labelled")
     check_bipartite(held)
-    if held.count() <= FOLD_PAIRS:
-        found = pairs_from_groups(greedy_solve(held))
+    left = undecided_pairs(held.select("sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"))
+    if left.count() <= FOLD_PAIRS:
+        found = pairs_from_groups(greedy_solve(left))
     else:
-        found = matching_rounds(held).select("rec_i0", "rec_i1")
-    return held.join(found.withColumn("_m", F.lit(True)), ["rec_i0", "rec_i1"], "left").select(*pairs.columns, F.coalesce("_m", F.lit(False)).alias("is_match"))
+        found = matching_rounds(left).select("rec_i0", "rec_i1")
+    found = write_table(found, "found")  # a record occurs once, so they are no more than records and go to every task; pairs are not shuffled
+    return held.join(F.broadcast(found.withColumn("_m", F.lit(True))), ["rec_i0", "rec_i1"], "left").select(*pairs.columns, F.coalesce("_m", F.lit(False)).alias("is_match"))
 
 
 def priority() -> list[Column]:
