@@ -169,3 +169,16 @@ def test_iterators_stay_off_the_driver(spark, tmp_path, monkeypatch):
         assert out.rdd.getNumPartitions() == 8 and sorted(map(tuple, out.collect()), reverse=True) == rows
     monkeypatch.setattr(queries, "_pairs", lambda s, d: s.createDataFrame([], PAIRS))
     assert queries.dump_iterator(spark, "").count() == queries.merge_iterator(spark, "").count() == 0
+
+
+def test_pairs_of_large_ranges_are_held_in_pieces(spark, tmp_path, monkeypatch):
+    """A range of a truth document is read piece by piece, with the same pairs."""
+    path = tmp_path / "truth.json"
+    given = [[i, 1000 - 7 * i] for i in range(500)]
+    path.write_text(json.dumps(given))
+    monkeypatch.setattr(clks, "PIECE", 100)
+    read, held = clks._read_range, []
+    monkeypatch.setattr(clks, "_read_range", lambda r, ends: held.append(r.end - r.first) or read(r, ends))
+    reader = clks.TruthReader({"path": str(path)})
+    got = [list(x) for part in reader.partitions() for b in reader.read(part) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert got == given and max(held) == 100

@@ -30,6 +30,8 @@ from veilmatch.sources.files import Slice, assemble, files_at, open_file, read_s
 
 #: Bytes of one input partition, and elements of one batch.
 SPLIT, BATCH = 32 << 20, 16_384
+#: Bytes of pairs that a task holds at once.
+PIECE = 1 << 20
 _OPENING = re.compile(rb'\s*\{\s*"clks"\s*:\s*\[')
 _PAIR = re.compile(rb"\[\s*(-?\d+)\s*,\s*(-?\d+)\s*\]")
 
@@ -114,7 +116,14 @@ class TruthReader(DataSourceReader):
         return ranges_of(self.path, self.split)
 
     def read(self, r: Bytes) -> Iterator[pa.RecordBatch]:
-        """The pairs whose bracket opens in the range."""
+        """The pairs whose bracket opens in the range, from pieces of PIECE bytes."""
+        at = r.first
+        while at < r.end:
+            part = Bytes(r.path, at, min(at + PIECE, r.end), r.size, 0)
+            yield from self._pairs_of(part)
+            at = part.end
+
+    def _pairs_of(self, r: Bytes) -> Iterator[pa.RecordBatch]:
         raw = _read_range(r, b"]")
         found = [m for m in _PAIR.finditer(raw) if m.start() < r.end - r.first]
         # What stands between pairs: commas, and the outer brackets at both ends.
