@@ -1,11 +1,14 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests import linkage_spec as spec
 from veilmatch import operators as ops
 from veilmatch.functions import bit_blocking, block_and, block_or, continuous_blocking, custom_blocking, list_blocking
+from veilmatch.operators.similarity import named
+from veilmatch.plans import product
 
 
 def make(seed, sizes=(13, 11, 9), n_bytes=4, few=6):
@@ -336,3 +339,38 @@ def test_thresholds_rise_inside_a_tile(monkeypatch):
             got = {(int(x), int(y)) for _, xs, ys in product.hits_of(*sides, sim, 0.2, 64, k) for x, y in zip(xs, ys)}
             want = {(x, int(y)) for x in range(40) for y in np.lexsort((np.arange(300), -full[x]))[:k] if full[x, y] >= 0.2}
             assert got == want
+
+
+def _sparse_tiles(n: int, copies: int) -> list:
+    """Two tiles of records with about a tenth of 1024 bits set, the first ``copies`` of them equal."""
+    rng = np.random.default_rng(5)
+    out = []
+    for d in (0, 1):
+        bits = rng.random((n, 1024)) < 0.1
+        bits[:copies] = np.arange(1024) % 10 == 0
+        bits[copies : copies + 9] = (rng.random((9, 1024)) < 0.02) ^ (np.arange(1024) % 7 == 0)  # near copies of one string
+        out.append((np.packbits(bits, axis=1), bits.sum(1).astype(np.int32), np.arange(n), np.full(n, d, np.int32)))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.9])
+def test_full_product_compares_unions_and_distinct_strings(threshold, monkeypatch):
+    n, cells = 1500, []
+    left, right = _sparse_tiles(n, 40)
+    margins = product._margins
+    monkeypatch.setattr(product, "_margins", lambda a, b, n_bits: cells.append(len(a) * len(b)) or margins(a, b, n_bits))
+    hits = list(product.hits_of(left, right, named("dice"), threshold, 1024, None))
+    a, b = (np.unpackbits(x[0], axis=1).astype(np.float64) for x in (left, right))
+    sim = 2 * (a @ b.T) / (left[1][:, None] + right[1][None, :])
+    x, y = np.nonzero(sim >= threshold)
+    got = sorted((int(i), int(j), float(s)) for h in hits for s, i, j in zip(*h))
+    assert got == sorted(zip(x.tolist(), y.tolist(), sim[x, y].tolist())) and len(got) > 1600
+    assert sum(cells) < n * n / 3
+
+
+def test_full_product_of_copies_leaves_in_pieces(monkeypatch):
+    monkeypatch.setattr(product, "FLUSH", 1000)
+    tile = (np.full((300, 128), 1, np.uint8), np.full(300, 128, np.int32), np.arange(300), np.zeros(300, np.int32))
+    hits = list(product.hits_of(tile, tile, named("dice"), 0.9, 1024, None))
+    assert max(len(h[0]) for h in hits) <= 1000
+    assert len({(int(i), int(j)) for _, x, y in hits for i, j in zip(x, y)}) == 300 * 300
