@@ -8,7 +8,7 @@ from tests import linkage_spec as spec
 from veilmatch import operators as ops
 from veilmatch.functions import bit_blocking, block_and, block_or, continuous_blocking, custom_blocking, list_blocking
 from veilmatch.operators.similarity import named
-from veilmatch.plans import product
+from veilmatch.plans import blocks, product
 
 
 def make(seed, sizes=(13, 11, 9), n_bytes=4, few=6):
@@ -374,3 +374,13 @@ def test_full_product_of_copies_leaves_in_pieces(monkeypatch):
     hits = list(product.hits_of(tile, tile, named("dice"), 0.9, 1024, None))
     assert max(len(h[0]) for h in hits) <= 1000
     assert len({(int(i), int(j)) for _, x, y in hits for i, j in zip(x, y)}) == 300 * 300
+
+
+def test_pairs_of_several_large_blocks_once_without_a_set_for_each():
+    """What a pair's earlier block is found by: bits of the lower keys that both tiles have, for whole batches of pairs."""
+    rng = random.Random(8)
+    own = [[sorted(rng.sample([f"k{i}" for i in range(150)], rng.randrange(1, 40)) + ["k50x"]) for _ in range(40)] for _ in (0, 1)]
+    met = blocks._met_before(*own, "k50x")
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(40), np.arange(40), indexing="ij"))
+    assert met(x, y).tolist() == [min(set(own[0][i]) & set(own[1][j])) != "k50x" for i, j in zip(x, y)]
+    assert not blocks._met_before([["a"], ["b", "c"]], [["a"], ["c"]], "a")(np.array([0, 1]), np.array([0, 1])).any()

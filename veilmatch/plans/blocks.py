@@ -14,7 +14,7 @@ A tile has an eighth of a party's records in the block, but ``SMALLEST`` to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -61,8 +61,39 @@ def _side(rows: pa.Table, side: int, n_words: int) -> tuple[Records, list | None
     return (bits, *(mine.column(c).to_numpy() for c in ("pc", "rec_i", "dset_i"))), keys
 
 
+def _lower_keys(keys: list, key: str) -> tuple[np.ndarray, list]:
+    """(record, key) of the keys below ``key``: in one of those a pair is met before."""
+    lower = [(i, x) for i, own in enumerate(keys) for x in own if x < key]
+    return np.array([i for i, _ in lower], np.int64), [x for _, x in lower]
+
+
+def _met_before(keys_a: list, keys_b: list, key: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Function of rows of two tiles of block ``key``: whether two records share a key below it."""
+    (at_a, lower_a), (at_b, lower_b) = _lower_keys(keys_a, key), _lower_keys(keys_b, key)
+    code = {x: i for i, x in enumerate(sorted(set(lower_a) & set(lower_b)))}
+    if not code:
+        return lambda x, y: np.zeros(len(x), bool)
+    # a bit for each key that both tiles have; a record with several of them has all in its words
+    masks = []
+    for n, at, lower in ((len(keys_a), at_a, lower_a), (len(keys_b), at_b, lower_b)):
+        has = np.zeros((n, -(-len(code) // 64)), np.uint64)
+        shared = np.array([x in code for x in lower], bool)
+        bit = np.array([code[x] for x in lower if x in code], np.int64)
+        np.bitwise_or.at(has, (at[shared], bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+        masks.append(has)
+    a, b = masks
+
+    def met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        for w in range(a.shape[1]):
+            out |= (a[x, w] & b[y, w]) != 0
+        return out
+
+    return met
+
+
 def large_block_pairs(keyed: DataFrame, similarity: Similarity, threshold: float, n_words: int, n_bits: int, k: int | None) -> DataFrame:
-    """(sim, dset_i0, dset_i1, rec_i0, rec_i1, _block) of the records ``keyed`` (dset_i, rec_i, pc, w0 .., _key, _keys).
+    """(sim, dset_i0, dset_i1, rec_i0, rec_i1) and, with ``k``, _block of the records ``keyed`` (dset_i, rec_i, pc, w0 .., _key, _keys).
 
     Without ``k`` a pair comes from the first block that its records share only.
     """
@@ -72,6 +103,7 @@ def large_block_pairs(keyed: DataFrame, similarity: Similarity, threshold: float
     ways = [met.select("_key", F.col(f"dset_i{s}").alias("dset_i"), F.col(f"tile{s}").alias("tile"), "pair", F.lit(s).alias("side")) for s in (0, 1)]
     words = [f"w{i}" for i in range(n_words)]
     once = k is None
+    names = ["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1", *([] if once else ["_block"])]
     tile = (F.col("first") + F.pmod(F.xxhash64("rec_i"), F.col("parts"))).cast("int")
     sent = keyed.join(tiles, ["_key", "dset_i", "pc"]).withColumn("tile", tile).join(ways[0].unionByName(ways[1]), ["_key", "dset_i", "tile"])
     sent = sent.select("pair", "side", "dset_i", "rec_i", "pc", "_key", *words, *(["_keys"] if once else [])).repartition(many, "pair").sortWithinPartitions("pair")
@@ -80,15 +112,13 @@ def large_block_pairs(keyed: DataFrame, similarity: Similarity, threshold: float
         rows = pa.Table.from_batches(parts)
         key = rows.column("_key")[0].as_py()
         (left, keys_a), (right, keys_b) = (_side(rows, s, n_words) for s in (0, 1))
-        sets = [[set(x) if len(x) > 1 else None for x in keys] for keys in (keys_a, keys_b)] if once else None
+        met_before = _met_before(keys_a, keys_b, key) if once else None
         for sim, x, y in hits_of(left, right, similarity, threshold, n_bits, k):
-            if once:  # a record of one key shares no other block
-                several = np.flatnonzero(np.array([s is not None for s in sets[0]])[x] & np.array([s is not None for s in sets[1]])[y])
-                twice = [i for i in several.tolist() if min(sets[0][x[i]] & sets[1][y[i]]) != key]
-                keep = np.ones(len(sim), bool)
-                keep[twice] = False
-                sim, x, y = sim[keep], x[keep], y[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(sim), pa.array(left[3][x]), pa.array(right[3][y]), pa.array(left[2][x]), pa.array(right[2][y]), pa.array([key] * len(sim), pa.string())], ["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1", "_block"])
+            if once:
+                new = ~met_before(x, y)
+                sim, x, y = sim[new], x[new], y[new]
+            columns = [pa.array(sim), pa.array(left[3][x]), pa.array(right[3][y]), pa.array(left[2][x]), pa.array(right[2][y])]
+            yield pa.RecordBatch.from_arrays([*columns, *([] if once else [pa.repeat(pa.scalar(key, pa.string()), len(sim))])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -104,4 +134,4 @@ def large_block_pairs(keyed: DataFrame, similarity: Similarity, threshold: float
         if held:
             yield from compared(held)
 
-    return sent.mapInArrow(run, "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint, _block string")
+    return sent.mapInArrow(run, "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint" + ("" if once else ", _block string"))

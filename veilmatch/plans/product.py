@@ -337,11 +337,14 @@ def hits_of(left: Records, right: Records, similarity: Similarity, threshold: fl
 
 
 def _distinct(bits: np.ndarray, pc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bit strings in the order of their popcounts, these counts, and the rows of each: ``rows[starts[i] : starts[i + 1]]``."""
-    if bits.shape[1]:
-        _, first, kind = np.unique(np.ascontiguousarray(bits).view(f"V{bits.shape[1]}").ravel(), return_index=True, return_inverse=True)
-    else:
-        first, kind = np.zeros(1, np.int64), np.zeros(len(pc), np.int64)
+    """Distinct bit strings in the order of their popcounts, these counts, and the rows of each: ``rows[starts[i] : starts[i + 1]]``.
+
+    Strings of under BROAD bits are only put in order: to compare them takes no longer than to find copies.
+    """
+    if 8 * bits.shape[1] < BROAD:
+        rows = np.argsort(pc, kind="stable")
+        return bits[rows], pc[rows], rows, np.arange(len(rows) + 1)
+    _, first, kind = np.unique(np.ascontiguousarray(bits).view(f"V{bits.shape[1]}").ravel(), return_index=True, return_inverse=True)
     by_count = np.argsort(pc[first], kind="stable")
     place = np.empty_like(by_count)
     place[by_count] = np.arange(len(by_count))
@@ -354,12 +357,12 @@ def _each_row(hits: Hits, left: tuple[np.ndarray, np.ndarray], right: tuple[np.n
     """Pairs of distinct bit strings as pairs of the rows that have them, up to FLUSH at once."""
     sim, x, y = hits
     (rows_a, from_a), (rows_b, from_b) = left, right
+    if len(rows_a) == len(from_a) - 1 and len(rows_b) == len(from_b) - 1:  # no copies
+        yield sim, rows_a[x], rows_b[y]
+        return
     wide = from_b[y + 1] - from_b[y]
     ends = np.cumsum((from_a[x + 1] - from_a[x]) * wide)
-    if len(x) == (ends[-1] if len(ends) else 0):
-        yield sim, rows_a[from_a[x]], rows_b[from_b[y]]
-        return
-    for i in range(0, int(ends[-1]), FLUSH):
+    for i in range(0, int(ends[-1]) if len(ends) else 0, FLUSH):
         n = np.arange(i, min(i + FLUSH, int(ends[-1])))
         at = np.searchsorted(ends, n, side="right")
         n -= np.where(at > 0, ends[at - 1], 0)
@@ -457,7 +460,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _joined(hits: list[Hits]) -> Hits:
-    return tuple(np.concatenate(h) for h in zip(*hits))
+    return hits[0] if len(hits) == 1 else tuple(np.concatenate(h) for h in zip(*hits))
 
 
 def _with_needs(bits: np.ndarray, pc: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, left: bool) -> np.ndarray:
@@ -482,11 +485,12 @@ def _margins(a: np.ndarray, b: np.ndarray, n_bits: int) -> np.ndarray:
 def _scores(margin: np.ndarray, a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, reach: np.ndarray) -> Hits:
     """(sim, row, column) of the pairs ``reach`` that do reach ``threshold``."""
     hit = np.flatnonzero(reach)
-    x, y = hit // len(pc_b), hit % len(pc_b)
+    x = hit // len(pc_b)
+    y = hit - x * len(pc_b)
     common = np.rint(margin.ravel()[hit].astype(np.float64) - a[x, -2] - b[y, -1])
     sim = similarity.counts(common, pc_a[x], pc_b[y], n_bits)
     keep = sim >= threshold
-    return sim[keep], x[keep], y[keep]
+    return (sim, x, y) if keep.all() else (sim[keep], x[keep], y[keep])
 
 
 def _block(a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndarray, similarity: Similarity, threshold: float, n_bits: int) -> Hits:
