@@ -51,3 +51,21 @@ def test_precision_recall(spark):
     r = ops.precision_recall(found, truth).first()
     assert (r["tp"], r["fp"], r["fn"]) == (2, 1, 2) and r["f1"] == 4 / 7
     assert ops.precision_recall(found.limit(0), truth.limit(0)).first()["f1"] == 0.0
+
+
+def test_precision_recall_of_classes_equals_that_of_pairs(spark):
+    """Copies, near copies with one class, empty strings, null classes, records without a class."""
+    rng = random.Random(3)
+    pool = [rng.randbytes(4) for _ in range(5)] + [bytes(4)]
+    records = [(d, r, rng.choice(pool)) for d in (0, 1) for r in range(40)]
+    classes = [(d, r, rng.choice(["x", "y", None]) if rng.random() < 0.3 else x.hex()) for d, r, x in records if r % 9]
+    df = spark.createDataFrame(records, "dset_i int, rec_i long, clk binary")
+    cls = spark.createDataFrame(classes, "dset_i int, rec_i long, class string")
+    found = ops.find_candidate_pairs(df, "dice", 0.9)
+    a, b = (cls.where(f"dset_i = {i}").selectExpr(f"rec_i as rec_i{i}", "class") for i in (0, 1))
+    truth = a.join(b, "class").select("rec_i0", "rec_i1")
+    want = ops.precision_recall(found, truth).first()
+    got = ops.precision_recall_of_classes(df, cls, "dice", 0.9)
+    assert got.first() == want and min(want["tp"], want["fp"], want["fn"]) > 0
+    assert got.schema.names == ops.precision_recall(found, truth).schema.names
+    assert tuple(ops.precision_recall_of_classes(df.limit(0), cls, "dice", 0.9).first()) == (0, 0, 0, 0.0, 0.0, 0.0)

@@ -17,7 +17,7 @@ from veilmatch.operators.ledger import finished_tiles, run_chunks
 from veilmatch.operators.merging import merge_rounds
 from veilmatch.operators.similarity import DICE, SMC, Similarity, custom_similarity
 from veilmatch.operators.solving import greedy_solve, match_labels, matching_rounds, nested_groups, pairs_from_groups, pivot_matching, probabilistic_greedy_solve, undecided_pairs
-from veilmatch.operators.stats import cumul_number_matches_vs_threshold, match_ratio, matches_nonmatches_hist, nonmatch_index_score, precision_recall, similarities_hist
+from veilmatch.operators.stats import cumul_number_matches_vs_threshold, match_ratio, matches_nonmatches_hist, nonmatch_index_score, precision_recall, precision_recall_of_classes, similarities_hist
 
 __all__ = [
     "DICE",
@@ -47,6 +47,7 @@ __all__ = [
     "pivot_matching",
     "popcount_arrays",
     "precision_recall",
+    "precision_recall_of_classes",
     "probabilistic_greedy_solve",
     "process_chunk",
     "run_chunks",
