@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,6 +342,57 @@ def test_gains_are_the_likelihoods_of_scaled_models():
         assert math.isclose(g, total, rel_tol=1e-5)
 
 
+def test_words_are_split_looked_up_and_dealt_whole_columns_at_a_time(monkeypatch):
+    """Against bytes.split() and crc32, word by word; no call of Python for each word (before, one for each unknown word)."""
+    rng = random.Random(4)
+    texts = ["", " ", None, "A", "x" * 900, "\x00\x1f\x7f\x08 \x0e", "\t\n\x0b\x0c\r É\x85\u00a0\u2003B"]
+    texts += ["".join(rng.choice("aBé \t\n\x0b\x1c字Z") for _ in range(rng.randrange(60))) for _ in range(400)]
+    want = [(t or "").encode().translate(lm.ASCII_LOWER).split() for t in texts]
+    every = [w for ws in want for w in ws]
+    known = sorted(set(every))[::3]
+    counts, size, own = np.arange(len(known), 0, -1), len(known), len(known) // 2
+    voc = lm.Vocabulary(known, counts, own, 1000, size, np.ones(lm.BUCKETS), len(texts))
+    place = {w: i for i, w in enumerate(known)}
+    ids = [x for ws in want for x in [*(1 + place[w] if place.get(w, size) < own else 1 + own + lm.bucket(w) for w in ws), 0]]
+    dealt = [lm.bucket(w) for w in every]
+    monkeypatch.setattr(lm, "bucket", lambda word: pytest.fail("called for a word"))
+    for span in (1, 64, 1 << 20):
+        monkeypatch.setattr(lm, "SPAN", span)
+        col = pa.array(["cut off", *texts])[1:]
+        found = list(lm.split(col))
+        assert [w for _, _, ws, _ in found for w in ws.to_pylist()] == every
+        assert [k for *_, n in found for k in n.tolist()] == [len(ws) for ws in want]
+        assert [k for _, _, ws, _ in found for k in lm.buckets(ws).tolist()] == dealt
+        assert voc.stream([(t or "").encode() for t in texts]).tolist() == ids
+
+
+def test_a_training_step_sums_by_class_group_and_context(monkeypatch):
+    """Against sums made row by row; two sorts a step (before, four)."""
+    rng, sorts, argsort = np.random.default_rng(5), [], np.argsort
+    share = rng.random(40) + 0.1
+    model = lm.LogBilinear(share, rng.integers(0, 9, 40).astype(np.int32), rng.integers(0, 6, 40).astype(np.int32))
+    u, v, w, noise = rng.integers(0, 9, 300), rng.integers(0, 9, 300), rng.integers(0, 40, 300), rng.integers(0, 40, lm.NOISE)
+    base = np.log(lm.NOISE * model.share).astype(np.float32)
+    want = [x.astype(float) for x in model.parameters]
+    r, q, b, c, g = (x.copy() for x in want)
+    context, out = r[u] * c[0] + r[v] * c[1], q + g[model.kin]
+    good = 1 / (1 + np.exp((context * out[w]).sum(1) + b[w] - base[w]))
+    bad = 1 / (1 + np.exp(base[noise] - b[noise] - context @ out[noise].T))
+    back = good[:, None] * out[w] - bad @ out[noise]
+    both, grads = np.append(w, noise), np.concatenate([good[:, None] * context, -(bad.T @ context)])
+    for which, rows, x in ((1, both, grads), (4, model.kin[both], grads), (2, both, np.append(good, -bad.sum(0))), (0, np.append(u, v), np.concatenate([back * c[0], back * c[1]]))):
+        total = np.zeros_like(want[which])
+        np.add.at(total, rows, x)
+        n = np.maximum(1, np.bincount(rows, minlength=len(total)))
+        total /= np.sqrt(n).reshape(-1, *[1] * (total.ndim - 1))
+        want[which] += lm.RATE * total / np.sqrt(1 + total * total)
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    model._step(u, v, w, noise, base)
+    assert len(sorts) == 2
+    for i in (0, 1, 2, 4):
+        assert np.allclose(model.parameters[i], want[i], atol=1e-5)
+
+
 def slow_fingerprint(text):
     """Lanes in whole numbers, one word and one line at a time."""
     full, odd = 2**64, 0x9E3779B97F4A7C15

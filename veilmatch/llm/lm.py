@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -42,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmatch.llm.common import ASCII_LOWER, byte_rows, drop_table, int64, tidy, write_table
+from veilmatch.llm.common import ASCII_LOWER, drop_table, flat_bytes, int64, spans, tidy, write_table
 
 CLASSES = 4096
 CONTEXTS = 1024
@@ -56,19 +55,82 @@ LOCAL_WORDS = 200_000
 SCALES = (0.0, 0.5, 0.75, 1.0, 1.25)
 #: Parts into which training texts fall by their hash; those of the first round.
 PARTS, FIRST = 64, 4
-#: Distinct words that a task gathers before it hands them on; sums of steps that one task adds up.
-FLUSH, FAN_IN = 400_000, 8
+#: Bytes of words that a task gathers before it counts them and hands them on; sums of steps that one task adds up.
+FLUSH, FAN_IN = 64 << 20, 8
+#: Bytes of texts that are split at once (a longer text stands alone).
+SPAN = 4 << 20
 END = b""
 
 
-def words(raw: bytes) -> list[bytes]:
-    return raw.translate(ASCII_LOWER).split()
-
-
 def bucket(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BUCKETS
 
 
+def crc_table() -> np.ndarray:
+    crc = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        crc = np.where(crc & 1, (crc >> 1) ^ np.uint32(0xEDB88320), crc >> 1)
+    return crc
+
+
+CRC = crc_table()
+
+
+def buckets(words: pa.Array) -> np.ndarray:
+    """bucket() of every word of a binary array."""
+    data, off = flat_bytes(words)
+    raw, ends, size = np.frombuffer(data, np.uint8), off[1:], np.diff(off)
+    crc = np.full(len(ends), 0xFFFFFFFF, np.uint32)
+    for k in (3, 2, 1):
+        has = np.flatnonzero(size >= k)
+        old = crc[has]
+        crc[has] = CRC[(old ^ raw[ends[has] - k]) & 255] ^ (old >> 8)
+    return (~crc % BUCKETS).astype(np.int32)
+
+
+def split(col: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+    """(first row, row after the last, all their words with A-Z lower-cased, number of words of each row) of every span of a string or binary column; words are what bytes.split() gives."""
+    data, off = flat_bytes(col)
+    for a, e in spans(off, SPAN):
+        raw = np.frombuffer(bytes(data[off[a] : off[e]]).translate(ASCII_LOWER), np.uint8)
+        inside = (raw != 32) & (raw - np.uint8(9) > 4)
+        begin = off[a : e + 1] - off[a]
+        cut = begin[(begin > 0) & (begin < len(raw))]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        first[cut], last[cut - 1] = inside[cut], inside[cut - 1]  # words end with their text
+        starts = np.flatnonzero(first)
+        ends = np.concatenate(([0], np.cumsum(np.flatnonzero(last) + 1 - starts)))
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(raw[inside])])
+        yield a, e, words, np.diff(np.searchsorted(starts, begin))
+
+
+def closed(cls: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of texts of ``n`` words, end to end, each closed by class 0, which of them are words)."""
+    is_word = np.ones(len(cls) + len(n), bool)
+    is_word[np.cumsum(n + 1) - 1] = False
+    ids = np.zeros(len(is_word), np.int32)
+    ids[is_word] = cls
+    return ids, is_word
+
+
+def contexts(context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts (last word, the one before) of each class of a stream: texts end to end, each closed by class 0 and begun by none: context 0, 0."""
+    before = np.concatenate(([0, 0], ids[:-1])).astype(ids.dtype)
+    return context[before[1:]], context[np.where(before[1:] == 0, 0, before[:-1])]
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+
+
+def run_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows (float32, an even number of columns), two columns in one addition."""
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
+
+
 class LogBilinear:
     """Parameters, training and tables of the class model."""
 
@@ -85,6 +147,10 @@ class LogBilinear:
         self.c = np.ones((2, WIDTH), np.float32)
         self.rng = np.random.default_rng(seed + 1)
         self._squares = [np.ones_like(x) for x in self.parameters]
+        self._key = np.uint16 if max(len(share), len(self.r)) <= 1 << 16 else np.int64  # 16 bits are sorted by radix
+        # the places of classes in the order of their groups: one sort for sums by class and by group
+        self._rank = np.empty(len(share), self._key)
+        self._rank[np.argsort(self.kin, kind="stable")] = np.arange(len(share))
 
     @property
     def parameters(self) -> list[np.ndarray]:
@@ -110,9 +176,8 @@ class LogBilinear:
         """One pass over a stream of classes (texts end to end, each closed by class 0 and begun by none: context 0, 0)."""
         if len(ids) < 3:
             return
-        before = np.concatenate(([0, 0], ids[:-1])).astype(ids.dtype)
-        last, prior = before[1:], np.where(before[1:] == 0, 0, before[:-1])
-        last, prior = self.context[last], self.context[prior]
+        last, prior = (x.astype(np.intp) for x in contexts(self.context, ids))
+        ids = ids.astype(np.intp)
         noise_pool = self.rng.choice(len(self.share), size=(-(-len(ids) // BATCH), NOISE), p=self.share)
         base = np.log(NOISE * self.share).astype(np.float32)
         for i, k in enumerate(range(0, len(ids), BATCH)):
@@ -120,34 +185,52 @@ class LogBilinear:
 
     def _step(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, noise: np.ndarray, base: np.ndarray) -> None:
         both = np.concatenate([w, noise])
-        kin = self.kin[both]
-        out = self.q[both] + self.g[kin]
-        ru, rv, qw, qn = self.r[u], self.r[v], out[: len(w)], out[len(w) :]
+        out = self.q.take(both, 0)
+        out += self.g.take(self.kin.take(both), 0)
+        ru, rv, qw, qn = self.r.take(u, 0), self.r.take(v, 0), out[: len(w)], out[len(w) :]
         context = ru * self.c[0] + rv * self.c[1]
-        good = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", context, qw) + self.b[w] - base[w], -30, 30)))  # 1 - P(data)
-        bad = 1 / (1 + np.exp(np.clip(base[noise] - self.b[noise] - context @ qn.T, -30, 30)))  # P(data) of noise
+        good = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", context, qw) + self.b.take(w) - base.take(w), -30, 30)))  # 1 - P(data)
+        bad = context @ -qn.T  # becomes P(data) of noise
+        bad += base[noise] - self.b[noise]
+        np.clip(bad, -30, 30, out=bad)
+        np.exp(bad, out=bad)
+        bad += 1
+        np.divide(1, bad, out=bad)
         g_context = good[:, None] * qw - bad @ qn
         g_out = np.concatenate([good[:, None] * context, -(bad.T @ context)])
-        self._add(1, both, g_out)
-        self._add(4, kin, g_out)
-        self._add(2, both, np.concatenate([good, -bad.sum(0)]))
-        self._add(0, np.concatenate([u, v]), np.concatenate([g_context * self.c[0], g_context * self.c[1]]))
+        g_bias = np.concatenate([good, -(np.ones(len(w), np.float32) @ bad)])
+        # sums by class, and of these by group: classes are in the order of their groups
+        o = np.argsort(self._rank.take(both), kind="stable")
+        at = both.take(o)
+        first = runs(at)
+        at, n = at.take(first), np.diff(np.append(first, len(o)))
+        by_class, kin = run_sums(g_out.take(o, 0), first), self.kin.take(at)
+        of_kin = runs(kin)
+        self._add(4, kin.take(of_kin), run_sums(by_class, of_kin), np.add.reduceat(n, of_kin))
+        self._add(1, at, by_class, n)
+        self._add(2, at, np.add.reduceat(g_bias.take(o), first), n)
+        seen = np.concatenate([u, v])
+        o = np.argsort(seen.astype(self._key), kind="stable")
+        seen = seen.take(o)
+        first = runs(seen)
+        grads = np.concatenate([g_context * self.c[0], g_context * self.c[1]])
+        self._add(0, seen.take(first), run_sums(grads.take(o, 0), first), np.diff(np.append(first, len(o))))
         g = np.stack([(g_context * ru).sum(0), (g_context * rv).sum(0)]) / len(w)
         self._squares[3] += g * g
         self.c += 0.1 * RATE * g / np.sqrt(self._squares[3])
 
-    def _add(self, which: int, rows: np.ndarray, grads: np.ndarray) -> None:
-        """Sum gradients by row and take an adaptive step."""
-        o = np.argsort(rows, kind="stable")
-        sorted_rows = rows[o]
-        first = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-        g = np.add.reduceat(grads[o], first, axis=0)
-        n = np.diff(np.append(first, len(rows))).astype(np.float32)
-        g /= np.sqrt(n)[:, None] if g.ndim > 1 else np.sqrt(n)
-        at = sorted_rows[first]
+    def _add(self, which: int, at: np.ndarray, g: np.ndarray, n: np.ndarray) -> None:
+        """Take an adaptive step in rows ``at``, of which each once, by sums of ``n`` gradients."""
+        root = np.sqrt(n.astype(np.float32))
+        g = g / (root[:, None] if g.ndim > 1 else root)
         squares, x = self._squares[which], self.parameters[which]
-        squares[at] += g * g
-        x[at] += RATE * g / np.sqrt(squares[at])
+        s = squares.take(at, 0)
+        s += g * g
+        squares[at] = s
+        g *= np.float32(RATE)
+        g /= np.sqrt(s, out=s)
+        g += x.take(at, 0)
+        x[at] = g
 
     def scaled(self, scale: float) -> "LogBilinear":
         """A model with so many times the context's influence; 0 leaves the classes' shares."""
@@ -158,24 +241,24 @@ class LogBilinear:
             other.b = np.log(self.share).astype(np.float32)
         return other
 
-    def normalisers(self) -> list[np.ndarray | None]:
-        """Those of each of SCALES; None: all zero, as shares sum to 1."""
-        return [self.scaled(s).normaliser() if s else None for s in SCALES]
+    def normalisers(self) -> np.ndarray:
+        """Those of each of SCALES but zero, as shares sum to 1: of a pair of contexts side by side."""
+        return np.stack([self.scaled(s).normaliser() for s in SCALES if s], axis=-1)
 
-    def gains(self, ids: np.ndarray, norms: list[np.ndarray | None]) -> np.ndarray:
+    def gains(self, ids: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Log-likelihoods of a stream of classes under each of SCALES; ``norms``: normalisers()."""
-        total = np.zeros(len(SCALES))
-        last, prior, out, bias = self.factors()
-        shares = np.log(self.share)
-        before = np.concatenate(([0, 0], ids[:-1])).astype(ids.dtype)
-        us, vs = self.context[before[1:]], self.context[np.where(before[1:] == 0, 0, before[:-1])]
+        scales = np.array(SCALES)
+        own, norm = np.zeros(len(SCALES)), np.zeros(norms.shape[-1])
+        factors, shares = self.factors(), np.log(self.share)
+        us, vs = contexts(self.context, ids)
+        across, norms = norms.shape[1], norms.reshape(-1, norms.shape[-1])
         for k in range(0, len(ids), 16 * BATCH):
-            u, v, w = us[k : k + 16 * BATCH], vs[k : k + 16 * BATCH], ids[k : k + 16 * BATCH]
-            dot = float(np.einsum("ij,ij->", last[u] + prior[v], out[w], dtype=np.float64))
-            own = float(bias[w].sum(dtype=np.float64))
-            for i, (s, norm) in enumerate(zip(SCALES, norms)):
-                total[i] += shares[w].sum() if norm is None else s * dot + own - float(norm[u, v].sum(dtype=np.float64))
-        return total
+            u, v, w = (x[k : k + 16 * BATCH].astype(np.intp) for x in (us, vs, ids))
+            dot = affinity(factors, u, v, w).sum(dtype=np.float64)
+            own += np.where(scales != 0, scales * dot + self.b.take(w).sum(dtype=np.float64), shares.take(w).sum())
+            norm += norms.take(u * across + v, 0).sum(0, dtype=np.float64)
+        own[scales != 0] -= norm
+        return own
 
     def rescale(self, gains: np.ndarray) -> None:
         """Scale the context's influence to that of SCALES with the largest of ``gains``."""
@@ -213,6 +296,14 @@ def by_context(last: np.ndarray, prior: np.ndarray, out: np.ndarray, bias: np.nd
     return last @ out.T + bias, prior @ out.T
 
 
+def affinity(factors: tuple[np.ndarray, ...], u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Scores of classes ``w`` after contexts ``u``, ``v`` without biases and normalisers; of rows that caches hold, not of the larger tables."""
+    last, prior, out, _ = factors
+    context = last.take(u, 0)
+    context += prior.take(v, 0)
+    return np.einsum("ij,ij->i", context, out.take(w, 0))
+
+
 @dataclass
 class Vocabulary:
     """Words known to every task and the totals of all: picklable, bounded by LOCAL_WORDS."""
@@ -244,53 +335,56 @@ class Vocabulary:
         return np.concatenate([[BUCKETS], [bucket(w) for w in self.words[: self.own]], np.arange(BUCKETS)]).astype(np.int32)
 
     @property
-    def place(self) -> dict[bytes, int]:
+    def place(self) -> pa.Array:
+        """The words as an array; also makes tables by place, whose last entry is that of words without one."""
         if self._place is None:
-            self._place = {w: i for i, w in enumerate(self.words)}
             first = 1 + self.own
-            self.cls = np.array([1 + i if i < self.own else first + bucket(w) for i, w in enumerate(self.words)], np.int32)
-            self.log_count = np.log10(self.counts + 1.0)
-            self.log_inside = np.where(np.arange(len(self.words)) < self.own, 0.0, self.log_count - np.log10(self.bucket_norm)[np.maximum(0, self.cls - first)])
+            words = pa.array(self.words, pa.large_binary())
+            near = np.arange(len(words)) < self.own
+            cls = np.where(near, 1 + np.arange(len(words)), first + buckets(words))
+            log_count = np.log10(self.counts + 1.0)
+            log_inside = np.where(near, 0.0, log_count - np.log10(self.bucket_norm)[np.maximum(0, cls - first)])
+            self.cls = np.append(cls, 0).astype(np.int32)
+            self.log_count, self.log_inside = np.append(log_count, 0.0), np.append(log_inside, 0.0)
+            self._place = words
         return self._place
 
-    def classes(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(places in ``words`` or -1, classes) of the words of a text."""
-        get = self.place.get
-        at = np.array([get(w, -1) for w in parts], np.int64)
-        cls = self.cls[at] if len(self.words) else np.zeros(len(at), np.int32)
+    def classes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``words`` or -1, classes) of all words of an array."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.place), -1).to_numpy()
+        cls = self.cls[at]
         miss = np.flatnonzero(at < 0)
-        if len(miss):
-            cls[miss] = [1 + self.own + bucket(parts[i]) for i in miss.tolist()]
+        cls[miss] = 1 + self.own + buckets(words.take(pa.array(miss)))
         return at, cls
 
+    def streams(self, col: pa.Array) -> Iterator[np.ndarray]:
+        """Classes of the texts of a column, span by span, end to end, each closed by class 0."""
+        for _, _, words, n in split(col):
+            yield closed(self.classes(words)[1], n)[0]
+
     def stream(self, raws: list[bytes]) -> np.ndarray:
-        out = []
-        for raw in raws:
-            out += [self.classes(words(raw))[1], np.zeros(1, np.int32)]
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+        return np.concatenate([np.zeros(0, np.int32), *self.streams(pa.array(raws, pa.large_binary()))])
 
 
 def count_words(df: DataFrame, *, text: str = "text") -> DataFrame:
     """(word BINARY, bucket, c) over all rows of ``df``; the end token is the empty word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out():
-            n = len(seen)
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.fromiter((bucket(w) for w in keys), np.int32, n)), pa.array(np.fromiter(seen.values(), np.int64, n))], ["word", "bucket", "c"])
+    def counted(held: list[pa.Array], texts: int) -> pa.RecordBatch:
+        found = pa.chunked_array(held, pa.large_binary()).value_counts()
+        words = pa.concat_arrays([found.field("values").cast(pa.binary()), pa.array([END], pa.binary())])
+        return pa.RecordBatch.from_arrays([words, pa.array(buckets(words)), pa.concat_arrays([found.field("counts"), int64([texts])])], ["word", "bucket", "c"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, texts = [], 0, 0
         for b in batches:
-            raws = byte_rows(b.column(0))
-            seen[END] += len(raws)
-            for raw in raws:
-                seen.update(words(raw))
-                if len(seen) > FLUSH:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
+            for a, e, words, _ in split(b.column(0)):
+                held.append(words)
+                size, texts = size + words.nbytes, texts + e - a
+                if size > FLUSH:
+                    yield counted(held, texts)
+                    held, size, texts = [], 0, 0
+        if texts:
+            yield counted(held, texts)
 
     rows = df.select(F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "word binary, bucket int, c bigint")
     return rows.groupBy("word", "bucket").agg(F.sum("c").alias("c"))
@@ -353,18 +447,16 @@ def fit(df: DataFrame, voc: Vocabulary, *, text: str = "text") -> LogBilinear:
     gains = np.zeros(len(SCALES))
     i, ends = 0, [FIRST, PARTS]
     while i < len(ends):
-        sent = spark.sparkContext.broadcast((voc, model.flat(), model.share, context, kin, model.normalisers() if i else [], i))
+        sent = spark.sparkContext.broadcast((voc, model.flat(), model.share, context, kin, model.normalisers() if i else None, i))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             voc, start, share, context, kin, norms, i = sent.value
             before, own = LogBilinear(share, context, kin).load(start), LogBilinear(share, context, kin, seed=7 + i).load(start)
             n, gains = 0, np.zeros(len(SCALES))
             for b in batches:
-                for k in range(0, len(b), 500):
-                    rows = b.slice(k, 500)
-                    for fresh in (False, True):
-                        ids = voc.stream(byte_rows(rows.filter(pc.equal(rows.column(1), fresh)).column(0)))
-                        if norms:  # the first model is random: its texts are scored by the next one
+                for fresh in (False, True):
+                    for ids in voc.streams(b.filter(pc.equal(b.column(1), fresh)).column(0)):
+                        if norms is not None:  # the first model is random: its texts are scored by the next one
                             gains += before.gains(ids, norms)
                         if fresh:
                             own.train(ids)
@@ -423,57 +515,57 @@ def score(df: DataFrame, held_out: Column, *, text: str = "text", key: str = "do
     counts = write_table(count_words(learn, text="_text"), "counts")
     voc = vocabulary(counts)
     model = fit(learn, voc, text="_text")
-    sent = spark.sparkContext.broadcast((voc, model.context, model.factors(), model.normaliser()))  # tasks make the tables: they are larger
+    sent = spark.sparkContext.broadcast((voc, model.context, model.factors(), model.normaliser()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         voc, context, factors, norm = sent.value
-        last, prior = by_context(*factors)
-        across, width = last.shape
-        last, prior, norm = last.ravel(), prior.ravel(), norm.ravel()
+        across, norm, bias = len(norm), norm.ravel(), factors[3]
         log_all, log_norm = math.log10(voc.tokens + voc.distinct + 1), np.log10(voc.bucket_norm)
         end_base = math.log10(voc.end_count + 1) - log_all
         uid = TaskContext.get().partitionId() << 34
-        for batch in batches:
-            for i in range(0, len(batch), 1000):
-                b = batch.slice(i, 1000)
-                raws = byte_rows(b.column(2))
-                doc: list[tuple] = []
-                tail_uid, tail_word, tail_n = [], [], []
-                for j, raw in enumerate(raws):
-                    parts = words(raw)
-                    at, cls = voc.classes(parts)
-                    w = np.append(cls, 0).astype(np.int64)
-                    u = np.concatenate(([0], context[w[:-1]])).astype(np.int64)
-                    v = np.concatenate(([0], u[:-1]))
-                    p = float((last[u * width + w] + prior[v * width + w] - norm[u * across + v]).sum(dtype=np.float64)) / math.log(10)
-                    known = at[at >= 0]
-                    base = float(voc.log_count[known].sum()) - len(parts) * log_all + end_base
-                    p += float(voc.log_inside[known].sum())
-                    miss = np.flatnonzero(at < 0)
-                    if len(miss):
-                        p -= float(log_norm[cls[miss] - 1 - voc.own].sum())
-                        rare = Counter([parts[k] for k in miss.tolist()])
-                        tail_uid += [uid + j] * len(rare)
-                        tail_word += rare.keys()
-                        tail_n += rare.values()
-                    doc.append((len(parts) + 1, len(known) + (voc.end_count > 0), base, p))
-                n, known_n, base, p = map(list, zip(*doc))
-                k, m = len(raws), len(tail_uid)
-                ids = int64(np.concatenate([np.arange(uid, uid + k), np.array(tail_uid, np.int64)]))
+        for b in batches:
+            for i, e, found, n in split(b.column(2)):
+                at, cls = voc.classes(found)
+                ids, is_word = closed(cls, n)
+                starts = np.cumsum(n + 1) - n - 1
+                us, vs = contexts(context, ids)
+                token = np.empty(len(ids))
+                for k in range(0, len(ids), 16 * BATCH):
+                    u, v, w = (x[k : k + 16 * BATCH].astype(np.intp) for x in (us, vs, ids))
+                    token[k : k + 16 * BATCH] = affinity(factors, u, v, w) + bias.take(w) - norm.take(u * across + v)
+                p = np.add.reduceat(token, starts) / math.log(10)
+
+                def by_text(values: np.ndarray) -> np.ndarray:
+                    token[:] = 0
+                    token[is_word] = values
+                    return np.add.reduceat(token, starts)
+
+                miss = np.flatnonzero(at < 0)
+                base = by_text(voc.log_count[at]) - n * log_all + end_base
+                inside = voc.log_inside[at]
+                inside[miss] = -log_norm[cls[miss] - 1 - voc.own]
+                p += by_text(inside)
+                known_n = by_text(at >= 0).astype(np.int64) + (voc.end_count > 0)
+                # words without a place, once a text
+                rare = found.take(pa.array(miss)).dictionary_encode()
+                many = max(1, len(rare.dictionary))
+                pairs, tail_n = np.unique(np.repeat(np.arange(len(n)), n)[miss] * many + rare.indices.to_numpy(), return_counts=True)
+                k, m = len(n), len(pairs)
                 none = lambda kind: pa.nulls(m, kind)
                 cat = lambda col, kind: pa.concat_arrays([col, none(kind)])
+                key, held = b.column(0).slice(i, k), b.column(1).slice(i, k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids,
-                        cat(b.column(0), b.column(0).type),
-                        cat(b.column(1), pa.bool_()),
-                        cat(int64(n), pa.int64()),
-                        pa.concat_arrays([int64(known_n), int64(tail_n)]),
+                        int64(np.concatenate([np.arange(uid, uid + k), uid + pairs // many])),
+                        cat(key, key.type),
+                        cat(held, pa.bool_()),
+                        cat(int64(n + 1), pa.int64()),
+                        int64(np.concatenate([known_n, tail_n])),
                         cat(pa.array(base, pa.float64()), pa.float64()),
                         cat(pa.array(p, pa.float64()), pa.float64()),
-                        pa.concat_arrays([pa.nulls(k, pa.binary()), pa.array(tail_word, pa.binary())]),
+                        pa.concat_arrays([pa.nulls(k, pa.binary()), rare.dictionary.take(pa.array(pairs % many)).cast(pa.binary())]),
                     ],
                     ["uid", "key", "held", "n_tokens", "n", "base", "p", "word"],
                 )
