@@ -56,9 +56,9 @@ SCALES = (0.0, 0.5, 0.75, 1.0, 1.25)
 #: Parts into which training texts fall by their hash; those of the first round.
 PARTS, FIRST = 64, 4
 #: Bytes of words that a task gathers before it counts them and hands them on; sums of steps that one task adds up.
-FLUSH, FAN_IN = 64 << 20, 8
+FLUSH, FAN_IN = 16 << 20, 8
 #: Bytes of texts that are split at once (a longer text stands alone).
-SPAN = 4 << 20
+SPAN = 2 << 20
 END = b""
 
 
@@ -454,13 +454,15 @@ def fit(df: DataFrame, voc: Vocabulary, *, text: str = "text") -> LogBilinear:
             before, own = LogBilinear(share, context, kin).load(start), LogBilinear(share, context, kin, seed=7 + i).load(start)
             n, gains = 0, np.zeros(len(SCALES))
             for b in batches:
-                for fresh in (False, True):
-                    for ids in voc.streams(b.filter(pc.equal(b.column(1), fresh)).column(0)):
-                        if norms is not None:  # the first model is random: its texts are scored by the next one
-                            gains += before.gains(ids, norms)
-                        if fresh:
-                            own.train(ids)
-                        n += len(ids)
+                for k in range(0, len(b), 1000):  # filters copy
+                    rows = b.slice(k, 1000)
+                    for fresh in (False, True):
+                        for ids in voc.streams(rows.filter(pc.equal(rows.column(1), fresh)).column(0)):
+                            if norms is not None:  # the first model is random: its texts are scored by the next one
+                                gains += before.gains(ids, norms)
+                            if fresh:
+                                own.train(ids)
+                            n += len(ids)
             if n:
                 yield packed(progress(start, own.flat()), gains)
 
