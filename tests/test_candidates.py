@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tests import linkage_spec as spec
 from veilmatch import operators as ops
 from veilmatch.functions import bit_blocking, block_and, block_or, continuous_blocking, custom_blocking, list_blocking
-from veilmatch.operators.similarity import named
+from veilmatch.operators.similarity import DICE, SMC, named
 from veilmatch.plans import blocks, product
 
 
@@ -384,3 +385,32 @@ def test_pairs_of_several_large_blocks_once_without_a_set_for_each():
     x, y = (g.ravel() for g in np.meshgrid(np.arange(40), np.arange(40), indexing="ij"))
     assert met(x, y).tolist() == [min(set(own[0][i]) & set(own[1][j])) != "k50x" for i, j in zip(x, y)]
     assert not blocks._met_before([["a"], ["b", "c"]], [["a"], ["c"]], "a")(np.array([0, 1]), np.array([0, 1])).any()
+
+
+@pytest.mark.parametrize("similarity,k", [(SMC, 1), (SMC, 3), (replace(DICE, two_sided=True), 2)])
+def test_limits_of_both_sides_rise_inside_a_tile(monkeypatch, similarity, k):
+    """Few of the pairs over the threshold are scored, and none that the limits keep is missed; ties, copies and blocks of any size."""
+    rng = np.random.default_rng(k)
+    sides = []
+    for n, d in ((700, 0), (900, 1)):
+        bits = rng.integers(0, 256, (n, 8), dtype=np.uint8)
+        bits[::50] = bits[0]
+        sides.append((bits, np.bitwise_count(bits).sum(1).astype(np.int32), rng.permutation(n).astype(np.int64), np.full(n, d, np.int32)))
+    common = np.bitwise_count(sides[0][0][:, None] & sides[1][0][None]).sum(2)
+    sim = similarity.counts(common, sides[0][1][:, None], sides[1][1][None, :], 64)
+    x, y = np.nonzero(sim >= 0.5)
+
+    def kept(s, x, y):
+        top = (product._rank_within(x, s, sides[1][2][y]) < k) & (product._rank_within(y, s, sides[0][2][x]) < k)
+        return sorted(zip(s[top].tolist(), x[top].tolist(), y[top].tolist()))
+
+    want, scored, scores = kept(sim[x, y], x, y), [], product._scores
+    monkeypatch.setattr(product, "_scores", lambda *a: scored.append(np.count_nonzero(a[-1])) or scores(*a))
+    for rows, narrow, flush in ((512, 2048, 500_000), (64, 100, 300)):
+        for name, value in (("ROWS", rows), ("NARROW", narrow), ("FLUSH", flush)):
+            monkeypatch.setattr(product, name, value, raising=False)
+        for floors in (None, (np.full(700, 0.5), np.full(900, -np.inf))):
+            scored.clear()
+            got = [np.concatenate(c) for c in zip(*product.hits_of(*sides, similarity, 0.5, 64, k, floors))]
+            assert kept(*got) == want
+            assert sum(scored) < len(x) / 4

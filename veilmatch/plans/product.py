@@ -49,6 +49,8 @@ LARGEST, SMALLEST = 65_536, 128
 MOST_PAIRS, MOST_TASKS = 1_000_000, 20_000
 #: Records of the two sides that one matrix product compares, and pairs gathered before they leave the task.
 ROWS, COLUMNS, FLUSH = 512, 8192, 500_000
+#: Columns of a product of two limited sides, and records of the other side, at most, that give a record its first floor.
+NARROW, SOME = 2048, 512
 #: Sizes of unions tried, rows and unions of a trial, least pairs of two tiles that are worth trials, least bits, and the time of a pair counted by itself, in pairs of a product.
 UNIONS, TRIAL, WORTH, BROAD, SINGLE = (16, 8, 4, 2), 64, 1 << 20, 256, 14
 #: Waves of tile pairs grow by this; tiles of one party that a tile must meet for waves to pay.
@@ -290,18 +292,19 @@ def hits_of(left: Records, right: Records, similarity: Similarity, threshold: fl
         yield from _all_hits(left, right, similarity, threshold, n_bits)
         return
 
+    if k is not None and similarity.two_sided:
+        yield from _both_sides(left, right, similarity, threshold, n_bits, k, floors)
+        return
+
     def limited(hits: Hits) -> Hits:
         sim, x, y = hits
         top = _rank_within(x, sim, rec_b[y]) < k
-        if similarity.two_sided:  # what is among neither record's best changes no rank that counts
-            top |= _rank_within(y, sim, rec_a[x]) < k
         return sim[top], x[top], y[top]
 
     def columns(j: int) -> np.ndarray:
         return _with_needs(_floats(bits_b[j : j + COLUMNS]), pc_b[j : j + COLUMNS], similarity, threshold, n_bits, False)
 
-    low = np.full(len(pc_a), -np.inf) if floors is None else np.array(floors[0])  # rises as left records meet columns, if they alone are limited
-    high = floors[1] if floors is not None and similarity.two_sided else None
+    low = np.full(len(pc_a), -np.inf) if floors is None else np.array(floors[0])  # rises as left records meet columns
     only = columns(0) if len(pc_b) <= COLUMNS else None  # a tile of one block is unpacked once
     waiting: list[Hits] = []
     size, step = 0, FLUSH
@@ -310,11 +313,8 @@ def hits_of(left: Records, right: Records, similarity: Similarity, threshold: fl
         for j in range(0, len(pc_b), COLUMNS):
             b = columns(j) if only is None else only
             at, to = slice(i, i + ROWS), slice(j, j + COLUMNS)
-            if k is None or similarity.two_sided:
+            if k is None:
                 hits = _block(a, b, pc_a[at], pc_b[to], similarity, threshold, n_bits)
-                if high is not None:
-                    keep = (hits[0] >= low[at][hits[1]]) | (hits[0] >= high[to][hits[2]])
-                    hits = tuple(h[keep] for h in hits)
             else:
                 hits = _best_of_block(a, b, pc_a[at], pc_b[to], similarity, threshold, n_bits, k, low[at])
             waiting.append((hits[0], hits[1] + i, hits[2] + j))
@@ -328,7 +328,7 @@ def hits_of(left: Records, right: Records, similarity: Similarity, threshold: fl
                         waiting, size, step = [got], len(got[0]), max(FLUSH, 2 * len(got[0]))
                         continue
                 yield got
-        if waiting and (k is None or not similarity.two_sided) and (size > FLUSH // 4 or i + ROWS >= len(pc_a)):
+        if waiting and (size > FLUSH // 4 or i + ROWS >= len(pc_a)):
             # these left records have met the whole tile
             got = _joined(waiting)
             waiting, size, step = [], 0, FLUSH
@@ -337,6 +337,79 @@ def hits_of(left: Records, right: Records, similarity: Similarity, threshold: fl
         yield _joined(waiting) if k is None else limited(_joined(waiting))
 
 
+def _rises(scores: np.ndarray, pc: np.ndarray, ends: tuple[int, int], similarity: Similarity, threshold: float, n_bits: int) -> np.ndarray:
+    """What the needs of these records rise by at least where they must reach ``scores``, not ``threshold``, with counts between ``ends`` on the other side."""
+    slope, offset = similarity.cutoff(threshold, n_bits)
+    kinds, which = np.unique(np.maximum(scores, threshold), return_inverse=True)
+    slopes, offsets = (x[which] for x in np.array([similarity.cutoff(t, n_bits) for t in kinds.tolist()]).reshape(-1, 2).T)
+    # needs are linear in the counts, so they rise least at the lowest or at the highest count
+    return np.maximum(0, np.minimum(*((slopes - slope) * (pc + p) + offsets - offset for p in ends)) - 0.05).astype(np.float32)
+
+
+def _first_floors(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], similarity: Similarity, threshold: float, n_bits: int, k: int) -> np.ndarray:
+    """A score that each record's ``k``-th best reaches: the ``k``-th best among some records of the other side."""
+    (bits, pc), (bits_o, pc_o) = own, other
+    n = min(max(64, 8 * k, len(pc_o) // 32), SOME)
+    if len(pc_o) < 2 * n or n < k:
+        return np.full(len(pc), -np.inf)
+    some = np.linspace(0, len(pc_o) - 1, n).astype(np.int64)
+    b = _floats(bits_o[some])
+    out = np.empty(len(pc))
+    for i in range(0, len(pc), 2048):
+        sims = similarity.counts((_floats(bits[i : i + 2048]) @ b.T).astype(np.float64), pc[i : i + 2048, None], pc_o[some][None, :], n_bits)
+        out[i : i + 2048] = np.partition(sims, n - k, axis=1)[:, n - k]
+    return out
+
+
+def _both_sides(left: Records, right: Records, similarity: Similarity, threshold: float, n_bits: int, k: int, floors: Floors | None) -> Iterator[Hits]:
+    """Pairs of two tiles among the ``k`` best of either record, with some others.
+
+    Both records of a pair have a floor, at first by some records of the other side, which rises to the
+    ``k``-th best score met.  A pair below both is among neither record's best and changes no rank that counts.
+    """
+    order = [np.argsort(x[1], kind="stable") for x in (left, right)]  # blocks of like counts: needs rise by about the same for all of them
+    (bits_a, pc_a, rec_a), (bits_b, pc_b, rec_b) = ([x[c][o] for c in range(3)] for x, o in zip((left, right), order))
+    low, high = _first_floors((bits_a, pc_a), (bits_b, pc_b), similarity, threshold, n_bits, k), _first_floors((bits_b, pc_b), (bits_a, pc_a), similarity, threshold, n_bits, k)
+    if floors is not None:
+        low, high = np.maximum(low, floors[0][order[0]]), np.maximum(high, floors[1][order[1]])
+
+    def limited(hits: Hits) -> Hits:
+        sim, x, y = hits
+        by_left, by_right = _rank_within(x, sim, rec_b[y]), _rank_within(y, sim, rec_a[x])
+        for floor, at, rank in ((low, x, by_left), (high, y, by_right)):
+            last = rank == k - 1
+            floor[at[last]] = np.maximum(floor[at[last]], sim[last])
+        top = (by_left < k) | (by_right < k)
+        return sim[top], x[top], y[top]
+
+    waiting: list[Hits] = []
+    size, step = 0, FLUSH
+    for j in range(0, len(pc_b), NARROW):
+        to = slice(j, j + NARROW)
+        b = _with_needs(_floats(bits_b[to]), pc_b[to], similarity, threshold, n_bits, False)
+        ends_b = (pc_b[to][0], pc_b[to][-1])
+        for i in range(0, len(pc_a), ROWS):
+            at = slice(i, i + ROWS)
+            ends_a = (pc_a[at][0], pc_a[at][-1])
+            a = _with_needs(_floats(bits_a[at]), pc_a[at], similarity, threshold, n_bits, True)
+            margin = _margins(a, b, n_bits)
+            reach = margin >= _rises(low[at], pc_a[at], ends_b, similarity, threshold, n_bits)[:, None]
+            reach |= margin >= _rises(high[to], pc_b[to], ends_a, similarity, threshold, n_bits)[None, :]
+            sim, x, y = _scores(margin, a, b, pc_a[at], pc_b[to], similarity, threshold, n_bits, reach)
+            keep = (sim >= low[at][x]) | (sim >= high[to][y])
+            waiting.append((sim[keep], x[keep] + i, y[keep] + j))
+            size += len(waiting[-1][0])
+            if size > step:
+                got = limited(_joined(waiting))
+                waiting, size, step = [got], len(got[0]), max(FLUSH, 2 * len(got[0]))
+                if len(got[0]) > 4 * FLUSH:  # they leave the task: the limits are taken over all pairs later
+                    yield got[0], order[0][got[1]], order[1][got[2]]
+                    waiting, size, step = [], 0, FLUSH
+    if waiting:
+        sim, x, y = limited(_joined(waiting))
+        yield sim, order[0][x], order[1][y]
+
+
 def _distinct(bits: np.ndarray, pc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct bit strings in the order of their popcounts, these counts, and the rows of each: ``rows[starts[i] : starts[i + 1]]``.
 
@@ -505,11 +578,8 @@ def _best_of_block(a: np.ndarray, b: np.ndarray, pc_a: np.ndarray, pc_b: np.ndar
     margin = _margins(a, b, n_bits)
     known = low > threshold
     reach = margin >= 0
-    if known.any():  # needs are linear in the counts, so they rise least at the lowest or at the highest count
-        slope, offset = similarity.cutoff(threshold, n_bits)
-        slopes, offsets = np.array([similarity.cutoff(t, n_bits) if up else (slope, offset) for t, up in zip(low.tolist(), known.tolist())]).T
-        rise = np.minimum(*((slopes - slope) * (pc_a + p) + offsets - offset for p in (pc_b.min(), pc_b.max())))
-        reach &= margin >= np.maximum(0, rise - 0.05)[:, None]
+    if known.any():
+        reach &= margin >= _rises(low, pc_a, (pc_b.min(), pc_b.max()), similarity, threshold, n_bits)[:, None]
     if k < len(pc_b) and np.count_nonzero(reach) > 2 * k * len(pc_a):
         # many pairs pass: leave those below a row's k-th best score, ties stay for the exact ranks
         common = np.rint(margin - a[:, -2:-1] - b[:, -1])
