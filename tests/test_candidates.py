@@ -414,3 +414,12 @@ def test_limits_of_both_sides_rise_inside_a_tile(monkeypatch, similarity, k):
             got = [np.concatenate(c) for c in zip(*product.hits_of(*sides, similarity, 0.5, 64, k, floors))]
             assert kept(*got) == want
             assert sum(scored) < len(x) / 4
+
+
+def test_limited_pairs_equal_enforced_ones(spark):
+    rng = random.Random(5)
+    datasets = [[(i, bytes(rng.choices(range(256), k=2))) for i in range(60)] for _ in range(3)]
+    records = [spark.createDataFrame(d, "rec_i long, clk binary") for d in datasets]
+    for k in (1, 2):
+        want = ops.enforce_k(ops.find_candidate_pairs(records, "dice", 0.6), k)
+        assert sorted(map(tuple, ops.find_limited_pairs(records, "dice", 0.6, k).collect())) == sorted(map(tuple, want.collect()))

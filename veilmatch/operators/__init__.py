@@ -7,6 +7,7 @@ from veilmatch.operators.candidates import (
     encode_records,
     enforce_k,
     find_candidate_pairs,
+    find_limited_pairs,
     hamming_similarity,
     merge_pairs,
     popcount_arrays,
@@ -32,6 +33,7 @@ __all__ = [
     "encode_records",
     "enforce_k",
     "find_candidate_pairs",
+    "find_limited_pairs",
     "finished_tiles",
     "greedy_solve",
     "hamming_similarity",
