@@ -423,3 +423,11 @@ def test_limited_pairs_equal_enforced_ones(spark):
     for k in (1, 2):
         want = ops.enforce_k(ops.find_candidate_pairs(records, "dice", 0.6), k)
         assert sorted(map(tuple, ops.find_limited_pairs(records, "dice", 0.6, k).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_disjoint_runs_are_not_shuffled(spark):
+    data = table(spark, make(9, (30, 40)))
+    tiles = list(ops.split_to_chunks(200, dataset_sizes=[30, 40]))
+    merged = ops.merge_pairs(*[ops.process_chunk(c, data, "dice", 0.5, in_order=False) for c in tiles], in_order=False, disjoint=True)
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rows(merged)) == sorted(rows(ops.find_candidate_pairs(data, "dice", 0.5)))

@@ -82,9 +82,9 @@ def _validated(chunk: Sequence[dict], records: DataFrame) -> list[tuple[int, int
     return out
 
 
-def process_chunk(chunk: Sequence[dict], records: DataFrame, similarity: Similarity | str = DICE, threshold: float = 0.0, k: int | None = None, blocking: Blocking | None = None) -> DataFrame:
+def process_chunk(chunk: Sequence[dict], records: DataFrame, similarity: Similarity | str = DICE, threshold: float = 0.0, k: int | None = None, blocking: Blocking | None = None, *, in_order: bool = True) -> DataFrame:
     """Candidate pairs of one tile, with global ids; ``k`` holds inside the tile."""
     (i, a0, b0), (j, a1, b1) = _validated(chunk, records)
     d, r = F.col("dset_i"), F.col("rec_i")
     part = records.where(((d == i) & (r >= a0) & (r < b0)) | ((d == j) & (r >= a1) & (r < b1)))
-    return find_candidate_pairs(part, similarity, threshold, k, blocking)
+    return find_candidate_pairs(part, similarity, threshold, k, blocking, in_order=in_order)
