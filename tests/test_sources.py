@@ -182,3 +182,21 @@ def test_pairs_of_large_ranges_are_held_in_pieces(spark, tmp_path, monkeypatch):
     reader = clks.TruthReader({"path": str(path)})
     got = [list(x) for part in reader.partitions() for b in reader.read(part) for x in zip(*(c.to_pylist() for c in b.columns))]
     assert got == given and max(held) == 100
+
+
+def test_files_are_made_without_copies(spark, tmp_path, monkeypatch):
+    """On a mounted file system tasks write entries to their places; no second file of the entries is made and copied, and none is left."""
+    monkeypatch.setattr(pairs, "assemble", lambda *a: pytest.fail("a copy"))
+    df = spark.createDataFrame(ROWS[::-1], PAIRS).repartition(3)
+    for widths in (pairs.Widths(), pairs.Widths(4, 1, 8)):
+        size = pairs.dump_candidate_pairs(df, str(tmp_path / "one"), widths)
+        assert size == pairs.dump_size(len(ROWS), widths)
+    pairs.dump_candidate_pairs(df.where("rec_i1 % 2 = 0"), str(tmp_path / "two"))
+    assert pairs.dump_candidate_pairs(df.limit(0), str(tmp_path / "none")) == pairs.HEADER.size
+    with pytest.raises(Exception, match="does not fit 1 bytes"):
+        pairs.dump_candidate_pairs(df.withColumn("dset_i1", df.dset_i1 + 300), str(tmp_path / "bad"), pairs.Widths(8, 1, 4))
+    pairs.merge_streams(spark, [str(tmp_path / x) for x in ("one", "two", "none")], str(tmp_path / "all"), range_entries=5)
+    (made,) = (tmp_path / "all").iterdir()
+    both = [*pairs.load_to_iterable(str(next((tmp_path / "one").iterdir()))), *pairs.load_to_iterable(str(next((tmp_path / "two").iterdir())))]
+    assert list(pairs.load_to_iterable(str(made))) == spec.canonical(both)
+    assert [len(x) for x in pairs.load_to_arrays(str(made), 2, 5)] == [5]
