@@ -5,6 +5,7 @@ import pytest
 
 from tests import linkage_spec as spec
 from veilmatch import operators as ops
+from veilmatch.operators import solving, stats
 from veilmatch.schema import PAIRS
 
 
@@ -69,3 +70,42 @@ def test_precision_recall_of_classes_equals_that_of_pairs(spark):
     assert got.first() == want and min(want["tp"], want["fp"], want["fn"]) > 0
     assert got.schema.names == ops.precision_recall(found, truth).schema.names
     assert tuple(ops.precision_recall_of_classes(df.limit(0), cls, "dice", 0.9).first()) == (0, 0, 0, 0.0, 0.0, 0.0)
+
+
+def _records(spark, parties, n, seed=4):
+    rng = random.Random(seed)
+    pool = [rng.randbytes(3) for _ in range(3 * n // 2)]
+    return spark.createDataFrame([(d, r, rng.choice(pool)) for d in range(parties) for r in range(n)], "dset_i int, rec_i long, clk binary")
+
+
+def test_statistics_of_records_equal_those_of_pairs(spark, monkeypatch):
+    """Bands of few pairs, ties of copies, and too few nonmatches in the first bands."""
+    for module in (solving, stats):
+        monkeypatch.setattr(module, "PREFIX_PAIRS", 60)
+    records = _records(spark, 2, 30)
+    pairs = ops.find_candidate_pairs(records, "dice", 0.5)
+    assert sorted(map(tuple, ops.match_hist_of_records(records, "dice", 0.5, 7).collect())) == sorted(map(tuple, ops.matches_nonmatches_hist(pairs, 7).collect()))
+    assert ops.deciding_pairs(records, "dice", 0.5).count() < pairs.count() / 2
+    n = 100
+    assert ops.nonmatch_index_of_records(records, "dice", 0.5, [1, n]) == [ops.nonmatch_index_score(pairs, 1), ops.nonmatch_index_score(pairs, n)]
+    with pytest.raises(ValueError):
+        ops.nonmatch_index_of_records(records, "dice", 0.5, [10**6])
+    with pytest.raises(ValueError):
+        ops.match_hist_of_records(_records(spark, 3, 5), "dice", 0.5, 7)
+    none = records.limit(0)
+    assert [r["matches"] for r in ops.match_hist_of_records(none, "dice", 0.5, 3).collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("merge_threshold,deduplicated", [(1.0, False), (0.5, True)])
+def test_deciding_pairs_have_the_groups_of_all_pairs(spark, monkeypatch, merge_threshold, deduplicated):
+    records = _records(spark, 3, 35, 8)
+    pairs = ops.find_candidate_pairs(records, "dice", 0.5)
+    want = spec_groups(pairs, merge_threshold, deduplicated)
+    monkeypatch.setattr(solving, "PREFIX_PAIRS", 150)
+    left = ops.deciding_pairs(records, "dice", 0.5, merge_threshold, deduplicated)
+    assert left.count() < pairs.count() and spec_groups(left, merge_threshold, deduplicated) == want
+
+
+def spec_groups(pairs, merge_threshold, deduplicated):
+    rows = spec.canonical([tuple(r) for r in pairs.collect()])
+    return sorted(sorted(g) for g in solving.fold([((a, x), (b, y)) for _, a, b, x, y in rows], merge_threshold, deduplicated))

@@ -167,6 +167,17 @@ def _first_pairs(pairs: DataFrame, key: Column, aim: int, size: int) -> DataFram
     return upto if n < size else None
 
 
+def live_pairs(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs inside one of the ``groups`` (g_dset, g_rec, dset_i, rec_i), or of two, or lone records, that share no dataset."""
+    parties = groups.groupBy("g_dset", "g_rec").agg(F.collect_set("dset_i").alias("parties"))
+    known = write_table(groups.join(parties, ["g_dset", "g_rec"]), "known")
+    for i in (0, 1):
+        side = known.select(F.col("dset_i").cast("int").alias(f"dset_i{i}"), F.col("rec_i").alias(f"rec_i{i}"), F.struct("g_dset", "g_rec").alias(f"_g{i}"), F.col("parties").alias(f"_p{i}"))
+        pairs = pairs.join(F.broadcast(side), [f"dset_i{i}", f"rec_i{i}"], "left").withColumn(f"_p{i}", F.coalesce(f"_p{i}", F.array(F.col(f"dset_i{i}").cast("bigint"))))
+    inside = F.coalesce(F.col("_g0") == F.col("_g1"), F.lit(False))
+    return pairs.where(inside | ~F.arrays_overlap("_p0", "_p1"))
+
+
 def undecided_pairs(pairs: DataFrame, merge_threshold: float = 1.0, deduplicated: bool = False, order: str | None = None) -> DataFrame:
     """Written ``pairs`` (each at most once) without those that cannot change the groups, if there are over PREFIX_PAIRS.
 
@@ -189,14 +200,7 @@ def undecided_pairs(pairs: DataFrame, merge_threshold: float = 1.0, deduplicated
         if first is None:
             break
         groups = write_table(_solved(first, merge_threshold, deduplicated, by, ascending), "first-groups")
-        parties = groups.groupBy("g_dset", "g_rec").agg(F.collect_set("dset_i").alias("parties"))
-        known = write_table(groups.join(parties, ["g_dset", "g_rec"]), "known")
-        met = pairs
-        for i in (0, 1):
-            side = known.select(F.col("dset_i").cast("int").alias(f"dset_i{i}"), F.col("rec_i").alias(f"rec_i{i}"), F.struct("g_dset", "g_rec").alias(f"_g{i}"), F.col("parties").alias(f"_p{i}"))
-            met = met.join(F.broadcast(side), [f"dset_i{i}", f"rec_i{i}"], "left").withColumn(f"_p{i}", F.coalesce(f"_p{i}", F.array(F.col(f"dset_i{i}").cast("bigint"))))
-        inside = F.coalesce(F.col("_g0") == F.col("_g1"), F.lit(False))
-        pairs = write_table(met.where(inside | ~F.arrays_overlap("_p0", "_p1")).select(*columns), "undecided")
+        pairs = write_table(live_pairs(pairs, groups).select(*columns), "undecided")
         left = pairs.count()
         aim = aim if left <= 0.8 * size else 4 * aim
         size = left
@@ -321,16 +325,19 @@ def pivot_matching(pairs: DataFrame, small: int = FOLD_PAIRS) -> DataFrame:
     return out
 
 
+def greedy_matches(left: DataFrame) -> DataFrame:
+    """(rec_i0, rec_i1) of the greedy two-party matching of written pairs."""
+    if left.count() <= FOLD_PAIRS:
+        return pairs_from_groups(greedy_solve(left))
+    return matching_rounds(left).select("rec_i0", "rec_i1")
+
+
 def match_labels(pairs: DataFrame) -> DataFrame:
     """``pairs`` with is_match: whether greedy two-party matching accepts the pair (else it can never be accepted)."""
     held = write_table(pairs, "labelled")
     check_bipartite(held)
     left = undecided_pairs(held.select("sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"))
-    if left.count() <= FOLD_PAIRS:
-        found = pairs_from_groups(greedy_solve(left))
-    else:
-        found = matching_rounds(left).select("rec_i0", "rec_i1")
-    found = write_table(found, "found")  # a record occurs once, so they are no more than records and go to every task; pairs are not shuffled
+    found = write_table(greedy_matches(left), "found")  # a record occurs once, so they are no more than records and go to every task; pairs are not shuffled
     return held.join(F.broadcast(found.withColumn("_m", F.lit(True))), ["rec_i0", "rec_i1"], "left").select(*pairs.columns, F.coalesce("_m", F.lit(False)).alias("is_match"))
 
 

@@ -57,6 +57,7 @@ UNIONS, TRIAL, WORTH, BROAD, SINGLE = (16, 8, 4, 2), 64, 1 << 20, 256, 14
 GROWTH, WAVES_FROM = 8, 3
 
 _SCHEMA = "sim double, dset_i0 int, dset_i1 int, rec_i0 bigint, rec_i1 bigint"
+_COUNTS = "sim double, n bigint"
 #: Bits up to which a margin of common bits, in parts of 1/64, is exact in 32-bit floats.
 EXACT_BITS = 65_536
 
@@ -100,8 +101,8 @@ def _tile_table(counts: list[tuple[int, int, int]], aim: int, tile: int = 0) ->
     return out
 
 
-def _tile_pairs(left: list[Tile], right: list[Tile], similarity: Similarity, threshold: float, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of tiles of different parties (the lower one left) that popcounts let reach ``threshold``."""
+def _tile_pairs(left: list[Tile], right: list[Tile], similarity: Similarity, threshold: float, n_bits: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of tiles of different parties (the lower one left; of those that ``allowed`` has) that popcounts let reach ``threshold``."""
 
     def each(table: list[Tile]) -> np.ndarray:
         return np.array(sorted({(d, first + i, low, high) for d, _, first, parts, low, high in table for i in range(parts)}), np.int64).reshape(-1, 4)
@@ -109,7 +110,7 @@ def _tile_pairs(left: list[Tile], right: list[Tile], similarity: Similarity, thr
     d1, t1, low1, high1 = each(right).T
     out = []
     for d0, t0, low0, high0 in each(left).tolist():
-        met = d1 > d0
+        met = d1 > d0 if allowed is None else (d1 > d0) & allowed[d0, d1]
         if similarity.best is not None:
             # the best score lies at the closest counts of the two ranges, the highest ones if they meet (no bits: score 0)
             top = np.minimum(high0, high1)
@@ -139,9 +140,11 @@ def _rank_within(group: np.ndarray, sim: np.ndarray, other: np.ndarray) -> np.nd
     return out
 
 
-def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], similarity: Similarity, threshold: float, n_bits: int, k: int | None, local: pa.Table | None = None) -> DataFrame:
+def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], similarity: Similarity, threshold: float, n_bits: int, k: int | None, local: pa.Table | None = None, *, allowed: np.ndarray | None = None, scores: bool = False) -> DataFrame:
     """Pairs (unordered) of all parties that reach ``threshold``; with ``k``, those that the limits can still keep.
 
+    ``allowed[i, j]``, if given: whether parties i < j are compared.  ``scores``: only (sim, n), the numbers of pairs, in several rows each.
+
     ``records``: (dset_i, rec_i, clk, pc), of which ``histogram`` has the counts (dset_i, pc, n)
     and ``local``, if given, the rows: few enough to be sent to every executor.
     """
@@ -154,14 +157,14 @@ def product_pairs(records: DataFrame, histogram: list[tuple[int, int, int]], sim
     aims = _aims(sizes, (16 if local is None and k is None else 4) * spark.sparkContext.defaultParallelism, one_sided)
     left = _tile_table([h for h in histogram if h[0] < max(sizes)], aims[0])
     right = _tile_table([h for h in histogram if h[0] > min(sizes)], aims[1], max((t[2] + t[3] for t in left), default=0))
-    t0, t1 = _tile_pairs(left, right, similarity, threshold, n_bits)
+    t0, t1 = _tile_pairs(left, right, similarity, threshold, n_bits, allowed)
     if local is not None:
-        return _local_product(records, local, left, right, t0, t1, similarity, threshold, n_bits, k)
+        return _local_product(records, local, left, right, t0, t1, similarity, threshold, n_bits, k, scores)
     tiles = spark.createDataFrame([(d, pc, side, first, n) for side, table in enumerate((left, right)) for d, pc, first, n, _, _ in table], "dset_i int, pc int, side int, first int, parts int")
     placed = records.join(F.broadcast(tiles), ["dset_i", "pc"]).withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("rec_i"), F.col("parts"))).cast("int"))
     wave = _waves(left, right, t0, t1, similarity, n_bits) if k is not None else np.zeros(len(t0), np.int64)
     if not wave.any():
-        return _compared_tiles(placed, t0, t1, None, None, similarity, threshold, n_bits, k)
+        return _compared_tiles(placed, t0, t1, None, None, similarity, threshold, n_bits, k, scores)
     party = {first + i: d for table in (left, right) for d, _, first, parts, _, _ in table for i in range(parts)}
     best = None
     for w in range(int(wave.max()) + 1):
@@ -214,7 +217,7 @@ def _floor_table(best: DataFrame, similarity: Similarity, k: int) -> DataFrame:
     return out
 
 
-def _compared_tiles(placed: DataFrame, t0: np.ndarray, t1: np.ndarray, floors: DataFrame | None, party: dict[int, int] | None, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> DataFrame:
+def _compared_tiles(placed: DataFrame, t0: np.ndarray, t1: np.ndarray, floors: DataFrame | None, party: dict[int, int] | None, similarity: Similarity, threshold: float, n_bits: int, k: int | None, scores: bool = False) -> DataFrame:
     """Pairs of the pairs of tiles (t0, t1), one partition each; ``floors``: scores that records must reach, if known."""
     spark = placed.sparkSession
     parts = max(1, min(MOST_TASKS, len(t0)))
@@ -239,16 +242,16 @@ def _compared_tiles(placed: DataFrame, t0: np.ndarray, t1: np.ndarray, floors: D
             cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
             for i, j in zip(cuts, cuts[1:]):
                 if held and i < j and held[-1].column("pair")[0].as_py() != at[i]:
-                    yield from _compared(pa.Table.from_batches(held), similarity, threshold, n_bits, k)
+                    yield from _compared(pa.Table.from_batches(held), similarity, threshold, n_bits, k, scores)
                     held = []
                 held.append(b.slice(i, j - i))
         if held:
-            yield from _compared(pa.Table.from_batches(held), similarity, threshold, n_bits, k)
+            yield from _compared(pa.Table.from_batches(held), similarity, threshold, n_bits, k, scores)
 
-    return sent.mapInArrow(run, _SCHEMA)
+    return sent.mapInArrow(run, _COUNTS if scores else _SCHEMA)
 
 
-def _local_product(records: DataFrame, local: pa.Table, left: list[Tile], right: list[Tile], t0: np.ndarray, t1: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> DataFrame:
+def _local_product(records: DataFrame, local: pa.Table, left: list[Tile], right: list[Tile], t0: np.ndarray, t1: np.ndarray, similarity: Similarity, threshold: float, n_bits: int, k: int | None, scores: bool = False) -> DataFrame:
     """The same tiles and pairs of them, cut from a broadcast of all records: no join or shuffle, one job of a task per slot."""
     spark = records.sparkSession
     bits, pc, rec, dset = _tile(local, n_bits)
@@ -265,15 +268,18 @@ def _local_product(records: DataFrame, local: pa.Table, left: list[Tile], right:
         for b in batches:
             for i in b.column(0).to_pylist():
                 sides = [tuple(x[tiles[t]] for x in (bits, pc, rec, dset)) for t in (int(t0[i]), int(t1[i]))]
-                yield from _batches(*sides, similarity, threshold, n_bits, k)
+                yield from _score_counts(*sides, similarity, threshold, n_bits) if scores else _batches(*sides, similarity, threshold, n_bits, k)
 
-    return spark.range(0, len(t0), 1, max(1, min(spark.sparkContext.defaultParallelism, len(t0)))).mapInArrow(run, _SCHEMA)
+    return spark.range(0, len(t0), 1, max(1, min(spark.sparkContext.defaultParallelism, len(t0)))).mapInArrow(run, _COUNTS if scores else _SCHEMA)
 
 
-def _compared(rows: pa.Table, similarity: Similarity, threshold: float, n_bits: int, k: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of one pair of tiles."""
+def _compared(rows: pa.Table, similarity: Similarity, threshold: float, n_bits: int, k: int | None, scores: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs of one pair of tiles, or their numbers by score."""
     side = rows.column("side").to_numpy()
     sides = [rows.filter(pa.array(side == s)) for s in (0, 1)]
+    if scores:
+        yield from _score_counts(*(_tile(x, n_bits) for x in sides), similarity, threshold, n_bits)
+        return
     floors = tuple(x.column("floor").to_numpy() for x in sides) if "floor" in rows.column_names else None
     yield from _batches(*(_tile(x, n_bits) for x in sides), similarity, threshold, n_bits, k, floors)
 
@@ -283,6 +289,19 @@ def _batches(left: Records, right: Records, similarity: Similarity, threshold: f
         yield pa.RecordBatch.from_arrays([pa.array(sim), pa.array(left[3][x]), pa.array(right[3][y]), pa.array(left[2][x]), pa.array(right[2][y])], ["sim", "dset_i0", "dset_i1", "rec_i0", "rec_i1"])
 
 
+def _score_counts(left: Records, right: Records, similarity: Similarity, threshold: float, n_bits: int) -> Iterator[pa.RecordBatch]:
+    """(sim, n): pairs of two tiles by score."""
+    kinds, n = np.zeros(0), np.zeros(0, np.int64)
+    for sim, _, _ in hits_of(left, right, similarity, threshold, n_bits, None):
+        new, many = np.unique(sim, return_counts=True)
+        kinds, at = np.unique(np.concatenate([kinds, new]), return_inverse=True)
+        total = np.zeros(len(kinds), np.int64)
+        np.add.at(total, at, np.concatenate([n, many]))
+        n = total
+    if len(kinds):
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n)], ["sim", "n"])
+
+
 def hits_of(left: Records, right: Records, similarity: Similarity, threshold: float, n_bits: int, k: int | None, floors: Floors | None = None) -> Iterator[Hits]:
     """(sim, row of left, row of right) of pairs of two tiles that reach ``threshold``; with ``k``, those that the limits can still keep."""
     (bits_a, pc_a, rec_a, _), (bits_b, pc_b, rec_b, _) = left, right
